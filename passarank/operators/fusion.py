@@ -9,10 +9,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from passarank.fixed_values import DEFAULT_THRESHOLD, ENTITIES_RETURNED, EXAMPLES_PER_QUERY
+from passarank.functions.scores import DISTANCE_DIGITS
 
 QUERY = ["request_id", "query_idx"]
-MEAN_DIGITS = 9
 SCORE_DIGITS = 12
+STEPS = 10**DISTANCE_DIGITS
 
 
 def split_by_threshold(hits, threshold=DEFAULT_THRESHOLD):
@@ -50,11 +51,16 @@ def kept_hits(hits, threshold=DEFAULT_THRESHOLD, topk=ENTITIES_RETURNED):
 
 
 def entity_means(kept):
-    """Mean distance per sub-query and entity, with the entity's first hit for tie order."""
+    """Mean distance per sub-query and entity, with the entity's first hit for tie order.
+
+    Distances are summed as whole numbers of rounding steps: the mean is then the same in whatever
+    order rows arrive, and equal means are equal to the last bit, as ties in the ranking need.
+    """
+    steps = F.round(F.col("distance") * STEPS).cast("long")
     queue_order = F.when(F.col("over"), F.col("entity_id")).otherwise("")
     first_hit = F.struct("over", "distance", queue_order.alias("entity"), "passage_id")
     return kept.groupBy(*QUERY, "entity_id").agg(
-        F.round(F.avg("distance"), MEAN_DIGITS).alias("mean_distance"),
+        (F.sum(steps) / (F.count("*") * F.lit(float(STEPS)))).alias("mean_distance"),
         F.min(first_hit).alias("first_hit"),
         F.max("n_queries").alias("n_queries"),
     )

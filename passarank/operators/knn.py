@@ -233,7 +233,7 @@ def keep_nearest(hits, k, fan=None):
 
 def _input_bytes(df):
     """Size of the input as the planner estimates it; only chooses between equal plans."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def nearest_passages(

@@ -38,12 +38,18 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=CHIL
 
 
 def as_json(nested):
-    """Add ``json``: missing scalars stay as null, but a missing stat has no key at all."""
-    keep_nulls = {"ignoreNullFields": "false"}
-    columns = [c for c in nested.columns if c != "review_stat"]
-    without = F.to_json(F.struct(*columns), keep_nulls)
+    """Add ``json``: missing scalars stay as null, but a missing stat and part 0 have no key at all."""
+
+    def written(*left_out):
+        return F.to_json(F.struct(*[c for c in nested.columns if c not in left_out]), {"ignoreNullFields": "false"})
+
+    no_stat, first = F.col("review_stat").isNull(), F.col("part") == 0
     return nested.withColumn(
-        "json", F.when(F.col("review_stat").isNull(), without).otherwise(F.to_json(F.struct(*nested.columns), keep_nulls))
+        "json",
+        F.when(no_stat & first, written("review_stat", "part"))
+        .when(no_stat, written("review_stat"))
+        .when(first, written("part"))
+        .otherwise(written()),
     )
 
 
@@ -54,4 +60,5 @@ def write_export(nested, path):
 
 def read_export(spark, path, schema=NESTED_COURSE, indented=False):
     """Read an export; ``indented`` reads a single array over many lines, which is one task per file."""
-    return spark.read.schema(schema).option("multiLine", indented).json(path)
+    nested = spark.read.schema(schema).option("multiLine", indented).json(path)
+    return nested.withColumn("part", F.coalesce("part", F.lit(0)))
