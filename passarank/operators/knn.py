@@ -60,9 +60,9 @@ class Nearest:
     def add(self, table, at, numbers, similarity):
         """Offer rows ``at`` of ``table`` to the sub-queries ``numbers`` (similarity: query x row)."""
         distance = 1.0 - similarity
-        if distance.shape[1] > self.k:
-            reach = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1]
-            self.bound[numbers] = np.minimum(self.bound[numbers], reach)
+        fresh = ~np.isfinite(self.bound[numbers])
+        if distance.shape[1] > self.k and fresh.any():
+            self.bound[numbers[fresh]] = np.partition(distance[fresh], self.k - 1, axis=1)[:, self.k - 1]
         # Rounding may level distances this close, so pairs a rounding step above the bound stay in.
         slack = 10.0**-DISTANCE_DIGITS
         query, row = np.nonzero(distance <= self.bound[numbers][:, None] + slack)

@@ -6,21 +6,37 @@ from pyspark.sql import functions as F
 from passarank.plans.sizing import durable
 
 
-def running_total(df, value, out, order, keys=(), blocks=None):
+ROWS_PER_TASK = 4_000_000
+
+
+def largest_group(df, keys):
+    """Rows of the largest group, by a count that is combined before it is shuffled."""
+    return df.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("rows")).first()["rows"]
+
+
+def running_total(df, value, out, order, keys=(), rows_per_task=ROWS_PER_TASK):
     """Add ``out``: the sum of ``value`` over the rows of a key up to and including this one.
 
-    ``keys + order`` must identify a row. Rows are range-partitioned on exactly those columns,
-    so a hot key spreads over as many blocks as its size calls for; each block sums locally
-    and adds the total of the blocks before it. Of the blocks only one row each meets in a task.
+    ``keys + order`` must identify a row. Where every group is measured to fit a task this is a
+    window per key; else the groups are cut into blocks.
+    """
+    valued = df.withColumn("_value", value)
+    if largest_group(df, keys) <= rows_per_task:
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return valued.withColumn(out, F.sum("_value").over(so_far)).select(*df.columns, out)
+    return _blocked_total(valued, out, list(order), list(keys), rows_per_task).select(*df.columns, out)
+
+
+def _blocked_total(df, out, order, keys, rows_per_task):
+    """Rows are range-partitioned on ``keys + order``, so a hot key spreads over as many blocks as
+    its size calls for. Each block sums on its own and adds the total of the key's earlier blocks;
+    of a block, only that one row meets with those of other blocks.
     """
     spark = df.sparkSession
-    keys, order = list(keys), list(order)
-    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    blocks = max(-(-df.count() // rows_per_task) * 2, spark.sparkContext.defaultParallelism)
     # Stored before use: both readers below must see the same block numbers, also after a retry.
     placed = durable(
-        df.withColumn("_value", value).repartitionByRange(blocks, *keys, *order)
-        .withColumn("_block", F.spark_partition_id()),
-        "blocks",
+        df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id()), "blocks"
     )
     earlier_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -32,14 +48,10 @@ def running_total(df, value, out, order, keys=(), blocks=None):
     for k in keys:
         same_block = same_block & F.col(k).eqNullSafe(F.col(f"_{k}"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.join(offsets, same_block)
-        .withColumn(out, F.sum("_value").over(inside) + F.col("_offset"))
-        .select(*df.columns, out)
-    )
+    return placed.join(offsets, same_block).withColumn(out, F.sum("_value").over(inside) + F.col("_offset"))
 
 
-def dense_ids(df, order, out="row_id"):
+def dense_ids(df, order, out="row_id", rows_per_task=ROWS_PER_TASK):
     """Number the rows 0, 1, 2, … in the given order and return the number as a string."""
-    numbered = running_total(df, F.lit(1), "_row", order)
+    numbered = running_total(df, F.lit(1), "_row", order, (), rows_per_task)
     return numbered.select(*df.columns, (F.col("_row") - 1).cast("string").alias(out))

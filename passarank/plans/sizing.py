@@ -17,7 +17,7 @@ def scratch_path(spark, name):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every node can reach")
         base = tempfile.mkdtemp(prefix="passarank-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/passarank/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/passarank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df, name="stage"):

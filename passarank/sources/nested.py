@@ -8,33 +8,37 @@ from passarank.schemas import NESTED_COURSE
 CHILDREN_PER_LINE = 10_000
 
 
+def _lists(children, by, child_id):
+    """Children as one array per group, in the order of their ids."""
+    record = F.struct(*[c for c in children.columns if c != "part"])
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(child_id).alias("_order"), record.alias("_child"))))
+    return children.groupBy(*by).agg(ordered.alias("_children")).withColumn("reviews", F.col("_children._child")).drop("_children")
+
+
 def nest(parents, children, stats, key="course_id", child_id="id", per_line=CHILDREN_PER_LINE):
     """Parents with ``review_stat`` and ``reviews`` (empty if there are none).
 
     A parent with more than ``per_line`` children takes several lines, numbered by ``part``, among
-    which its children are spread; no group grows with the data and no child is left out. The first
-    part alone carries parents without children, and every part the stat.
+    which its children are spread; no group grows with the data and no child is left out. All other
+    parents, joined on the key their children are already grouped by, take one line.
     """
     counts = children.groupBy(key).agg(F.ceil(F.count("*") / per_line).cast("int").alias("_parts"))
-    placed = children.join(small(durable(counts.filter("_parts > 1"), "large-parents")), key, "left").withColumn(
-        "part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(child_id), F.col("_parts"))).otherwise(0).cast("int")
-    )
-    record = F.struct(*children.columns)
-    lists = placed.groupBy(F.col(key).alias("id"), "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(child_id).alias("_order"), record.alias("_child")))).alias("_children")
-    )
-    lists = lists.select("id", "part", F.col("_children._child").alias("reviews"))
+    large = small(durable(counts.filter("_parts > 1"), "large-parents"))
     stat = stats.select(F.col(key).alias("id"), F.struct(*stats.columns).alias("review_stat"))
-    none = F.array().cast(lists.schema["reviews"].dataType)
-    return (
-        parents.join(lists, "id", "left").join(stat, "id", "left")
-        .select(
-            *parents.columns,
-            F.coalesce("part", F.lit(0)).alias("part"),
-            "review_stat",
-            F.coalesce("reviews", none).alias("reviews"),
-        )
+    described = parents.join(stat, "id", "left")
+
+    usual = _lists(children.join(large, key, "left_anti"), [key], child_id).withColumnRenamed(key, "id")
+    none = F.array().cast(usual.schema["reviews"].dataType)
+    one_line = (
+        described.join(large.withColumnRenamed(key, "id"), "id", "left_anti").join(usual, "id", "left")
+        .withColumns({"part": F.lit(0), "reviews": F.coalesce("reviews", none)})
+    )
+    spread = children.join(large, key).withColumn("part", F.pmod(F.xxhash64(child_id), F.col("_parts")).cast("int"))
+    many_lines = described.join(
+        _lists(spread.select(*children.columns, "part"), [key, "part"], child_id).withColumnRenamed(key, "id"), "id"
     )
+    columns = [*parents.columns, "part", "review_stat", "reviews"]
+    return one_line.select(*columns).unionByName(many_lines.select(*columns))
 
 
 def as_json(nested):

@@ -8,21 +8,12 @@ from passarank.operators import recommend as R
 from passarank.operators.knn import nearest_passages
 from passarank.plans.sizing import durable
 from suite import common as C
+from suite.registry import Registry
 
-QUERIES, SQL = {}, {}
+register = Registry()
 THRESHOLDS = (0.6, 0.75, 0.85)
 
 
-def register(sql=None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
 @register(f"""
     WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS a_v,
                       sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS a_len FROM embeddings),
