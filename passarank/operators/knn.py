@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from passarank.fixed_values import DEFAULT_HITS, HITS_PER_QUERY
 from passarank.functions.scores import DISTANCE_DIGITS
-from passarank.plans.sizing import durable, small
+from passarank.plans.sizing import durable, input_bytes, small
 
 QUERY = ["request_id", "query_idx"]
 BROADCAST_QUERIES = 8192
@@ -111,6 +111,8 @@ class Nearest:
 
 def _offer(nearest, table, embedding, matrix, allowed):
     """Offer all rows of a table, in pieces that bound the distance matrix."""
+    if not len(matrix):
+        return
     ids = table.drop_columns([embedding])
     step = max(256, CELLS // max(len(matrix), 1))
     everyone = np.arange(len(matrix))
@@ -231,11 +233,6 @@ def keep_nearest(hits, k, fan=None):
     return ranked(hits)
 
 
-def _input_bytes(df):
-    """Size of the input as the planner estimates it; only chooses between equal plans."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def nearest_passages(
     queries, passages, k=HITS_PER_QUERY, candidates=None, embedding="embedding", broadcast_queries=BROADCAST_QUERIES
 ):
@@ -263,4 +260,4 @@ def nearest_passages(
         hits = _broadcast_form(queries, block, pairs, passages, k, embedding)
     else:
         hits = _blocked_form(queries, candidates, passages, k, embedding)
-    return keep_nearest(hits, k, MERGE_FAN if _input_bytes(passages) > MERGE_FROM_BYTES else None)
+    return keep_nearest(hits, k, MERGE_FAN if input_bytes(passages) > MERGE_FROM_BYTES else None)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.fixed_values import TITLE_SUFFIX
+from passarank.fixed_values import ALLOWED_CHARACTERS, TITLE_SUFFIX
 from passarank.functions import text as X
 
 
@@ -33,14 +33,16 @@ def explode_passages(df, entity, texts, carry=(), keep_empty=False, sep="#"):
     exploded = df.select(F.col(entity).cast("string").alias("entity_id"), *carry, F.posexplode(texts).alias("pos", "text"))
     if parent == entity:
         parent = "entity_id"
-    cleaned = exploded.select(
+    if not keep_empty:
+        # Tested on the raw text: a test of the cleaned one would clean every text twice.
+        exploded = exploded.filter(F.col("text").rlike(f"[{ALLOWED_CHARACTERS}]"))
+    return exploded.select(
         F.concat_ws(sep, F.col(parent), F.col("pos")).alias("passage_id"),
         "entity_id",
         *carry,
         "pos",
         X.normalize(F.col("text")).alias("text"),
     )
-    return cleaned if keep_empty else cleaned.filter(F.col("text") != "")
 
 
 def feedback_table(nested, key="id", reviews="reviews"):

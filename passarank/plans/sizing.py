@@ -52,3 +52,19 @@ def small(df, limit=BROADCAST_BYTES):
     Call it on stored tables: the measurement reads ``df`` once.
     """
     return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def input_bytes(df):
+    """Size of the input as the planner estimates it; only chooses between plans with equal results."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df):
+    """Deal out the rows of an input that is too small to give every core a file split.
+
+    Meant for expensive work per row. An input of ordinary size has splits enough and is not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if input_bytes(df) < cores * split else df

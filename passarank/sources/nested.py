@@ -27,7 +27,7 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=CHIL
     stat = stats.select(F.col(key).alias("id"), F.struct(*stats.columns).alias("review_stat"))
     described = parents.join(stat, "id", "left")
 
-    usual = _lists(children.join(large, key, "left_anti"), [key], child_id).withColumnRenamed(key, "id")
+    usual = _lists(children.join(large, key, "left_anti").select(*children.columns), [key], child_id).withColumnRenamed(key, "id")
     none = F.array().cast(usual.schema["reviews"].dataType)
     one_line = (
         described.join(large.withColumnRenamed(key, "id"), "id", "left_anti").join(usual, "id", "left")

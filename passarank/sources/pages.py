@@ -15,6 +15,9 @@ def read_pages(spark, path):
 
 
 def read_page_files(spark, path):
-    """Saved page files, one row per file: ``page_id`` is the file name, ``html`` the whole text."""
+    """Saved page files, one row per file: ``page_id`` is the file name, ``html`` the whole text.
+
+    A file of no bytes gives no row.
+    """
     files = spark.read.text(path, wholetext=True).withColumn("url", F.input_file_name())
     return files.select(F.element_at(F.split("url", "/"), -1).alias("page_id"), "url", F.col("value").alias("html"))

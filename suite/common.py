@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from passarank.functions import text as X
 from passarank.operators.embed import embed
 from passarank.operators.passages import explode_passages
+from passarank.plans.sizing import spread
 
 OTHER = "unlisted"
 
@@ -34,7 +35,7 @@ def vector_passages(spark, folder):
 
 
 def documents_as_feedback(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.col("doc_id").cast("string").alias("feedback_id"), F.col("source").alias("entity_id"), "text"
     )
 

@@ -1,0 +1,119 @@
+"""Both physical forms of the search against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tests.conftest import plan
+
+from passarank.operators import knn
+
+PASSAGES = "passage_id string, entity_id string, embedding array<float>"
+QUERIES = "request_id string, query_idx int, n_queries int, embedding array<float>"
+
+
+def data(seed=0, passages=600, queries=30, dim=8, copies=0.0):
+    """Passages of which a share are copies of one vector and belong to one entity."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(size=(passages, dim)).astype(np.float32)
+    vectors[: int(copies * passages)] = vectors[-1]
+    vectors[5] = 0
+    entity = ["hot" if i < copies * passages else f"e{i % 7}" for i in range(passages)]
+    p = [(str(i), entity[i], vectors[i].tolist()) for i in range(passages)]
+    q = [(f"r{i % 6}", i, 5, rng.normal(size=dim).astype(np.float32).tolist()) for i in range(queries - 1)]
+    q.append(("r0", queries - 1, 5, vectors[-1].tolist()))
+    return p, q
+
+
+def brute(p, q, k, allowed=None):
+    hits = set()
+    for request, number, _, a in q:
+        a = np.array(a, np.float64)
+        found = []
+        for passage, entity, b in p:
+            if allowed is not None and (request, entity) not in allowed:
+                continue
+            b = np.array(b, np.float64)
+            length = np.linalg.norm(a) * np.linalg.norm(b)
+            found.append((round(1 - (a @ b / length if length else 0.0), 6) + 0.0, passage))
+        hits |= {(request, number, pos, passage, d) for pos, (d, passage) in enumerate(sorted(found)[:k], 1)}
+    return hits
+
+
+def found(df):
+    return {(r["request_id"], r["query_idx"], r["pos"], r["passage_id"], r["distance"]) for r in df.collect()}
+
+
+@pytest.fixture(params=["broadcast", "blocked"])
+def form(request, monkeypatch):
+    """Limits small enough for several blocks, batches and cuts."""
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(knn, "PASSAGE_BLOCK", 100)
+    return {"broadcast_queries": 1000 if request.param == "broadcast" else 0}
+
+
+@pytest.mark.parametrize("k", [1, 10, 2000])
+@pytest.mark.parametrize("copies", [0.0, 0.35])
+def test_equals_brute_force(spark, form, k, copies):
+    p, q = data(copies=copies)
+    hits = knn.nearest_passages(spark.createDataFrame(q, QUERIES), spark.createDataFrame(p, PASSAGES).repartition(5), k, **form)
+    assert found(hits) == brute(p, q, k)
+
+
+def test_candidates_apply_before_k(spark, form):
+    p, q = data(copies=0.35)
+    allowed = {("r0", "hot"), ("r0", "e1"), ("r1", "e1"), ("r2", "e2"), ("r3", "hot"), ("r4", "nowhere")}
+    candidates = spark.createDataFrame(sorted(allowed), "request_id string, entity_id string")
+    hits = knn.nearest_passages(
+        spark.createDataFrame(q, QUERIES), spark.createDataFrame(p, PASSAGES).repartition(5), 12, candidates, **form
+    )
+    assert found(hits) == brute(p, q, 12, allowed)
+
+
+def test_no_number_of_hits_means_the_default(spark, form):
+    p, q = data()
+    hits = knn.nearest_passages(spark.createDataFrame(q, QUERIES), spark.createDataFrame(p, PASSAGES), None, **form)
+    assert hits.groupBy("query_idx").count().agg(F.min("count"), F.max("count")).first()[:] == (10, 10)
+
+
+def test_no_queries(spark, form):
+    p, _ = data()
+    assert knn.nearest_passages(spark.createDataFrame([], QUERIES), spark.createDataFrame(p, PASSAGES), 3, **form).count() == 0
+
+
+def test_merge_in_two_steps(spark):
+    p, q = data()
+    hits = knn.nearest_passages(spark.createDataFrame(q, QUERIES), spark.createDataFrame(p, PASSAGES).repartition(5), 400)
+    assert found(knn.keep_nearest(hits.drop("pos"), 9, fan=4)) == brute(p, q, 9)
+
+
+def test_buffer_is_cut_exactly(monkeypatch):
+    """Many small chunks: cuts happen along the way and lose nothing."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(knn, "CELLS", 1 << 9)
+    p, q = data(passages=3000, queries=20, copies=0.3)
+    table = pa.table({"passage_id": [r[0] for r in p], "entity_id": [r[1] for r in p], "embedding": pa.array([r[2] for r in p], pa.list_(pa.float32()))})
+    nearest = knn.Nearest(len(q), 7)
+    cuts = []
+    cut = nearest.cut
+    monkeypatch.setattr(nearest, "cut", lambda: (cuts.append(1), cut()))
+    knn._offer(nearest, table, "embedding", knn.unit_rows(pa.array([r[3] for r in q], pa.list_(pa.float32()))), None)
+    result = nearest.result(pa.table({"n": list(range(len(q)))})).to_pylist()
+    expected = {(number, passage, d) for _, number, _, passage, d in brute(p, q, 7)}
+    assert {(r["n"], r["passage_id"], r["distance"]) for r in result} == expected
+    assert len(cuts) > 3
+
+
+def test_plans(spark):
+    """Passages are scanned, not shuffled; candidates reach the scan; no pairs are joined."""
+    p, q = data()
+    passages = spark.createDataFrame(p, PASSAGES)
+    candidates = spark.createDataFrame([("r0", "e1")], "request_id string, entity_id string")
+    hits = plan(knn.nearest_passages(spark.createDataFrame(q, QUERIES), passages, 5, candidates))
+    assert "WindowGroupLimit" in hits and "BroadcastHashJoin" in hits and "LeftSemi" in hits
+    assert hits.count("Exchange hashpartitioning(request_id") == 1
+    above_scan, scan = hits.split("MapInArrow", 1)
+    assert above_scan.count("Exchange") == 1
+    assert scan.count("Exchange") == scan.count("BroadcastExchange") + scan.count("Exchange hashpartitioning(entity_id")
+    for name in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert name not in hits
