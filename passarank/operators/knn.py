@@ -19,7 +19,7 @@ from passarank.plans.sizing import durable, input_bytes, small
 
 QUERY = ["request_id", "query_idx"]
 BROADCAST_QUERIES = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 32_768
 PASSAGE_BLOCK = 131_072
 # Distances held at once in a task: 16M doubles.
 CELLS = 1 << 24

@@ -55,8 +55,12 @@ def small(df, limit=BROADCAST_BYTES):
 
 
 def input_bytes(df):
-    """Size of the input as the planner estimates it; only chooses between plans with equal results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the tables that ``df`` reads, as the planner knows it.
+
+    It only chooses between plans with equal results.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def spread(df):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import plan
 
 from passarank.operators import knn
+from passarank.plans.sizing import durable
 
 PASSAGES = "passage_id string, entity_id string, embedding array<float>"
 QUERIES = "request_id string, query_idx int, n_queries int, embedding array<float>"
@@ -107,7 +108,7 @@ def test_buffer_is_cut_exactly(monkeypatch):
 def test_plans(spark):
     """Passages are scanned, not shuffled; candidates reach the scan; no pairs are joined."""
     p, q = data()
-    passages = spark.createDataFrame(p, PASSAGES)
+    passages = durable(spark.createDataFrame(p, PASSAGES))
     candidates = spark.createDataFrame([("r0", "e1")], "request_id string, entity_id string")
     hits = plan(knn.nearest_passages(spark.createDataFrame(q, QUERIES), passages, 5, candidates))
     assert "WindowGroupLimit" in hits and "BroadcastHashJoin" in hits and "LeftSemi" in hits
