@@ -6,7 +6,7 @@ DEFAULT_HITS = 10  # the vector store's own default, used when no number of hits
 ENTITIES_RETURNED = 8
 EXAMPLES_PER_QUERY = 4
 DEFAULT_THRESHOLD = 0.5
-PIPELINE_THRESHOLD = 0.6
+CALLERS_THRESHOLD = 0.6
 TOPIC_WEIGHT = 0.65
 EVALUATION_WEIGHT = 0.35
 RESULTS_DISPLAYED = 5

@@ -11,7 +11,7 @@ from passarank.operators.requests import EVALUATION, TOPIC
 from passarank.plans.sizing import durable, small
 
 
-def retrieve(queries, passages, candidates=None, k=fixed.HITS_PER_QUERY, threshold=fixed.PIPELINE_THRESHOLD,
+def retrieve(queries, passages, candidates=None, k=fixed.HITS_PER_QUERY, threshold=fixed.CALLERS_THRESHOLD,
              topk=fixed.ENTITIES_RETURNED, **options):
     """Nearest passages with those that count marked and the others gone."""
     return kept_hits(nearest_passages(queries, passages, k, candidates, **options), threshold, topk)
@@ -28,7 +28,7 @@ def blend(first, second, first_weight=fixed.TOPIC_WEIGHT, second_weight=fixed.EV
     return both.withColumn("score", score).withColumn("place", F.row_number().over(best_first))
 
 
-def recommend(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY, threshold=fixed.PIPELINE_THRESHOLD,
+def recommend(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY, threshold=fixed.CALLERS_THRESHOLD,
               topk=fixed.ENTITIES_RETURNED, **options):
     """Answer all requests: rank entities by topic, rerank them by their feedback.
 
