@@ -34,9 +34,9 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=CHIL
         .withColumns({"part": F.lit(0), "reviews": F.coalesce("reviews", none)})
     )
     spread = children.join(large, key).withColumn("part", F.pmod(F.xxhash64(child_id), F.col("_parts")).cast("int"))
-    many_lines = described.join(
-        _lists(spread.select(*children.columns, "part"), [key, "part"], child_id).withColumnRenamed(key, "id"), "id"
-    )
+    parts = _lists(spread.select(*children.columns, "part"), [key, "part"], child_id).withColumnRenamed(key, "id")
+    # The parents go to the lists: moving the lists by parent would gather a hot one's children again.
+    many_lines = parts.join(small(durable(described.join(large.withColumnRenamed(key, "id"), "id", "left_semi"), "parents")), "id")
     columns = [*parents.columns, "part", "review_stat", "reviews"]
     return one_line.select(*columns).unionByName(many_lines.select(*columns))
 

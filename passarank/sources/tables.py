@@ -1,6 +1,10 @@
 """The relational store: create, scan, append, replace the children of a parent."""
 
-from passarank.plans.sizing import small
+from pyspark.sql import functions as F
+
+from passarank.plans.sizing import durable, small
+
+BUCKETS = 1024
 
 
 def create_if_absent(spark, name, schema, path):
@@ -17,6 +21,10 @@ def scan(spark, path, schema):
     return spark.read.schema(schema).parquet(path)
 
 
+def store(df, path):
+    df.write.mode("errorifexists").parquet(path)
+
+
 def replace_children(existing, parents, children, key):
     """The child table after the children of ``parents`` have been replaced by ``children``.
 
@@ -28,5 +36,34 @@ def replace_children(existing, parents, children, key):
     return existing.join(replaced, key, "left_anti").select(*existing.columns).unionByName(children)
 
 
-def store(df, path):
-    df.write.mode("errorifexists").parquet(path)
+def _bucketed(df, key, buckets):
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def store_children(children, path, key, buckets=BUCKETS):
+    """Store children in one folder per bucket of parents, for replacement in place."""
+    _bucketed(children, key, buckets).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
+def scan_children(spark, path, schema, key):
+    return spark.read.schema(schema).parquet(path).select(*schema.names).filter(F.col(key).isNotNull())
+
+
+def replace_stored_children(spark, path, schema, parents, children, key, buckets=BUCKETS):
+    """``replace_children`` in place: only the buckets of the parents concerned are read and rewritten.
+
+    Each of them is also given one row without a parent, so that a bucket left without children is
+    overwritten too; ``scan_children`` skips those rows.
+    """
+    concerned = _bucketed(parents.select(key).unionByName(children.select(key)), key, buckets).select("bucket").distinct()
+    numbers = [row["bucket"] for row in concerned.collect()]  # at most ``buckets`` numbers
+    stored = spark.read.schema(schema).option("basePath", path).parquet(path)
+    old = stored.filter(F.col("bucket").isin(numbers) & F.col(key).isNotNull()).select(*schema.names)
+    empty = spark.createDataFrame([(n,) for n in numbers], "bucket int").select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "bucket"
+    )
+    rewritten = _bucketed(replace_children(old, parents, children, key), key, buckets).unionByName(empty)
+    (
+        durable(rewritten, "children").hint("rebalance", "bucket")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    )

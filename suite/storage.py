@@ -33,20 +33,38 @@ def append_entities(spark, folder):
     return tables.scan(spark, path, PAGE).select("page_id", "url", F.length("html").alias("n_chars"))
 
 
-@register("""
+REPLACED = """
     SELECT doc_id, quality, toxic FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'fr') USING (doc_id)
     UNION ALL SELECT doc_id, 1, 0 FROM documents WHERE lang = 'fr' AND n_chars > 1000
-""")
-def replace_children(spark, folder):
+"""
+
+
+def _relabelled(spark, folder):
     """French documents get new labels if they are long, and lose theirs if not."""
     labels, documents = C.table(spark, folder, "labels"), C.table(spark, folder, "documents")
     parents = documents.filter("lang = 'fr'")
-    fresh = parents.filter("n_chars > 1000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    return labels, parents, parents.filter("n_chars > 1000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+
+
+@register(REPLACED)
+def replace_children(spark, folder):
+    """To a fresh path."""
+    labels, parents, fresh = _relabelled(spark, folder)
     path = scratch_path(spark, "labels")
     tables.store(tables.replace_children(labels, parents, fresh, "doc_id"), path)
     return tables.scan(spark, path, labels.schema)
 
 
+@register(REPLACED)
+def replace_children_in_place(spark, folder):
+    """In the buckets concerned."""
+    labels, parents, fresh = _relabelled(spark, folder)
+    path = scratch_path(spark, "labels")
+    tables.store_children(labels, path, "doc_id", buckets=64)
+    tables.replace_stored_children(spark, path, labels.schema, parents, fresh, "doc_id", buckets=64)
+    return tables.scan_children(spark, path, labels.schema, "doc_id")
+
+
 def _nested_customers(spark, folder):
     """Customers with their orders; those with a debt have no stat."""
     customers, orders = C.table(spark, folder, "customer"), C.table(spark, folder, "orders")

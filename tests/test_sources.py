@@ -77,6 +77,22 @@ def test_replace_children(spark):
     assert [r["id"] for r in untouched.collect()] == [100]
 
 
+def test_replace_in_place_touches_only_its_buckets(spark):
+    path = scratch_path(spark, "reviews")
+    many = spark.range(200).select("id", (F.col("id") % 40).alias("course_id"), F.lit("old").alias("text"))
+    tables.store_children(many, path, "course_id", buckets=16)
+    before = set(spark.read.parquet(path).inputFiles())
+    parents = spark.createDataFrame([(0,), (1,), (99,)], "course_id long")
+    new = spark.createDataFrame([(900, 1, "new"), (901, 99, "new")], REVIEW)
+    tables.replace_stored_children(spark, path, REVIEW, parents, new, "course_id", buckets=16)
+    rows = {tuple(r) for r in tables.scan_children(spark, path, REVIEW, "course_id").collect()}
+    assert rows == {(i, i % 40, "old") for i in range(200) if i % 40 > 1} | {(900, 1, "new"), (901, 99, "new")}
+    assert len(before - set(spark.read.parquet(path).inputFiles())) <= 3 < len(before)
+    everyone = many.select("course_id").unionByName(parents).distinct()
+    tables.replace_stored_children(spark, path, REVIEW, everyone, new.limit(0), "course_id", buckets=16)
+    assert tables.scan_children(spark, path, REVIEW, "course_id").count() == 0
+
+
 def test_page_files(spark, tmp_path):
     for name, html in (("a.html", "<p>1\n2</p>\n"), ("b.html", "")):
         (tmp_path / name).write_text(html)
