@@ -30,14 +30,16 @@ def kept_hits(hits, threshold=DEFAULT_THRESHOLD, topk=ENTITIES_RETURNED):
     ``topk`` entities have been seen before it, be its own entity new or not. In window form: hits
     within the threshold contribute their distinct entities up front, and each fallback that is the
     first of an unseen entity adds one for the rows after it. ``place`` numbers an entity's hits of
-    the same kind.
+    the same kind, ``seq`` all hits of a sub-query in the order in which they are looked at.
     """
     if topk is None:
         raise ValueError("topk must be a number")
     per_entity = Window.partitionBy(*QUERY, "entity_id")
     in_order = Window.partitionBy(*QUERY, "entity_id", "over").orderBy("distance", "passage_id")
     per_query = Window.partitionBy(*QUERY)
-    earlier = per_query.orderBy("over", "distance", "entity_id", "passage_id").rowsBetween(Window.unboundedPreceding, -1)
+    queue_entity = F.when(F.col("over"), F.col("entity_id")).otherwise("")
+    looked_at = per_query.orderBy("over", "distance", queue_entity, "passage_id")
+    earlier = looked_at.rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("place") == 1
     marked = (
         split_by_threshold(hits, threshold)
@@ -45,6 +47,7 @@ def kept_hits(hits, threshold=DEFAULT_THRESHOLD, topk=ENTITIES_RETURNED):
         .withColumn("_passed", F.max((~F.col("over")).cast("int")).over(per_entity) == 1)
         .withColumn("_entities", F.sum((first & ~F.col("over")).cast("int")).over(per_query))
         .withColumn("_before", F.sum((first & F.col("over") & ~F.col("_passed")).cast("int")).over(earlier))
+        .withColumn("seq", F.row_number().over(looked_at))
     )
     room_left = F.col("_entities") + F.coalesce(F.col("_before"), F.lit(0)) < topk
     return marked.filter(~F.col("over") | room_left).drop("_passed", "_entities", "_before")
@@ -57,11 +60,9 @@ def entity_means(kept):
     order rows arrive, and equal means are equal to the last bit, as ties in the ranking need.
     """
     steps = F.round(F.col("distance") * STEPS).cast("long")
-    queue_order = F.when(F.col("over"), F.col("entity_id")).otherwise("")
-    first_hit = F.struct("over", "distance", queue_order.alias("entity"), "passage_id")
     return kept.groupBy(*QUERY, "entity_id").agg(
         (F.sum(steps) / (F.count("*") * F.lit(float(STEPS)))).alias("mean_distance"),
-        F.min(first_hit).alias("first_hit"),
+        F.min("seq").alias("first_hit"),
         F.max("n_queries").alias("n_queries"),
     )
 
@@ -73,10 +74,14 @@ def reciprocal_ranks(means):
 
 
 def fuse(ranked):
-    """Score per request and entity: sum over its sub-queries divided by their number, absent ones as 0."""
+    """Score per request and entity: sum over its sub-queries divided by their number, absent ones as 0.
+
+    ``first_seen`` packs sub-query and hit number, 32 bits each, into one number.
+    """
+    first_seen = F.shiftleft(F.col("query_idx").cast("long"), 32) + F.col("first_hit")
     return ranked.groupBy("request_id", "entity_id").agg(
         F.round(F.sum("score") / F.max("n_queries"), SCORE_DIGITS).alias("score"),
-        F.min(F.struct("query_idx", "first_hit")).alias("first_seen"),
+        F.min(first_seen).alias("first_seen"),
     )
 
 
