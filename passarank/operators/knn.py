@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from passarank.fixed_values import DEFAULT_HITS, HITS_PER_QUERY
 from passarank.functions.scores import DISTANCE_DIGITS
 from passarank.plans.sizing import durable, input_bytes, small
+from passarank.sources.collections import within
 
 QUERY = ["request_id", "query_idx"]
 BROADCAST_QUERIES = 8192
@@ -240,14 +241,16 @@ def nearest_passages(
 
     ``queries``: ``request_id, query_idx, …, embedding``; ``passages``: ``passage_id, entity_id, …, embedding``;
     all other columns are carried into the hits. ``candidates`` (``request_id, entity_id``) restricts
-    each request to passages of its own entities before the k nearest are taken. ``k=None`` stands
+    each request to passages of its own entities before the k nearest are taken; of a stored collection
+    that keeps its folder column, only the folders concerned are read. ``k=None`` stands
     for the vector store's default number of hits. Distances are rounded, so that results do not
     depend on how the work was split.
     """
     k = DEFAULT_HITS if k is None else k
-    passages = passages.filter(F.col(embedding).isNotNull())
     if candidates is not None:
         candidates = durable(candidates.select("request_id", "entity_id").distinct(), "candidates")
+    passages = within(passages, candidates).filter(F.col(embedding).isNotNull())
+    if candidates is not None:
         passages = passages.join(small(candidates.select("entity_id").distinct()), "entity_id", "left_semi").select(
             *passages.columns
         )

@@ -4,6 +4,12 @@ from pyspark.sql import functions as F
 
 BUCKETS = 64
 ROWS_PER_FILE = 1_000_000
+# The folder column's name tells the number of buckets, so that readers hash as the writer did.
+COLUMN = "bucket_of_"
+
+
+def _bucket(entity, buckets):
+    return F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int")
 
 
 def rebuild(df, path, entity="entity_id", buckets=BUCKETS):
@@ -12,13 +18,25 @@ def rebuild(df, path, entity="entity_id", buckets=BUCKETS):
     The rebalance gives each bucket few files and splits the bucket of a hot entity over several
     tasks. Entity ids are sorted within a file, so row groups can be skipped.
     """
-    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int"))
+    name = f"{COLUMN}{buckets}"
     (
-        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", entity)
-        .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(path)
+        df.withColumn(name, _bucket(entity, buckets)).hint("rebalance", name).sortWithinPartitions(name, entity)
+        .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(name).parquet(path)
     )
 
 
-def read_collection(spark, path, schema):
-    """Read a collection; its bucket column is only a matter of storage."""
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+def read_collection(spark, path, schema, with_bucket=False):
+    """Read a collection; ``with_bucket`` keeps the folder column, by which ``within`` can prune."""
+    collection = spark.read.schema(schema).parquet(path)
+    return collection if with_bucket else collection.select(*schema.names)
+
+
+def within(collection, entities=None, entity="entity_id"):
+    """A collection without its folder column, read only in the buckets of ``entities`` if given."""
+    names = [c for c in collection.columns if c.startswith(COLUMN)]
+    if entities is not None and names:
+        buckets = int(names[0].removeprefix(COLUMN))
+        wanted = entities.select(_bucket(entity, buckets).alias("bucket")).distinct()
+        # At most ``buckets`` numbers, known before the scan is planned: whole folders are left out.
+        collection = collection.filter(F.col(names[0]).isin([row["bucket"] for row in wanted.collect()]))
+    return collection.drop(*names)

@@ -68,7 +68,11 @@ def build_index(nested, path, encoder=HashingEncoder):
 
 
 def open_index(spark, path):
-    return {name: collections.read_collection(spark, f"{path}/{name}", schema) for name, schema in COLLECTIONS.items()}
+    """The four collections; feedback passages keep their folders in sight for the second stage."""
+    return {
+        name: collections.read_collection(spark, f"{path}/{name}", schema, with_bucket=name == FEEDBACK_PASSAGE)
+        for name, schema in COLLECTIONS.items()
+    }
 
 
 def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
@@ -82,7 +86,7 @@ def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
         outputs = outputs.withColumn("output", P.clean_output(F.col("output")))
     queries = sub_queries(parse_split(outputs))
     topic = index[PASSAGE].select("passage_id", "entity_id", "embedding")
-    feedback = index[FEEDBACK_PASSAGE].select("passage_id", "entity_id", "feedback_id", "embedding")
+    feedback = index[FEEDBACK_PASSAGE].drop("text")
     ranking, support = R.recommend_texts(queries, topic, feedback, encoder, **options)
     entities = index[ENTITY].select("entity_id", *COURSE_FIELDS, F.col("text").alias("info"))
     return R.enrich(durable(ranking, "ranking"), entities, R.supporting_documents(support, index[FEEDBACK]))
