@@ -24,7 +24,7 @@ def blend(first, second, first_weight=fixed.TOPIC_WEIGHT, second_weight=fixed.EV
         second.select("request_id", "entity_id", F.col("score").alias("stage2_score"), F.col("place").alias("stage2_place")),
         ["request_id", "entity_id"],
     )
-    score = F.round(F.col("stage1_score") * first_weight + F.col("stage2_score") * second_weight, 12)
+    score = F.col("stage1_score") * first_weight + F.col("stage2_score") * second_weight
     return both.withColumn("score", score).withColumn("place", F.row_number().over(best_first))
 
 

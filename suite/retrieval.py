@@ -120,8 +120,8 @@ def _both_aspects(queries):
 def sql_blend(first, second, out):
     return f"""
     {out} AS (SELECT request_id, entity_id, a.score AS stage1_score, b.score AS stage2_score,
-                 round(a.score * 0.65 + b.score * 0.35, 12) AS score,
-                 row_number() OVER (PARTITION BY request_id ORDER BY round(a.score * 0.65 + b.score * 0.35, 12) DESC, b.place) AS place
+                 a.score * 0.65::DOUBLE + b.score * 0.35::DOUBLE AS score,
+                 row_number() OVER (PARTITION BY request_id ORDER BY a.score * 0.65::DOUBLE + b.score * 0.35::DOUBLE DESC, b.place) AS place
           FROM {first} a JOIN {second} b USING (request_id, entity_id))
     """
 
