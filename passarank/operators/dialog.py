@@ -12,23 +12,24 @@ TURNS_PER_BLOCK = 64
 def history_fold(turns, session="session_id", turn="turn", question="human", answer="ai", block=TURNS_PER_BLOCK):
     """Add ``history``: all earlier turns of the session as one text, empty for the first.
 
-    ``turn`` is a whole number, unique in its session. Blocks of ``block`` consecutive turn numbers
+    ``session`` is one column or several; ``turn`` is a whole number, unique in its session. Blocks of ``block`` consecutive turn numbers
     are folded on their own, in as many tasks as there are blocks, and then get the text of the
     blocks before them; a long session is so spread over the cluster. Only one row per block meets
     in the window over a session, and the text of those rows is the history itself.
     """
+    session = [session] if isinstance(session, str) else list(session)
     text = P.history_turn(F.col(question), F.col(answer))
     numbered = turns.withColumn("_text", text).withColumn("_block", F.floor(F.col(turn) / block))
-    inside = Window.partitionBy(session, "_block").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = numbered.groupBy(session, "_block").agg(F.array_sort(F.collect_list(F.struct(turn, "_text"))).alias("_turns"))
+    inside = Window.partitionBy(*session, "_block").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = numbered.groupBy(*session, "_block").agg(F.array_sort(F.collect_list(F.struct(turn, "_text"))).alias("_turns"))
     block_text = F.array_join(F.col("_turns._text"), "")
-    before = Window.partitionBy(session).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*session).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = blocks.withColumn("_block_text", block_text).select(
-        session, "_block", F.array_join(F.collect_list("_block_text").over(before), "").alias("_earlier")
+        *session, "_block", F.array_join(F.collect_list("_block_text").over(before), "").alias("_earlier")
     )
     own = F.array_join(F.collect_list("_text").over(inside), "")
     return (
-        numbered.withColumn("_own", own).join(earlier, [session, "_block"])
+        numbered.withColumn("_own", own).join(earlier, [*session, "_block"])
         .withColumn("history", F.concat("_earlier", "_own"))
         .select(*turns.columns, "history")
     )
@@ -39,6 +40,16 @@ def reset_sessions(events, user, order, is_reset, out="session_no"):
     return running_total(events, is_reset.cast("int"), out, order, [user])
 
 
+def histories(turns, user, order, is_reset, question="human", answer="ai", block=TURNS_PER_BLOCK):
+    """Add ``session_no`` and ``history`` to the turns of each user: a reset empties the history.
+
+    ``order`` need not be a number: turns are first numbered per user, which keeps blocks full.
+    """
+    numbered = running_total(turns, F.lit(1), "_turn", order, [user])
+    sessions = reset_sessions(numbered, user, ["_turn"], is_reset)
+    return history_fold(sessions, [user, "session_no"], "_turn", question, answer, block).drop("_turn")
+
+
 def answer_prompts(turns, context, key, question="human"):
     """Fill the answer prompt of every turn with its context and history."""
     prompt = P.answer_prompt(F.col("info"), F.col("review"), F.col("history"), F.col(question))

@@ -142,6 +142,19 @@ def reset_sessions(spark, folder):
     return numbered.select("event_id", "user_id", "session_no")
 
 
+@register("""
+    SELECT event_id, user_id, session_no,
+           coalesce(string_agg(chr(10) || chr(10) || 'Human: ' || event_type || chr(10) || 'AI: ' || props, '')
+                      OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
+    FROM (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_no FROM events)
+""")
+def reset_histories(spark, folder):
+    """Events as turns: what a user did since the last signup."""
+    events = C.table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "props")
+    told = D.histories(events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", "event_type", "props")
+    return told.select("event_id", "user_id", "session_no", "history")
+
+
 ANSWER_SQL = sql_fill(fixed.ANSWER_TEMPLATE, info="d.text", review="d.source", history="h.history", input="h.human")
 
 
