@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from passarank.functions import prompts as P
-from passarank.plans.prefix import running_total
+from passarank.plans.prefix import running_total, running_totals
 
 TURNS_PER_BLOCK = 64
 
@@ -43,10 +43,9 @@ def reset_sessions(events, user, order, is_reset, out="session_no"):
 def histories(turns, user, order, is_reset, question="human", answer="ai", block=TURNS_PER_BLOCK):
     """Add ``session_no`` and ``history`` to the turns of each user: a reset empties the history.
 
-    ``order`` need not be a number: turns are first numbered per user, which keeps blocks full.
+    ``order`` need not be a number: turns are numbered per user, which keeps blocks full.
     """
-    numbered = running_total(turns, F.lit(1), "_turn", order, [user])
-    sessions = reset_sessions(numbered, user, ["_turn"], is_reset)
+    sessions = running_totals(turns, {"_turn": F.lit(1), "session_no": is_reset.cast("int")}, order, [user])
     return history_fold(sessions, [user, "session_no"], "_turn", question, answer, block).drop("_turn")
 
 

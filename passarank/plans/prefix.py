@@ -14,20 +14,24 @@ def largest_group(df, keys):
     return df.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("rows")).first()["rows"]
 
 
-def running_total(df, value, out, order, keys=(), rows_per_task=ROWS_PER_TASK):
-    """Add ``out``: the sum of ``value`` over the rows of a key up to and including this one.
+def running_totals(df, values, order, keys=(), rows_per_task=ROWS_PER_TASK):
+    """Add a column per item of ``values`` (name: number): its sum over the rows of a key up to and
+    including this one.
 
     ``keys + order`` must identify a row. Where every group is measured to fit a task this is a
     window per key; else the groups are cut into blocks.
     """
-    valued = df.withColumn("_value", value)
+    keys, order = list(keys), list(order)
+    valued = df.withColumns({f"_{name}": value for name, value in values.items()})
     if largest_group(df, keys) <= rows_per_task:
         so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return valued.withColumn(out, F.sum("_value").over(so_far)).select(*df.columns, out)
-    return _blocked_total(valued, out, list(order), list(keys), rows_per_task).select(*df.columns, out)
+        totals = valued.withColumns({name: F.sum(f"_{name}").over(so_far) for name in values})
+    else:
+        totals = _blocked_totals(valued, values, order, keys, rows_per_task)
+    return totals.select(*df.columns, *values)
 
 
-def _blocked_total(df, out, order, keys, rows_per_task):
+def _blocked_totals(df, names, order, keys, rows_per_task):
     """Rows are range-partitioned on ``keys + order``, so a hot key spreads over as many blocks as
     its size calls for. Each block sums on its own and adds the total of the key's earlier blocks;
     of a block, only that one row meets with those of other blocks.
@@ -40,15 +44,24 @@ def _blocked_total(df, out, order, keys, rows_per_task):
     )
     earlier_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(earlier_blocks), F.lit(0)))
-        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_of_block"), "_offset")
+        placed.groupBy(*keys, "_block").agg(*[F.sum(f"_{name}").alias(f"_total_{name}") for name in names])
+        .withColumns({f"_before_{name}": F.coalesce(F.sum(f"_total_{name}").over(earlier_blocks), F.lit(0)) for name in names})
+        .select(
+            *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of_block"), *[f"_before_{name}" for name in names]
+        )
     )
     same_block = F.col("_block") == F.col("_of_block")
     for k in keys:
-        same_block = same_block & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same_block = same_block & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(offsets, same_block).withColumn(out, F.sum("_value").over(inside) + F.col("_offset"))
+    return placed.join(offsets, same_block).withColumns(
+        {name: F.sum(f"_{name}").over(inside) + F.col(f"_before_{name}") for name in names}
+    )
+
+
+def running_total(df, value, out, order, keys=(), rows_per_task=ROWS_PER_TASK):
+    """``running_totals`` of a single value."""
+    return running_totals(df, {out: value}, order, keys, rows_per_task)
 
 
 def dense_ids(df, order, out="row_id", rows_per_task=ROWS_PER_TASK):

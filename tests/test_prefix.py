@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from passarank.operators.dialog import history_fold, reset_sessions
-from passarank.plans.prefix import dense_ids
+from passarank.operators.dialog import histories, history_fold, reset_sessions
+from passarank.plans.prefix import dense_ids, running_total
 
 
 def events(n=3000, seed=1):
@@ -16,8 +16,6 @@ def events(n=3000, seed=1):
 
 
 def test_reset_sessions_in_blocks(spark):
-    from passarank.plans.prefix import running_total
-
     rows = events()
     df = spark.createDataFrame(rows, "id long, user int, ts int, reset boolean").repartition(4)
     expected, totals = {}, {}
@@ -49,3 +47,17 @@ def test_history(spark):
     df = spark.createDataFrame(rng.sample(turns, len(turns)), "session_id long, turn long, human string, ai string")
     folded = {(r["session_id"], r["turn"]): r["history"] for r in history_fold(df, block=16).collect()}
     assert folded == expected
+
+
+def test_histories_after_resets(spark):
+    rows = events(900)
+    df = spark.createDataFrame(rows, "id long, user int, ts int, reset boolean").filter("user is not null")
+    df = df.withColumns({"human": F.concat(F.lit("q"), "id"), "ai": F.concat(F.lit("a"), "id")}).repartition(3)
+    expected, told, numbers = {}, {}, {}
+    for i, user, _, reset in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[2], r[0])):
+        if reset:
+            told[user], numbers[user] = "", numbers.get(user, 0) + 1
+        expected[i] = (numbers.get(user, 0), told.get(user, ""))
+        told[user] = told.get(user, "") + f"\n\nHuman: q{i}\nAI: a{i}"
+    found = histories(df, "user", ["ts", "id"], F.col("reset"), block=4).collect()
+    assert {r["id"]: (r["session_no"], r["history"]) for r in found} == expected
