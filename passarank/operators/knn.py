@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from passarank.fixed_values import DEFAULT_HITS, HITS_PER_QUERY
 from passarank.functions.scores import DISTANCE_DIGITS
-from passarank.plans.sizing import durable, input_bytes, small
+from passarank.plans.sizing import BROADCAST_BYTES, durable, input_bytes, small
 from passarank.sources.collections import within
 
 QUERY = ["request_id", "query_idx"]
@@ -50,6 +50,8 @@ class Nearest:
     def __init__(self, queries, k):
         self.k = k
         self.bound = np.full(queries, np.inf)
+        self.full = np.zeros(queries, bool)  # whether k passages are known
+        self.last = np.full(queries, None, dtype=object)  # then the id of the k-th
         self.query = np.empty(0, np.int64)
         self.distance = np.empty(0)
         self.row = np.empty(0, np.int64)
@@ -67,17 +69,32 @@ class Nearest:
         # Rounding may level distances this close, so pairs a rounding step above the bound stay in.
         slack = 10.0**-DISTANCE_DIGITS
         query, row = np.nonzero(distance <= self.bound[numbers][:, None] + slack)
+        if not len(query):
+            return
+        query, rounded = numbers[query], np.round(distance[query, row], DISTANCE_DIGITS) + 0.0
+        ahead = self.ahead(table, query, rounded, at[row])
+        query, rounded, row = query[ahead], rounded[ahead], row[ahead]
         if not len(query):
             return
         used, local = np.unique(at[row], return_inverse=True)
         self.rows.append(table.take(pa.array(used)))
-        rounded = np.round(distance[query, row], DISTANCE_DIGITS) + 0.0
-        self.waiting.append((numbers[query], rounded, local + self.n_rows))
+        self.waiting.append((query, rounded, local + self.n_rows))
         self.n_rows += len(used)
         self.n_waiting += len(query)
         if self.n_waiting > max(2 * self.k * len(self.bound), CELLS // 8):
             self.cut()
 
+    def ahead(self, table, query, distance, row):
+        """Whether pairs come before their sub-query's k-th passage; copies of that one tie with it
+        in any number, and all but those of smaller id can go at once."""
+        known = self.full[query]
+        keep = ~known | (distance <= self.bound[query])
+        tied = np.flatnonzero(known & (distance == self.bound[query]))
+        if len(tied):
+            ids = table["passage_id"].take(pa.array(row[tied])).to_numpy(zero_copy_only=False)
+            keep[tied] = ids < self.last[query[tied]]
+        return keep
+
     def cut(self):
         """Keep the first k pairs of each sub-query in the order (distance, passage id)."""
         if not self.waiting:
@@ -92,7 +109,9 @@ class Nearest:
         starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
         place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
         full = place == self.k - 1
+        self.full[query[full]] = True
         self.bound[query[full]] = distance[full]
+        self.last[query[full]] = table["passage_id"].take(pa.array(row[full])).to_numpy(zero_copy_only=False)
         kept = place < self.k
         used, self.row = np.unique(row[kept], return_inverse=True)
         self.query, self.distance = query[kept], distance[kept]
@@ -258,7 +277,7 @@ def nearest_passages(
     pairs = None
     if candidates is not None and block is not None:
         pairs = candidates.limit(16 * broadcast_queries + 1).toArrow()
-    fits = block is not None and block.num_rows <= broadcast_queries
+    fits = block is not None and block.num_rows <= broadcast_queries and block.nbytes <= BROADCAST_BYTES
     if fits and (pairs is None or pairs.num_rows <= 16 * broadcast_queries):
         hits = _broadcast_form(queries, block, pairs, passages, k, embedding)
     else:

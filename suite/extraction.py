@@ -111,12 +111,12 @@ def required_filter(spark, folder):
 
 
 @register("""
-    SELECT p_partkey, 'https://plans.example.org/view?dept=5722&no=' || p_brand || '&cls=' || p_size AS url, p_brand || ' ' || p_name AS search_key
+    SELECT p_partkey, 'https://plans.example.org/view?dept=100&no=' || p_brand || '&cls=' || p_size AS url, p_brand || ' ' || p_name AS search_key
     FROM part
 """)
 def url_template(spark, folder):
     template = "https://plans.example.org/view?dept={dept}&no={p_brand}&cls={p_size}"
-    urls = E.detail_urls(C.table(spark, folder, "part"), template, dept="5722")
+    urls = E.detail_urls(C.table(spark, folder, "part"), template, dept="100")
     return urls.select("p_partkey", "url", X.search_key(F.col("p_brand"), F.col("p_name")).alias("search_key"))
 
 

@@ -10,9 +10,9 @@ def row(*cells):
 
 
 LIST_PAGE = (
-    row("", "COSE101", "01", "전공", "컴퓨터학과", "자료구조 &amp; 실습", "Kim", "3(4)", "월(2) 정보관 202\n수(2) 정보관 301")
-    + row("", "COSE102", "02", "교양", "컴퓨터학과", "AI", "", "3", "")
-    + row("", "COSE103", "03", "교양", "컴퓨터학과", "OS", "Lee", "2(2)", "")
+    row("", "CS101", "01", "전공", "컴퓨터학과", "자료구조 &amp; 실습", "Kim", "3(4)", "월(2) 정보관 202\n수(2) 정보관 301")
+    + row("", "CS102", "02", "교양", "컴퓨터학과", "AI", "", "3", "")
+    + row("", "CS103", "03", "교양", "컴퓨터학과", "OS", "Lee", "2(2)", "")
 )
 
 
@@ -20,11 +20,11 @@ def test_course_rows(spark):
     pages = spark.createDataFrame([(1, LIST_PAGE)], "page_id long, html string")
     rows = [r.asDict() for r in E.course_rows(pages).orderBy("row_no").collect()]
     assert [(r["course_no"], r["course_name"], r["credit"], r["timeslot"], r["room"]) for r in rows] == [
-        ("COSE101", "자료구조 & 실습", 3, "월(2) 수(2)", "정보관 202"),
-        ("COSE103", "OS", 2, "", ""),
+        ("CS101", "자료구조 & 실습", 3, "월(2) 수(2)", "정보관 202"),
+        ("CS103", "OS", 2, "", ""),
     ]
-    urls = E.detail_urls(E.course_rows(pages), "https://plans.example.org/{course_no}/{course_class}?d={dept}", dept=5722)
-    assert urls.orderBy("row_no").first()["url"] == "https://plans.example.org/COSE101/01?d=5722"
+    urls = E.detail_urls(E.course_rows(pages), "https://plans.example.org/{course_no}/{course_class}?d={dept}", dept=100)
+    assert urls.orderBy("row_no").first()["url"] == "https://plans.example.org/CS101/01?d=100"
 
 
 PATTERNS = {

@@ -23,7 +23,7 @@ def test_normalize(spark):
 
 
 def test_title_prefix(spark):
-    titles = ["자료구조(영강) 1", "C언어[실습](x)", "(영강) 컴퓨터", " 운영 체제", "", "   ", None]
+    titles = ["자료구조(실습) 1", "C언어[실습](x)", "(실습) 컴퓨터", " 운영 체제", "", "   ", None]
     assert column(spark, titles, X.title_prefix) == ["자료구조", "C언어", "", "운영", None, None, None]
 
 

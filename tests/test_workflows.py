@@ -19,7 +19,7 @@ def pages(spark):
     topics = {"CS1": "deep learning networks", "CS2": "database systems", "CS3": "operating systems"}
     listed = [(1, row("", "CS1", "01", "전공", "CS", "AI(x)", "Kim", "3", "월(2) A 1") + row("", "CS0", "01", "전공", "CS", "None", "", "3", "")),
               (2, row("", "CS2", "01", "전공", "CS", "DB[y]", "Lee", "3", "") + row("", "CS3", "02", "전공", "CS", "OS", "Park", "2", ""))]
-    details = [(f"https://plans.example.org/?d=5722&no={no}&cls=01",
+    details = [(f"https://plans.example.org/?d=100&no={no}&cls=01",
                 f"<div id=intro>All about {text}. And more {text}!</div><p id=a>none</p><p id=b>-</p><tbody>{row('1', text)}</tbody>")
                for no, text in topics.items()]
     return (spark.createDataFrame(listed, "page_id long, html string"), spark.createDataFrame(details, "url string, html string"))
@@ -28,7 +28,7 @@ def pages(spark):
 def test_pages_to_answer(spark):
     path, table = scratch_path(spark, "courses"), scratch_path(spark, "t").rsplit("-", 1)[1]
     tables.create_if_absent(spark, f"courses_{table}", COURSE, path)
-    tables.append(W.courses_from_pages(*pages(spark), TEMPLATE, PATTERNS, dept=5722), path)
+    tables.append(W.courses_from_pages(*pages(spark), TEMPLATE, PATTERNS, dept=100), path)
     courses = tables.scan(spark, path, COURSE)
     assert [(r["id"], r["course_no"], r["credit"], r["room"], r["syllabus"]) for r in courses.orderBy("id").collect()] == [
         (1, "CS1", 3, "A 1", "1: deep learning networks\n"), (2, "CS2", 3, "", "1: database systems\n"), (3, "CS3", 2, "", None)]
