@@ -71,4 +71,5 @@ def spread(df):
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if input_bytes(df) < cores * split else df
+    thin = input_bytes(df) < cores * split and len(df.inputFiles()) < cores
+    return df.repartition(cores) if thin else df

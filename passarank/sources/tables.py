@@ -21,6 +21,11 @@ def scan(spark, path, schema):
     return spark.read.schema(schema).parquet(path)
 
 
+def last_id(spark, path, schema, key="id"):
+    """The largest id in a stored table, 0 if it has no rows; new records are numbered after it."""
+    return scan(spark, path, schema).agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).first()["last"]
+
+
 def store(df, path):
     df.write.mode("errorifexists").parquet(path)
 

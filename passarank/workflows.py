@@ -32,15 +32,16 @@ COLLECTIONS = {
 }
 
 
-def courses_from_pages(list_pages, detail_pages, template, patterns, positions=COURSE_CELLS, **slots):
+def courses_from_pages(list_pages, detail_pages, template, patterns, positions=COURSE_CELLS, last_id=0, **slots):
     """Course records out of list pages and of the detail pages landed under the templated address.
 
-    Records are numbered from 1 in page order.
+    Records are numbered in page order, after ``last_id``.
     """
     listed = E.detail_urls(E.course_rows(list_pages, positions), template, **slots)
     details = E.course_details(detail_pages.select("url", "html"), patterns)
     joined = durable(listed.join(details, "url", "left"), "courses")
-    return running_total(joined, F.lit(1), "id", ["page_id", "row_no"]).select(*COURSE.names)
+    numbered = running_total(joined, F.lit(1), "id", ["page_id", "row_no"])
+    return numbered.withColumn("id", F.col("id") + last_id).select(*COURSE.names)
 
 
 def index_frames(nested, encoder=HashingEncoder):

@@ -25,8 +25,9 @@ def test_durable_cuts_lineage_and_keeps_the_schema(spark):
 
 
 def test_only_small_inputs_are_dealt_out(spark):
-    stored = sizing.durable(spark.range(100))
+    stored = sizing.durable(spark.range(100).coalesce(1))
     assert "RoundRobin" in plan(sizing.spread(stored))
+    assert "RoundRobin" not in plan(sizing.spread(sizing.durable(spark.range(100, numPartitions=16))))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16b")
     try:
         assert "RoundRobin" not in plan(sizing.spread(stored))

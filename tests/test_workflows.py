@@ -34,6 +34,9 @@ def test_pages_to_answer(spark):
         (1, "CS1", 3, "A 1", "1: deep learning networks\n"), (2, "CS2", 3, "", "1: database systems\n"), (3, "CS3", 2, "", None)]
     assert spark.table(f"courses_{table}").count() == 3
     spark.sql(f"DROP TABLE courses_{table}")
+    last = tables.last_id(spark, path, COURSE)
+    again = W.courses_from_pages(*pages(spark), TEMPLATE, PATTERNS, last_id=last, dept=100)
+    assert sorted(r["id"] for r in again.collect()) == [4, 5, 6]
 
     reviews = spark.createDataFrame(
         [(1, 1, "Hard but rewarding. Great teacher!"), (2, 1, "Great teacher."), (3, 2, "Boring lectures."), (4, 3, "fine")],
