@@ -4,11 +4,16 @@ Two physical forms give the same rows. While the sub-queries fit a measured boun
 broadcast and every task scans its passages once, keeping its best k per sub-query: passages
 are never shuffled. Beyond the bound both sides are cut into blocks of limited size and each
 pair of blocks meets in one task; with candidate entities, only blocks of the same entity meet.
+
+A large collection is preceded by a slice of it: the k-th distance found there is an upper bound
+of the final one, and tasks that know it give out only few of the pairs that they would otherwise
+all have to send as their best k.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +29,10 @@ QUERY_BLOCK = 32_768
 PASSAGE_BLOCK = 131_072
 # Distances held at once in a task: 16M doubles.
 CELLS = 1 << 24
+# From this size on: hits are merged in steps, and bounds are taken from a slice first.
+LARGE_BYTES = 64 << 30
 MERGE_FAN = 64
-MERGE_FROM_BYTES = 64 << 30
+SLICE_EVERY = 64
 
 
 def unit_rows(vectors):
@@ -47,9 +54,9 @@ class Nearest:
     is cut back to k per sub-query whenever it has grown too large.
     """
 
-    def __init__(self, queries, k):
+    def __init__(self, queries, k, bound=None):
         self.k = k
-        self.bound = np.full(queries, np.inf)
+        self.bound = np.full(queries, np.inf) if bound is None else bound.copy()
         self.full = np.zeros(queries, bool)  # whether k passages are known
         self.last = np.full(queries, None, dtype=object)  # then the id of the k-th
         self.query = np.empty(0, np.int64)
@@ -159,8 +166,8 @@ def _hit_schema(queries, passages, embedding):
     return T.StructType([*left, *right, T.StructField("distance", T.DoubleType())])
 
 
-def _broadcast_form(queries, block, candidates, passages, k, embedding):
-    """Scan with the sub-queries (an Arrow table within the bound) in every task."""
+def _broadcast_form(queries, block, candidates, passages, k, embedding, bounds):
+    """Scan with the sub-queries (an Arrow table within the limit) in every task."""
     spark = passages.sparkSession
     allowed = None
     if candidates is not None:
@@ -171,11 +178,15 @@ def _broadcast_form(queries, block, candidates, passages, k, embedding):
         for pair in candidates.to_pylist():
             allowed.setdefault(pair["entity_id"], []).extend(numbers.get(pair["request_id"], []))
         allowed = {entity: np.array(sorted(own)) for entity, own in allowed.items() if own}
-    shared = spark.sparkContext.broadcast((unit_rows(block[embedding]), block.drop_columns([embedding]), allowed))
+    bound = None
+    if bounds is not None:
+        known = {(row["request_id"], row["query_idx"]): row["_bound"] for row in bounds.collect()}  # one per sub-query
+        bound = np.array([known.get(key, np.inf) for key in zip(*(block[c].to_pylist() for c in QUERY))])
+    shared = spark.sparkContext.broadcast((unit_rows(block[embedding]), block.drop_columns([embedding]), allowed, bound))
 
     def scan(batches):
-        matrix, query_rows, allowed = shared.value
-        nearest = Nearest(len(matrix), k)
+        matrix, query_rows, allowed, bound = shared.value
+        nearest = Nearest(len(matrix), k, bound)
         for batch in batches:
             if batch.num_rows:
                 _offer(nearest, pa.table(batch), embedding, matrix, allowed)
@@ -186,10 +197,14 @@ def _broadcast_form(queries, block, candidates, passages, k, embedding):
     return passages.mapInArrow(scan, _hit_schema(queries, passages, embedding))
 
 
-def _blocked_form(queries, candidates, passages, k, embedding):
+def _blocked_form(queries, candidates, passages, k, embedding, bounds):
     """Each pair of a block of sub-queries and a block of passages meets in one task."""
-    queries = durable(queries, "queries")
     schema = _hit_schema(queries, passages, embedding)
+    if bounds is None:
+        queries = queries.withColumn("_bound", F.lit(None).cast("double"))
+    else:
+        queries = queries.join(bounds, QUERY, "left").select(*queries.columns, "_bound")
+    queries = durable(queries, "queries")
     query_hash = F.xxhash64(*QUERY)
     passage_hash = F.xxhash64("passage_id")
 
@@ -222,8 +237,9 @@ def _blocked_form(queries, candidates, passages, k, embedding):
         return df.withColumn(own, F.pmod(own_hash, own_blocks).cast("int")).withColumn(other, every).drop("_qs", "_ps")
 
     def meet(left, right):
-        query_rows, right = left.drop_columns([*tile, embedding]), right.drop_columns(tile)
-        nearest = Nearest(left.num_rows, k)
+        query_rows, right = left.drop_columns([*tile, embedding, "_bound"]), right.drop_columns(tile)
+        bound = pc.fill_null(left["_bound"], np.inf).to_numpy().astype(np.float64)
+        nearest = Nearest(left.num_rows, k, bound)
         if left.num_rows:
             _offer(nearest, right, embedding, unit_rows(left[embedding]), None)
         hits = nearest.result(query_rows)
@@ -253,8 +269,18 @@ def keep_nearest(hits, k, fan=None):
     return ranked(hits)
 
 
+def _slice(passages, every):
+    """The rows of every n-th task; the others end before they have read their split."""
+
+    def some(batches):
+        if TaskContext.get().partitionId() % every == 0:
+            yield from batches
+
+    return passages.mapInArrow(some, passages.schema)
+
+
 def nearest_passages(
-    queries, passages, k=HITS_PER_QUERY, candidates=None, embedding="embedding", broadcast_queries=BROADCAST_QUERIES
+    queries, passages, k=HITS_PER_QUERY, candidates=None, embedding="embedding", broadcast_queries=BROADCAST_QUERIES, slice_every=None
 ):
     """The k nearest passages of every sub-query.
 
@@ -262,7 +288,8 @@ def nearest_passages(
     all other columns are carried into the hits. ``candidates`` (``request_id, entity_id``) restricts
     each request to passages of its own entities before the k nearest are taken; of a stored collection
     that keeps its folder column, only the folders concerned are read. ``k=None`` stands
-    for the vector store's default number of hits. Distances are rounded, so that results do not
+    for the vector store's default number of hits. ``slice_every`` sets which share of the tasks gives
+    bounds first; left out, this depends on the size of the tables read. Distances are rounded, so that results do not
     depend on how the work was split.
     """
     k = DEFAULT_HITS if k is None else k
@@ -278,8 +305,20 @@ def nearest_passages(
     if candidates is not None and block is not None:
         pairs = candidates.limit(16 * broadcast_queries + 1).toArrow()
     fits = block is not None and block.num_rows <= broadcast_queries and block.nbytes <= BROADCAST_BYTES
-    if fits and (pairs is None or pairs.num_rows <= 16 * broadcast_queries):
-        hits = _broadcast_form(queries, block, pairs, passages, k, embedding)
-    else:
-        hits = _blocked_form(queries, candidates, passages, k, embedding)
-    return keep_nearest(hits, k, MERGE_FAN if input_bytes(passages) > MERGE_FROM_BYTES else None)
+    fits = fits and (pairs is None or pairs.num_rows <= 16 * broadcast_queries)
+
+    large = input_bytes(passages) > LARGE_BYTES
+    fan, every = (MERGE_FAN if large else None), slice_every or (SLICE_EVERY if large else None)
+
+    def search(passages, bounds):
+        if fits:
+            hits = _broadcast_form(queries, block, pairs, passages, k, embedding, bounds)
+        else:
+            hits = _blocked_form(queries, candidates, passages, k, embedding, bounds)
+        return keep_nearest(hits, k, fan)
+
+    bounds = None
+    if every:
+        last = search(_slice(passages.select("passage_id", "entity_id", embedding), every), None).filter(F.col("pos") == k)
+        bounds = durable(last.select(*QUERY, F.col("distance").alias("_bound")), "bounds")
+    return search(passages, bounds)

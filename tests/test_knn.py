@@ -70,6 +70,33 @@ def test_candidates_apply_before_k(spark, form):
     assert found(hits) == brute(p, q, 12, allowed)
 
 
+@pytest.mark.parametrize("k", [3, 150])
+def test_bounds_of_a_slice_change_nothing(spark, form, k):
+    """With k = 150 the slice knows the bound of no candidate-filtered sub-query."""
+    p, q = data(copies=0.35)
+    queries, passages = spark.createDataFrame(q, QUERIES), spark.createDataFrame(p, PASSAGES).repartition(5)
+    assert found(knn.nearest_passages(queries, passages, k, slice_every=3, **form)) == brute(p, q, k)
+    allowed = {(f"r{r}", e) for r in range(6) for e in ("hot", "e1", "e2")}
+    candidates = spark.createDataFrame(sorted(allowed), "request_id string, entity_id string")
+    hits = knn.nearest_passages(queries, passages, k, candidates, slice_every=3, **form)
+    assert found(hits) == brute(p, q, k, allowed)
+
+
+def test_bounds_of_a_slice_spare_most_hits(spark):
+    """The tasks of the second pass give out a fraction of their best k."""
+    p, q = data(passages=4000, queries=5)
+    passages = durable(spark.createDataFrame(p, PASSAGES).repartition(8))
+    queries = spark.createDataFrame(q, QUERIES)
+    block = queries.toArrow()
+
+    def given_out(bounds):
+        return knn._broadcast_form(queries, block, None, passages, 50, "embedding", bounds).count()
+
+    best = knn.nearest_passages(queries, passages, 50).filter("pos = 50").select(*knn.QUERY, F.col("distance").alias("_bound"))
+    assert given_out(None) == 5 * 50 * passages.rdd.getNumPartitions()
+    assert given_out(best) == 5 * 50
+
+
 def test_no_number_of_hits_means_the_default(spark, form):
     p, q = data()
     hits = knn.nearest_passages(spark.createDataFrame(q, QUERIES), spark.createDataFrame(p, PASSAGES), None, **form)
