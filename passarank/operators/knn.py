@@ -279,6 +279,25 @@ def _slice(passages, every):
     return passages.mapInArrow(some, passages.schema)
 
 
+def _if_few(df, rows):
+    """``df`` as an Arrow table if it is within the limits of a broadcast, else None.
+
+    Reads at most one row more than allowed.
+    """
+    table = df.limit(rows + 1).toArrow() if rows else None
+    return table if table is not None and table.num_rows <= rows and table.nbytes <= BROADCAST_BYTES else None
+
+
+def _of_candidates(passages, candidates, pairs):
+    """Only the passages of candidate entities, out of their folders only if the collection has any."""
+    if pairs is None:
+        entities = small(candidates.select("entity_id").distinct())
+    else:
+        entities = F.broadcast(passages.sparkSession.createDataFrame(pairs.select(["entity_id"]).group_by("entity_id").aggregate([])))
+    passages = within(passages, entities)
+    return passages.join(entities, "entity_id", "left_semi").select(*passages.columns)
+
+
 def nearest_passages(
     queries, passages, k=HITS_PER_QUERY, candidates=None, embedding="embedding", broadcast_queries=BROADCAST_QUERIES, slice_every=None
 ):
@@ -287,25 +306,23 @@ def nearest_passages(
     ``queries``: ``request_id, query_idx, …, embedding``; ``passages``: ``passage_id, entity_id, …, embedding``;
     all other columns are carried into the hits. ``candidates`` (``request_id, entity_id``) restricts
     each request to passages of its own entities before the k nearest are taken; of a stored collection
-    that keeps its folder column, only the folders concerned are read. ``k=None`` stands
-    for the vector store's default number of hits. ``slice_every`` sets which share of the tasks gives
-    bounds first; left out, this depends on the size of the tables read. Distances are rounded, so that results do not
+    that keeps its folder column, only the folders concerned are read. ``k=None`` stands for the vector
+    store's default number of hits. ``slice_every`` sets which share of the tasks gives bounds first;
+    left out, this depends on the size of the tables read. Distances are rounded, so that results do not
     depend on how the work was split.
     """
     k = DEFAULT_HITS if k is None else k
-    if candidates is not None:
-        candidates = durable(candidates.select("request_id", "entity_id").distinct(), "candidates")
-    passages = within(passages, candidates).filter(F.col(embedding).isNotNull())
-    if candidates is not None:
-        passages = passages.join(small(candidates.select("entity_id").distinct()), "entity_id", "left_semi").select(
-            *passages.columns
-        )
-    block = queries.limit(broadcast_queries + 1).toArrow() if broadcast_queries else None
-    pairs = None
-    if candidates is not None and block is not None:
-        pairs = candidates.limit(16 * broadcast_queries + 1).toArrow()
-    fits = block is not None and block.num_rows <= broadcast_queries and block.nbytes <= BROADCAST_BYTES
-    fits = fits and (pairs is None or pairs.num_rows <= 16 * broadcast_queries)
+    block, pairs = _if_few(queries, broadcast_queries), None
+    fits = block is not None
+    if candidates is None:
+        passages = within(passages)
+    else:
+        candidates = candidates.select("request_id", "entity_id").distinct()
+        pairs = _if_few(candidates, 16 * broadcast_queries)
+        fits = fits and pairs is not None
+        candidates = candidates if fits else durable(candidates, "candidates")
+        passages = _of_candidates(passages, candidates, pairs)
+    passages = passages.filter(F.col(embedding).isNotNull())
 
     large = input_bytes(passages) > LARGE_BYTES
     fan, every = (MERGE_FAN if large else None), slice_every or (SLICE_EVERY if large else None)
