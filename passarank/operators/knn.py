@@ -42,6 +42,9 @@ def unit_rows(vectors):
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if not len(vectors):
         return flat.reshape(0, 0)
+    sizes = pc.min_max(pc.list_value_length(vectors)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError(f"vectors of {sizes['min']} and of {sizes['max']} values in one column")
     matrix = flat.reshape(len(vectors), -1)
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(length > 0, length, 1.0)
@@ -312,6 +315,7 @@ def nearest_passages(
     depend on how the work was split.
     """
     k = DEFAULT_HITS if k is None else k
+    queries = queries.filter(F.col(embedding).isNotNull())
     block, pairs = _if_few(queries, broadcast_queries), None
     fits = block is not None
     if candidates is None:

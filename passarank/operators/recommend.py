@@ -33,7 +33,7 @@ def recommend(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY
     """Answer all requests: rank entities by topic, rerank them by their feedback.
 
     ``queries`` holds the embedded sub-queries of both aspects. Returns the ranking and the feedback
-    passages that support it. Both stages' small results are stored, so neither search runs twice.
+    passages that support it. The small results of both stages are stored, so nothing runs twice.
     """
 
     def of(aspect):
@@ -43,7 +43,7 @@ def recommend(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY
     first = durable(rank_entities(topic_hits, topk), "stage1")
     feedback_hits = retrieve(of(EVALUATION), feedback_passages, first, k, threshold, topk, **options)
     feedback_hits = durable(feedback_hits, "stage2-hits")
-    ranking = blend(first, rank_entities(feedback_hits, topk))
+    ranking = durable(blend(first, rank_entities(feedback_hits, topk)), "ranking")
     support = supporting_examples(feedback_hits).join(ranking.select("request_id", "entity_id"), ["request_id", "entity_id"])
     return ranking, support
 
@@ -75,7 +75,7 @@ def collected_texts(documents):
 
 def enrich(ranking, entities, documents, key="entity_id"):
     """Ranking with all attributes of the entity and the texts of its supporting feedback."""
-    best = small(durable(ranking.select("request_id", key, "score", "place"), "ranking"))
+    best = small(ranking.select("request_id", key, "score", "place"))
     texts = collected_texts(documents)
     empty = F.array().cast("array<string>")
     return best.join(entities, key).join(texts, ["request_id", key], "left").withColumn(

@@ -90,4 +90,4 @@ def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
     feedback = index[FEEDBACK_PASSAGE].drop("text")
     ranking, support = R.recommend_texts(queries, topic, feedback, encoder, **options)
     entities = index[ENTITY].select("entity_id", *COURSE_FIELDS, F.col("text").alias("info"))
-    return R.enrich(durable(ranking, "ranking"), entities, R.supporting_documents(support, index[FEEDBACK]))
+    return R.enrich(ranking, entities, R.supporting_documents(support, index[FEEDBACK]))

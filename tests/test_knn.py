@@ -108,6 +108,16 @@ def test_no_queries(spark, form):
     assert knn.nearest_passages(spark.createDataFrame([], QUERIES), spark.createDataFrame(p, PASSAGES), 3, **form).count() == 0
 
 
+def test_missing_and_unequal_vectors(spark, form):
+    p, q = data()
+    passages = spark.createDataFrame([*p, ("none", "e1", None)], PASSAGES)
+    hits = knn.nearest_passages(spark.createDataFrame([*q, ("r0", 99, 5, None)], QUERIES), passages, 4, **form)
+    assert found(hits) == brute(p, q, 4)
+    with pytest.raises(Exception, match="vectors of 3 and of 8 values"):
+        knn.nearest_passages(spark.createDataFrame(q, QUERIES), passages.union(passages.limit(1).select(
+            F.lit("short"), F.lit("e1"), F.array(*[F.lit(1.0).cast("float")] * 3))).coalesce(1), 4, **form).count()
+
+
 def test_no_candidates(spark, form):
     p, q = data()
     nobody = spark.createDataFrame([], "request_id string, entity_id string")
