@@ -9,6 +9,7 @@ from passarank.operators.fusion import kept_hits, rank_entities, supporting_exam
 from passarank.operators.knn import nearest_passages
 from passarank.operators.requests import EVALUATION, TOPIC
 from passarank.plans.sizing import durable, small
+from passarank.sources.collections import within
 
 
 def retrieve(queries, passages, candidates=None, k=fixed.HITS_PER_QUERY, threshold=fixed.CALLERS_THRESHOLD,
@@ -64,7 +65,8 @@ def supporting_documents(support, feedback):
     The few wanted documents are joined to the collection, never the other way round.
     """
     wanted = durable(support.select("request_id", "entity_id", "feedback_id").distinct(), "wanted")
-    return small(wanted).join(feedback.select("feedback_id", "text"), "feedback_id")
+    texts = within(feedback, wanted).select("feedback_id", "text")
+    return small(wanted).join(texts, "feedback_id")
 
 
 def collected_texts(documents):
@@ -78,7 +80,7 @@ def enrich(ranking, entities, documents, key="entity_id"):
     best = small(ranking.select("request_id", key, "score", "place"))
     texts = collected_texts(documents)
     empty = F.array().cast("array<string>")
-    return best.join(entities, key).join(texts, ["request_id", key], "left").withColumn(
+    return best.join(within(entities, best, key), key).join(texts, ["request_id", key], "left").withColumn(
         "reviews", F.coalesce(F.col("reviews"), empty)
     )
 

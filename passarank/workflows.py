@@ -69,11 +69,8 @@ def build_index(nested, path, encoder=HashingEncoder):
 
 
 def open_index(spark, path):
-    """The four collections; feedback passages keep their folders in sight for the second stage."""
-    return {
-        name: collections.read_collection(spark, f"{path}/{name}", schema, with_bucket=name == FEEDBACK_PASSAGE)
-        for name, schema in COLLECTIONS.items()
-    }
+    """The four collections; they keep their folder column, by which later steps leave folders out."""
+    return {name: collections.read_collection(spark, f"{path}/{name}", schema, with_bucket=True) for name, schema in COLLECTIONS.items()}
 
 
 def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
@@ -89,5 +86,5 @@ def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
     topic = index[PASSAGE].select("passage_id", "entity_id", "embedding")
     feedback = index[FEEDBACK_PASSAGE].drop("text")
     ranking, support = R.recommend_texts(queries, topic, feedback, encoder, **options)
-    entities = index[ENTITY].select("entity_id", *COURSE_FIELDS, F.col("text").alias("info"))
-    return R.enrich(ranking, entities, R.supporting_documents(support, index[FEEDBACK]))
+    entities = index[ENTITY].withColumnRenamed("text", "info").drop("embedding")
+    return R.enrich(ranking, entities, R.supporting_documents(support, index[FEEDBACK].drop("embedding")))
