@@ -6,7 +6,7 @@ from passarank.fixed_values import ALLOWED_CHARACTERS, TITLE_SUFFIX
 from passarank.functions import text as X
 
 
-def nested_texts(df, nested, field="text"):
+def nested_texts(nested, field="text"):
     """The texts inside an array of records, as an array of strings."""
     return F.transform(F.col(nested), lambda record: record[field])
 
@@ -22,24 +22,22 @@ def entity_passages(title, intro, syllabus, suffix=TITLE_SUFFIX):
     return X.concat_lists(X.title_sentence(title, suffix), X.sentences(intro), weeks)
 
 
-def explode_passages(df, entity, texts, carry=(), keep_empty=False, sep="#"):
-    """One normalised passage per item of an array column.
+def explode_passages(df, entity, texts, parent=None, keep_empty=False, sep="#"):
+    """One normalised passage per item of an array column: ``(passage_id, entity_id, pos, text)``.
 
-    A passage id joins the parent's id and the item's position, so it needs no global count:
-    ``(passage_id, entity_id, pos, text)`` plus the columns in ``carry``. The parent's id is the
-    last carried column if there is one, else the entity.
+    ``parent`` names a column to carry along, the id of the document that the items come from. A
+    passage id joins the id of the parent (of the entity if there is none) and the item's position,
+    so it needs no global count.
     """
-    parent = carry[-1] if carry else entity
-    exploded = df.select(F.col(entity).cast("string").alias("entity_id"), *carry, F.posexplode(texts).alias("pos", "text"))
-    if parent == entity:
-        parent = "entity_id"
+    carried = [parent] if parent else []
+    exploded = df.select(F.col(entity).cast("string").alias("entity_id"), *carried, F.posexplode(texts).alias("pos", "text"))
     if not keep_empty:
         # Tested on the raw text: a test of the cleaned one would clean every text twice.
         exploded = exploded.filter(F.col("text").rlike(f"[{ALLOWED_CHARACTERS}]"))
     return exploded.select(
-        F.concat_ws(sep, F.col(parent), F.col("pos")).alias("passage_id"),
+        F.concat_ws(sep, F.col(parent or "entity_id"), F.col("pos")).alias("passage_id"),
         "entity_id",
-        *carry,
+        *carried,
         "pos",
         X.normalize(F.col("text")).alias("text"),
     )
@@ -54,7 +52,7 @@ def feedback_table(nested, key="id", reviews="reviews"):
 
 def feedback_passages(feedback):
     """Sentences of feedback documents; each keeps the id of its document."""
-    return explode_passages(feedback, "entity_id", X.sentences(F.col("text")), carry=["feedback_id"])
+    return explode_passages(feedback, "entity_id", X.sentences(F.col("text")), parent="feedback_id")
 
 
 def as_metadata(df, names):

@@ -47,7 +47,7 @@ def document_passages(spark, folder):
 
 def sentence_passages(spark, folder):
     feedback = documents_as_feedback(spark, folder)
-    return explode_passages(feedback, "entity_id", X.sentences(F.col("text")), carry=["feedback_id"])
+    return explode_passages(feedback, "entity_id", X.sentences(F.col("text")), parent="feedback_id")
 
 
 def not_blank(texts):

@@ -127,7 +127,7 @@ def nonempty_feedback(spark, folder):
 def nested_texts(spark, folder):
     """One field of every nested record."""
     nested = nested_parts(spark, folder)
-    both = F.arrays_zip(P.nested_texts(nested, "reviews", "id").alias("doc_id"), P.nested_texts(nested, "reviews").alias("text"))
+    both = F.arrays_zip(P.nested_texts("reviews", "id").alias("doc_id"), P.nested_texts("reviews").alias("text"))
     return nested.select("id", F.inline(both).alias("doc_id", "text"))
 
 
