@@ -18,17 +18,19 @@ def encode_label(label, scale, strict=False):
 
 
 def round_half_even(value):
-    """Round a double in [1, 200) to one decimal as Python does: by its exact binary value.
+    """Round a double to one decimal as Python does: by its exact binary value.
 
-    The double is scaled to an integer without loss, so 4.25 (a true tie) goes to the even
-    4.2 while 2.45, which is stored slightly above the tie, goes to 2.5.
+    From 1 to 200 the double is scaled to an integer without loss, so 4.25 (a true tie) goes to the
+    even 4.2 while 2.45, which is stored slightly above the tie, goes to 2.5. Outside, where no score
+    scale lies, the decimal value decides.
     """
     tenths = (value * F.lit(float(_ONE))).cast("long") * 10
     whole = F.shiftright(tenths, 52)
     rest = tenths - F.shiftleft(whole, 52)
     half = F.lit(_ONE // 2)
     up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    return (whole + F.when(up, 1).otherwise(0)) / F.lit(10.0)
+    exact = (whole + F.when(up, 1).otherwise(0)) / F.lit(10.0)
+    return F.when(value.between(1, 200), exact).otherwise(F.bround(value, 1))
 
 
 def dot(a, b):
