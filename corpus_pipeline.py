@@ -1,16 +1,53 @@
 """The corpus pipeline: stages from documents to shards, each written as Parquet and read again."""
 
-from passarank.llm import neardup
+from pyspark.sql import functions as F
+
+from passarank.llm import decontaminate, langid, mixing, neardup, sharding
 from passarank.llm.common import table
 from passarank.plans.sizing import durable
 
+# Below this score a text has next to nothing in common with any language of the corpus.
+LEAST_LANGUAGE_SCORE = 0.2
+SHARDS = 40
+
+
+def language(spark, docs, folder):
+    """Documents of a language that the corpus teaches stay; ``und`` and scores near zero go."""
+    profiles = langid.learn(docs.filter(~langid.held_out()))
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    judged = langid.predict(boxed, profiles, keep=["row"])
+    kept = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select("row.*")
+
 
 def near_duplicates(spark, docs, folder):
     """One document of each class of near duplicates stays."""
     return neardup.without_near_duplicates(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def benchmark(spark, docs, folder):
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, folder, "benchmark"))
+
+
+def mix(spark, docs, folder):
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def shards(spark, docs, folder):
+    """All rows in random order in shards of equal row counts, with shard and slot."""
+    return sharding.shuffled_shards(docs, SHARDS)
+
+
+STAGES = [
+    ("language", language),
+    ("near duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("mix", mix),
+    ("shards", shards),
+]
+# Near duplicates and edit matching are beyond SQL; tests compare the rows with brute force.
 ORACLE_SQL = None
 
 

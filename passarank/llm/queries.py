@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import neardup
+from passarank.llm import decontaminate, langid, mixing, neardup, sharding
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -23,3 +23,75 @@ def op9_minhash_near_duplicates(spark, folder):
     """Every document with its class of near duplicates and the size of the class."""
     classes = neardup.near_duplicates(table(spark, folder, "documents"))
     return classes.select(F.col("id").alias("doc_id"), "class_id")
+
+
+@query()
+def op10_benchmark_leaks(spark, folder):
+    """Every benchmark item that occurs in a document, with the least number of edits and the stretch."""
+    leaks = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select(F.col("id").alias("doc_id"), "item_id", "distance", "start", "stop")
+
+
+@query()
+def op4_language_profiles(spark, folder):
+    """The language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    profiles = langid.learn(docs.filter(~langid.held_out()))
+    return langid.predict(docs.withColumn("held_out", langid.held_out()), profiles, keep=["doc_id", "held_out"])
+
+
+@query()
+def op3_shuffled_shards(spark, folder):
+    """Every document's shard and slot, from the written shards."""
+    shards = sharding.shuffled_shards(table(spark, folder, "documents").select("doc_id", "text"), 40)
+    return shards.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+MIX_SQL = r"""
+WITH sizes AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        CAST('0x' || substr(md5(concat_ws('|', '20', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 15) AS BIGINT) AS place
+    FROM documents
+), by_source AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
+    FROM sizes GROUP BY source
+), limits AS (
+    SELECT *, list_value(3, 1, 2)[nth % 3 + 1] AS weight, source_size * 2 AS cap FROM by_source
+), levels AS (
+    SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE
+            - CAST(coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+        / CAST(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+    FROM limits
+), free AS (
+    SELECT arg_min(level, (cap::DOUBLE / weight, nth)) AS level FROM levels WHERE cap::DOUBLE / weight > level
+), targets AS (
+    SELECT source, source_size,
+        CASE WHEN cap::DOUBLE / weight <= levels.level OR free.level IS NULL THEN cap::DOUBLE ELSE free.level * weight END AS target
+    FROM levels CROSS JOIN free
+), laid AS (
+    SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal,
+        2 * CAST(sum(size) OVER (PARTITION BY sizes.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS middle
+    FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(size * (CAST(middle < goal * 2 AS INT) + CAST(middle + 2 * source_size < goal * 2 AS INT)) AS BIGINT) AS taken
+FROM laid
+"""
+
+
+@query(MIX_SQL)
+def op5_mixed_sources(spark, folder):
+    """How many words of every document the mix takes."""
+    plan = mixing.schedule(table(spark, folder, "documents"))
+    times = F.size(F.array_compact(F.array("first", "second")))
+    return plan.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken")
+    )
