@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import decontaminate, langid, mixing, neardup, sharding
+from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -95,3 +95,9 @@ def op5_mixed_sources(spark, folder):
     return plan.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken")
     )
+
+
+@query()
+def op7_cross_polytope_neighbours(spark, folder):
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
