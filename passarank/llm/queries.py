@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding
+from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding, warc
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -101,3 +101,10 @@ def op5_mixed_sources(spark, folder):
 def op7_cross_polytope_neighbours(spark, folder):
     """The 20 nearest vectors found for every vector whose id is divisible by 20."""
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op1_warc_round_trip(spark, folder):
+    """Every page from its record in the archives that were written from the pages."""
+    place, index = warc.write_archive(table(spark, folder, "pages"))
+    return warc.read_records(index, place).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
