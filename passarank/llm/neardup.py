@@ -14,6 +14,8 @@ from passarank.llm import kernels
 from passarank.plans.sizing import durable, small
 
 SHINGLE, THRESHOLD, REGISTERS, BAND_ROWS = 5, 0.8, 168, 6
+# Texts of one bucket that are compared in one task by the last comparison.
+TILE_MEMBERS, TILE_OUTSIDERS = 512, 128
 _DRAW = np.uint64(0xD1342543DE82EF95)
 
 
@@ -97,33 +99,84 @@ def similarity(values_a, counts_a, values_b, counts_b):
     return float((1.0 / ((1.0 - below_x) / cx + (below_y + only_b) / cy)).sum())
 
 
-def weighted(words, text, shingle):
-    """Sorted distinct shingles of one text with their counts."""
-    hashes, borders = words.hashes([text])
-    values, _ = kernels.shingles(hashes, borders, shingle)
-    return np.unique(values, return_counts=True)
+class Weighted:
+    """The distinct shingles of texts with their counts, remembered by key up to a bounded number."""
+
+    def __init__(self, shingle, shingles_held=1 << 21):
+        self.words, self.shingle = kernels.Words(), shingle
+        self.kept, self.room, self.limit = {}, shingles_held, shingles_held
+
+    def __call__(self, key, text):
+        """(values, counts, the values as a set if each occurs once); ``text`` is an Arrow scalar."""
+        found = self.kept.get(key)
+        if found is None:
+            values, _ = kernels.shingles(*self.words.hashes([text.as_py()]), self.shingle)
+            values, counts = np.unique(values, return_counts=True)
+            found = values, counts, frozenset(values.tolist()) if (counts == 1).all() else None
+            self.room -= values.size
+            if self.room < 0:
+                self.kept, self.room = {}, self.limit - values.size
+            self.kept[key] = found
+        return found
+
+
+def alike(one, other):
+    """Similarity of two results of ``Weighted``; with equal weights it is that of the plain sets."""
+    if one[2] is not None and other[2] is not None:
+        common = len(one[2] & other[2])
+        return common / max(1, len(one[2]) + len(other[2]) - common)
+    return similarity(*one[:2], *other[:2])
 
 
 def _verifier(shingle, threshold):
     """Arrow batches of (a, text_a, b, text_b) to the pairs (a, b) that reach the threshold."""
 
     def verify(batches):
-        words, last = kernels.Words(), (None, None)
+        weighted = Weighted(shingle)
         for batch in batches:
-            a, text_a, b, text_b = (batch.column(i) for i in range(4))
-            keep = np.zeros(batch.num_rows, bool)
-            keys = a.to_pylist()
-            for i, key in enumerate(keys):
-                if key != last[0]:  # rows of one centre mostly come together
-                    last = (key, weighted(words, text_a[i].as_py(), shingle))
-                found = similarity(*last[1], *weighted(words, text_b[i].as_py(), shingle))
-                keep[i] = found >= threshold - 1e-12
-            mask = pa.array(keep)
+            a, text_a, b, text_b = batch.columns
+            keep = [
+                alike(weighted(x, text_a[i]), weighted(y, text_b[i])) >= threshold - 1e-12
+                for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist()))
+            ]
+            mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     return verify
 
 
+def _tile_linker(shingle, threshold):
+    """Links between the members and the outsiders of one tile that have different roots.
+
+    Roots that a link has joined are not compared again, as one link is enough to join them.
+    """
+    held = []
+
+    def link(members, outsiders):
+        if not held:
+            held.append(Weighted(shingle))
+        weighted, joined, found = held[0], {}, []
+
+        def root(name):
+            while name in joined:
+                name = joined[name]
+            return name
+
+        sides = [
+            sorted(zip(t.column("key").to_pylist(), t.column("root").to_pylist(), range(t.num_rows))) for t in (outsiders, members)
+        ]
+        texts = outsiders.column("text"), members.column("text")
+        for key, own, i in sides[0]:
+            mine = weighted(key, texts[0][i])
+            for other, its, j in sides[1]:
+                if root(own) != root(its) and alike(mine, weighted(other, texts[1][j])) >= threshold - 1e-12:
+                    joined[root(own)] = root(its)
+                    found.append((min(key, other), max(key, other)))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return link
+
+
 def components(links):
     """The smallest key connected to each key of ``links`` (a, b): a table (key, root).
 
@@ -158,6 +211,33 @@ def _linked(pairs, texts, verify):
     return joined.mapInArrow(verify, "a binary, b binary")
 
 
+def _tiles(open_rows):
+    """Members and outsiders of open buckets, cut into tiles of bounded size.
+
+    Outsiders are the members outside a bucket's largest root; each meets every member in one tile.
+    """
+    by_root = open_rows.groupBy("band", "root").count().groupBy("band")
+    shape = durable(
+        by_root.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+        .select(
+            "band", "main",
+            F.ceil(F.col("all") / TILE_MEMBERS).cast("int").alias("parts"),
+            F.ceil((F.col("all") - F.col("most")) / TILE_OUTSIDERS).cast("int").alias("outer_parts"),
+        ),
+        "tiles",
+    )
+    rows = open_rows.join(shape, "band")
+
+    def dealt(df, own, number, other, name):
+        return df.select(
+            "band", "key", "root", F.pmod(F.xxhash64("key", "band"), F.col(own)).cast("int").alias(number),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(name),
+        )
+
+    members = dealt(rows, "parts", "part", "outer_parts", "outer_part")
+    return members, dealt(rows.filter("root != main"), "outer_parts", "outer_part", "parts", "part")
+
+
 def near_duplicates(
     docs, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold=THRESHOLD, registers=REGISTERS, band_rows=BAND_ROWS
 ):
@@ -172,8 +252,8 @@ def near_duplicates(
 
     Equal texts are merged first, so a huge group of copies is one key. Each band bucket then sends
     its members to one centre, the smallest key, not to each other. Buckets that still join different
-    components get a second, band-dependent centre; last, what is still apart is compared in full
-    against the members outside its own component, so no link between two texts of a bucket is missed.
+    components get a second, band-dependent centre; last, the texts outside the largest component of
+    a bucket are compared with all its texts, in tiles, so no link between two texts of a bucket is lost.
     """
     keyed = docs.select(
         F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))).alias("key"),
@@ -198,7 +278,6 @@ def near_duplicates(
         .filter("members > 1"),
         "buckets",
     )
-    links = None
     verify = _verifier(shingle, threshold)
 
     def texts_of(pairs):
@@ -211,29 +290,30 @@ def near_duplicates(
 
     members = entries.join(buckets, "band")
     pairs = durable(members.filter("key != centre").select(*ordered("key", "centre")).distinct(), "pairs")
-    tried, links = pairs, durable(_linked(pairs, texts_of(pairs), verify), "verified")
+    links = durable(_linked(pairs, texts_of(pairs), verify), "verified")
     roots = components(links)
-    for last in (False, True):
+
+    def open_buckets():
         rooted = entries.join(buckets.filter("members > 2"), "band").join(roots, "key", "left").select(
             "band", "key", "second", F.coalesce("root", "key").alias("root")
         )
         apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        open_rows = durable(rooted.join(apart.select("band"), "band"), "open")
-        if last:
-            sizes = open_rows.groupBy("band", "root").count().groupBy("band")
-            main = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-            others = open_rows.join(main, "band").filter("root != main").select(
-                "band", F.col("key").alias("other"), F.col("root").alias("other_root")
-            )
-            fresh = open_rows.join(others, "band").filter("root != other_root").select(*ordered("key", "other"))
-        else:
-            centres = open_rows.filter("key = second").select("band", F.col("root").alias("second_root"))
-            fresh = open_rows.join(centres, "band").filter("root != second_root").select(*ordered("key", "second"))
-        fresh = durable(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            found = durable(_linked(fresh, texts_of(fresh), verify), "verified")
-            tried, links = tried.union(fresh), links.union(found)
-            roots = components(links)
+        return durable(rooted.join(apart.select("band"), "band"), "open")
+
+    rows = open_buckets()
+    centres = rows.filter("key = second").select("band", F.col("root").alias("second_root"))
+    fresh = rows.join(centres, "band").filter("root != second_root").select(*ordered("key", "second"))
+    fresh = durable(fresh.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(durable(_linked(fresh, texts_of(fresh), verify), "verified"))
+    roots = components(links)
+
+    rows = open_buckets()
+    texts = texts_of(rows.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    tile = ["band", "part", "outer_part"]
+    columns = [*tile, "key", "root", "text"]
+    members, outsiders = (df.join(texts, "key").select(*columns).toDF(*columns).groupBy(*tile) for df in _tiles(rows))
+    found = members.cogroup(outsiders).applyInArrow(_tile_linker(shingle, threshold), "a binary, b binary")
+    roots = components(links.union(durable(found, "verified")))
     named = (
         sketch.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("id").alias("least"))
         .join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
