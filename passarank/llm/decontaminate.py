@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passarank.plans.sizing import durable, small
 
 # Edits allowed per character of an item, and the shortest item that is looked for.
-BUDGET, LEAST_CHARS = 0.06, 24
+BUDGET, LEAST_CHARS = 0.08, 24
 # Characters of items that one automaton holds; more items take further passes over the documents.
 BLOCK_CHARS = 1 << 19
 

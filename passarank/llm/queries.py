@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding, warc
+from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding, toxicity, warc
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -108,3 +108,11 @@ def op1_warc_round_trip(spark, folder):
     """Every page from its record in the archives that were written from the pages."""
     place, index = warc.write_archive(table(spark, folder, "pages"))
     return warc.read_records(index, place).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_toxicity_severity(spark, folder):
+    """The expected severity of every document, learned from the labelled ones."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.severities(docs, model).withColumnRenamed("id", "doc_id")
