@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding, toxicity, warc
+from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding, toxicity, urlfilter, warc
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -116,3 +116,10 @@ def op2_toxicity_severity(spark, folder):
     docs = table(spark, folder, "documents")
     model = toxicity.learn(docs, table(spark, folder, "labels"))
     return toxicity.severities(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op6_url_verdicts(spark, folder):
+    """The verdict on every page's address."""
+    found = urlfilter.verdicts(table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "tokens", "score")
