@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import decontaminate, langid, mixing, neardup, neighbours, sharding, toxicity, urlfilter, warc
+from passarank.llm import decontaminate, langid, licenses, mixing, neardup, neighbours, sharding, toxicity, urlfilter, warc
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -123,3 +123,9 @@ def op6_url_verdicts(spark, folder):
     """The verdict on every page's address."""
     found = urlfilter.verdicts(table(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "tokens", "score")
+
+
+@query()
+def op8_license_spans(spark, folder):
+    """Every license notice in the documents, with its coverage and stretch."""
+    return licenses.scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
