@@ -203,12 +203,17 @@ def components(links):
             return roots
 
 
-def _linked(pairs, texts, verify):
-    """The pairs (a, b) of keys whose texts reach the threshold."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
-    return joined.mapInArrow(verify, "a binary, b binary")
+def joined_roots(roots, links):
+    """``roots`` after more links: only the roots that the links join go through ``components`` again."""
+    of_a = roots.select(F.col("key").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("key").alias("b"), F.col("root").alias("root_b"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+    )
+    moved = components(ends.filter("a != b").distinct())
+    later = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left")
+    first = moved.join(roots.select("key"), "key", "left_anti")
+    return durable(later.select("key", F.coalesce("to", "root").alias("root")).union(first.select("key", "root")), "roots")
 
 
 def _tiles(open_rows):
@@ -272,48 +277,46 @@ def near_duplicates(
         .select("key", F.explode("bands").alias("band")),
         "bands",
     )
-    buckets = durable(
-        entries.groupBy("band")
-        .agg(F.count("*").alias("members"), F.min("key").alias("centre"), F.min_by("key", F.xxhash64("band", "key")).alias("second"))
-        .filter("members > 1"),
-        "buckets",
+    shared = durable(entries.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+    members = durable(entries.join(small(shared), "band"), "members")
+    centres = durable(
+        members.groupBy("band").agg(F.min("key").alias("centre"), F.min_by("key", F.xxhash64("band", "key")).alias("second")), "centres"
     )
+    wanted = small(durable(members.select("key").distinct(), "wanted"))
+    found = keyed.filter(F.col("key").isNotNull()).join(wanted, "key", "left_semi")
+    texts = durable(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
     verify = _verifier(shingle, threshold)
 
-    def texts_of(pairs):
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        found = keyed.filter(F.col("key").isNotNull()).join(wanted, "key", "left_semi")
-        return durable(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    def linked(pairs):
+        left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+        joined = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
+        return durable(joined.mapInArrow(verify, "a binary, b binary"), "verified")
 
     def ordered(one, other):
         return F.least(one, other).alias("a"), F.greatest(one, other).alias("b")
 
-    members = entries.join(buckets, "band")
-    pairs = durable(members.filter("key != centre").select(*ordered("key", "centre")).distinct(), "pairs")
-    links = durable(_linked(pairs, texts_of(pairs), verify), "verified")
-    roots = components(links)
-
     def open_buckets():
-        rooted = entries.join(buckets.filter("members > 2"), "band").join(roots, "key", "left").select(
-            "band", "key", "second", F.coalesce("root", "key").alias("root")
-        )
+        rooted = members.filter("members > 2").join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
         apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
         return durable(rooted.join(apart.select("band"), "band"), "open")
 
+    centred = members.join(centres.select("band", "centre"), "band").filter("key != centre")
+    pairs = durable(centred.select(*ordered("key", "centre")).distinct(), "pairs")
+    roots = components(linked(pairs))
+
     rows = open_buckets()
-    centres = rows.filter("key = second").select("band", F.col("root").alias("second_root"))
-    fresh = rows.join(centres, "band").filter("root != second_root").select(*ordered("key", "second"))
+    seconds = rows.join(centres.select("band", "second"), "band").filter("key = second").select("band", "second", F.col("root").alias("second_root"))
+    fresh = rows.join(seconds, "band").filter("root != second_root").select(*ordered("key", "second"))
     fresh = durable(fresh.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(durable(_linked(fresh, texts_of(fresh), verify), "verified"))
-    roots = components(links)
+    roots = joined_roots(roots, linked(fresh))
 
     rows = open_buckets()
-    texts = texts_of(rows.select(F.col("key").alias("a"), F.col("key").alias("b")))
     tile = ["band", "part", "outer_part"]
     columns = [*tile, "key", "root", "text"]
-    members, outsiders = (df.join(texts, "key").select(*columns).toDF(*columns).groupBy(*tile) for df in _tiles(rows))
-    found = members.cogroup(outsiders).applyInArrow(_tile_linker(shingle, threshold), "a binary, b binary")
-    roots = components(links.union(durable(found, "verified")))
+    inner, outer = (df.join(texts, "key").select(*columns).toDF(*columns).groupBy(*tile) for df in _tiles(rows))
+    found = inner.cogroup(outer).applyInArrow(_tile_linker(shingle, threshold), "a binary, b binary")
+    roots = joined_roots(roots, durable(found, "verified"))
     named = (
         sketch.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("id").alias("least"))
         .join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
