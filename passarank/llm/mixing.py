@@ -97,8 +97,12 @@ def schedule(docs, id_col="doc_id", text_col="text", source_col="source", seed=2
     no words, and like every text of a source without words they are not taken. Rows may repeat and
     count each. A huge source is summed in blocks of its order, never in one task.
     """
-    spark = docs.sparkSession
-    rows = placed(docs)
+    return _schedule(placed(docs), id_col, text_col, source_col, seed, block_words)
+
+
+def _schedule(rows, id_col="doc_id", text_col="text", source_col="source", seed=20, block_words=BLOCK_WORDS):
+    """``schedule`` of placed rows."""
+    spark = rows.sparkSession
     field = F.col("row")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(field[id_col].cast("string"), F.lit("")), F.coalesce(field[text_col], F.lit(""))))
     narrow = durable(
@@ -139,7 +143,7 @@ def mixed(docs, **settings):
 
     Order by ``position`` to read the mix in sequence; an input column of that name is dropped.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "position"])
-    plan = durable(schedule(kept, **settings), "schedule")
+    rows = placed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "position"]))
+    plan = durable(_schedule(rows, **settings), "schedule")
     takes = plan.select("file_key", "row_no", F.explode(F.array_compact(F.array("first", "second"))).alias("position"))
-    return placed(kept).join(takes, ["file_key", "row_no"]).select("row.*", "position")
+    return rows.join(takes, ["file_key", "row_no"]).select("row.*", "position")

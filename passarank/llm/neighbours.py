@@ -199,7 +199,8 @@ def nearest(
     kind = valid.schema["vector"].dataType.simpleString()
 
     def placed(df, query):
-        hasher = _hasher(size, shape["most"], equal, tables, hashes, probes, seed, query)
+        looked = probes if equal else probes * 5 // 2  # the added coordinate brings more axes
+        hasher = _hasher(size, shape["most"], equal, tables, hashes, looked, seed, query)
         return df.mapInArrow(hasher, f"bucket bigint, id bigint, vector {kind}")
 
     index, asked = placed(plain, False), placed(asking, True)
