@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passarank.llm import kernels
+from passarank.plans.sizing import durable
 
 # Fixed values: (verdict, host, path) of the rules; a rule holds for the host and its subdomains.
 RULES = [
@@ -87,7 +88,14 @@ def vocabulary(pages, text_col="html", size=VOCABULARY, block_words=BLOCK_WORDS,
     """
     texts = pages.select(F.col(f"`{text_col}`").alias("text")).dropna()
     counts = texts.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = durable(counts.withColumn("power", F.floor(F.log2("n")).cast("int")), "words")
+    # Powers of two of the counts tell how rare a word may be, so that only about ``size`` words are sent.
+    left, least = size, 0
+    for row in counts.groupBy("power").count().orderBy(F.desc("power")).collect():
+        left, least = left - row["count"], row["power"]
+        if left <= 0:
+            break
+    best = counts.filter(F.col("power") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
     counted = {r["word"]: r["n"] for r in best}
     floor = max(1.0, seed_share * max(counted.values(), default=1))
     for word in block_words:
