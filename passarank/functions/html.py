@@ -4,21 +4,52 @@ from pyspark.sql import functions as F
 
 from passarank.functions.text import strip
 
-# Character references and what they stand for; the ampersand goes last.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+# Named character references and what they stand for.
+REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": "\u00a0",
+    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "mdash": "—", "ndash": "–",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
+    "times": "×", "divide": "÷", "deg": "°", "plusmn": "±", "para": "¶", "sect": "§", "cent": "¢", "pound": "£",
+    "yen": "¥", "euro": "€", "rarr": "→", "larr": "←", "iexcl": "¡", "iquest": "¿", "shy": "\u00ad",
+    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê",
+    "iacute": "í", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "uacute": "ú", "ugrave": "ù", "uuml": "ü", "szlig": "ß",
+}
+_REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def elements(html, tag):
-    """Inner source of every ``<tag>`` element, in page order, as an array."""
-    return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    """Inner source of every ``<tag>`` element, in page order, as an array; case does not matter."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
+
+
+def _character(code):
+    """The character of a code point; numbers that are none give the replacement character."""
+    sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    digits = F.lpad(F.hex(F.when(sound, code).otherwise(F.lit(0xFFFD)).cast("long")), 8, "0")
+    return F.decode(F.unhex(digits), "UTF-32")
+
+
+def unescape(text):
+    """Resolve character references, each once; unknown names stay as they are."""
+    names = F.create_map(*[F.lit(item) for pair in REFERENCES.items() for item in pair])
+
+    def resolved(piece):
+        reference = F.regexp_extract(piece, _REFERENCE, 1)
+        number = F.when(
+            reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 6), 16, 10).try_cast("long")
+        ).otherwise(F.substring(reference, 2, 7).try_cast("long"))
+        character = F.when(F.startswith(reference, F.lit("#")), _character(number)).otherwise(F.try_element_at(names, reference))
+        rest = F.substr(piece, F.length(reference) + 2)
+        return F.when((reference != "") & character.isNotNull(), F.concat(character, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    head, tail = F.try_element_at(pieces, F.lit(1)), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.when(F.contains(text, F.lit("&")), F.concat(head, F.array_join(F.transform(tail, resolved), ""))).otherwise(text)
 
 
 def element_text(source):
     """Text of a piece of source: tags dropped, character references resolved."""
-    text = F.regexp_replace(source, r"(?s)<[^>]*>", "")
-    for reference, character in REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    return unescape(F.regexp_replace(source, r"(?s)<[^>]*>", ""))
 
 
 def cell(cells, index):

@@ -3,8 +3,6 @@
 from pyspark.sql import functions as F
 
 DISTANCE_DIGITS = 6
-# Doubles from 1 up are whole multiples of 2**-52.
-_ONE = 1 << 52
 
 
 def encode_label(label, scale, strict=False):
@@ -18,19 +16,22 @@ def encode_label(label, scale, strict=False):
 
 
 def round_half_even(value):
-    """Round a double to one decimal as Python does: by its exact binary value.
+    """Round a double to one decimal as Python does: by its exact binary value, halves to even.
 
-    From 1 to 200 the double is scaled to an integer without loss, so 4.25 (a true tie) goes to the
-    even 4.2 while 2.45, which is stored slightly above the tie, goes to 2.5. Outside, where no score
-    scale lies, the decimal value decides.
+    The whole part is split off, which loses nothing. Ten times the rest is compared with the half in
+    units of 2^-58, which is exact from 1/64 up; less rounds to nothing anyway.
     """
-    tenths = (value * F.lit(float(_ONE))).cast("long") * 10
-    whole = F.shiftright(tenths, 52)
-    rest = tenths - F.shiftleft(whole, 52)
-    half = F.lit(_ONE // 2)
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    exact = (whole + F.when(up, 1).otherwise(0)) / F.lit(10.0)
-    return F.when(value.between(1, 200), exact).otherwise(F.bround(value, 1))
+    size = F.abs(value)
+    whole = F.floor(size)
+    units = F.floor((size - whole) * float(1 << 58)).cast("long") * 10
+    tenths = F.shiftright(units, 58)
+    left = units - F.shiftleft(tenths, 58)
+    half = F.lit(1 << 57)
+    up = (left > half) | ((left == half) & (tenths % 2 == 1))
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    # Whole tenths divide to the nearest double as long as their number has one of its own.
+    rounded = F.when(size < float(1 << 49), (whole.cast("long") * 10 + tenths) / F.lit(10.0)).otherwise(whole + tenths / F.lit(10.0))
+    return F.when(value < 0, -rounded).otherwise(rounded)
 
 
 def dot(a, b):

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from passarank.fixed_values import ALLOWED_CHARACTERS, SYLLABUS_ROWS, TITLE_SUFFIX
 
 NO_STRINGS = "array<string>"
+# White space of every script, and the four separators that Python counts as such.
+SPACE, NO_SPACE = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
 
 def strip(text):
     """Remove white space, line breaks included, at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def normalize(text, any_language=False):
@@ -26,7 +28,7 @@ def normalize(text, any_language=False):
 
 def title_prefix(title):
     """First word of a title, cut at the first ``(`` and then at the first ``[``; blank gives NULL."""
-    word = F.nullif(F.regexp_extract(title, r"^\s*(\S+)", 1), F.lit(""))
+    word = F.nullif(F.regexp_extract(title, rf"(?U)^{SPACE}*({NO_SPACE}+)", 1), F.lit(""))
     return F.substring_index(F.substring_index(word, "(", 1), "[", 1)
 
 
@@ -66,7 +68,7 @@ def leading_int(text):
 
 
 def words(line):
-    return F.split(strip(line), r"\s+")
+    return F.split(strip(line), rf"(?U){SPACE}+")
 
 
 def timeslot(text):

@@ -12,13 +12,15 @@ TURNS_PER_BLOCK = 64
 def history_fold(turns, session="session_id", turn="turn", question="human", answer="ai", block=TURNS_PER_BLOCK):
     """Add ``history``: all earlier turns of the session as one text, empty for the first.
 
+    A turn without an answer has a history but adds nothing to later ones.
+
     ``session`` is one column or several; ``turn`` is a whole number, unique in its session. Blocks of ``block`` consecutive turn numbers
     are folded on their own, in as many tasks as there are blocks, and then get the text of the
     blocks before them; a long session is so spread over the cluster. Only one row per block meets
     in the window over a session, and the text of those rows is the history itself.
     """
     session = [session] if isinstance(session, str) else list(session)
-    text = P.history_turn(F.col(question), F.col(answer))
+    text = F.when(F.col(answer).isNotNull(), P.history_turn(F.col(question), F.col(answer))).otherwise("")
     numbered = turns.withColumn("_text", text).withColumn("_block", F.floor(F.col(turn) / block))
     inside = Window.partitionBy(*session, "_block").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     blocks = numbered.groupBy(*session, "_block").agg(F.array_sort(F.collect_list(F.struct(turn, "_text"))).alias("_turns"))

@@ -17,7 +17,11 @@ def split_requests(requests, text="text", example="hosted"):
 
 
 def parse_split(outputs, text="output", topic_key=TOPIC_KEY, evaluation_key=EVALUATION_KEY):
-    """Read the two lists out of each model output; ``valid`` is false on bad JSON or a missing list."""
+    """Read the two lists out of each model output.
+
+    ``state`` is ``ok``, ``unreadable`` (bad JSON or a missing list) or ``empty`` (a list without an item, so that
+    one of the two searches has nothing to look for); only ``ok`` is ``valid``.
+    """
     lists = T.ArrayType(T.StringType())
     schema = T.StructType().add(topic_key, lists).add(evaluation_key, lists)
     parsed = outputs.withColumn("_split", F.from_json(F.col(text), schema))
@@ -25,7 +29,13 @@ def parse_split(outputs, text="output", topic_key=TOPIC_KEY, evaluation_key=EVAL
         *outputs.columns,
         F.col("_split").getField(topic_key).alias(TOPIC),
         F.col("_split").getField(evaluation_key).alias(EVALUATION),
-    ).withColumn("valid", F.col(TOPIC).isNotNull() & F.col(EVALUATION).isNotNull())
+    ).withColumns({"state": _state(), "valid": _state() == "ok"})
+
+
+def _state():
+    missing = F.col(TOPIC).isNull() | F.col(EVALUATION).isNull()
+    empty = (F.size(TOPIC) == 0) | (F.size(EVALUATION) == 0)
+    return F.when(missing, "unreadable").when(empty, "empty").otherwise("ok")
 
 
 def sub_queries(split, request="request_id"):

@@ -10,10 +10,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def scratch_path(spark, name):
-    """A fresh path in the folder that all nodes of the cluster share."""
+    """A fresh path in the folder that all nodes of the cluster share, named by ``spark.checkpoint.dir``.
+
+    The setting is trusted to name a shared folder. Only where it is unset and the whole session is one
+    local process, as in tests, a temporary folder of this machine takes its place.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every node can reach")
         base = tempfile.mkdtemp(prefix="passarank-")
         spark.sparkContext.setCheckpointDir(base)
@@ -31,17 +36,28 @@ def durable(df, name="stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measured_bytes(df):
-    """Bytes that the rows of ``df`` take, from one aggregate over it."""
+def _width(value, kind):
+    """Bytes that one value takes, as a column."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            items = F.aggregate(value, F.lit(0).cast("long"), lambda total, item: total + _width(item, kind.elementType))
+        else:
+            items = F.size(value) * 8
+        size = items + 16
+    elif isinstance(kind, T.MapType):
+        size = _width(F.map_keys(value), T.ArrayType(kind.keyType)) + _width(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_width(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(16))
+    else:
+        size = F.lit(16)
+    return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
 
-    def width(field):
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)) + 16
-        if isinstance(field.dataType, T.ArrayType):
-            return F.greatest(F.size(F.col(field.name)), F.lit(0)) * 8 + 16
-        return F.lit(16)
 
-    row = sum((width(f).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+def measured_bytes(df):
+    """Bytes that the rows of ``df`` take, nested values included, from one aggregate over it."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 

@@ -25,8 +25,8 @@ REVIEW_STAT = _struct(
     "id:long course_id:long satisfaction:double workload:double difficulty:double delivery:double "
     "achievement:double grade:double attendance:double"
 )
-# One line of the nested export. ``part`` numbers the continuation lines of a parent whose
-# children are too many for one line; every ordinary parent has the single part 0.
+# One line of the nested export. ``part`` numbers the lines of a parent in the layout with several;
+# a line without it is the parent's only one, part 0.
 NESTED_COURSE = T.StructType(
     COURSE.fields
     + [

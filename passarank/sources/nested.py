@@ -2,12 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from passarank.plans.sizing import durable, small
+from passarank.plans.prefix import running_total
 from passarank.schemas import NESTED_COURSE
 
-CHILDREN_PER_LINE = 10_000
-
-
 def _lists(children, by, child_id):
     """Children as one array per group, in the order of their ids."""
     record = F.struct(*[c for c in children.columns if c != "part"])
@@ -15,46 +12,39 @@ def _lists(children, by, child_id):
     return children.groupBy(*by).agg(ordered.alias("_children")).withColumn("reviews", F.col("_children._child")).drop("_children")
 
 
-def nest(parents, children, stats, key="course_id", child_id="id", per_line=CHILDREN_PER_LINE):
+def nest(parents, children, stats, key="course_id", child_id="id", per_line=None):
     """Parents with ``review_stat`` and ``reviews`` (empty if there are none).
 
-    A parent with more than ``per_line`` children takes several lines, numbered by ``part``, among
-    which its children are spread; no group grows with the data and no child is left out. All other
-    parents, joined on the key their children are already grouped by, take one line.
+    The caller chooses the layout, whatever the sizes. Without ``per_line`` every parent takes one line
+    with all its children, which a task must be able to hold. With it a parent takes as many lines as
+    its children fill, in the order of their ids; every line has a ``part``, numbered from 0 without
+    gaps, so every parent has part 0.
     """
-    counts = children.groupBy(key).agg(F.ceil(F.count("*") / per_line).cast("int").alias("_parts"))
-    large = small(durable(counts.filter("_parts > 1"), "large-parents"))
     stat = stats.select(F.col(key).alias("id"), F.struct(*stats.columns).alias("review_stat"))
     described = parents.join(stat, "id", "left")
-
-    usual = _lists(children.join(large, key, "left_anti").select(*children.columns), [key], child_id).withColumnRenamed(key, "id")
-    none = F.array().cast(usual.schema["reviews"].dataType)
-    one_line = (
-        described.join(large.withColumnRenamed(key, "id"), "id", "left_anti").join(usual, "id", "left")
-        .withColumns({"part": F.lit(0), "reviews": F.coalesce("reviews", none)})
-    )
-    spread = children.join(large, key).withColumn("part", F.pmod(F.xxhash64(child_id), F.col("_parts")).cast("int"))
-    parts = _lists(spread.select(*children.columns, "part"), [key, "part"], child_id).withColumnRenamed(key, "id")
-    # The parents go to the lists: moving the lists by parent would gather a hot one's children again.
-    many_lines = parts.join(small(durable(described.join(large.withColumnRenamed(key, "id"), "id", "left_semi"), "parents")), "id")
-    columns = [*parents.columns, "part", "review_stat", "reviews"]
-    return one_line.select(*columns).unionByName(many_lines.select(*columns))
+    if per_line is None:
+        lists = _lists(children, [key], child_id).withColumnRenamed(key, "id")
+        lines, columns = described.join(lists, "id", "left"), [*parents.columns, "review_stat", "reviews"]
+    else:
+        numbered = running_total(children, F.lit(1), "_place", [child_id], [key])
+        part = F.floor((F.col("_place") - 1) / per_line).cast("int")
+        lists = _lists(numbered.withColumn("part", part).drop("_place"), [key, "part"], child_id).withColumnRenamed(key, "id")
+        # The parents go to the lists: moving the lists by parent would gather a hot one's children again.
+        first = described.join(lists.filter("part = 0").select("id"), "id", "left_anti").withColumn("part", F.lit(0))
+        first = first.withColumn("reviews", F.lit(None).cast(lists.schema["reviews"].dataType))
+        columns = [*parents.columns, "part", "review_stat", "reviews"]
+        lines = lists.join(described, "id").select(*columns).unionByName(first.select(*columns))
+    none = F.array().cast(lists.schema["reviews"].dataType)
+    return lines.withColumn("reviews", F.coalesce("reviews", none)).select(*columns)
 
 
 def as_json(nested):
-    """Add ``json``: missing scalars stay as null, but a missing stat and part 0 have no key at all."""
+    """Add ``json``: missing scalars stay as null, but a missing stat has no key at all."""
 
     def written(*left_out):
         return F.to_json(F.struct(*[c for c in nested.columns if c not in left_out]), {"ignoreNullFields": "false"})
 
-    no_stat, first = F.col("review_stat").isNull(), F.col("part") == 0
-    return nested.withColumn(
-        "json",
-        F.when(no_stat & first, written("review_stat", "part"))
-        .when(no_stat, written("review_stat"))
-        .when(first, written("part"))
-        .otherwise(written()),
-    )
+    return nested.withColumn("json", F.when(F.col("review_stat").isNull(), written("review_stat")).otherwise(written()))
 
 
 def write_export(nested, path):

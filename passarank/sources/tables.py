@@ -5,12 +5,18 @@ from pyspark.sql import functions as F
 from passarank.plans.sizing import durable, small
 
 BUCKETS = 1024
+# The folder column's name tells the number of buckets.
+COLUMN = "bucket_of_"
 
 
 def create_if_absent(spark, name, schema, path):
     """Create an empty table from its schema unless it exists already."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'")
+    columns = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema.fields
+    )
+    quoted = ".".join(f"`{part}`" for part in name.split("."))
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted} ({columns}) USING parquet LOCATION '{place}'")
 
 
 def append(df, path):
@@ -41,34 +47,44 @@ def replace_children(existing, parents, children, key):
     return existing.join(replaced, key, "left_anti").select(*existing.columns).unionByName(children)
 
 
-def _bucketed(df, key, buckets):
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+def _bucketed(df, key, column):
+    return df.withColumn(column, F.pmod(F.xxhash64(key), F.lit(int(column.removeprefix(COLUMN)))).cast("int"))
 
 
 def store_children(children, path, key, buckets=BUCKETS):
-    """Store children in one folder per bucket of parents, for replacement in place."""
-    _bucketed(children, key, buckets).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    """Store children in one folder per bucket of parents, for replacement in place.
+
+    Every bucket is given one row without a parent: it names the folders, and so the number of buckets,
+    also where there are no children. ``scan_children`` skips those rows.
+    """
+    column = f"{COLUMN}{buckets}"
+    rows = _bucketed(children, key, column).unionByName(_empty(children.sparkSession, children.schema, column, range(buckets)))
+    rows.hint("rebalance", column).write.partitionBy(column).parquet(path)
+
+
+def _empty(spark, schema, column, numbers):
+    return spark.createDataFrame([(n,) for n in numbers], f"{column} int").select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], column
+    )
 
 
 def scan_children(spark, path, schema, key):
     return spark.read.schema(schema).parquet(path).select(*schema.names).filter(F.col(key).isNotNull())
 
 
-def replace_stored_children(spark, path, schema, parents, children, key, buckets=BUCKETS):
+def replace_stored_children(spark, path, schema, parents, children, key):
     """``replace_children`` in place: only the buckets of the parents concerned are read and rewritten.
 
-    Each of them is also given one row without a parent, so that a bucket left without children is
-    overwritten too; ``scan_children`` skips those rows.
+    The number of buckets is the one the children were stored with, read from the folders' name.
     """
-    concerned = _bucketed(parents.select(key).unionByName(children.select(key)), key, buckets).select("bucket").distinct()
-    numbers = [row["bucket"] for row in concerned.collect()]  # at most ``buckets`` numbers
     stored = spark.read.schema(schema).option("basePath", path).parquet(path)
-    old = stored.filter(F.col("bucket").isin(numbers) & F.col(key).isNotNull()).select(*schema.names)
-    empty = spark.createDataFrame([(n,) for n in numbers], "bucket int").select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "bucket"
-    )
-    rewritten = _bucketed(replace_children(old, parents, children, key), key, buckets).unionByName(empty)
+    column = next(c for c in stored.columns if c.startswith(COLUMN))
+    concerned = _bucketed(parents.select(key).unionByName(children.select(key)), key, column).select(column).distinct()
+    numbers = [row[column] for row in concerned.collect()]  # at most one number per bucket
+    old = stored.filter(F.col(column).isin(numbers) & F.col(key).isNotNull()).select(*schema.names)
+    kept = _bucketed(replace_children(old, parents, children, key), key, column)
+    rewritten = kept.unionByName(_empty(spark, schema, column, numbers))
     (
-        durable(rewritten, "children").hint("rebalance", "bucket")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        durable(rewritten, "children").hint("rebalance", column)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
     )

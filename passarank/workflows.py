@@ -77,8 +77,8 @@ def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
     """Answer requests whose split texts are in ``outputs`` (``request_id, output``).
 
     One row per request and recommended course: place, score, the course's fields, its document as
-    ``info`` and its supporting reviews. ``raw`` cleans model output first. Requests whose split
-    cannot be read are left to ``parse_split``'s ``valid`` flag.
+    ``info`` and its supporting reviews. ``raw`` cleans model output first. Requests that get no answer
+    because their split is unreadable or has an empty list are what ``unanswerable`` returns.
     """
     if raw:
         outputs = outputs.withColumn("output", P.clean_output(F.col("output")))
@@ -88,3 +88,10 @@ def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
     ranking, support = R.recommend_texts(queries, topic, feedback, encoder, **options)
     entities = index[ENTITY].withColumnRenamed("text", "info").drop("embedding")
     return R.enrich(ranking, entities, R.supporting_documents(support, index[FEEDBACK].drop("embedding")))
+
+
+def unanswerable(outputs, raw=False):
+    """The requests that ``answer`` leaves out, with the ``state`` that says why."""
+    if raw:
+        outputs = outputs.withColumn("output", P.clean_output(F.col("output")))
+    return parse_split(outputs).filter(~F.col("valid")).select(*outputs.columns, "state")

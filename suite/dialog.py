@@ -107,7 +107,7 @@ def split_rejected(spark, folder):
 
 PAIRS = """
     SELECT u.conv_id AS session_id, u.turn, u.text AS human, a.text AS ai
-    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'
+    FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'
 """
 HISTORY = f"""
     SELECT *, coalesce(string_agg(chr(10) || chr(10) || 'Human: ' || human || chr(10) || 'AI: ' || ai, '')
@@ -117,13 +117,13 @@ HISTORY = f"""
 
 
 def _turns(spark, folder):
-    """Questions with the answer that follows each."""
+    """Questions with the answer that follows each, null where there is none yet."""
     said = C.table(spark, folder, "conversations")
     asked = said.filter("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("human"))
     answered = said.filter("role = 'assistant'").select(
         F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("ai")
     )
-    return asked.join(answered, ["session_id", "turn"])
+    return asked.join(answered, ["session_id", "turn"], "left")
 
 
 @register(f"SELECT session_id, turn, history FROM ({HISTORY})")

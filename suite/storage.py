@@ -61,11 +61,11 @@ def replace_children_in_place(spark, folder):
     labels, parents, fresh = _relabelled(spark, folder)
     path = scratch_path(spark, "labels")
     tables.store_children(labels, path, "doc_id", buckets=64)
-    tables.replace_stored_children(spark, path, labels.schema, parents, fresh, "doc_id", buckets=64)
+    tables.replace_stored_children(spark, path, labels.schema, parents, fresh, "doc_id")
     return tables.scan_children(spark, path, labels.schema, "doc_id")
 
 
-def _nested_customers(spark, folder):
+def _nested_customers(spark, folder, per_line=None):
     """Customers with their orders; those with a debt have no stat."""
     customers, orders = C.table(spark, folder, "customer"), C.table(spark, folder, "orders")
     parents = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("course_name"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("room"))
@@ -73,7 +73,7 @@ def _nested_customers(spark, folder):
     stats = customers.filter("c_acctbal >= 0").select(
         F.col("c_custkey").alias("id"), F.col("c_custkey").alias("course_id"), F.col("c_nationkey").alias("attendance")
     )
-    return nested.nest(parents, children, stats)
+    return nested.nest(parents, children, stats, per_line=per_line)
 
 
 CHILDREN_SQL = """
@@ -95,6 +95,25 @@ def nested_export(spark, folder):
     return nested.as_json(_nested_customers(spark, folder)).select("id", "json")
 
 
+@register("""
+    WITH placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders),
+         lists AS (SELECT o_custkey, place // 3 AS part, list({'id': o_orderkey, 'course_id': o_custkey, 'text': o_orderpriority} ORDER BY o_orderkey) AS reviews
+                   FROM placed GROUP BY ALL)
+    SELECT c_custkey AS id, coalesce(part, 0) AS part,
+           CASE WHEN c_acctbal >= 0 THEN
+             to_json({'id': c_custkey, 'course_name': c_name, 'room': nullif(c_mktsegment, 'BUILDING'), 'part': coalesce(part, 0),
+                      'review_stat': {'id': c_custkey, 'course_id': c_custkey, 'attendance': c_nationkey}, 'reviews': coalesce(reviews, [])})::VARCHAR
+           ELSE to_json({'id': c_custkey, 'course_name': c_name, 'room': nullif(c_mktsegment, 'BUILDING'), 'part': coalesce(part, 0),
+                         'reviews': coalesce(reviews, [])})::VARCHAR
+           END AS json
+    FROM customer LEFT JOIN lists ON o_custkey = c_custkey
+""")
+def nested_export_parts(spark, folder):
+    """At most three orders a line."""
+    lines = nested.as_json(_nested_customers(spark, folder, per_line=3))
+    return lines.select("id", F.col("part").cast("long").alias("part"), "json")
+
+
 @register("""
     SELECT c_custkey AS id, c_name AS course_name, CASE WHEN c_acctbal >= 0 THEN c_nationkey END::DOUBLE AS attendance, o_orderkey AS review_id, o_orderpriority AS text
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="passarank-tests-"),
         },
     )
     active.sparkContext.setLogLevel("ERROR")

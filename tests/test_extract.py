@@ -74,3 +74,17 @@ def test_without_result(spark):
     entities = spark.range(6).withColumnRenamed("id", "k")
     results = spark.createDataFrame([(1,), (1,), (4,)], "k long")
     assert sorted(r["k"] for r in E.without_result(entities, results, "k").collect()) == [0, 2, 3, 5]
+
+
+def test_page_text_beyond_ascii(spark):
+    from passarank.functions import html as H
+    from passarank.functions import text as X
+
+    source = "<TR><TD>a&middot;&copy;&#8217;&#x41;&amp;lt;&none;&#1114112;&#0; & </TD ><td class='x'>월(2)&nbsp;관</td></TR>"
+    df = spark.createDataFrame([(source, "\u3000월(2)\u00a0관\u3000401\x1c", None)], "s string, line string, missing string")
+    cells = H.elements(F.element_at(H.elements(F.col("s"), "tr"), 1), "td")
+    row = df.select(
+        H.cell(cells, 0).alias("a"), H.cell(cells, 1).alias("b"), X.timeslot(F.col("line")).alias("t"), X.room(F.col("line")).alias("r"),
+        X.strip(F.col("line")).alias("s"), X.title_prefix(F.col("line")).alias("p"), H.element_text(F.col("missing")).alias("none"),
+    ).first()
+    assert tuple(row) == ("a·©’A&lt;&none;\ufffd\ufffd & ", "월(2)\u00a0관", "월(2)", "관 401", "월(2)\u00a0관\u3000401", "월", None)

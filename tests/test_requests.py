@@ -10,6 +10,8 @@ def test_parse_and_explode(spark):
         ("e", None),
     ]
     parsed = Q.parse_split(spark.createDataFrame(outputs, "request_id string, output string"))
-    assert {r["request_id"] for r in parsed.filter("not valid").collect()} == {"b", "c", "e"}
+    assert {r["request_id"] for r in parsed.filter("not valid").collect()} == {"b", "c", "d", "e"}
+    assert {r["request_id"]: r["state"] for r in parsed.collect()} == {
+        "a": "ok", "b": "unreadable", "c": "unreadable", "d": "empty", "e": "unreadable"}
     assert sorted(tuple(r) for r in Q.sub_queries(parsed).collect()) == [
         ("a", "evaluation", 0, 1, "z"), ("a", "topic", 0, 2, "x"), ("a", "topic", 1, 2, "y")]

@@ -7,7 +7,7 @@ from passarank.operators.extract import mean_grade
 
 
 def test_rounding_equals_python(spark):
-    means = sorted({total / n for n in range(1, 81) for total in range(n, 5 * n + 1)} | {100 + i / 20 for i in range(40)} | {0.0, 0.25, -1.3, 300.25, 1e12})
+    means = sorted({total / n for n in range(1, 81) for total in range(n, 5 * n + 1)} | {100 + i / 20 for i in range(40)} | {0.0, 0.25, 0.35, 0.45, 0.75, 4.25, 2.45, 250.05, 0.05, 0.15, 0.01, 1e-9, -0.35, -1.3, 300.25, 1e12, 2.0**49 + 0.25})
     df = spark.createDataFrame([(m,) for m in means], "m double").select("m", round_half_even(F.col("m")).alias("r"))
     assert [(r["m"], r["r"]) for r in df.collect() if r["r"] != round(r["m"], 1)] == []
 

@@ -17,6 +17,13 @@ def test_small_is_broadcast_and_large_is_not(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_nested_values_are_measured(spark):
+    text = F.repeat(F.lit("x"), 100_000)
+    stored = sizing.durable(spark.range(10).select(F.array(text).alias("a"), F.struct(text.alias("s")).alias("b"), F.create_map(F.lit("k"), text).alias("m")))
+    assert 3_000_000 < sizing.measured_bytes(stored) < 3_100_000
+    assert sizing.measured_bytes(stored.limit(0)) == 0
+
+
 def test_durable_cuts_lineage_and_keeps_the_schema(spark):
     df = spark.range(10).select("id", F.struct("id").alias("s"), F.array("id").alias("a"))
     kept = sizing.durable(df)

@@ -48,6 +48,32 @@ def test_hot_parent_takes_several_lines_and_loses_nothing(spark):
         (str(r["id"]), str(r["course_id"]), r["text"]) for r in reviews(spark).collect()}
 
 
+def test_parts_have_no_gap_and_every_parent_is_indexed(spark):
+    from passarank import workflows as W
+
+    many = spark.range(120).select("id", (F.col("id") % 40).alias("course_id"), F.lit("text here").alias("text"))
+    parents = spark.range(41).select("id", *[F.lit("x").cast(f.dataType).alias(f.name) if f.dataType.simpleString() == "string"
+                                             else F.lit(1).cast(f.dataType).alias(f.name) for f in COURSE.fields[1:]])
+    whole = nested.nest(parents, many, stats(spark), per_line=2)
+    numbers = {}
+    for r in whole.collect():
+        numbers.setdefault(r["id"], []).append(r["part"])
+    assert {i: sorted(p) for i, p in numbers.items()} == {i: [0, 1] if i < 40 else [0] for i in range(41)}
+    path = scratch_path(spark, "export")
+    nested.write_export(whole, path)
+    frames = W.index_frames(nested.read_export(spark, path))
+    assert frames[W.ENTITY].count() == 41 and frames[W.FEEDBACK].count() == 120
+
+
+def test_bucket_count_is_read_back(spark):
+    path = scratch_path(spark, "reviews")
+    many = spark.range(200).select("id", (F.col("id") % 40).alias("course_id"), F.lit("old").alias("text"))
+    tables.store_children(many, path, "course_id", buckets=7)
+    everyone = many.select("course_id").distinct()
+    tables.replace_stored_children(spark, path, REVIEW, everyone, many.filter("id < 150"), "course_id")
+    assert tables.scan_children(spark, path, REVIEW, "course_id").count() == 150
+
+
 def test_indented_export(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps([{"id": 1, "course_name": "a", "reviews": []}, {"id": 2}], indent=4))
     assert sorted(r["id"] for r in nested.read_export(spark, str(tmp_path / "e.json"), indented=True).collect()) == [1, 2]
@@ -84,12 +110,12 @@ def test_replace_in_place_touches_only_its_buckets(spark):
     before = set(spark.read.parquet(path).inputFiles())
     parents = spark.createDataFrame([(0,), (1,), (99,)], "course_id long")
     new = spark.createDataFrame([(900, 1, "new"), (901, 99, "new")], REVIEW)
-    tables.replace_stored_children(spark, path, REVIEW, parents, new, "course_id", buckets=16)
+    tables.replace_stored_children(spark, path, REVIEW, parents, new, "course_id")
     rows = {tuple(r) for r in tables.scan_children(spark, path, REVIEW, "course_id").collect()}
     assert rows == {(i, i % 40, "old") for i in range(200) if i % 40 > 1} | {(900, 1, "new"), (901, 99, "new")}
     assert len(before - set(spark.read.parquet(path).inputFiles())) <= 3 < len(before)
     everyone = many.select("course_id").unionByName(parents).distinct()
-    tables.replace_stored_children(spark, path, REVIEW, everyone, new.limit(0), "course_id", buckets=16)
+    tables.replace_stored_children(spark, path, REVIEW, everyone, new.limit(0), "course_id")
     assert tables.scan_children(spark, path, REVIEW, "course_id").count() == 0
 
 
