@@ -163,13 +163,22 @@ def _tile_linker(shingle, threshold):
             return name
 
         sides = [
-            sorted(zip(t.column("key").to_pylist(), t.column("root").to_pylist(), range(t.num_rows))) for t in (outsiders, members)
+            [(key, own, weighted(key, texts[i])) for key, own, i in sorted(zip(t["key"].to_pylist(), t["root"].to_pylist(), range(t.num_rows)))]
+            for t, texts in ((outsiders, outsiders["text"]), (members, members["text"]))
         ]
-        texts = outsiders.column("text"), members.column("text")
-        for key, own, i in sides[0]:
-            mine = weighted(key, texts[0][i])
-            for other, its, j in sides[1]:
-                if root(own) != root(its) and alike(mine, weighted(other, texts[1][j])) >= threshold - 1e-12:
+        # Which members hold each shingle. The outsider's weight on what both hold bounds the similarity.
+        holder = np.repeat(np.arange(members.num_rows), [w[0].size for _, _, w in sides[1]])
+        values = np.concatenate([w[0] for _, _, w in sides[1]] or [np.empty(0, np.uint64)])
+        order = np.argsort(values, kind="stable")
+        holder, values = holder[order], values[order]
+        for key, own, mine in sides[0]:
+            low, high = np.searchsorted(values, mine[0], side="left"), np.searchsorted(values, mine[0], side="right")
+            sizes = high - low
+            at = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+            common = np.bincount(holder[at], np.repeat(mine[1] / mine[1].sum(), sizes), minlength=members.num_rows)
+            for j in np.flatnonzero(common >= threshold - 1e-9).tolist():
+                other, its, theirs = sides[1][j]
+                if root(own) != root(its) and alike(mine, theirs) >= threshold - 1e-12:
                     joined[root(own)] = root(its)
                     found.append((min(key, other), max(key, other)))
         return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
