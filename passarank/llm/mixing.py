@@ -146,4 +146,5 @@ def mixed(docs, **settings):
     rows = placed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "position"]))
     plan = durable(_schedule(rows, **settings), "schedule")
     takes = plan.select("file_key", "row_no", F.explode(F.array_compact(F.array("first", "second"))).alias("position"))
-    return rows.join(takes, ["file_key", "row_no"]).select("row.*", "position")
+    # The schedule has a few numbers per document: while it is small the texts need not move.
+    return rows.join(small(takes), ["file_key", "row_no"]).select("row.*", "position")
