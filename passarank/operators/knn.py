@@ -1,13 +1,14 @@
 """Exact nearest passages for many sub-queries at once.
 
-Two physical forms give the same rows. While the sub-queries fit a measured bound they are
-broadcast and every task scans its passages once, keeping its best k per sub-query: passages
-are never shuffled. Beyond the bound both sides are cut into blocks of limited size and each
-pair of blocks meets in one task; with candidate entities, only blocks of the same entity meet.
-
-A large collection is preceded by a slice of it: the k-th distance found there is an upper bound
-of the final one, and tasks that know it give out only few of the pairs that they would otherwise
-all have to send as their best k.
+Two physical forms give the same rows. Sub-queries are cut into groups that fit a broadcast; for
+each group every task scans its passages once, in place, keeping its best k per sub-query: passages
+are never shuffled. Only for very many groups, when scanning again and again costs more than one
+shuffle and sort of the passages, both sides are cut into blocks of limited size and each pair of
+blocks meets in one task; with candidate entities, only blocks of the same entity meet.
+
+A search whose tasks would give out very many hits is preceded by a slice of a fixed number of tasks:
+the k-th distance found there is an upper bound of the final one, and tasks that know it give out
+only few of the pairs that they would otherwise all have to send as their best k.
 """
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from passarank.fixed_values import DEFAULT_HITS, HITS_PER_QUERY
 from passarank.functions.scores import DISTANCE_DIGITS
-from passarank.plans.sizing import BROADCAST_BYTES, durable, input_bytes, small
+from passarank.plans.sizing import BROADCAST_BYTES, durable, input_bytes, measured_bytes, small
 from passarank.sources.collections import within
 
 QUERY = ["request_id", "query_idx"]
@@ -29,10 +30,13 @@ QUERY_BLOCK = 32_768
 PASSAGE_BLOCK = 131_072
 # Distances held at once in a task: 16M doubles.
 CELLS = 1 << 24
-# From this size on: hits are merged in steps, and bounds are taken from a slice first.
-LARGE_BYTES = 64 << 30
+# Scans of the passages that cost about as much as writing, moving and sorting them once.
+SCANS = 16
+# Hits given out by all tasks from which on bounds come first, and hits are merged in steps.
+MANY_HITS = 50_000_000
 MERGE_FAN = 64
-SLICE_EVERY = 64
+# Tasks whose passages give the bounds.
+SLICE_TASKS = 64
 
 
 def unit_rows(vectors):
@@ -45,6 +49,8 @@ def unit_rows(vectors):
     sizes = pc.min_max(pc.list_value_length(vectors)).as_py()
     if sizes["min"] != sizes["max"]:
         raise ValueError(f"vectors of {sizes['min']} and of {sizes['max']} values in one column")
+    if not np.isfinite(flat).all():
+        raise ValueError("a vector with a missing or non-finite component")
     matrix = flat.reshape(len(vectors), -1)
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(length > 0, length, 1.0)
@@ -157,8 +163,9 @@ def _offer(nearest, table, embedding, matrix, allowed):
         by_code = np.argsort(codes, kind="stable")
         edges = np.searchsorted(codes[by_code], np.arange(len(coded.dictionary) + 1))
         for code, entity in enumerate(coded.dictionary.to_pylist()):
-            numbers = allowed.get(entity)
-            if numbers is not None:
+            requests = allowed[0].get(entity)
+            if requests is not None:
+                numbers = np.sort(np.concatenate([allowed[1][r] for r in requests]))
                 chosen = by_code[edges[code] : edges[code + 1]]
                 nearest.add(ids, at[chosen], numbers, matrix[numbers] @ vectors[chosen].T)
 
@@ -170,17 +177,23 @@ def _hit_schema(queries, passages, embedding):
 
 
 def _broadcast_form(queries, block, candidates, passages, k, embedding, bounds):
-    """Scan with the sub-queries (an Arrow table within the limit) in every task."""
+    """Scan with the sub-queries (an Arrow table within the limit) in every task.
+
+    Returns the hits and the broadcast, which can go once the hits are stored.
+    """
     spark = passages.sparkSession
     allowed = None
     if candidates is not None:
-        numbers = {}
+        # Requests per entity and sub-queries per request: as many numbers as there are pairs and
+        # sub-queries, not their product.
+        numbers, of_entity = {}, {}
         for number, request in enumerate(block["request_id"].to_pylist()):
             numbers.setdefault(request, []).append(number)
-        allowed = {}
+        place = {request: at for at, request in enumerate(numbers)}
         for pair in candidates.to_pylist():
-            allowed.setdefault(pair["entity_id"], []).extend(numbers.get(pair["request_id"], []))
-        allowed = {entity: np.array(sorted(own)) for entity, own in allowed.items() if own}
+            if pair["request_id"] in place:
+                of_entity.setdefault(pair["entity_id"], []).append(place[pair["request_id"]])
+        allowed = of_entity, [np.array(own) for own in numbers.values()]
     bound = None
     if bounds is not None:
         known = {(row["request_id"], row["query_idx"]): row["_bound"] for row in bounds.collect()}  # one per sub-query
@@ -197,7 +210,7 @@ def _broadcast_form(queries, block, candidates, passages, k, embedding, bounds):
         if hits is not None:
             yield from hits.to_batches(max_chunksize=65_536)
 
-    return passages.mapInArrow(scan, _hit_schema(queries, passages, embedding))
+    return passages.mapInArrow(scan, _hit_schema(queries, passages, embedding)), shared
 
 
 def _blocked_form(queries, candidates, passages, k, embedding, bounds):
@@ -291,6 +304,21 @@ def _if_few(df, rows):
     return table if table is not None and table.num_rows <= rows and table.nbytes <= BROADCAST_BYTES else None
 
 
+def _groups(queries, limit):
+    """The sub-queries in groups, by hash, that each fit a broadcast: (frame, number of groups) or None.
+
+    None means more groups than scans that are worth while.
+    """
+    queries = durable(queries, "queries")
+    n, size = queries.count(), measured_bytes(queries)
+    groups = max(-(-n // limit), -(-size // BROADCAST_BYTES))
+    if groups > 1:
+        groups = groups + -(-groups // 4)  # hashing fills groups unevenly
+    if groups > SCANS:
+        return queries, None
+    return queries.withColumn("_part", F.pmod(F.xxhash64(*QUERY), F.lit(max(groups, 1)))), max(groups, 1)
+
+
 def _of_candidates(passages, candidates, pairs):
     """Only the passages of candidate entities, out of their folders only if the collection has any."""
     if pairs is None:
@@ -311,35 +339,61 @@ def nearest_passages(
     each request to passages of its own entities before the k nearest are taken; of a stored collection
     that keeps its folder column, only the folders concerned are read. ``k=None`` stands for the vector
     store's default number of hits. ``slice_every`` sets which share of the tasks gives bounds first;
-    left out, this depends on the size of the tables read. Distances are rounded, so that results do not
+    left out, this depends on the number of hits that the tasks would give out. Distances are rounded, so that results do not
     depend on how the work was split.
     """
     k = DEFAULT_HITS if k is None else k
     queries = queries.filter(F.col(embedding).isNotNull())
-    block, pairs = _if_few(queries, broadcast_queries), None
-    fits = block is not None
+    block, pairs, groups = _if_few(queries, broadcast_queries), None, None
     if candidates is None:
         passages = within(passages)
     else:
         candidates = candidates.select("request_id", "entity_id").distinct()
         pairs = _if_few(candidates, 16 * broadcast_queries)
-        fits = fits and pairs is not None
-        candidates = candidates if fits else durable(candidates, "candidates")
+        candidates = candidates if pairs is not None else durable(candidates, "candidates")
         passages = _of_candidates(passages, candidates, pairs)
     passages = passages.filter(F.col(embedding).isNotNull())
 
-    large = input_bytes(passages) > LARGE_BYTES
-    fan, every = (MERGE_FAN if large else None), slice_every or (SLICE_EVERY if large else None)
+    if candidates is None or pairs is not None:
+        if block is not None:
+            groups = 1
+        elif broadcast_queries:
+            queries, groups = _groups(queries, broadcast_queries)
+            if groups and not _is_scan(passages):
+                passages = durable(passages, "passages")  # else computed again for every group
+    # The number of scanning tasks, from what the planner knows of the files.
+    spark = passages.sparkSession
+    tasks = 1 + input_bytes(passages) // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    rows = block.num_rows if block is not None else queries.count()
+    many = tasks * rows * k > MANY_HITS
+    fan, every = (MERGE_FAN if many else None), slice_every or (max(1, tasks // SLICE_TASKS) if many else None)
 
     def search(passages, bounds):
-        if fits:
-            hits = _broadcast_form(queries, block, pairs, passages, k, embedding, bounds)
-        else:
+        if not groups:
             hits = _blocked_form(queries, candidates, passages, k, embedding, bounds)
+        elif block is not None:
+            hits, _ = _broadcast_form(queries, block, pairs, passages, k, embedding, bounds)
+        else:
+            # One group after another, so that the driver holds one at a time.
+            hits, own = None, queries.drop("_part")
+            for number in range(groups):
+                part = queries.filter(F.col("_part") == number).drop("_part").toArrow()
+                if part.num_rows:
+                    found, shared = _broadcast_form(own, part, pairs, passages, k, embedding, bounds)
+                    found = durable(found, "hits")
+                    shared.destroy()
+                    hits = found if hits is None else hits.unionByName(found)
         return keep_nearest(hits, k, fan)
 
     bounds = None
-    if every:
+    if every and every > 1:
         last = search(_slice(passages.select("passage_id", "entity_id", embedding), every), None).filter(F.col("pos") == k)
         bounds = durable(last.select(*QUERY, F.col("distance").alias("_bound")), "bounds")
     return search(passages, bounds)
+
+
+def _is_scan(df):
+    """Whether ``df`` only reads, selects and filters stored files."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(name in plan for name in ("Join", "Aggregate", "MapInArrow", "Window", "Generate", "Repartition"))
+

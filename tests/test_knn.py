@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import plan
 
 from passarank.operators import knn
+from passarank.plans import sizing
 from passarank.plans.sizing import durable
 
 PASSAGES = "passage_id string, entity_id string, embedding array<float>"
@@ -44,12 +45,12 @@ def found(df):
     return {(r["request_id"], r["query_idx"], r["pos"], r["passage_id"], r["distance"]) for r in df.collect()}
 
 
-@pytest.fixture(params=["broadcast", "blocked"])
+@pytest.fixture(params=["broadcast", "groups", "blocked"])
 def form(request, monkeypatch):
     """Limits small enough for several blocks, batches and cuts."""
     monkeypatch.setattr(knn, "QUERY_BLOCK", 8)
     monkeypatch.setattr(knn, "PASSAGE_BLOCK", 100)
-    return {"broadcast_queries": 1000 if request.param == "broadcast" else 0}
+    return {"broadcast_queries": {"broadcast": 1000, "groups": 7, "blocked": 0}[request.param]}
 
 
 @pytest.mark.parametrize("k", [1, 10, 2000])
@@ -90,7 +91,7 @@ def test_bounds_of_a_slice_spare_most_hits(spark):
     block = queries.toArrow()
 
     def given_out(bounds):
-        return knn._broadcast_form(queries, block, None, passages, 50, "embedding", bounds).count()
+        return knn._broadcast_form(queries, block, None, passages, 50, "embedding", bounds)[0].count()
 
     best = knn.nearest_passages(queries, passages, 50).filter("pos = 50").select(*knn.QUERY, F.col("distance").alias("_bound"))
     assert given_out(None) == 5 * 50 * passages.rdd.getNumPartitions()
@@ -162,3 +163,24 @@ def test_plans(spark):
     assert scan.count("Exchange") == scan.count("BroadcastExchange") == 1
     for name in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert name not in hits
+
+
+def test_groups_scan_in_place(spark):
+    """More sub-queries than fit one broadcast: the plan moves hits, never the stored passages."""
+    from tests.conftest import plan
+
+    passages = sizing.durable(spark.range(300).select(
+        F.col("id").cast("string").alias("passage_id"), F.lit("e").alias("entity_id"),
+        F.array(*[F.sin(F.col("id") * (i + 1)).cast("float") for i in range(4)]).alias("embedding")))
+    queries = passages.limit(40).select(F.lit("r").alias("request_id"), F.col("passage_id").cast("long").alias("query_idx"), F.lit(40).alias("n_queries"), "embedding")
+    hits = knn.nearest_passages(queries, passages, 3, broadcast_queries=10)
+    text = plan(hits)
+    assert "embedding" not in text and "FlatMapCoGroups" not in text
+    assert found(hits) == found(knn.nearest_passages(queries, passages, 3))
+
+
+def test_missing_components_are_refused(spark):
+    passages = spark.createDataFrame([("a", "e", [1.0, float("nan")])], "passage_id string, entity_id string, embedding array<float>")
+    queries = spark.createDataFrame([("r", 0, 1, [1.0, 0.0])], "request_id string, query_idx int, n_queries int, embedding array<float>")
+    with pytest.raises(Exception, match="non-finite component"):
+        knn.nearest_passages(queries, passages, 1).collect()
