@@ -167,7 +167,7 @@ def _tile_linker(shingle, threshold):
             for t, texts in ((outsiders, outsiders["text"]), (members, members["text"]))
         ]
         # Which members hold each shingle. The outsider's weight on what both hold bounds the similarity.
-        holder = np.repeat(np.arange(members.num_rows), [w[0].size for _, _, w in sides[1]])
+        holder = np.repeat(np.arange(members.num_rows), np.array([w[0].size for _, _, w in sides[1]], np.int64))
         values = np.concatenate([w[0] for _, _, w in sides[1]] or [np.empty(0, np.uint64)])
         order = np.argsort(values, kind="stable")
         holder, values = holder[order], values[order]

@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,16 @@ class FakeScalar:
         return self.value
 
 
+def test_tiles_with_an_empty_side():
+    schema = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("text", pa.string())])
+    text = " ".join(f"w{i}" for i in range(50))
+    one = pa.table([[b"a", b"b"], [b"a", b"b"], [text, "other words altogether"]], schema=schema)
+    two = pa.table([[b"c"], [b"c"], [text + " more"]], schema=schema)
+    link = neardup._tile_linker(5, 0.8)
+    assert link(one, two).to_pylist() == [{"a": b"a", "b": b"c"}]
+    assert link(schema.empty_table(), two).num_rows == link(one, schema.empty_table()).num_rows == 0
+
+
 def test_sketch_estimates_similarity():
     a = " ".join(f"w{i}" for i in range(400))
     b = " ".join(f"w{i}" for i in range(80, 480))
