@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passarank.llm import kernels
 
@@ -202,8 +203,8 @@ def predict(docs, profiles, text_col="text", keep=(), profile=PROFILE):
     if {"lang_pred", "score"} & set(keep):
         raise ValueError("lang_pred and score are names of results")
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(_predictor(profiles, profile), f"{kept}{', ' if kept else ''}lang_pred string, score double")
+    schema = T.StructType(chosen.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    return chosen.mapInArrow(_predictor(profiles, profile), schema)
 
 
 def held_out(id_col="doc_id"):
