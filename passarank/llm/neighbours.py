@@ -16,6 +16,9 @@ from passarank.plans.sizing import durable, small
 TABLES, PROBES, HASHES, SEED = 10, 10, 1, 7
 # Vectors and queries of one bucket that meet in one task; larger buckets are cut into tiles.
 TILE_ROWS, TILE_QUERIES = 16_384, 2_048
+# Unequal norms: rows are hashed in bands of norms this factor wide, and the longest share of all rows meets every query.
+BAND, LONGEST = 1.1, 1 / 32
+_LONG_BUCKET = -1
 _SLICE = 256
 
 
@@ -71,8 +74,25 @@ def matrix(column, size):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _hasher(size, longest, equal_norms, tables, hashes, probes, seed, query):
-    """Arrow batches of (id, vector) to (bucket, id, vector), one row per bucket looked into."""
+def banded(x, norms, width):
+    """Unit rows whose added coordinate is what each norm lacks to the top of its own band.
+
+    Bands end at the powers of ``BAND``, so no row changes how rows of other norms are hashed. Within a band the
+    nearest direction is the largest inner product but for the factor of the band.
+    """
+    place = np.log(norms) / np.log(BAND)
+    share = BAND ** (place - np.floor(place) - 1)
+    unit = np.zeros((len(x), width))
+    unit[:, : x.shape[1]] = x * (share / norms)[:, None]
+    unit[:, x.shape[1]] = np.sqrt(np.maximum(0.0, 1.0 - share**2))
+    return unit
+
+
+def _hasher(size, long, equal_norms, tables, hashes, probes, seed, query):
+    """Arrow batches of (id, vector) to (bucket, id, vector), one row per bucket looked into.
+
+    Of unequal norms, rows longer than ``long`` and all queries also go to a bucket of their own.
+    """
 
     def hashed(batches):
         width = 1 << (size + (not equal_norms) - 1).bit_length() if size > 1 or not equal_norms else 1
@@ -81,17 +101,19 @@ def _hasher(size, longest, equal_norms, tables, hashes, probes, seed, query):
             for start in range(0, batch.num_rows, _SLICE * 8):
                 part = batch.slice(start, _SLICE * 8)
                 x = matrix(part.column(1), size)
-                unit = np.zeros((len(x), width))
                 norms = np.linalg.norm(x, axis=1)
-                unit[:, :size] = x / (norms[:, None] if query or equal_norms else longest)
-                if not query and not equal_norms:
-                    # One more coordinate brings shorter rows to the same length, so that the
-                    # nearest direction is the largest inner product.
-                    unit[:, size] = np.sqrt(np.maximum(0.0, 1.0 - (norms / longest) ** 2))
+                if query or equal_norms:
+                    unit = np.zeros((len(x), width))
+                    unit[:, :size] = x / norms[:, None]
+                else:
+                    unit = banded(x, norms, width)
                 found = buckets(unit, flips, probes if query else 1)
-                rows = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-                taken = part.take(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *taken.columns], ["bucket", "id", "vector"])
+                rows, codes = np.repeat(np.arange(len(x)), found.shape[1]), found.ravel()
+                if not equal_norms:
+                    more = np.arange(len(x)) if query else np.flatnonzero(norms > long)
+                    rows, codes = np.append(rows, more), np.append(codes, np.full(len(more), _LONG_BUCKET))
+                taken = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(codes), *taken.columns], ["bucket", "id", "vector"])
 
     return hashed
 
@@ -174,7 +196,9 @@ def nearest(
     one (the longer of two equally common). A query that the tables give fewer than k rows is
     compared with all rows, so that only fewer candidates than k leave fewer rows.
 
-    Vectors of unequal norm get one more coordinate for hashing (the norm missing to the longest).
+    Vectors of unequal norm get one more coordinate for hashing (the norm missing to the top of a band of norms a
+    factor of ``BAND`` wide); a query looks into the same buckets for all bands, and the rows longer than all but
+    ``LONGEST`` of the table are compared with every query, as their inner products are large in any direction.
     ``tables``, ``probes`` and ``hashes`` (axes per bucket) trade work for recall; a bucket holds about one in
     (2 × dimensions)^hashes rows. Buckets are cut into tiles of at most about ``tile_rows`` rows and
     ``tile_queries`` queries, so a vector that is very common is no larger task than others.
@@ -185,10 +209,10 @@ def nearest(
     )
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = named.dropna(subset=["id", "vector"]).filter(sound & F.exists("vector", lambda x: x != 0))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     shapes = valid.groupBy(F.size("vector").alias("size")).agg(
-        F.count("*").alias("n"),
-        *[f(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias(name)
-          for f, name in ((F.min, "least"), (F.max, "most"))],
+        F.count("*").alias("n"), F.min(norm).alias("least"), F.max(norm).alias("most"),
+        F.percentile_approx(norm, 1 - LONGEST).alias("long"),
     )
     shape = shapes.orderBy(F.desc("n"), F.desc("size")).first()
     if shape is None:
@@ -200,7 +224,7 @@ def nearest(
 
     def placed(df, query):
         looked = probes if equal else probes * 5 // 2  # the added coordinate brings more axes
-        hasher = _hasher(size, shape["most"], equal, tables, hashes, looked, seed, query)
+        hasher = _hasher(size, shape["long"], equal, tables, hashes, looked, seed, query)
         return df.mapInArrow(hasher, f"bucket bigint, id bigint, vector {kind}")
 
     index, asked = placed(plain, False), placed(asking, True)

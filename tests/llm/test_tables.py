@@ -308,6 +308,25 @@ def test_neighbours_recall(spark, scaled):
     assert hits / (20 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one", "lognormal 0.3", "lognormal 0.7", "lognormal 1.5"])
+def test_neighbours_recall_with_far_longer_rows(spark, norms):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, vectors = [r["vec_id"] for r in table], np.array([r["embedding"] for r in table], np.float64)
+    factors = np.ones(len(ids))
+    if norms == "one":
+        factors[7] = 10.0
+    else:
+        factors = np.exp(np.random.default_rng(1).normal(0.0, float(norms.split()[1]), len(ids)))
+    vectors *= factors[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in neighbours.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    asked = [q for q, i in enumerate(ids) if i % 20 == 0]
+    hits = sum(len(found[ids[q]] & {v for v, _ in plain_nearest(ids, vectors, q, 20)}) for q in asked)
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_tiles_do_not_change_the_result(spark):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     one = neighbours.nearest(rows, F.col("vec_id") % 20 == 0).collect()
