@@ -119,23 +119,33 @@ def _hasher(size, long, equal_norms, tables, hashes, probes, seed, query):
 
 
 def best_of(query_ids, queries, ids, vectors, k):
-    """The k largest inner products of each query with other ids: (query, id, score), ties to smaller ids.
+    """The k other ids with the largest inner products for each query: (query, id, score), ties to smaller ids.
 
-    A matrix product picks the rows, the scores of the picked are summed in one fixed order.
+    An id with several vectors counts once, by its largest product. A matrix product picks the rows, the
+    scores of the picked are summed in one fixed order.
     """
     out = [[], [], []]
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
     for start in range(0, len(queries), _SLICE):
         block = slice(start, start + _SLICE)
         rough = queries[block] @ vectors.T
         rough[query_ids[block][:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            limit = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+        if len(starts) > k:
+            by_id = np.maximum.reduceat(rough, starts, axis=1) if len(starts) < len(ids) else rough
+            limit = -np.partition(-by_id, k - 1, axis=1)[:, k - 1]
             slack = 1e-9 * np.maximum(1.0, np.abs(limit))
             picked = (rough >= (limit - slack)[:, None]) & (rough > -np.inf)
         else:
             picked = rough > -np.inf
         row, column = np.nonzero(picked)
         score = np.einsum("ij,ij->i", queries[block][row], vectors[column])
+        order = np.lexsort((-score, ids[column], row))
+        row, column, score = row[order], column[order], score[order]
+        if row.size:
+            once = np.append(True, (np.diff(row) != 0) | (np.diff(ids[column]) != 0))
+            row, column, score = row[once], column[once], score[once]
         order = np.lexsort((ids[column], -score, row))
         row, column, score = row[order], column[order], score[order]
         first = np.searchsorted(row, row, side="left")
@@ -178,9 +188,10 @@ def _scanner(query_ids, queries, size, k):
 
 
 def _ranked(hits, k):
-    """The k best of each query; the same row found in several tables counts once."""
-    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", place).filter(F.col("rank") <= k).distinct()
+    """The k best of each query; an id found in several tables or by several vectors counts once, by its best score."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def nearest(
@@ -193,7 +204,9 @@ def nearest(
     of the vectors as given. Ties go to the smaller id. A row never finds its own id. All rows are
     indexed. Rows with a null id, and null, empty or zero vectors or vectors with a null or
     non-finite component take no part, nor do vectors of another length than the most common
-    one (the longer of two equally common). A query that the tables give fewer than k rows is
+    one (the longer of two equally common). Repeated rows (same id and vector) count once, and ask if one of
+    them does. An id with several vectors keeps them all: it takes one place, with the largest score of any
+    pair of its vectors and the query's. A query that the tables give fewer than k ids is
     compared with all rows, so that only fewer candidates than k leave fewer rows.
 
     Vectors of unequal norm get one more coordinate for hashing (the norm missing to the top of a band of norms a
@@ -218,7 +231,9 @@ def nearest(
     if shape is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     size, equal = shape["size"], shape["least"] >= shape["most"] * (1 - 1e-4)
-    valid = valid.filter(F.size("vector") == size)
+    # Repeated rows would fill buckets and places; the groups are combined before they are shuffled.
+    valid = valid.filter(F.size("vector") == size).groupBy("id", "vector").agg(F.max("asks").alias("asks"))
+    valid = durable(valid, "vectors")
     plain, asking = valid.select("id", "vector"), valid.filter("asks").select("id", "vector")
     kind = valid.schema["vector"].dataType.simpleString()
 

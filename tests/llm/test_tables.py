@@ -346,6 +346,29 @@ def test_neighbour_edge_cases(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    once = neighbours.nearest(rows, F.col("vec_id") % 20 == 0)
+    many = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("again")
+    again = neighbours.nearest(many, F.col("vec_id") % 20 == 0)
+    columns = ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, once.select(columns).collect()))
+
+
+def test_an_id_with_several_vectors_takes_one_place(spark):
+    chance = np.random.default_rng(4)
+    rows = [(i, chance.normal(size=8).tolist()) for i in range(30) for _ in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") < 3, k=25, probes=1000).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for query in range(3):
+        best = {i: max(np.dot(v, w) for q, w in rows if q == query for j, v in rows if j == i) for i in range(30) if i != query}
+        expected = sorted(best.items(), key=lambda b: (-b[1], b[0]))[:25]
+        assert [(r, i) for r, i, _ in sorted(found[query])] == [(r, i) for r, (i, _) in enumerate(expected, 1)]
+        assert [s for *_, s in sorted(found[query])] == pytest.approx([s for _, s in expected])
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(4, 16))
     assert np.linalg.norm(neighbours.hadamard(x), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
