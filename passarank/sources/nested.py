@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 from passarank.plans.prefix import running_total
 from passarank.schemas import NESTED_COURSE
 
+# Children a line for parents without a bound: at some 10 KB a text a line stays near 10 MB.
+LINE_CHILDREN = 1_000
+
+
 def _lists(children, by, child_id):
     """Children as one array per group, in the order of their ids."""
     record = F.struct(*[c for c in children.columns if c != "part"])
@@ -16,10 +20,11 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=None
     """Parents with ``review_stat`` and ``reviews`` (empty if there are none).
 
     The caller chooses the layout, whatever the sizes. Without ``per_line`` every parent takes one line
-    with all its children, which a task must be able to hold. With it a parent takes as many lines as
-    its children fill, in the order of their ids; every line has a ``part``, numbered from 0 without
-    gaps, so every parent has part 0.
+    with all its children, which a row must be able to hold: only for parents with a bound. With it a parent
+    takes as many lines as its children fill, in the order of their ids; every line has a ``part``, numbered
+    from 0 without gaps, so every parent has part 0. Children without a parent's key are in no line.
     """
+    children = children.filter(F.col(key).isNotNull())  # else they gather in a group of their own
     stat = stats.select(F.col(key).alias("id"), F.struct(*stats.columns).alias("review_stat"))
     described = parents.join(stat, "id", "left")
     if per_line is None:

@@ -8,7 +8,7 @@ from passarank.functions import text as X
 from passarank.operators import recommend as R
 from passarank.plans.sizing import scratch_path
 from passarank.schemas import COURSE
-from passarank.sources.nested import nest, read_export, write_export
+from passarank.sources.nested import LINE_CHILDREN, nest, read_export, write_export
 from suite import common as C
 from suite.registry import Registry
 from suite.retrieval import sql_blend
@@ -45,7 +45,7 @@ def course_tables(spark, folder):
 def stored_index(spark, folder):
     """Export, read again, build the four collections."""
     export, index = scratch_path(spark, "export"), scratch_path(spark, "index")
-    write_export(nest(*course_tables(spark, folder)), export)
+    write_export(nest(*course_tables(spark, folder), per_line=LINE_CHILDREN), export)
     W.build_index(read_export(spark, export), index)
     return W.open_index(spark, index)
 

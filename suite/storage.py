@@ -121,7 +121,7 @@ def nested_export_parts(spark, folder):
 def nested_scan(spark, folder):
     """The export written as JSON lines, read with its schema and flattened."""
     path = scratch_path(spark, "export")
-    nested.write_export(_nested_customers(spark, folder), path)
+    nested.write_export(_nested_customers(spark, folder, per_line=nested.LINE_CHILDREN), path)
     back = nested.read_export(spark, path)
     return back.select("id", "course_name", "review_stat.attendance", F.explode_outer("reviews").alias("review")).select(
         "id", "course_name", "attendance", F.col("review.id").alias("review_id"), "review.text"

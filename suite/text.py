@@ -7,7 +7,7 @@ from passarank.functions import text as X
 from passarank.operators import passages as P
 from passarank.operators.embed import DIMENSIONS, embedder
 from passarank.plans.prefix import dense_ids
-from passarank.sources.nested import nest
+from passarank.sources.nested import LINE_CHILDREN, nest
 from suite import common as C
 from suite.registry import Registry
 
@@ -111,7 +111,7 @@ def nested_parts(spark, folder):
     stats = C.table(spark, folder, "part").filter("p_size > 25").select(
         F.col("p_partkey").alias("id"), F.col("p_partkey").alias("course_id"), F.col("p_size").alias("satisfaction")
     )
-    return nest(parents, children, stats)
+    return nest(parents, children, stats, per_line=LINE_CHILDREN)
 
 
 @register("""

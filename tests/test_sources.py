@@ -65,6 +65,28 @@ def test_parts_have_no_gap_and_every_parent_is_indexed(spark):
     assert frames[W.ENTITY].count() == 41 and frames[W.FEEDBACK].count() == 120
 
 
+def test_documents_of_a_hot_source_take_lines_of_bounded_size(spark, tmp_path, monkeypatch):
+    from suite import flows, text
+
+    many = nested.LINE_CHILDREN * 2 + 500
+    docs = spark.range(many + 600).select(
+        F.col("id").alias("doc_id"), F.lit("Some text.").alias("text"),
+        F.when(F.col("id") < many, "src1").when(F.col("id") < many + 300, "src2").alias("source"),
+    )
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(1, 4).select(
+        F.col("id").alias("p_partkey"), F.lit(30).alias("p_size"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")]
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    folder, written = str(tmp_path), []
+    monkeypatch.setattr(flows, "write_export", lambda lines, path: (written.append(lines), nested.write_export(lines, path)))
+    index = flows.stored_index(spark, folder)
+    for lines in (written[0], text.nested_parts(spark, folder)):
+        sizes = {(r["id"], r["part"]): r["n"] for r in lines.select("id", "part", F.size("reviews").alias("n")).collect()}
+        assert sizes == {(1, 0): 1000, (1, 1): 1000, (1, 2): 500, (2, 0): 300, (3, 0): 0}
+    assert index["review"].count() == text.nonempty_feedback(spark, folder).count() == text.nested_texts(spark, folder).count() == many + 300
+    assert index["course"].count() == 3
+
+
 def test_bucket_count_is_read_back(spark):
     path = scratch_path(spark, "reviews")
     many = spark.range(200).select("id", (F.col("id") % 40).alias("course_id"), F.lit("old").alias("text"))
