@@ -6,6 +6,8 @@ the index name a template and a diagonal; around it a local alignment inside a b
 of the template the document holds, and where.
 """
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -109,11 +111,12 @@ class Index:
         return zip(found.tolist(), low[found].tolist(), high[found].tolist())
 
 
-def align(template, text, shift, band):
+def align(template, text, shift, band, needed=0):
     """Local alignment of the template with the words of ``text`` near the diagonal ``shift``.
 
     Cell (i, j) pairs template word i with text word j where |j − i − shift| ≤ band. A match scores 2, a
-    mismatch or a gap −1. Returns (matched words, template start, stop, text start, stop) of the best path.
+    mismatch or a gap −1. Returns (matched words, template start, stop, text start, stop) of the best path
+    with at least ``needed`` matches, or zeros.
     """
     width = 2 * band + 1
     nothing = (0, 0, 0, 0)  # score, matches, template start, text start
@@ -136,7 +139,7 @@ def align(template, text, shift, band):
                 cell = (left[0] - 1, *left[1:])
             if cell[0] > 0:
                 row[c] = cell
-                if cell[0] > best[0]:
+                if cell[0] > best[0] and cell[1] >= needed:
                     best = (*cell[:2], cell[2], i + 1, cell[3], j + 1)
         before = row
     return best[1:]
@@ -175,25 +178,53 @@ def _scanner(names, templates, gram, window, band, coverage):
 
 
 def spans(index, lists, text, hits, band, coverage):
-    """Matches (template, coverage, matched words, start, stop) of one document, without overlaps per template."""
+    """Matches (template, coverage, matched words, start, stop) of one document, without overlaps per template.
+
+    Diagonals at most ``band`` apart are aligned together, in cells that hold the full band of each. What a
+    match leaves of their words before and after it is aligned again until nothing reaches the coverage.
+    """
     diagonals = {}
     for place, low, high in hits:
         for number, at in index.entries[low:high]:
-            diagonals.setdefault(number, []).append(place - at)
+            diagonals.setdefault(number, set()).add(place - at)
+    more = (band + 1) // 2
     for number, found in sorted(diagonals.items()):
-        template, done = lists[number], []
+        template, starts, stops = lists[number], [], []
+        needed = coverage * len(template) if len(template) >= SHORT else len(template)
+
+        def best(low, high, shift, width, least):
+            low, high = max(low, shift - width), min(high, shift + width + len(template))
+            if high - low < least:
+                return None
+            matched, first, _, start, stop = align(template, text[low:high], shift - low, width, least)
+            return (matched, low + start, low + stop, low + start - first) if matched else None
+
         last = None
         for shift in sorted(found):
             if last is not None and shift - last <= band:
-                continue  # inside the band of the diagonal just aligned
+                continue  # aligned with the diagonal before
             last = shift
-            low = max(0, shift - band)
-            window = text[low : shift + len(template) + band + 1]
-            matched, i0, i1, j0, j1 = align(template, window, shift - low, band)
-            needed = coverage * len(template) if len(template) >= SHORT else len(template)
-            if matched >= needed and not any(low + j0 < stop and start < low + j1 for start, stop in done):
-                done.append((low + j0, low + j1))
-                yield number, matched / len(template), matched, low + j0, low + j1
+            # The free stretches of the words that the cells reach, the first one on top.
+            low, high = max(0, shift - band), min(len(text), shift + band + 2 * more + len(template))
+            left = []
+            for at in range(bisect.bisect_right(stops, low), bisect.bisect_left(starts, high)):
+                left.append((low, starts[at]))
+                low = stops[at]
+            left = [*left, (low, high)][::-1]
+            while left:
+                low, high = left.pop()
+                match = best(low, high, shift + more, band + more, needed)
+                if match is None:
+                    continue
+                # Aligned around its own diagonal it is not cut where these cells or words end.
+                at = bisect.bisect_left(starts, match[1])
+                free = stops[at - 1] if at else 0, starts[at] if at < len(starts) else len(text)
+                matched, start, stop, _ = best(*free, match[3], band, match[0]) or match
+                at = bisect.bisect_left(starts, start)
+                starts.insert(at, start)
+                stops.insert(at, stop)
+                yield number, matched / len(template), matched, start, stop
+                left += [(max(low, stop), high), (low, min(high, start))]
 
 
 def scan(

@@ -347,6 +347,20 @@ def test_alignment_of_edited_templates(spark):
     assert one_by_one.count() == len(found)
 
 
+@pytest.mark.parametrize("times", [1, 2, 20])
+@pytest.mark.parametrize("between", ["", " x", " and more words follow here"])
+def test_adjacent_short_notices_are_all_found(spark, times, between):
+    names = ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"]
+    docs = spark.createDataFrame([(i, "before " + (licenses.TEMPLATES[n] + between + " ") * times) for i, n in enumerate(names)], "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in licenses.scan(docs, {n: licenses.TEMPLATES[n] for n in names}).collect():
+        assert r["license"] == names[r["id"]] and r["coverage"] == 1.0
+        found[r["id"]].append((r["start_word"], r["stop_word"]))
+    for i, name in enumerate(names):
+        size, step = len(words_of(licenses.TEMPLATES[name])), len(words_of(licenses.TEMPLATES[name] + between))
+        assert sorted(found[i]) == [(1 + k * step, 1 + k * step + size) for k in range(times)]
+
+
 def test_license_lines_of_documents(spark):
     found = licenses.scan(documents(spark)).collect()
     lines = {"Apache-2.0": "apache license", "MIT": "mit license", "GPL-3.0": "gnu general public license", "CC-BY-NC-4.0": "cc by nc 4 0"}
