@@ -27,7 +27,7 @@ def near_duplicates(spark, docs, folder):
 
 def benchmark(spark, docs, folder):
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_leaks(docs, table(spark, folder, "benchmark"))
+    return decontaminate.without_leaks(docs, table(spark, folder, "benchmark"), short_items=True)
 
 
 def mix(spark, docs, folder):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passarank.plans.sizing import durable, small
 
-# Edits allowed per character of an item, and the shortest item that is looked for.
+# Edits allowed per character of an item, and the shortest item that may have any.
 BUDGET, LEAST_CHARS = 0.08, 24
 # Characters of items that one automaton holds; more items take further passes over the documents.
 BLOCK_CHARS = 1 << 19
@@ -70,13 +70,18 @@ class Pattern:
         return found
 
 
-def _finder(items, budget):
+def whole_words(text, start, stop):
+    """Whether no word runs over the borders of the stretch."""
+    return not any(0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum() for at in (start, stop))
+
+
+def _finder(items, budget, least_chars):
     """Arrow batches of (id, key, text) to hits (id, key, item, distance, start, stop)."""
 
     def find(batches):
         import ahocorasick
 
-        edits = [allowed(len(text), budget) for text in items]
+        edits = [allowed(len(text), budget) if len(text) >= least_chars else 0 for text in items]
         patterns, mirrored = {}, {}
         where, automaton = {}, ahocorasick.Automaton()
         for number, text in enumerate(items):
@@ -89,6 +94,8 @@ def _finder(items, budget):
         def check(text, number, starts):
             """The best hit of one item whose pieces suggest these starts."""
             size, slack, found = len(items[number]), edits[number], None
+            if size < least_chars:
+                return next(((0, at, at + size) for at in sorted(starts) if whole_words(text, at, at + size)), None)
             if number not in patterns:
                 patterns[number] = Pattern(items[number])
                 mirrored[number] = Pattern(items[number][::-1])
@@ -134,14 +141,15 @@ def _finder(items, budget):
 
 def find_leaks(
     docs, items, id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text",
-    budget=BUDGET, least_chars=LEAST_CHARS, block_chars=BLOCK_CHARS,
+    budget=BUDGET, least_chars=LEAST_CHARS, block_chars=BLOCK_CHARS, short_items=False,
 ):
     """One row per document and test item that occurs in it within the item's edit budget.
 
     Columns: ``id``, ``key`` (digest of the document's text), ``item_id``, ``distance`` (the least number
     of edits), ``start`` and ``stop`` (the stretch, in characters of the lower-cased text with single
     blanks). The budget is ``budget`` × the item's length, rounded down. Null and empty documents hold
-    no item; null items and items of fewer than ``least_chars`` characters are not looked for.
+    no item; null items and items without a character are not looked for. Items of fewer than ``least_chars``
+    characters are looked for with ``short_items`` only: whole words without any edit, the first place counts.
     Repeated documents are reported each; a repeated item counts once. Other columns do not matter.
 
     Items go through in blocks of bounded size, each one pass over the documents; nothing is shuffled.
@@ -160,9 +168,9 @@ def find_leaks(
     for number in range(blocks):
         block = [r for r in stored.filter(F.pmod("part", F.lit(blocks)) == number).select("item_id", "text").collect()]
         block = [(r["item_id"], plain(r["text"])) for r in block]
-        block = [(name, text) for name, text in block if len(text) >= least_chars]
+        block = [(name, text) for name, text in block if len(text) >= (1 if short_items else least_chars)]
         hits = pairs.mapInArrow(
-            _finder([text for _, text in block], budget),
+            _finder([text for _, text in block], budget, least_chars),
             f"id {id_type.simpleString()}, key binary, item bigint, distance bigint, start bigint, stop bigint",
         )
         schema = f"item bigint, item_id {item_type.simpleString()}"

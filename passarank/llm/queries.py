@@ -28,7 +28,7 @@ def op9_minhash_near_duplicates(spark, folder):
 @query()
 def op10_benchmark_leaks(spark, folder):
     """Every benchmark item that occurs in a document, with the least number of edits and the stretch."""
-    leaks = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    leaks = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), short_items=True)
     return leaks.select(F.col("id").alias("doc_id"), "item_id", "distance", "start", "stop")
 
 

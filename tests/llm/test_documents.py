@@ -312,6 +312,24 @@ def test_leak_edge_cases(spark):
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark, tmp_path):
+    import corpus_pipeline
+    from passarank.llm import queries
+
+    long = "a passage that is certainly long enough to be looked for"
+    rows = [(1, "A  Short\nitem."), (2, "a short items"), (3, "ja short item"), (4, "a shirt item"), (5, "a short items, a short item"), (6, long[:-1] + "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "a short item"), (2, long), (3, " "), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = decontaminate.find_leaks(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")), short_items=True).collect()
+    assert sorted((r["id"], r["item_id"], r["distance"]) for r in found) == [(1, 1, 0), (5, 1, 0), (6, 2, 1)]
+    assert {r["id"]: (r["start"], r["stop"]) for r in found if r["item_id"] == 1} == {1: (0, 12), 5: (15, 27)}
+    assert queries.QUERIES["op10_benchmark_leaks"](spark, str(tmp_path)).count() == 3
+    left = corpus_pipeline.benchmark(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4]
+
+
 # ---------------------------------------------------------------- licenses
 
 
