@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from passarank.llm import decontaminate, langid, licenses, mixing, neardup, neighbours, sharding, toxicity, urlfilter, warc
+from passarank.llm import decontaminate, langid, licenses, mixing, neardup, neighbours, repeats, runs, sharding, shallot, toxicity, urlfilter, warc
 from passarank.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -129,3 +129,92 @@ def op6_url_verdicts(spark, folder):
 def op8_license_spans(spark, folder):
     """Every license notice in the documents, with its coverage and stretch."""
     return licenses.scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op11_periodic_runs(spark, folder):
+    """Every document's runs of repeated word sequences, some documents made periodic before."""
+    return runs.periodic_runs(table(spark, folder, "documents"), rewrite=10, whole=False).withColumnRenamed("id", "doc_id")
+
+
+def _clusters_sql(count=8, rounds=10, seed=3, dimensions=64, scale=1024):
+    """Plain rounds of assignment and update, one after another."""
+    parts = [
+        f"""
+kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS parts
+    FROM embeddings
+    WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {dimensions}
+), components AS MATERIALIZED (
+    SELECT row_no, unnest(parts) AS value, unnest(range({dimensions})) AS place FROM kept
+), chosen AS (
+    SELECT row_no, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, parts) - 1 AS cluster FROM kept
+), centroids_0 AS MATERIALIZED (
+    SELECT cluster, place, value FROM chosen JOIN components USING (row_no) WHERE cluster < {count}
+)"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""
+near_{r} AS MATERIALIZED (
+    SELECT row_no, cluster, distance FROM (
+        SELECT row_no, cluster, CAST(sum((v.value - c.value) * (v.value - c.value)) AS BIGINT) AS distance
+        FROM components v JOIN centroids_{r} c ON v.place = c.place GROUP BY row_no, cluster
+    ) QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY distance, cluster) = 1
+)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""
+centroids_{r + 1} AS MATERIALIZED (
+    SELECT c.cluster, c.place, CASE WHEN n IS NULL THEN c.value ELSE (total - ((total % n) + n) % n) // n END AS value
+    FROM centroids_{r} c LEFT JOIN (
+        SELECT cluster, place, CAST(sum(value) AS BIGINT) AS total, count(*) AS n FROM near_{r} JOIN components USING (row_no) GROUP BY cluster, place
+    ) m ON m.cluster = c.cluster AND m.place = c.place
+)"""
+            )
+    return (
+        "WITH " + ",".join(parts) + f"""
+SELECT vec_id, CAST(f.cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near_{rounds} f JOIN kept USING (row_no) JOIN (
+    SELECT cluster, sha256(string_agg(CAST(value AS BIGINT), ',' ORDER BY place)) AS centroid_sha256 FROM centroids_{rounds} GROUP BY cluster
+) d ON d.cluster = f.cluster
+"""
+    )
+
+
+@query(_clusters_sql())
+def op12_shallot_clusters(spark, folder):
+    """Every usable vector's cluster after ten rounds, with exact distances and sums."""
+    return shallot.clusters(table(spark, folder, "embeddings"))[0].withColumnRenamed("id", "vec_id")
+
+
+REPEATS_SQL = r"""
+WITH split AS (
+    SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS doc, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+    FROM documents
+), windows AS (
+    SELECT doc, start, hash(list_slice(words, start, start + 19)) AS name, list_slice(words, start, start + 19) AS held
+    FROM (SELECT doc, words, unnest(range(1, len(words) - 18)) AS start FROM split)
+), later AS (
+    SELECT doc, start FROM (
+        SELECT doc, start, row_number() OVER (PARTITION BY name, held ORDER BY doc, start) AS nth FROM windows
+    ) WHERE nth > 1
+), covered AS (
+    SELECT DISTINCT doc, start + unnest(range(20)) AS place FROM later
+), kept AS (
+    SELECT doc, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n_kept
+    FROM (SELECT doc, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split) ANTI JOIN covered USING (doc, place)
+    GROUP BY doc
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc)
+"""
+
+
+@query(REPEATS_SQL)
+def op13_first_occurrences(spark, folder):
+    """Every document without the words of 20-word windows that occur earlier."""
+    return repeats.without_repeats(table(spark, folder, "documents"), whole=False).withColumnRenamed("id", "doc_id")
