@@ -70,12 +70,13 @@ def suffix_order(symbols, depth):
 class Index:
     """Search in symbols 0 to ``distinct`` - 1 for patterns of at most ``depth`` symbols.
 
-    The order of suffixes beyond ``depth`` symbols does not matter to such patterns.
+    The first symbol is 0, which patterns do not hold. The order of suffixes beyond ``depth`` symbols
+    does not matter to such patterns.
     """
 
     def __init__(self, symbols, distinct, depth):
         self.order = suffix_order(symbols, depth + 1)
-        # What precedes the first place is taken as the last symbol, as in a circle.
+        # The last symbol comes before the 0 at the front, as in a circle, where no pattern meets it.
         self.wavelet = Wavelet(symbols[self.order - 1], distinct)
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=distinct))])
 
