@@ -8,15 +8,40 @@ from passarank.fixed_values import ATTACHMENT_MARKER, ATTENDANCE_SCALE, COURSE_C
 from passarank.functions import html as H
 from passarank.functions import text as X
 from passarank.functions.scores import encode_label, round_half_even
+from passarank.plans.explode import exploded, once
 from passarank.schemas import STAT_FIELDS
 
 
+def with_elements(df, source, tag, out):
+    """Add an array column with the inner sources of all ``<tag>`` elements of a source column, nested ones
+    included, in page order: ``functions.html.elements`` step by step."""
+    found = df
+    for name, step in H.element_stages(source, tag):
+        found = found.withColumn(name, step(F.col))
+    return once(found.drop(out), out, F.col("_found")).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+
+
 def page_rows(pages, row_tag="tr", cell_tag="td", html="html"):
     """One row per repeated element: its position on the page, its source and its cells."""
     others = [c for c in pages.columns if c != html]
-    return pages.select(*others, F.posexplode(H.elements(F.col(html), row_tag)).alias("row_no", "source")).withColumn(
-        "cells", H.elements(F.col("source"), cell_tag)
-    )
+    rows = with_elements(pages, html, row_tag, "_rows")
+    return with_elements(exploded(rows, others, F.col("_rows"), "row_no", "source"), "source", cell_tag, "cells")
+
+
+def with_paths(df, source, **paths):
+    """Add an array column per name with the inner sources of the elements at a path of children, in page order.
+
+    A path is written as for ``functions.html.steps``; one that leads nowhere gives an empty array, a null
+    source null. The source is cut once for all paths, and steps are columns one after another, so that
+    long paths stay a flat plan.
+    """
+    found = once(df, "_tree", H.tree(F.col(source)))
+    for name, path in paths.items():
+        found = found.withColumn("_places", H.whole(F.col("_tree")))
+        for step in H.steps(path):
+            found = found.withColumn("_places", step(F.col("_tree"), F.col("_places")))
+        found = found.withColumn(name, H.inner_at(F.col("_tree"), F.col("_places")))
+    return found.drop("_tree", "_places")
 
 
 def map_cells(rows, positions):
@@ -78,7 +103,7 @@ def review_rows(pages, block, text, badge, html="html"):
     """
     others = [c for c in pages.columns if c != html]
     blocks = F.regexp_extract_all(F.col(html), F.lit(block), F.lit(1))
-    return pages.select(*others, F.posexplode(blocks).alias("review_no", "source")).select(
+    return exploded(pages, others, blocks, "review_no", "source").select(
         *others,
         "review_no",
         H.element_text(H.first_match(F.col("source"), text)).alias("text"),
@@ -86,6 +111,18 @@ def review_rows(pages, block, text, badge, html="html"):
     )
 
 
+def review_rows_at(pages, blocks, text, badges, html="html"):
+    """``review_rows`` by place: ``blocks`` is the path of the blocks on the page, ``text`` and ``badges`` lead
+    from a block to its text and to its badges, the last of which counts."""
+    others = [c for c in pages.columns if c != html]
+    found = with_paths(pages.withColumnRenamed(html, "_html"), "_html", _blocks=blocks)
+    found = exploded(found, others, F.col("_blocks"), "review_no", "_source")
+    found = with_paths(found, "_source", _texts=text, _badges=badges)
+    return found.select(
+        *others, "review_no", H.element_text(F.get("_texts", F.lit(0))).alias("text"), H.last_badge(F.col("_badges")).alias("badge")
+    )
+
+
 def mean_grade(reviews, key, label, scale=GRADE_SCALE, strict=False, out="grade"):
     """Mean of the encoded labels per key, one decimal; keys without reviews give no row."""
     return (
@@ -96,8 +133,8 @@ def mean_grade(reviews, key, label, scale=GRADE_SCALE, strict=False, out="grade"
     )
 
 
-def review_stats(pages, reviews, key, scalars, attendance, html="html", strict=False):
-    """One stat record per page: scalars found by pattern, attendance by label, and the mean grade."""
+def review_stats(pages, reviews, key, scalars, attendance, html="html", strict=False, scale=GRADE_SCALE):
+    """One stat record per page: scalars found by pattern, attendance by label, and the mean grade by ``scale``."""
     facts = pages.select(
         key,
         *[H.number_at(F.col(html), pattern).alias(name) for name, pattern in scalars.items()],
@@ -105,7 +142,7 @@ def review_stats(pages, reviews, key, scalars, attendance, html="html", strict=F
         .cast("double")
         .alias("attendance"),
     )
-    return facts.join(mean_grade(reviews, key, "badge", strict=strict), key).select(key, *STAT_FIELDS)
+    return facts.join(mean_grade(reviews, key, "badge", scale, strict), key).select(key, *STAT_FIELDS)
 
 
 def pivot_stats(facts, key, name, value, names):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passarank.fixed_values import ALLOWED_CHARACTERS, TITLE_SUFFIX
 from passarank.functions import text as X
+from passarank.plans.explode import exploded
 
 
 def nested_texts(nested, field="text"):
@@ -30,11 +31,11 @@ def explode_passages(df, entity, texts, parent=None, keep_empty=False, sep="#"):
     so it needs no global count.
     """
     carried = [parent] if parent else []
-    exploded = df.select(F.col(entity).cast("string").alias("entity_id"), *carried, F.posexplode(texts).alias("pos", "text"))
+    items = exploded(df, [F.col(entity).cast("string").alias("entity_id"), *carried], texts, "pos", "text")
     if not keep_empty:
         # Tested on the raw text: a test of the cleaned one would clean every text twice.
-        exploded = exploded.filter(F.col("text").rlike(f"[{ALLOWED_CHARACTERS}]"))
-    return exploded.select(
+        items = items.filter(F.col("text").rlike(f"[{ALLOWED_CHARACTERS}]"))
+    return items.select(
         F.concat_ws(sep, F.col(parent or "entity_id"), F.col("pos")).alias("passage_id"),
         "entity_id",
         *carried,

@@ -144,7 +144,7 @@ def marker_fields(spark, folder):
 """)
 def capped_lines(spark, folder):
     """A page's first 16 paragraphs (the format's own limit), each led by its first word."""
-    rows = H.elements(F.col("html"), "p")
+    rows = F.regexp_extract_all("html", F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
     syllabus = X.numbered_lines(rows, lambda row: F.regexp_extract(row, r"^\s*(\S+)", 1), lambda row: row)
     return C.table(spark, folder, "pages").select("page_id", syllabus.alias("syllabus"))
 
@@ -232,3 +232,109 @@ def page_text_forms(spark, folder):
         "page_id", "cell", F.element_at(X.words(F.col("cell")), 1).alias("first_word"), X.timeslot(F.col("item")).alias("timeslot"),
         X.room(F.col("item")).alias("room"),
     )
+
+
+# A list page per part. The first row holds a table of its own, a comment, a script and a quoted ">"; the second
+# has no instructor. The twins name what must come out of it.
+CELL = "concat('<td class=\"c\" title=\"1 > 0\">', {0}, '</td>')"
+LIST_PAGE = [
+    "'<TABLE id=list><!-- <tr><td>none</td></tr> --><tr title=\"a>b\"><td></td>'", CELL.format("p_brand"), CELL.format("p_size"),
+    CELL.format("p_type"), CELL.format("'R&amp;D &copy &euro;'"), CELL.format("concat(p_name, '<table><tr><td>', p_size, '</td></tr></table>')"),
+    CELL.format("concat('maker of <b>', p_brand, '</b><script>\"<td>\"</script>')"), CELL.format("'3(4)'"),
+    CELL.format("concat('Mon(', p_size, ') Hall 202\n\nWed(2) Hall 301')"), "'</tr><tr><td></td><td>'", "p_brand",
+    "'</td><td></td><td></td><td></td><td></td><td></td><td></td><td></td></tr></TABLE>'",
+]
+
+
+def _list_pages(spark, folder):
+    source = ", ".join(LIST_PAGE)
+    return C.table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), F.expr(f"concat({source})").alias("html"))
+
+
+@register(r"""
+    WITH cells AS (
+        SELECT *, '<td class="c" title="1 > 0">' AS o, '</td>' AS e, p_name || '<table><tr><td>' || p_size || '</td></tr></table>' AS named FROM part
+    ), rows AS (
+        SELECT p_partkey AS page_id, 0 AS row_no, 10 AS n_cells, '' AS first, '<td></td>' || o || p_brand || e || o || p_size || e || o || p_type || e
+            || o || 'R&amp;D &copy &euro;' || e || o || named || e || o || 'maker of <b>' || p_brand || '</b><script>"<td>"</script>' || e
+            || o || '3(4)' || e || o || 'Mon(' || p_size || ') Hall 202' || chr(10) || chr(10) || 'Wed(2) Hall 301' || e AS source FROM cells
+        UNION ALL SELECT p_partkey, 1, 1, p_size::VARCHAR, '<td>' || p_size || '</td>' FROM cells
+        UNION ALL SELECT p_partkey, 2, 9, '', '<td></td><td>' || p_brand || '</td>' || repeat('<td></td>', 7) FROM cells
+    )
+    SELECT page_id, CAST(row_no AS INT) AS row_no, source, CAST(n_cells AS INT) AS n_cells, first FROM rows
+""")
+def nested_page_rows(spark, folder):
+    """Rows of pages with a table in a cell, a comment, a script and quoted ``>``: by depth, nested ones included."""
+    rows = E.page_rows(_list_pages(spark, folder))
+    return rows.select("page_id", "row_no", "source", F.size("cells").alias("n_cells"), H.cell(F.col("cells"), 0).alias("first"))
+
+
+@register(r"""
+    SELECT p_partkey AS page_id, p_brand AS course_no, p_size::VARCHAR AS course_class, p_type AS course_type, 'R&D © €' AS department,
+        p_name || p_size AS course_name, 'maker of ' || p_brand AS instructor, CAST(3 AS INT) AS credit, 'Mon(' || p_size || ') Wed(2)' AS timeslot,
+        'Hall 202' AS room FROM part
+""")
+def course_list_rows(spark, folder):
+    """Course records of eight cells; rows without an instructor are left out."""
+    cells = {"course_no": 1, "course_class": 2, "course_type": 3, "department": 4, "course_name": 5, "instructor": 7, "credit": 8, "room": 9}
+    return E.course_rows(_list_pages(spark, folder), cells).drop("row_no")
+
+
+# A review page per user: one block per event, the label as last badge, scalars in fixed places.
+EVENT_BLOCK = "concat('<div><div><div><div>no</div><div><div>event <i>', event_id, '</i><br>of &lt;', event_type, '&gt;</div><div><em>x</em><span>old</span><span>&#39;', event_type, '&#39;</span></div></div></div></div></div>')"
+REVIEW_PAGE = (
+    "concat('<body><p>top</p><div id=\"root\"><section>first</section><section><p>', satisfaction, '</p><p>', satisfaction * 2, '</p><em>매번함</em></section>"
+    "<section class=\"wide reviews\">', blocks, '</section></div></body>')"
+)
+
+
+def _review_pages(spark, folder):
+    events = C.table(spark, folder, "events")
+    # One user's page holds all their events, as a landed page would.
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.expr(EVENT_BLOCK).alias("block")))), lambda b: b["block"])
+    users = events.groupBy("user_id").agg(F.array_join(blocks, "").alias("blocks"), F.expr("min(event_id) % 5").alias("satisfaction"))
+    return users.select("user_id", F.expr(REVIEW_PAGE).alias("html"))
+
+
+@register("""
+    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS review_no,
+        'event ' || event_id || 'of <' || event_type || '>' AS text, event_type AS badge FROM events
+""")
+def review_blocks(spark, folder):
+    """Review blocks by their place among the page's elements: the text and the last badge of each."""
+    return E.review_rows_at(_review_pages(spark, folder), "#root > section.reviews > *", "div/div/div[2]/div[1]", "div/div/div[2]/div[2]/span")
+
+
+@register(f"""
+    WITH p AS (SELECT user_id, min(event_id) % 5 AS satisfaction FROM events GROUP BY user_id)
+    SELECT user_id, satisfaction::DOUBLE AS satisfaction, (satisfaction * 2)::DOUBLE AS workload, NULL::DOUBLE AS difficulty,
+        satisfaction::DOUBLE AS delivery, (satisfaction * 2)::DOUBLE AS achievement, grade, 5.0::DOUBLE AS attendance
+    FROM p JOIN ({GRADE_SQL}) USING (user_id)
+""")
+def stat_record(spark, folder):
+    """One stat record per page: scalars, attendance by its label, and the mean of the blocks' grades."""
+    pages = _review_pages(spark, folder)
+    badge = r"(?s)<span>([^<]*)</span></div></div></div></div></div>"
+    reviews = E.review_rows(pages, r"(?s)(<div><div><div><div>no.*?</div></div></div></div></div>)", r"(?s)<div>(event.*?)</div>", badge)
+    first, second = r"<section><p>(.*?)</p>", r"<section><p>.*?</p><p>(.*?)</p>"
+    scalars = {"satisfaction": first, "workload": second, "difficulty": "<b>(.*?)</b>", "delivery": first, "achievement": second}
+    return E.review_stats(pages, reviews, "user_id", scalars, "<em>(매.*?)</em>", scale=EVENT_SCALE)
+
+
+@register(r"""
+    SELECT page_id, 'about ' || page_id AS course_intro, CASE WHEN page_id % 3 <> 0 THEN 'needs ' || page_id || chr(10) || 'or not' END AS prerequisite,
+        CASE WHEN page_id % 3 <> 0 THEN array_to_string(list_transform(range(1, 17), lambda i: i || ': topic ' || (page_id + i) || chr(10)), '') END AS syllabus
+    FROM pages
+""")
+def course_detail_fields(spark, folder):
+    """Intro, prerequisite and the first 16 weeks of detail pages; pages with an attachment have the intro alone."""
+    weeks = "array_join(transform(sequence(1, 20), i -> concat('<tr><td> ', i, '</td><td>topic <b>', page_id + i, '</b></td></tr>')), '')"
+    pages = C.table(spark, folder, "pages").select(
+        "page_id",
+        F.expr(
+            "concat('<div id=intro>about ', page_id, '</div><p id=a>needs ', page_id, '</p><p id=b>or not</p><tbody>', "
+            f"{weeks}, '</tbody>', if(page_id % 3 = 0, '▶ 첨부파일', ''))"
+        ).alias("html"),
+    )
+    patterns = {"intro": "(?s)<div id=intro>(.*?)</div>", "prerequisite_1": "(?s)<p id=a>(.*?)</p>", "prerequisite_2": "(?s)<p id=b>(.*?)</p>", "syllabus": "(?s)<tbody>(.*?)</tbody>"}
+    return E.course_details(pages, patterns)
