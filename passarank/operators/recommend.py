@@ -36,6 +36,13 @@ def recommend(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY
     ``queries`` holds the embedded sub-queries of both aspects. Returns the ranking and the feedback
     passages that support it. The small results of both stages are stored, so nothing runs twice.
     """
+    _, ranking, support = recommend_stages(queries, topic_passages, feedback_passages, k, threshold, topk, **options)
+    return ranking, support
+
+
+def recommend_stages(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY, threshold=fixed.CALLERS_THRESHOLD,
+                     topk=fixed.ENTITIES_RETURNED, **options):
+    """``recommend`` with the first stage's entities before the ranking, for ``outcomes``."""
 
     def of(aspect):
         return queries.filter(F.col("aspect") == aspect).drop("aspect")
@@ -46,7 +53,7 @@ def recommend(queries, topic_passages, feedback_passages, k=fixed.HITS_PER_QUERY
     feedback_hits = durable(feedback_hits, "stage2-hits")
     ranking = durable(blend(first, rank_entities(feedback_hits, topk)), "ranking")
     support = supporting_examples(feedback_hits).join(ranking.select("request_id", "entity_id"), ["request_id", "entity_id"])
-    return ranking, support
+    return first, ranking, support
 
 
 def recommend_texts(sub_queries, topic_passages, feedback_passages, encoder=HashingEncoder, **options):
@@ -54,6 +61,33 @@ def recommend_texts(sub_queries, topic_passages, feedback_passages, encoder=Hash
     return recommend(durable(embed(sub_queries, "text", encoder), "queries").drop("text"), topic_passages, feedback_passages, **options)
 
 
+ANSWERED, NO_TOPIC_HIT, NO_EVALUATED_ENTITY = "answered", "no topic hit", "no evaluated entity"
+
+
+def outcomes(split, first, ranking):
+    """What became of every request: ``split`` with its ``outcome`` and ``n_results``.
+
+    ``split`` is ``parse_split``'s result, ``first`` and ``ranking`` come from ``recommend_stages``. A request without a
+    readable split keeps its state (``unreadable``, ``empty``); the others are ``answered``, have ``no topic hit``, or have
+    topic hits but ``no evaluated entity``, as no entity of theirs has feedback. One row per row of ``split``:
+    requests that are repeated share their outcome.
+    """
+
+    def counted(df, name):
+        # A few rows per request, combined before they are shuffled.
+        return df.groupBy(F.col("request_id").alias("_request")).agg(F.count("*").alias(name))
+
+    found = counted(first, "_topics").join(counted(ranking, "_results"), "_request", "left")
+    state = (
+        F.when(~F.col("valid"), F.col("state")).when(F.col("_topics").isNull(), NO_TOPIC_HIT)
+        .when(F.col("_results").isNull(), NO_EVALUATED_ENTITY).otherwise(ANSWERED)
+    )
+    results = F.when(F.col("valid"), F.coalesce("_results", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return split.join(found, F.col("request_id").cast("string").eqNullSafe(F.col("_request")), "left").select(
+        *split.columns, state.alias("outcome"), results.alias("n_results")
+    )
+
+
 def documents_by_id(collection, ids, key):
     """Rows of a collection whose id occurs in ``ids``: one join instead of a lookup per id."""
     return collection.join(small(ids.select(key).distinct()), key, "left_semi")

@@ -1,6 +1,7 @@
 """Nested export: one JSON line per parent with its optional stat and its children."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passarank.plans.prefix import running_total
 from passarank.schemas import NESTED_COURSE
@@ -57,7 +58,33 @@ def write_export(nested, path):
     as_json(nested).select("json").write.mode("overwrite").text(path)
 
 
-def read_export(spark, path, schema=NESTED_COURSE, indented=False):
-    """Read an export; ``indented`` reads a single array over many lines, which is one task per file."""
-    nested = spark.read.schema(schema).option("multiLine", indented).json(path)
-    return nested.withColumn("part", F.coalesce("part", F.lit(0)))
+CORRUPT = "_corrupt_line"
+
+
+def _scan(spark, path, schema, indented):
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+    return reader.option("multiLine", indented).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def read_export(spark, path, schema=NESTED_COURSE, indented=False, key="id"):
+    """Read an export; ``indented`` reads a single array over many lines, which is one task per file.
+
+    Only sound lines come out; ``rejected_lines`` has the others.
+    """
+    nested = _scan(spark, path, schema, indented).filter(F.col(CORRUPT).isNull() & F.col(key).isNotNull())
+    return nested.select(*schema.names).withColumn("part", F.coalesce("part", F.lit(0)))
+
+
+def rejected_lines(spark, path, schema=NESTED_COURSE, key="id"):
+    """The lines of an export that ``read_export`` leaves out: ``file``, ``line`` as it stands, and ``state``.
+
+    ``unreadable`` lines are no JSON of the schema, a value of a wrong type included; lines with ``no id`` are, but name
+    no parent. Blank lines count as neither. Nothing of a rejected line reaches the collections; mended lines
+    can be written to a file of their own beside the others.
+    """
+    held = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", held, {"columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), parsed.alias("record"))
+    unreadable = F.col("record").isNull() | F.col(f"record.{CORRUPT}").isNotNull()
+    state = F.when(unreadable, "unreadable").when(F.col(f"record.{key}").isNull(), "no id")
+    return lines.filter(F.trim("line") != "").withColumn("state", state).filter("state is not null").select("file", "line", "state")

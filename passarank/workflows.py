@@ -45,7 +45,10 @@ def courses_from_pages(list_pages, detail_pages, template, patterns, positions=C
 
 
 def index_frames(nested, encoder=HashingEncoder):
-    """The four collections of a nested export, as frames with vectors."""
+    """The four collections of a nested export, as frames with vectors.
+
+    Store ``nested`` first if it is costly to read, as ``build_index`` does: every frame reads it.
+    """
     first_parts = nested.filter(F.coalesce(F.col("part"), F.lit(0)) == 0)
     info = G.entity_document(F.col("course_intro"), F.col("prerequisite"), F.col("syllabus"))
     entities = first_parts.select(
@@ -63,8 +66,8 @@ def index_frames(nested, encoder=HashingEncoder):
 
 
 def build_index(nested, path, encoder=HashingEncoder):
-    """Rebuild the four collections under ``path``."""
-    for name, df in index_frames(nested, encoder).items():
+    """Rebuild the four collections under ``path``; the export is parsed once."""
+    for name, df in index_frames(durable(nested, "nested"), encoder).items():
         collections.rebuild(df, f"{path}/{name}")
 
 
@@ -77,21 +80,34 @@ def answer(index, outputs, encoder=HashingEncoder, raw=False, **options):
     """Answer requests whose split texts are in ``outputs`` (``request_id, output``).
 
     One row per request and recommended course: place, score, the course's fields, its document as
-    ``info`` and its supporting reviews. ``raw`` cleans model output first. Requests that get no answer
-    because their split is unreadable or has an empty list are what ``unanswerable`` returns.
+    ``info`` and its supporting reviews. ``raw`` cleans model output first. Requests can stay without an answer;
+    ``answer_all`` says which and why.
     """
-    if raw:
-        outputs = outputs.withColumn("output", P.clean_output(F.col("output")))
-    queries = sub_queries(parse_split(outputs))
+    return answer_all(index, outputs, encoder, raw, **options)[0]
+
+
+def answer_all(index, outputs, encoder=HashingEncoder, raw=False, **options):
+    """The answers and, one row per request, what became of it: ``outputs`` with ``outcome`` and ``n_results``.
+
+    See ``recommend.outcomes`` for the outcomes. Both come from one search.
+    """
+    split = durable(_split(outputs, raw), "split")
     topic = index[PASSAGE].select("passage_id", "entity_id", "embedding")
     feedback = index[FEEDBACK_PASSAGE].drop("text")
-    ranking, support = R.recommend_texts(queries, topic, feedback, encoder, **options)
+    queries = durable(embed(sub_queries(split), "text", encoder), "queries").drop("text")
+    first, ranking, support = R.recommend_stages(queries, topic, feedback, **options)
     entities = index[ENTITY].withColumnRenamed("text", "info").drop("embedding")
-    return R.enrich(ranking, entities, R.supporting_documents(support, index[FEEDBACK].drop("embedding")))
+    answers = R.enrich(ranking, entities, R.supporting_documents(support, index[FEEDBACK].drop("embedding")))
+    return answers, R.outcomes(split, first, ranking).select(*outputs.columns, "outcome", "n_results")
 
 
-def unanswerable(outputs, raw=False):
-    """The requests that ``answer`` leaves out, with the ``state`` that says why."""
+def _split(outputs, raw):
     if raw:
         outputs = outputs.withColumn("output", P.clean_output(F.col("output")))
-    return parse_split(outputs).filter(~F.col("valid")).select(*outputs.columns, "state")
+    return parse_split(outputs)
+
+
+def unanswerable(outputs, raw=False):
+    """The requests that no search can answer, with the ``state`` that says why; known before any search."""
+    split = _split(outputs, raw)
+    return split.filter(~F.col("valid")).select(*outputs.columns, "state")

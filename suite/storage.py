@@ -137,3 +137,24 @@ def collection_rebuild(spark, folder):
     vectors = C.embedded(passages)
     collections.rebuild(vectors, path)
     return collections.read_collection(spark, path, vectors.schema).drop("embedding")
+
+
+@register("""
+    SELECT CASE c_custkey % 5 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'unreadable' ELSE 'no id' END AS state,
+        CASE c_custkey % 5 WHEN 1 THEN '{"id": ' || c_custkey || ', "course_name": "' || c_name WHEN 2 THEN '{"id": "' || c_name || '"}'
+            ELSE '{"course_name": "' || c_name || '"}' END AS line
+    FROM customer WHERE c_custkey % 5 IN (1, 2, 3)
+    UNION ALL SELECT 'ok', c_custkey || ' ' || c_name FROM customer WHERE c_custkey % 5 IN (0, 4)
+""")
+def nested_rejected(spark, folder):
+    """An export with lines cut off, ids of a wrong type and lines without an id: those, and what is sound."""
+    number = F.col("c_custkey") % 5
+    line = (
+        F.when(number == 1, F.expr("concat('{\"id\": ', c_custkey, ', \"course_name\": \"', c_name)"))
+        .when(number == 2, F.expr("concat('{\"id\": \"', c_name, '\"}')")).when(number == 3, F.expr("concat('{\"course_name\": \"', c_name, '\"}')"))
+        .otherwise(F.expr("concat('{\"id\": ', c_custkey, ', \"course_name\": \"', c_name, '\"}')"))
+    )
+    path = scratch_path(spark, "export")
+    C.table(spark, folder, "customer").select(line.alias("value")).write.text(path)
+    sound = nested.read_export(spark, path).select(F.lit("ok").alias("state"), F.concat_ws(" ", "id", "course_name").alias("line"))
+    return nested.rejected_lines(spark, path).select("state", "line").unionByName(sound)
