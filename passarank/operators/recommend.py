@@ -1,5 +1,7 @@
 """Two-stage recommendation for a batch of requests, and the shapes in which it is shown."""
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -88,9 +90,23 @@ def outcomes(split, first, ranking):
     )
 
 
+# Ids that are written into a lookup's filter; more are joined.
+LISTED_IDS = 1_000
+
+
 def documents_by_id(collection, ids, key):
-    """Rows of a collection whose id occurs in ``ids``: one join instead of a lookup per id."""
-    return collection.join(small(ids.select(key).distinct()), key, "left_semi")
+    """Rows of a collection whose id occurs in ``ids``: one pass instead of a lookup per id.
+
+    Up to ``LISTED_IDS`` ids become a filter of the scan, which skips the row groups of a stored collection whose
+    Bloom filters and ranges hold none of them; more are joined. The rows are the same.
+    """
+    wanted = durable(ids.select(key).distinct(), "ids")
+    listed = [row[key] for row in wanted.filter(F.col(key).isNotNull()).limit(LISTED_IDS + 1).collect()]
+    collection = within(collection, wanted) if key == "entity_id" else within(collection)
+    if len(listed) <= LISTED_IDS:
+        any_of = reduce(lambda a, b: a | b, [F.col(key).isin(listed[i : i + 10]) for i in range(0, len(listed), 10)], F.lit(False))
+        return collection.filter(any_of)
+    return collection.join(small(wanted), key, "left_semi").select(*collection.columns)
 
 
 def supporting_documents(support, feedback):

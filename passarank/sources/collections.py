@@ -1,9 +1,16 @@
-"""Vector collections as bucketed tables."""
+"""Vector collections as bucketed tables, each rebuild a new version that becomes visible at once."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKETS = 64
+from passarank.plans.sizing import input_bytes
+from passarank.sources.snapshots import fresh_folder, publish, snapshot
+
+# Bytes of input a folder stands for, and the most folders there are.
+FOLDER_BYTES, MOST_FOLDERS = 256 << 20, 4096
 ROWS_PER_FILE = 1_000_000
+# Row groups this small, with sorted entity ids and Bloom filters of all ids, let lookups leave most of a file out.
+GROUP_BYTES = 16 << 20
 # The folder column's name tells the number of buckets, so that readers hash as the writer did.
 COLUMN = "bucket_of_"
 
@@ -12,22 +19,35 @@ def _bucket(entity, buckets):
     return F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int")
 
 
-def rebuild(df, path, entity="entity_id", buckets=BUCKETS):
-    """Drop and rewrite a collection, one folder per bucket of entities.
+def folder_count(df):
+    """Folders for a collection made from ``df``, by the bytes that it reads."""
+    return max(1, min(MOST_FOLDERS, -(-input_bytes(df) // FOLDER_BYTES)))
 
-    The rebalance gives each bucket few files and splits the bucket of a hot entity over several
-    tasks. Entity ids are sorted within a file, so row groups can be skipped.
-    """
-    name = f"{COLUMN}{buckets}"
-    (
-        df.withColumn(name, _bucket(entity, buckets)).hint("rebalance", name).sortWithinPartitions(name, entity)
-        .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(name).parquet(path)
-    )
 
+def rebuild(df, path, entity="entity_id", buckets=None, group_bytes=GROUP_BYTES):
+    """Write a collection anew, one folder per bucket of entities, and make it the one that readers open.
 
-def read_collection(spark, path, schema, with_bucket=False):
-    """Read a collection; ``with_bucket`` keeps the folder column, by which ``within`` can prune."""
-    collection = spark.read.schema(schema).parquet(path)
+    ``buckets`` is taken from the size of the input if it is left out. The rebalance gives each bucket few files
+    and splits the bucket of a hot entity over several tasks. Entity ids are sorted within a file, and every id
+    column has a Bloom filter, so lookups skip row groups. The version before stays readable; see ``snapshots``.
+    """
+    spark, buckets = df.sparkSession, buckets or folder_count(df)
+    name = f"{COLUMN}{buckets}"
+    number, folder = fresh_folder(spark, path)
+    writer = df.withColumn(name, _bucket(entity, buckets)).hint("rebalance", name).sortWithinPartitions(name, entity).write
+    for column in df.columns:
+        if column.endswith("_id"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer = writer.option("parquet.block.size", group_bytes).option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.partitionBy(name).parquet(f"{path}/{folder}")
+    publish(spark, path, number, {"": folder, "buckets": name})
+
+
+def read_collection(spark, path, schema, with_bucket=False, version=None):
+    """Read a collection's newest version; ``with_bucket`` keeps the folder column, by which ``within`` can prune."""
+    found = snapshot(spark, path, version).folders
+    whole = T.StructType([*schema.fields, T.StructField(found["buckets"], T.IntegerType())])
+    collection = spark.read.schema(whole).parquet(f"{path}/{found['']}")
     return collection if with_bucket else collection.select(*schema.names)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from passarank.plans.sizing import durable, small
+from passarank.sources.snapshots import bucket_folders, fresh_folder, publish, snapshot
 
 BUCKETS = 1024
 # The folder column's name tells the number of buckets.
@@ -43,7 +44,7 @@ def replace_children(existing, parents, children, key):
     that is cheap; else the join is shuffled and adaptive execution splits a hot parent's rows.
     Write the result to a fresh path: a table cannot be overwritten while it is read.
     """
-    replaced = small(parents.select(key).distinct())
+    replaced = small(durable(parents.select(key).distinct(), "parents"))
     return existing.join(replaced, key, "left_anti").select(*existing.columns).unionByName(children)
 
 
@@ -52,39 +53,43 @@ def _bucketed(df, key, column):
 
 
 def store_children(children, path, key, buckets=BUCKETS):
-    """Store children in one folder per bucket of parents, for replacement in place.
+    """Store children in one folder per bucket of parents, as the next version of the table at ``path``."""
+    number, folder = fresh_folder(children.sparkSession, path)
+    publish(children.sparkSession, path, number, _written(children, path, folder, key, f"{COLUMN}{buckets}"))
 
-    Every bucket is given one row without a parent: it names the folders, and so the number of buckets,
-    also where there are no children. ``scan_children`` skips those rows.
-    """
-    column = f"{COLUMN}{buckets}"
-    rows = _bucketed(children, key, column).unionByName(_empty(children.sparkSession, children.schema, column, range(buckets)))
-    rows.hint("rebalance", column).write.partitionBy(column).parquet(path)
 
+def _written(rows, path, folder, key, column):
+    """Write rows by bucket; the folders of all buckets, those without rows as null."""
+    _bucketed(rows, key, column).hint("rebalance", column).write.partitionBy(column).parquet(f"{path}/{folder}")
+    buckets = int(column.removeprefix(COLUMN))
+    return {str(n): None for n in range(buckets)} | bucket_folders(rows.sparkSession, path, folder, column)
 
-def _empty(spark, schema, column, numbers):
-    return spark.createDataFrame([(n,) for n in numbers], f"{column} int").select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], column
-    )
 
+def scan_children(spark, path, schema, key, version=None):
+    """The children of the newest version, or of one given by number."""
+    found = snapshot(spark, path, version)
+    return _read_folders(spark, path, schema, found.folders.values()).filter(F.col(key).isNotNull())
 
-def scan_children(spark, path, schema, key):
-    return spark.read.schema(schema).parquet(path).select(*schema.names).filter(F.col(key).isNotNull())
+
+def _read_folders(spark, path, schema, folders):
+    stored = [f"{path}/{folder}" for folder in folders if folder]
+    if not stored:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*stored).select(*schema.names)
 
 
 def replace_stored_children(spark, path, schema, parents, children, key):
-    """``replace_children`` in place: only the buckets of the parents concerned are read and rewritten.
+    """``replace_children`` of a stored table: only the buckets of the parents concerned are read and written anew.
 
-    The number of buckets is the one the children were stored with, read from the folders' name.
+    All at once or not at all: the next version names the new folders of these buckets and the old ones
+    of all others. Returns the new version's number.
     """
-    stored = spark.read.schema(schema).option("basePath", path).parquet(path)
-    column = next(c for c in stored.columns if c.startswith(COLUMN))
+    old = snapshot(spark, path)
+    column = f"{COLUMN}{len(old.folders)}"
     concerned = _bucketed(parents.select(key).unionByName(children.select(key)), key, column).select(column).distinct()
-    numbers = [row[column] for row in concerned.collect()]  # at most one number per bucket
-    old = stored.filter(F.col(column).isin(numbers) & F.col(key).isNotNull()).select(*schema.names)
-    kept = _bucketed(replace_children(old, parents, children, key), key, column)
-    rewritten = kept.unionByName(_empty(spark, schema, column, numbers))
-    (
-        durable(rewritten, "children").hint("rebalance", column)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
-    )
+    numbers = [str(row[column]) for row in concerned.collect()]  # at most one number per bucket
+    kept = _read_folders(spark, path, schema, [old.folders[n] for n in numbers]).filter(F.col(key).isNotNull())
+    number, folder = fresh_folder(spark, path)
+    written = _written(replace_children(kept, parents, children, key), path, folder, key, column)
+    publish(spark, path, number, old.folders | {n: written[n] for n in numbers})
+    return number

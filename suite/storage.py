@@ -65,6 +65,24 @@ def replace_children_in_place(spark, folder):
     return tables.scan_children(spark, path, labels.schema, "doc_id")
 
 
+@register("""
+    SELECT 1 AS version, doc_id, quality, toxic FROM labels
+    UNION ALL SELECT 2, doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0
+    UNION ALL SELECT 3, doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 1
+    UNION ALL SELECT 3, doc_id, 7, 7 FROM labels WHERE doc_id % 4 = 1
+""")
+def replaced_versions(spark, folder):
+    """Children replaced twice: all three versions."""
+    labels, path = C.table(spark, folder, "labels"), scratch_path(spark, "labels")
+    tables.store_children(labels, path, "doc_id", buckets=16)
+    third, fourth = labels.filter("doc_id % 3 = 0"), labels.filter("doc_id % 4 = 1")
+    tables.replace_stored_children(spark, path, labels.schema, third, third.limit(0), "doc_id")
+    fresh = fourth.select("doc_id", F.lit(7).cast("int").alias("quality"), F.lit(7).cast("int").alias("toxic"))
+    tables.replace_stored_children(spark, path, labels.schema, fourth, fresh, "doc_id")
+    versions = [tables.scan_children(spark, path, labels.schema, "doc_id", n).select(F.lit(n).alias("version"), "*") for n in (1, 2, 3)]
+    return versions[0].unionByName(versions[1]).unionByName(versions[2])
+
+
 def _nested_customers(spark, folder, per_line=None):
     """Customers with their orders; those with a debt have no stat."""
     customers, orders = C.table(spark, folder, "customer"), C.table(spark, folder, "orders")
