@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from passarank.plans.sizing import durable
+from passarank.plans.sizing import durable, input_bytes, is_narrow
 
 
 ROWS_PER_TASK = 4_000_000
@@ -64,7 +64,33 @@ def running_total(df, value, out, order, keys=(), rows_per_task=ROWS_PER_TASK):
     return running_totals(df, {out: value}, order, keys, rows_per_task)
 
 
-def dense_ids(df, order, out="row_id", rows_per_task=ROWS_PER_TASK):
-    """Number the rows 0, 1, 2, … in the given order and return the number as a string."""
-    numbered = running_total(df, F.lit(1), "_row", order, (), rows_per_task)
-    return numbered.select(*df.columns, (F.col("_row") - 1).cast("string").alias(out))
+# Bytes of input that a range stands for when rows are numbered; ranges grow in number with the input.
+RANGE_BYTES = 64 << 20
+_PARTITION = (1 << 33) - 1  # the part of a generated id that counts within a partition
+
+
+def numbered(df, order, out, first=0, ranges=None):
+    """Number the rows from ``first`` on in the given order, as a long; ``order`` must identify a row.
+
+    Pass one sorts the input by ranges and stores each row with its range and its place there. Pass two
+    adds where the range begins: the driver holds one count per range. No task sees more than a range, at any
+    size. Finding the ranges reads the input as well, so one that is more than a scan and row-wise work is stored first.
+    """
+    spark = df.sparkSession
+    stored = df if is_narrow(df) else durable(df, "unnumbered")
+    ranges = ranges or max(-(-input_bytes(stored) // RANGE_BYTES), spark.sparkContext.defaultParallelism)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PARTITION))
+    by_range = stored.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    by_range = durable(by_range.select("*", F.spark_partition_id().alias("_range"), place.alias("_place")), "ranges")
+    begins, total = [], first
+    for row in by_range.groupBy("_range").count().orderBy("_range").collect():
+        begins.append((row["_range"], total))
+        total += row["count"]
+    begins = F.broadcast(spark.createDataFrame(begins, "_of int, _begin long"))
+    number = (F.col("_place") + F.col("_begin")).alias(out)
+    return by_range.join(begins, F.col("_range") == F.col("_of")).select(*[F.col(f"`{c}`") for c in df.columns if c != out], number)
+
+
+def dense_ids(df, order, out="row_id", ranges=None):
+    """``numbered`` from 0 on, the number as a string."""
+    return numbered(df, order, out, 0, ranges).withColumn(out, F.col(out).cast("string"))

@@ -79,6 +79,13 @@ def input_bytes(df):
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
+def is_narrow(df):
+    """Whether ``df`` only reads stored files and works row by row in the JVM, so that reading it twice is cheap."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    moving = ("Join", "Aggregate", "Window", "Repartition", "RebalancePartitions", "Sort ", "Limit", "InArrow", "Python", "InPandas", "LogicalRDD")
+    return not any(name in plan for name in moving)
+
+
 def spread(df):
     """Deal out the rows of an input that is too small to give every core a file split.
 

@@ -1,9 +1,11 @@
 """Nested export: one JSON line per parent with its optional stat and its children."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passarank.plans.prefix import running_total
+from passarank.plans.sizing import durable
 from passarank.schemas import NESTED_COURSE
 
 # Children a line for parents without a bound: at some 10 KB a text a line stays near 10 MB.
@@ -17,24 +19,25 @@ def _lists(children, by, child_id):
     return children.groupBy(*by).agg(ordered.alias("_children")).withColumn("reviews", F.col("_children._child")).drop("_children")
 
 
-def nest(parents, children, stats, key="course_id", child_id="id", per_line=None):
+def nest(parents, children, stats, key="course_id", child_id="id", per_line=None, line_bytes=None, text="text"):
     """Parents with ``review_stat`` and ``reviews`` (empty if there are none).
 
-    The caller chooses the layout, whatever the sizes. Without ``per_line`` every parent takes one line
-    with all its children, which a row must be able to hold: only for parents with a bound. With it a parent
-    takes as many lines as its children fill, in the order of their ids; every line has a ``part``, numbered
-    from 0 without gaps, so every parent has part 0. Children without a parent's key are in no line.
+    The caller chooses the layout, whatever the sizes. Without ``per_line`` or ``line_bytes`` every parent takes one
+    line with all its children, which a row must be able to hold: only for parents with a bound. With ``per_line``
+    a parent takes as many lines as its children fill, in the order of their ids; with ``line_bytes`` a line ends with
+    the child whose ``text`` reaches the next multiple of that many bytes, so it holds less than that many
+    beyond its last child. Every line then has a ``part``, numbered from 0 without gaps, so every parent has
+    part 0. Children without a parent's key are in no line.
     """
     children = children.filter(F.col(key).isNotNull())  # else they gather in a group of their own
     stat = stats.select(F.col(key).alias("id"), F.struct(*stats.columns).alias("review_stat"))
     described = parents.join(stat, "id", "left")
-    if per_line is None:
+    if per_line is None and line_bytes is None:
         lists = _lists(children, [key], child_id).withColumnRenamed(key, "id")
         lines, columns = described.join(lists, "id", "left"), [*parents.columns, "review_stat", "reviews"]
     else:
-        numbered = running_total(children, F.lit(1), "_place", [child_id], [key])
-        part = F.floor((F.col("_place") - 1) / per_line).cast("int")
-        lists = _lists(numbered.withColumn("part", part).drop("_place"), [key, "part"], child_id).withColumnRenamed(key, "id")
+        parts = _parts(children, key, child_id, text, per_line, line_bytes)
+        lists = _lists(children.join(parts, [key, child_id]).select(*children.columns, "part"), [key, "part"], child_id).withColumnRenamed(key, "id")
         # The parents go to the lists: moving the lists by parent would gather a hot one's children again.
         first = described.join(lists.filter("part = 0").select("id"), "id", "left_anti").withColumn("part", F.lit(0))
         first = first.withColumn("reviews", F.lit(None).cast(lists.schema["reviews"].dataType))
@@ -44,6 +47,24 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=None
     return lines.withColumn("reviews", F.coalesce("reviews", none)).select(*columns)
 
 
+def _parts(children, key, child_id, text, per_line, line_bytes):
+    """The line that each child goes to: ``key, child_id, part``. Only ids and sizes are put in order, no texts."""
+    if per_line is not None:
+        ids = children.select(key, child_id)
+        return running_total(ids, F.lit(1), "_place", [child_id], [key]).select(
+            key, child_id, F.floor((F.col("_place") - 1) / per_line).cast("int").alias("part")
+        )
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    sizes = children.select(key, child_id, size.alias("_size"))
+    total = running_total(sizes, F.col("_size"), "_total", [child_id], [key])
+    cut = durable(total.select(key, child_id, F.floor((F.col("_total") - F.col("_size")) / line_bytes).alias("_cut")), "cuts")
+    # A text longer than a line skips numbers; the few numbers of a parent are made dense.
+    dense = cut.select(key, "_cut").distinct().withColumn(
+        "part", (F.row_number().over(Window.partitionBy(key).orderBy("_cut")) - 1).cast("int")
+    )
+    return cut.join(dense, [key, "_cut"]).select(key, child_id, "part")
+
+
 def as_json(nested):
     """Add ``json``: missing scalars stay as null, but a missing stat has no key at all."""
 

@@ -11,7 +11,7 @@ from passarank.operators import passages as G
 from passarank.operators import recommend as R
 from passarank.operators.embed import HashingEncoder, embed
 from passarank.operators.requests import parse_split, sub_queries
-from passarank.plans.prefix import running_total
+from passarank.plans.prefix import numbered
 from passarank.plans.sizing import durable
 from passarank.schemas import COURSE, VECTOR
 from passarank.sources import collections
@@ -39,9 +39,8 @@ def courses_from_pages(list_pages, detail_pages, template, patterns, positions=C
     """
     listed = E.detail_urls(E.course_rows(list_pages, positions), template, **slots)
     details = E.course_details(detail_pages.select("url", "html"), patterns)
-    joined = durable(listed.join(details, "url", "left"), "courses")
-    numbered = running_total(joined, F.lit(1), "id", ["page_id", "row_no"])
-    return numbered.withColumn("id", F.col("id") + last_id).select(*COURSE.names)
+    joined = listed.join(details, "url", "left")
+    return numbered(joined, ["page_id", "row_no"], "id", first=last_id + 1).select(*COURSE.names)
 
 
 def index_frames(nested, encoder=HashingEncoder):

@@ -132,6 +132,27 @@ def nested_export_parts(spark, folder):
     return lines.select("id", F.col("part").cast("long").alias("part"), "json")
 
 
+@register("""
+    WITH child AS (SELECT doc_id AS id, try_cast(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS course_id, text, coalesce(strlen(text), 0) AS size FROM documents),
+         cut AS (SELECT *, (sum(size) OVER (PARTITION BY course_id ORDER BY id) - size) // 20000 AS cut FROM child WHERE course_id IS NOT NULL),
+         part AS (SELECT *, dense_rank() OVER (PARTITION BY course_id ORDER BY cut) - 1 AS part FROM cut)
+    SELECT p_partkey AS id, CAST(coalesce(part, 0) AS INT) AS part, CAST(count(c.id) AS INT) AS n_reviews, min(c.id) AS first_id,
+        md5(coalesce(string_agg(text, '' ORDER BY c.id), '')) AS texts_md5
+    FROM (SELECT p_partkey FROM part_table) p LEFT JOIN part c ON course_id = p_partkey GROUP BY ALL
+""".replace("FROM part_table", "FROM parts").replace("WITH child", "WITH parts AS (FROM main.part), child"))
+def nested_export_bytes(spark, folder):
+    """Lines of some 20,000 bytes of text, whatever the number of children."""
+    documents, part = C.table(spark, folder, "documents"), C.table(spark, folder, "part")
+    children = documents.select(F.col("doc_id").alias("id"), F.regexp_extract("source", r"(\d+)", 1).try_cast("long").alias("course_id"), "text")
+    parents = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("course_name"))
+    stats = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("course_id"))
+    lines = nested.nest(parents, children, stats, line_bytes=20_000)
+    return lines.select(
+        "id", "part", F.size("reviews").alias("n_reviews"), F.array_min("reviews.id").alias("first_id"),
+        F.md5(F.array_join("reviews.text", "")).alias("texts_md5"),
+    )
+
+
 @register("""
     SELECT c_custkey AS id, c_name AS course_name, CASE WHEN c_acctbal >= 0 THEN c_nationkey END::DOUBLE AS attendance, o_orderkey AS review_id, o_orderpriority AS text
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passarank.operators.dialog import histories, history_fold, reset_sessions
 from passarank.plans.prefix import dense_ids, running_total
+from tests.conftest import plan
 
 
 def events(n=3000, seed=1):
@@ -32,9 +33,11 @@ def test_dense_ids_in_blocks(spark):
     rows = events()
     df = spark.createDataFrame(rows, "id long, user int, ts int, reset boolean").repartition(4)
     order = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))]
-    for rows_per_task in (100, 1_000_000):
-        ids = {r["id"]: r["row_id"] for r in dense_ids(df, ["ts", "id"], rows_per_task=rows_per_task).collect()}
-        assert ids == {i: str(n) for n, i in enumerate(order)}
+    for ranges in (30, None):
+        found = dense_ids(df, ["ts", "id"], ranges=ranges)
+        assert {r["id"]: r["row_id"] for r in found.collect()} == {i: str(n) for n, i in enumerate(order)}
+        assert "SinglePartition" not in plan(found) and "Window" not in plan(found)
+    assert dense_ids(df.limit(0), ["ts", "id"]).count() == 0
 
 
 def test_history(spark):

@@ -226,6 +226,24 @@ def test_lookups_skip_row_groups(spark):
         assert read_rows(found) < 20_000
 
 
+def test_lines_of_bounded_bytes_for_a_hot_parent(spark):
+    sizes = {i: (37 * i) % 900 + 1 for i in range(3000)} | {50: 25_000, 51: 0}
+    children = spark.createDataFrame([(i, 1 if i % 50 else 2, "x" * n) for i, n in sizes.items()], REVIEW).repartition(4)
+    lines = nested.nest(courses(spark), children, stats(spark), line_bytes=5000)
+    rows = lines.select("id", "part", F.col("reviews.id").alias("ids")).collect()
+    for parent in (1, 2, 3):
+        mine = sorted((r["part"], r["ids"]) for r in rows if r["id"] == parent)
+        assert [part for part, _ in mine] == list(range(len(mine)))
+        assert [i for _, ids in mine for i in ids] == [i for i in sizes if parent == (1 if i % 50 else 2)]
+        assert all(sum(sizes[i] for i in ids[:-1]) < 5000 for _, ids in mine)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows share a task
+    try:
+        hot = lines.filter("id = 1").select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert hot > 1
+
+
 def read_rows(df):
     """Rows that the scans of an executed frame gave out."""
     leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
