@@ -39,7 +39,7 @@ def strip_ordinal(text):
 
 def sentences(text):
     """Split a document into sentences at ``. ! ?`` followed by white space."""
-    return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001")
+    return F.split(text, r"(?<=[.!?])\s+")
 
 
 def lines(text):

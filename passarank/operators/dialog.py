@@ -52,9 +52,9 @@ def histories(turns, user, order, is_reset, question="human", answer="ai", block
 
 
 def answer_prompts(turns, context, key, question="human"):
-    """Fill the answer prompt of every turn with its context and history."""
+    """Fill the answer prompt of every turn with its context and history; without a context those slots stay empty."""
     prompt = P.answer_prompt(F.col("info"), F.col("review"), F.col("history"), F.col(question))
-    return turns.join(context, key).withColumn("prompt", prompt)
+    return turns.join(context, key, "left").withColumn("prompt", prompt)
 
 
 def summary_prompts(requests, context, key="request_id", text="text"):

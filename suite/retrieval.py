@@ -6,7 +6,9 @@ from passarank.functions.scores import cosine_distance
 from passarank.operators import fusion as U
 from passarank.operators import recommend as R
 from passarank.operators.knn import nearest_passages
-from passarank.plans.sizing import durable
+from passarank.operators.pruned import Cells, nearest_in_cells, store_cells
+from passarank.plans.sizing import durable, scratch_path
+from passarank.sources import collections
 from suite import common as C
 from suite.registry import Registry
 
@@ -36,6 +38,15 @@ def cosine_knn(spark, folder):
     return nearest_passages(C.vector_queries(spark, folder), C.vector_passages(spark, folder)).select(*HIT_COLUMNS)
 
 
+@register(f"WITH {C.VECTOR_HITS} SELECT {HIT} FROM hits WHERE pos <= 20")
+def knn_pruned(spark, folder):
+    """From a collection stored in cells, of which only those are read that can hold a hit."""
+    path, passages = scratch_path(spark, "cells"), C.vector_passages(spark, folder)
+    store_cells(passages, path, cells=16)
+    hits = nearest_in_cells(C.vector_queries(spark, folder), Cells(spark, path, passages.schema), k=20)
+    return hits.select(*HIT_COLUMNS)
+
+
 @register(f"WITH {C.VECTOR_HITS} SELECT {HIT} FROM hits WHERE pos <= 10")
 def knn_default_hits(spark, folder):
     """No number of hits given."""
@@ -107,6 +118,15 @@ def rank_fusion_topk(spark, folder):
     return U.rank_entities(_kept(spark, folder)).select("request_id", "entity_id", "score", "place")
 
 
+@register(f"""{KEPT_75} SELECT request_id, entity_id, string_agg(passage_id, ',' ORDER BY query_idx, over, place) AS passages
+    FROM kept WHERE over OR place <= 4 GROUP BY ALL""")
+def supporting_map(spark, folder):
+    """One map per request, an entry per entity; its entries as rows."""
+    maps = U.supporting_map(U.supporting_examples(_kept(spark, folder)))
+    rows = maps.select("request_id", F.explode("supporting").alias("entity_id", "passages"))
+    return rows.select("request_id", "entity_id", F.array_join("passages", ",").alias("passages"))
+
+
 @register(f"{KEPT_75} SELECT request_id, entity_id, query_idx, over::INT AS over, place, passage_id FROM kept WHERE over OR place <= 4")
 def supporting_examples(spark, folder):
     examples = U.supporting_examples(_kept(spark, folder))
@@ -236,3 +256,28 @@ def recommend_display(spark, folder):
 def documents_by_id(spark, folder):
     ids = C.table(spark, folder, "labels").filter("toxic = 1")
     return R.documents_by_id(C.table(spark, folder, "documents"), ids, "doc_id").select("doc_id", "source", "n_chars")
+
+
+@register(f"""
+    WITH {TEXT_STAGES}
+    SELECT request_id, entity_id, course_name, course_no, department, info, len(reviews)::VARCHAR AS n_reviews,
+           array_to_string(reviews, chr(10)) AS review FROM enriched WHERE place = 1
+""")
+def evidence_record(spark, folder):
+    """The best result's whole record as context: fields read back out of its JSON."""
+    found = R.evidence(_enriched(spark, folder), whole_record=True)
+    fields = [F.get_json_object("info", f"$.{name}").alias(name) for name in ("entity_id", "course_name", "course_no", "department", "info")]
+    n_reviews = F.json_array_length(F.get_json_object("info", "$.reviews")).cast("string").alias("n_reviews")
+    return found.select("request_id", *fields, n_reviews, "review")
+
+
+@register("""
+    SELECT doc_id::VARCHAR AS feedback_id, source AS entity_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
+def collection_lookup(spark, folder):
+    """Documents by id out of a stored collection."""
+    path, feedback = scratch_path(spark, "collection"), C.documents_as_feedback(spark, folder).select("feedback_id", "entity_id", "text")
+    collections.rebuild(feedback, path)
+    ids = C.table(spark, folder, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("feedback_id"))
+    stored = collections.read_collection(spark, path, feedback.schema, with_bucket=True)
+    return R.documents_by_id(stored, ids, "feedback_id")

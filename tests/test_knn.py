@@ -184,3 +184,37 @@ def test_missing_components_are_refused(spark):
     queries = spark.createDataFrame([("r", 0, 1, [1.0, 0.0])], "request_id string, query_idx int, n_queries int, embedding array<float>")
     with pytest.raises(Exception, match="non-finite component"):
         knn.nearest_passages(queries, passages, 1).collect()
+
+
+def test_cells_leave_out_what_cannot_hit_and_give_the_same_rows(spark):
+    from passarank.operators.pruned import Cells, nearest_in_cells, store_cells
+    from passarank.plans.sizing import scratch_path
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    vectors = [(centres[i % 12] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist() for i in range(1200)]
+    vectors[5], vectors[17], vectors[29] = [0.0] * 16, vectors[29], None
+    passages = spark.createDataFrame([(f"p{i:04d}", f"e{i % 7}", v) for i, v in enumerate(vectors)], "passage_id string, entity_id string, embedding array<float>")
+    asked = [(f"r{i % 3}", i, (centres[i] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3)]
+    queries = spark.createDataFrame(asked, "request_id string, query_idx int, embedding array<float>")
+    path = scratch_path(spark, "cells")
+    store_cells(passages, path, cells=24)
+    cells = Cells(spark, path, passages.schema)
+    read = []
+    open_cells = cells.read
+    cells.read = lambda numbers: read.append(set(numbers)) or open_cells(numbers)
+    columns = ["request_id", "query_idx", "pos", "passage_id", "entity_id", "distance"]
+
+    def same(queries, k):
+        ours = {tuple(r) for r in nearest_in_cells(queries, cells, k).select(*columns).collect()}
+        assert ours == {tuple(r) for r in knn.nearest_passages(queries, passages, k).select(*columns).collect()}
+
+    same(queries, 10)
+    seen = set().union(*read)
+    assert 0 < len(seen) <= 12 < len(cells.numbers)
+    filters = next(line for line in plan(open_cells(seen)).splitlines() if "PartitionFilters" in line)
+    assert "PartitionFilters: [cell" in filters or "PartitionFilters: [isnotnull(cell" in filters
+    odd = spark.createDataFrame([("z", 0, [0.0] * 16), ("z", 1, None), ("y", 0, asked[0][2])], queries.schema)
+    same(odd, 3)
+    same(queries, 2000)
+    assert nearest_in_cells(queries.limit(0), cells, 3).count() == 0
