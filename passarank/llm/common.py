@@ -25,6 +25,25 @@ def placed(rows):
         return durable(rows.select(boxed), "rows").select("row", *at)
 
 
+def boxed(rows, name="row"):
+    """All columns of the rows as one struct, so that names of their own cannot clash with others."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(name)
+
+
+def qualified(spark, path):
+    """A path with the scheme of Spark's default file system, for readers that take a bare path as the machine's own."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = made.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(made).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def open_folder(address):
+    """``pyarrow``'s file system of a qualified address, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
+
+
 def blocked_prefix(rows, value, order, block, keys=()):
     """The sum of ``value`` over the earlier rows of a key, where ``block`` orders before ``order``.
 

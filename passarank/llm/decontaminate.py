@@ -8,6 +8,7 @@ any stretch of the text is computed on bit vectors.
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from passarank.llm.common import boxed
 from passarank.plans.sizing import durable, small
 
 # Edits allowed per character of an item, and the shortest item that may have any.
@@ -181,9 +182,13 @@ def find_leaks(
 
 
 def without_leaks(docs, items, id_col="doc_id", text_col="text", **settings):
-    """The documents in which no test item occurs; all columns are kept, null texts stay."""
+    """The documents in which no test item occurs.
+
+    All columns are kept as they are, whatever their names. Null and empty texts stay, as do repeated rows; an
+    empty table of either kind leaves the documents as they are.
+    """
     leaks = find_leaks(docs, items, id_col, text_col, **settings)
     gone = small(durable(leaks.select("key").distinct(), "leaks"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
-    kept = keyed.join(gone, keyed["_key"] == gone["key"], "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own_key = F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))).alias("own_key")
+    kept = docs.select(boxed(docs), own_key).join(gone, F.col("own_key") == gone["key"], "left_anti")
+    return kept.select("row.*")

@@ -3,16 +3,20 @@
 The documents of a source are shuffled and laid end to end; every ``block_words`` words make a block.
 The slots of the mix are golden-ratio points: slot i lies at the fractional part of i × 0.618…, and
 the cumulative target shares tell whose slot it is. The k-th slot of a source takes its k-th block,
-starting over after the last, until the source's target is met.
+starting over after the last, until the source's target is met. Documents are in the mix because a slot took
+their block, at the slot's place.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from passarank.llm.common import blocked_prefix, placed
-from passarank.plans.sizing import durable, small
+from passarank.llm.common import blocked_prefix, open_folder, placed, qualified
+from passarank.plans.sizing import durable, scratch_path, small
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, MAX_SOURCES = 2048, 100_000
@@ -63,11 +67,17 @@ def _owners(borders):
     return deal
 
 
+# Of this many times as many points as there are turns, every share holds as many as it has turns: golden-ratio
+# points leave no interval of width w empty for more than (2 + _GOLDEN) / w of them in a row.
+_POINTS = 3
+
+
 def slots(spark, needed, max_sources=MAX_SOURCES):
-    """Slots of the mix: (owner, turn, slot), the turn counting the slots of a source from 0.
+    """Slots of the mix: (owner, turn, slot), a row per turn of every source.
 
-    ``needed`` has ``nth`` and ``turns`` per source. One number per source reaches the driver, at most
-    ``max_sources``. A source can get a few slots less than its turns, as points are only nearly even.
+    ``needed`` has ``nth`` and ``turns`` per source. The k-th point in a source's share is the slot of its k-th
+    turn; points beyond its turns belong to nobody, so slots have gaps, most of them at the end, where sources whose
+    points came late catch up. One number per source reaches the driver, at most ``max_sources``.
     """
     turns = {r["nth"]: r["turns"] for r in needed.filter("turns > 0").limit(max_sources + 1).collect()}
     if len(turns) > max_sources:
@@ -77,12 +87,14 @@ def slots(spark, needed, max_sources=MAX_SOURCES):
         shares[nth] = count
     total = int(shares.sum())
     borders = np.cumsum(shares) / max(total, 1)
-    parts = max(1, min(total >> _CHUNK_BITS, 100_000))
-    dealt = spark.range(0, total, 1, parts).withColumnRenamed("id", "slot").mapInArrow(
+    parts = max(1, min(_POINTS * total >> _CHUNK_BITS, 100_000))
+    dealt = spark.range(0, _POINTS * total, 1, parts).withColumnRenamed("id", "slot").mapInArrow(
         _owners(borders), "slot bigint, chunk bigint, owner bigint"
     )
     dealt = durable(dealt.withColumn("one", F.lit(1)), "slots")
-    return total, blocked_prefix(dealt, "one", ["slot"], "chunk", ["owner"]).select("owner", F.col("before").alias("turn"), "slot")
+    turn = blocked_prefix(dealt, "one", ["slot"], "chunk", ["owner"]).select("owner", F.col("before").alias("turn"), "slot")
+    wanted = small(durable(needed.filter("turns > 0").select(F.col("nth").alias("of"), "turns"), "turns"))
+    return turn.join(wanted, (F.col("owner") == F.col("of")) & (F.col("turn") < F.col("turns"))).select("owner", "turn", "slot")
 
 
 def schedule(docs, id_col="doc_id", text_col="text", source_col="source", seed=20, block_words=BLOCK_WORDS):
@@ -115,7 +127,7 @@ def _schedule(rows, id_col="doc_id", text_col="text", source_col="source", seed=
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = durable(targets(sizes), "targets").withColumn("goal", F.round("target").cast("long"))
     goals = goals.withColumn("turns", F.ceil(F.col("goal") / block_words).cast("long"))
-    total, dealt = slots(spark, goals.select("nth", "turns"))
+    dealt = durable(slots(spark, goals.select("nth", "turns")), "dealt")
     count = narrow.count()
     blocks = max(1, min(1 << _CHUNK_BITS, count // 20_000))
     leading = F.shiftright(F.col("place"), 4 * _HEX - _CHUNK_BITS)
@@ -129,22 +141,68 @@ def _schedule(rows, id_col="doc_id", text_col="text", source_col="source", seed=
         turn = F.when((F.col("size") > 0) & (at < F.col("goal") * 2), F.floor(at / (2 * block_words)).cast("long"))
         laid = laid.withColumn(f"turn_{name}", turn)
         taken = dealt.select(F.col("owner").alias(f"owner_{name}"), F.col("turn").alias(f"at_{name}"), F.col("slot").alias(f"slot_{name}"))
+        # A document is taken because the slots hold its block: without a slot it is not.
         laid = laid.join(
             taken, (F.col("nth") == F.col(f"owner_{name}")) & (F.col(f"turn_{name}") == F.col(f"at_{name}")), "left"
-        )
-        # A turn beyond the source's slots comes after them all.
-        late = F.col(f"turn_{name}") + F.lit(total)
-        laid = laid.withColumn(name, F.when(F.col(f"turn_{name}").isNotNull(), F.coalesce(f"slot_{name}", late)))
+        ).withColumn(name, F.col(f"slot_{name}"))
     return laid.select("file_key", "row_no", "id", "size", "source_size", "target", "first", "second")
 
 
-def mixed(docs, **settings):
-    """The mix itself: the rows of ``docs``, each as often as it is taken, and their ``position``.
+# Rows of a file whose positions a task holds at once.
+_STRETCH_BITS = 18
+
 
-    Order by ``position`` to read the mix in sequence; an input column of that name is dropped.
+def mixed(docs, position="position", **settings):
+    """The mix itself: the rows of ``docs``, each as often as it is taken.
+
+    ``position`` names a column for its place: order by it to read the mix in sequence. An input column of that
+    name is dropped; with ``None`` there is no such column and all input columns stay, whatever their names.
+    An empty table gives an empty mix.
+
+    Texts are not moved. The positions are stored by file and stretch of rows, and the task that scans a stretch
+    reads its positions, at any size of the schedule.
     """
-    rows = placed(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "position"]))
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if position is None or c.lower() != position.lower()]
+    rows = placed(docs.select(*[F.col(f"`{c}`") for c in names]))
     plan = durable(_schedule(rows, **settings), "schedule")
     takes = plan.select("file_key", "row_no", F.explode(F.array_compact(F.array("first", "second"))).alias("position"))
-    # The schedule has a few numbers per document: while it is small the texts need not move.
-    return rows.join(small(takes), ["file_key", "row_no"]).select("row.*", "position")
+    takes = takes.withColumn("stretch", F.shiftright("row_no", _STRETCH_BITS))
+    path = qualified(spark, scratch_path(spark, "takes"))
+    dealt = takes.repartition("file_key", "stretch").sortWithinPartitions("file_key", "stretch", "row_no", "position")
+    dealt.write.partitionBy("file_key", "stretch").parquet(path)
+    schema = T.StructType([rows.schema["row"], T.StructField("position", T.LongType())])
+    found = rows.select("row", "file_key", "row_no").mapInArrow(_taken(path), schema)
+    return found.select("row.*", *([F.col("position").alias(position)] if position else []))
+
+
+def _taken(path):
+    """Arrow batches of (row, file_key, row_no) to the rows as often as they are taken, with their positions."""
+
+    def positions(system, base, file, stretch):
+        folder = f"{base}/file_key={file}/stretch={stretch}"
+        listed = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        tables = [pq.read_table(f.path, filesystem=system, columns=["row_no", "position"], partitioning=None) for f in listed if f.path.endswith(".parquet")]
+        if not tables:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        whole = pa.concat_tables(tables)
+        return whole["row_no"].to_numpy(), whole["position"].to_numpy()
+
+    def take(batches):
+        system, base = open_folder(path)
+        known, held = None, None
+        for batch in batches:
+            file, number = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            stretch = number >> _STRETCH_BITS
+            edges = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (stretch[1:] != stretch[:-1])])) if len(file) else []
+            for start, stop in zip(edges, [*edges[1:], len(file)]):
+                if known != (file[start], stretch[start]):
+                    known = file[start], stretch[start]
+                    held = positions(system, base, *known)
+                first = np.searchsorted(held[0], number[start:stop], side="left")
+                times = np.searchsorted(held[0], number[start:stop], side="right") - first
+                which = np.repeat(np.arange(start, stop), times)
+                at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(held[1][at])], ["row", "position"])
+
+    return take

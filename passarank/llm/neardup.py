@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from passarank.llm import kernels
+from passarank.llm.common import boxed
 from passarank.plans.sizing import durable, small
 
 SHINGLE, THRESHOLD, REGISTERS, BAND_ROWS = 5, 0.8, 168, 6
@@ -341,7 +342,8 @@ def without_near_duplicates(docs, id_col="doc_id", text_col="text", **settings):
     """The documents with one of each class left: the one with the smallest id, then digest.
 
     Rows that agree in id and text are one document, of which one row stays. Null texts and texts
-    without a word all stay. All columns are kept.
+    without a word all stay. All columns are kept as they are, whatever their names; an empty table stays empty,
+    and very long texts count whole.
     """
     classes = near_duplicates(docs, id_col, text_col, **settings).filter(F.col("root").isNotNull())
     each = durable(classes.groupBy("root", "id", "key").agg(F.count("*").alias("copies")), "classes")
@@ -349,15 +351,16 @@ def without_near_duplicates(docs, id_col="doc_id", text_col="text", **settings):
     first = durable(first.select("kept.*"), "kept")
 
     def same(other):
-        return (F.col("_key") == other["key"]) & F.col(f"`{id_col}`").eqNullSafe(other["id"])
+        return (F.col("own_key") == other["key"]) & F.col("own_id").eqNullSafe(other["id"])
 
     gone = durable(each.join(first.select("id", "key"), (each["key"] == first["key"]) & each["id"].eqNullSafe(first["id"]), "left_anti"), "gone")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
+    own_key = F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary")))
+    keyed = docs.select(boxed(docs), F.col(f"`{id_col}`").alias("own_id"), own_key.alias("own_key"))
     gone = small(gone.select("id", "key"))
     kept = keyed.join(gone, same(gone), "left_anti")
     again = first.filter("copies > 1").select("id", "key")
     if again.limit(1).count():
         again = small(durable(again, "again"))
-        single = kept.join(again, same(again), "left_semi").dropDuplicates([id_col, "_key"])
+        single = kept.join(again, same(again), "left_semi").dropDuplicates(["own_id", "own_key"])
         kept = kept.join(again, same(again), "left_anti").union(single)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select("row.*")

@@ -76,24 +76,42 @@ WITH sizes AS (
     SELECT source, source_size,
         CASE WHEN cap::DOUBLE / weight <= levels.level OR free.level IS NULL THEN cap::DOUBLE ELSE free.level * weight END AS target
     FROM levels CROSS JOIN free
+), turns AS (
+    SELECT b.nth, CAST(ceil(CAST(round(target) AS BIGINT) / 2048.0::DOUBLE) AS BIGINT) AS turns FROM targets t JOIN by_source b ON b.source IS NOT DISTINCT FROM t.source
+), borders AS (
+    SELECT nth, turns, total, (upto - turns) / total::DOUBLE AS low, upto / total::DOUBLE AS high FROM (
+        SELECT *, CAST(sum(turns) OVER () AS BIGINT) AS total, CAST(sum(turns) OVER (ORDER BY nth) AS BIGINT) AS upto FROM turns
+    ) WHERE turns > 0
+), points AS (
+    SELECT slot, (((slot // 65536) * LEAP::DOUBLE) % 1.0::DOUBLE + (slot % 65536) * GOLDEN::DOUBLE) % 1.0::DOUBLE AS point
+    FROM (SELECT unnest(range(3 * max(total))) AS slot FROM borders)
+), slots AS (
+    SELECT nth, slot, row_number() OVER (PARTITION BY nth ORDER BY slot) - 1 AS turn FROM points JOIN borders ON point >= low AND point < high
+), taken AS (
+    SELECT nth, turn, slot FROM slots JOIN borders USING (nth) WHERE turn < turns
 ), laid AS (
-    SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal,
+    SELECT doc_id, size, t.source_size, target, b.nth, round(target)::BIGINT AS goal,
         2 * CAST(sum(size) OVER (PARTITION BY sizes.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS middle
-    FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source
+    FROM sizes JOIN targets t ON sizes.source IS NOT DISTINCT FROM t.source JOIN by_source b ON b.source IS NOT DISTINCT FROM t.source
+), asked AS (
+    SELECT *, CASE WHEN size > 0 AND middle < goal * 2 THEN middle // 4096 END AS turn_first,
+        CASE WHEN size > 0 AND middle + 2 * source_size < goal * 2 THEN (middle + 2 * source_size) // 4096 END AS turn_second
+    FROM laid
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-    CAST(size * (CAST(middle < goal * 2 AS INT) + CAST(middle + 2 * source_size < goal * 2 AS INT)) AS BIGINT) AS taken
-FROM laid
-"""
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, f.slot AS first_position, s.slot AS second_position,
+    CAST(size * (CAST(f.slot IS NOT NULL AS INT) + CAST(s.slot IS NOT NULL AS INT)) AS BIGINT) AS taken
+FROM asked a LEFT JOIN taken f ON f.nth = a.nth AND f.turn = turn_first LEFT JOIN taken s ON s.nth = a.nth AND s.turn = turn_second
+""".replace("LEAP", repr((5**0.5 - 1) / 2 * 65536 % 1.0)).replace("GOLDEN", repr((5**0.5 - 1) / 2))
 
 
 @query(MIX_SQL)
 def op5_mixed_sources(spark, folder):
-    """How many words of every document the mix takes."""
+    """How many words of every document the mix takes, and at which positions."""
     plan = mixing.schedule(table(spark, folder, "documents"))
     times = F.size(F.array_compact(F.array("first", "second")))
     return plan.select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken")
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"),
+        F.col("first").alias("first_position"), F.col("second").alias("second_position"),
     )
 
 

@@ -38,7 +38,7 @@ def shuffled_shards(docs, shards, path=None, id_col="doc_id", text_col="text", s
     if total["rows"] > buckets:
         buckets = max(buckets, min(spark.sparkContext.defaultParallelism, total["rows"]))
 
-    order = F.xxhash64(F.lit(seed), F.col("row")[id_col], F.col("row_no"))
+    order = F.xxhash64(F.lit(seed), F.col("row")[id_col], F.col("file_key"), F.col("row_no"))
     scattered = rows.select(F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"), order.alias("place"), "file_key", "row_no", "row")
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

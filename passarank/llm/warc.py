@@ -2,8 +2,8 @@
 
 Each record is a gzip member of its own. While a task writes its archive file it gives out one index
 row per record: file, offset, length, address, digest. Readers select index rows first, sort them by
-place and fetch neighbours in one read. Files go through ``pyarrow.fs``, so the folder may be any address
-that library opens and all nodes share.
+place and fetch neighbours in one read. Files go through ``pyarrow.fs``; a folder without a scheme is one of
+Spark's default file system, as everywhere in Spark.
 """
 
 import base64
@@ -14,6 +14,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from passarank.llm.common import open_folder, qualified
 from passarank.plans.sizing import durable, scratch_path, small
 
 LEAST_BYTES = 1000  # smaller equal payloads are stored each
@@ -24,12 +25,6 @@ DATE = "2000-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 
 
-def _open(address):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
-
-
 def record_id(page):
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
@@ -77,7 +72,7 @@ def _writer(folder, level, file_bytes):
     """Arrow batches of (page_id, url, payload, digest, size, record_type, refers_to) to index rows."""
 
     def write(batches):
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         out, file, offset = None, None, 0
         for batch in batches:
             pages, urls, payloads, digests, sizes, kinds, refers = (c.to_pylist() for c in batch.columns)
@@ -121,8 +116,8 @@ def write_archive(
     payload is empty, a null address is left out of the record. Rows may repeat.
     """
     spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
-    system, base = _open(folder)
+    folder = qualified(spark, folder or scratch_path(spark, "warc"))
+    system, base = open_folder(folder)
     system.create_dir(base, recursive=True)
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(
@@ -159,7 +154,7 @@ def _reader(folder, read_bytes, gap_bytes):
     """Arrow batches of (file, offset, length, page_id, refers_to), sorted, to the records' contents."""
 
     def read(batches):
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         name, source = None, None
         for batch in batches:
             files, offsets, lengths = (batch.column(i).to_pylist() for i in range(3))
@@ -178,6 +173,9 @@ def _reader(folder, read_bytes, gap_bytes):
                     data = source.read_at(group[-1][0] + group[-1][1] - first, first)
                     found = [parse(zlib.decompress(data[o - first : o - first + n], 31)) for o, n, _ in group]
                     taken = batch.slice(group[0][2], len(group))
+                    for (fields, *_), page in zip(found, taken.column(4).to_pylist()):
+                        if fields.get("WARC-Refers-To") != (record_id(page) if fields["WARC-Type"] == "revisit" else None):
+                            raise ValueError(f"{fields['WARC-Record-ID']} does not refer to the record that the index names")
                     yield pa.RecordBatch.from_arrays(
                         [taken.column(3), taken.column(4),
                          pa.array([f[0].get("WARC-Target-URI") for f in found], pa.string()),
@@ -201,7 +199,7 @@ def read_records(index, folder, read_bytes=READ_BYTES, gap_bytes=GAP_BYTES, part
     against the record, of a revisit taken from its headers. Records that lie within ``gap_bytes`` are
     fetched in one read of at most ``read_bytes``. Only index rows are shuffled.
     """
-    spark = index.sparkSession
+    spark, folder = index.sparkSession, qualified(index.sparkSession, folder)
     total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // part_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
     id_type = index.schema["page_id"].dataType.simpleString()

@@ -170,15 +170,35 @@ def test_mix_rows_follow_the_schedule(spark):
 
 def test_golden_ratio_slots(spark):
     needed = spark.createDataFrame([(0, 500), (1, 300), (2, 0), (3, 200)], "nth long, turns long")
-    total, dealt = mixing.slots(spark, needed)
-    rows = sorted((r["slot"], r["owner"], r["turn"]) for r in dealt.collect())
-    assert total == 1000 and [s for s, _, _ in rows] == list(range(1000))
-    seen = collections.Counter()
-    for slot, owner, turn in rows:
+    rows = sorted((r["slot"], r["owner"], r["turn"]) for r in mixing.slots(spark, needed).collect())
+    want, seen, expected = {0: 500, 1: 300, 3: 200}, collections.Counter(), []
+    for slot in range(3000):
         point = slot * (5**0.5 - 1) / 2 % 1.0
-        assert owner == (0 if point < 0.5 else 1 if point < 0.8 else 3) and turn == seen[owner]
-        seen[owner] += 1
-    assert all(abs(seen[o] - n) <= 5 for o, n in ((0, 500), (1, 300), (3, 200)))
+        owner = 0 if point < 0.5 else 1 if point < 0.8 else 3
+        if seen[owner] < want[owner]:
+            expected.append((slot, owner, seen[owner]))
+            seen[owner] += 1
+    assert rows == expected and seen == want
+    for stop in range(50, 1000, 50):  # every beginning is close to the shares
+        begun = collections.Counter(owner for slot, owner, _ in rows if slot < stop)
+        assert all(abs(begun[o] - stop * n / 1000) <= 5 for o, n in want.items())
+
+
+def test_every_share_gets_its_turns(spark):
+    rng = random.Random(2)
+    for turns in ([1, 100_000], [1] * 40, [3, 70_000, 1, 2], [rng.randint(0, 9) for _ in range(200)] + [5000]):
+        needed = spark.createDataFrame(list(enumerate(turns)), "nth long, turns long")
+        found = collections.Counter(r["owner"] for r in mixing.slots(spark, needed).collect())
+        assert found == {nth: n for nth, n in enumerate(turns) if n}
+
+
+def test_other_points_give_another_mix(spark, monkeypatch):
+    positions = [{r["doc_id"]: r["first_position"] for r in queries.op5_mixed_sources(spark, SMALLEST).collect()}]
+    for golden in (2**0.5 - 1, 0.0):
+        monkeypatch.setattr(mixing, "_GOLDEN", golden)
+        positions.append({r["doc_id"]: r["first_position"] for r in queries.op5_mixed_sources(spark, SMALLEST).collect()})
+    assert sum(positions[0][d] != positions[1][d] for d in positions[0]) > 100
+    assert sum(p is not None for p in positions[2].values()) < sum(p is not None for p in positions[0].values()) / 2
 
 
 def test_mix_edge_cases(spark):
@@ -192,6 +212,8 @@ def test_mix_edge_cases(spark):
     assert mix.columns == ["doc_id", "text", "lang", "source", "position"] and mix.count() == sum(
         (r["first"] is not None) + (r["second"] is not None) for r in plan
     )
+    kept = mixing.mixed(docs, position=None)
+    assert kept.columns == docs.columns and {r["position"] for r in kept.collect()} == {1} and kept.count() == mix.count()
     assert mixing.schedule(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
@@ -400,16 +422,39 @@ def test_pipeline_equals_its_stages_done_plainly(spark):
 
 def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame(
-        [(i, t, "en", "s", len(t or ""), 1, "x") for i, t in [(1, "some english words in a row"), (None, None), (2, ""), (2, "the other words")]],
-        DOCS + ", n_chars int, key int, slot string",
+        [(i, t, "en", "s", len(t or ""), 1, "x", 77, "k", "r", 5) for i, t in [(1, "some english words in a row"), (None, None), (2, ""), (2, "the other words")]],
+        DOCS + ", n_chars int, key int, slot string, position int, _key string, row string, id int",
     )
+    rows = {tuple(r) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SMALLEST).columns == docs.columns, name
+        found = stage(spark, docs, SMALLEST)
+        assert found.columns == docs.columns and {tuple(r) for r in found.collect()} <= rows, name
         assert stage(spark, docs.limit(0), SMALLEST).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SMALLEST).count() == 0
 
 
+def test_filters_take_ids_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    for name in ("id", "key", "_key", "own_id", "row"):
+        docs = spark.createDataFrame([(1, words, "a"), (2, words, "b"), (3, "other text here", "c")], f"{name} long, text string, root string")
+        kept = neardup.without_near_duplicates(docs, id_col=name)
+        assert sorted(tuple(r) for r in kept.collect()) == [(1, words, "a"), (3, "other text here", "c")]
+        items = spark.createDataFrame([(1, "other text here")], "item_id long, text string")
+        left = decontaminate.without_leaks(docs, items, id_col=name, short_items=True)
+        assert sorted(r["root"] for r in left.collect()) == ["a", "b"]
+
+
+def test_null_ids_of_many_files_spread(spark, tmp_path):
+    for i in range(60):
+        spark.range(10).select(F.lit(None).cast("long").alias("doc_id"), F.lit("text").alias("text")).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = sharding.placed(docs)
+    place = F.xxhash64(F.lit(20), F.col("row.doc_id"), F.col("file_key"), F.col("row_no"))
+    assert rows.select(place.alias("p")).distinct().count() == 600
+    shard_rows(sharding.shuffled_shards(docs, 7).collect(), 7, 600)
+
+
 def test_registered_queries_are_the_numbered_ones():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert neardup.THRESHOLD == 0.8 and neardup.SHINGLE == 5
