@@ -12,7 +12,11 @@ SHARDS = 40
 
 
 def language(spark, docs, folder):
-    """Documents of a language that the corpus teaches stay; ``und`` and scores near zero go."""
+    """Documents of a language that the corpus teaches stay; ``und`` (null texts and such without a letter) and scores near zero go.
+
+    All stages take whole texts of any length and repeated rows as they come, give no rows for an empty table, and
+    keep input columns of any name as they are; the last adds its own two in place of ``shard`` and ``slot``.
+    """
     profiles = langid.learn(docs.filter(~langid.held_out()))
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     judged = langid.predict(boxed, profiles, keep=["row"])
@@ -21,22 +25,25 @@ def language(spark, docs, folder):
 
 
 def near_duplicates(spark, docs, folder):
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, the one of the smallest id; rows equal in id and text are one."""
     return neardup.without_near_duplicates(docs)
 
 
 def benchmark(spark, docs, folder):
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts would stay."""
     return decontaminate.without_leaks(docs, table(spark, folder, "benchmark"), short_items=True)
 
 
 def mix(spark, docs, folder):
-    """Every document as often as the mix takes it."""
-    return mixing.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every document as often as the mix takes it.
+
+    Texts without a word are not taken; null sources are a source of their own; repeated rows count each.
+    """
+    return mixing.mixed(docs, position=None)
 
 
 def shards(spark, docs, folder):
-    """All rows in random order in shards of equal row counts, with shard and slot."""
+    """All rows, repeated ones and null ids included, in random order in shards of equal row counts, with shard and slot."""
     return sharding.shuffled_shards(docs, SHARDS)
 
 
