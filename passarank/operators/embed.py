@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passarank.fixed_values import ALLOWED_CHARACTERS
+from passarank.plans.sizing import durable, small
 from passarank.schemas import VECTOR
+from passarank.sources.snapshots import fresh_folder, publish, snapshot
 
 DIMENSIONS = 64
 
@@ -66,6 +68,49 @@ def embed(df, text="text", encoder=HashingEncoder, out="embedding", batch=1024):
     return df.mapInArrow(encode, schema)
 
 
+def embed_once(df, text="text", encoder=HashingEncoder, out="embedding", store=None, batch=1024):
+    """``embed`` that encodes every different text once.
+
+    Vectors are kept by the SHA-256 of their text. ``store`` names a folder for them: a later call with the
+    same folder, as when a collection is rebuilt, encodes only texts it has not seen there. The folder belongs to one
+    encoder; each call adds a version, or none if nothing is new. A null text has a vector of its own, like an
+    empty one. Repeated texts, however many, are merged before they are moved; vectors come back by a
+    join, broadcast while they are measured to be small.
+    """
+    spark = df.sparkSession
+    digest = F.coalesce(F.sha2(F.col(f"`{text}`").cast("binary"), 256), F.lit(""))
+    different = df.groupBy(digest.alias("_digest")).agg(F.first(text, ignorenulls=True).alias("_text"))
+    different = durable(different, "texts")
+    known = _stored_vectors(spark, store)
+    fresh = different if known is None else different.join(known.select("_digest"), "_digest", "left_anti")
+    if store is None:
+        vectors = durable(embed(fresh, "_text", encoder, "_vector", batch).drop("_text"), "vectors")
+    else:
+        fresh = durable(fresh, "fresh")
+        if fresh.limit(1).count():
+            number, folder = fresh_folder(spark, store)
+            embed(fresh, "_text", encoder, "_vector", batch).drop("_text").write.parquet(f"{store}/{folder}")
+            earlier = snapshot(spark, store).folders if known is not None else {}
+            publish(spark, store, number, earlier | {str(number): folder})
+        vectors = _stored_vectors(spark, store).join(small(different.select("_digest")), "_digest", "left_semi")
+        vectors = durable(vectors, "vectors")
+    keyed = df.select("*", digest.alias("_digest"))
+    names = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return keyed.join(small(vectors), "_digest").select(*names, F.col("_vector").alias(out))
+
+
+def _stored_vectors(spark, store):
+    """The vectors of a folder by digest, None if it has none yet."""
+    if store is None:
+        return None
+    try:
+        folders = snapshot(spark, store).folders.values()
+    except FileNotFoundError:
+        return None
+    schema = T.StructType([T.StructField("_digest", T.StringType()), T.StructField("_vector", VECTOR)])
+    return spark.read.schema(schema).option("basePath", store).parquet(*[f"{store}/{f}" for f in folders]).select("_digest", "_vector")
+
+
 def embedder(encoder=HashingEncoder):
     """The same encoder as a column function, for use inside a select."""
 

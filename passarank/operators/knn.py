@@ -2,9 +2,8 @@
 
 Two physical forms give the same rows. Sub-queries are cut into groups that fit a broadcast; for
 each group every task scans its passages once, in place, keeping its best k per sub-query: passages
-are never shuffled. Only for very many groups, when scanning again and again costs more than one
-shuffle and sort of the passages, both sides are cut into blocks of limited size and each pair of
-blocks meets in one task; with candidate entities, only blocks of the same entity meet.
+are never shuffled. Only with candidate entities and very many groups both sides are cut into blocks of
+limited size and each pair of blocks of the same entity meets in one task.
 
 A search whose tasks would give out very many hits is preceded by a slice of a fixed number of tasks:
 the k-th distance found there is an upper bound of the final one, and tasks that know it give out
@@ -30,7 +29,8 @@ QUERY_BLOCK = 32_768
 PASSAGE_BLOCK = 131_072
 # Distances held at once in a task: 16M doubles.
 CELLS = 1 << 24
-# Scans of the passages that cost about as much as writing, moving and sorting them once.
+# With candidates, scans of the passages that cost about as much as moving each of them to the blocks of its entity.
+# Without candidates every block of sub-queries would need all passages, and scanning in place is never dearer.
 SCANS = 16
 # Hits given out by all tasks from which on bounds come first, and hits are merged in steps.
 MANY_HITS = 50_000_000
@@ -304,17 +304,17 @@ def _if_few(df, rows):
     return table if table is not None and table.num_rows <= rows and table.nbytes <= BROADCAST_BYTES else None
 
 
-def _groups(queries, limit):
+def _groups(queries, limit, most=None):
     """The sub-queries in groups, by hash, that each fit a broadcast: (frame, number of groups) or None.
 
-    None means more groups than scans that are worth while.
+    None means more groups than the ``most`` that are worth while.
     """
     queries = durable(queries, "queries")
     n, size = queries.count(), measured_bytes(queries)
     groups = max(-(-n // limit), -(-size // BROADCAST_BYTES))
     if groups > 1:
         groups = groups + -(-groups // 4)  # hashing fills groups unevenly
-    if groups > SCANS:
+    if most and groups > most:
         return queries, None
     return queries.withColumn("_part", F.pmod(F.xxhash64(*QUERY), F.lit(max(groups, 1)))), max(groups, 1)
 
@@ -358,7 +358,7 @@ def nearest_passages(
         if block is not None:
             groups = 1
         elif broadcast_queries:
-            queries, groups = _groups(queries, broadcast_queries)
+            queries, groups = _groups(queries, broadcast_queries, None if candidates is None else SCANS)
             if groups and not _is_scan(passages):
                 passages = durable(passages, "passages")  # else computed again for every group
     # The number of scanning tasks, from what the planner knows of the files.

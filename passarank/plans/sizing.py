@@ -80,9 +80,10 @@ def input_bytes(df):
 
 
 def is_narrow(df):
-    """Whether ``df`` only reads stored files and works row by row in the JVM, so that reading it twice is cheap."""
+    """Whether ``df`` only reads stored files, dealt out by ``spread`` if at all, and works row by row in the JVM, so
+    that reading it twice is cheap."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    moving = ("Join", "Aggregate", "Window", "Repartition", "RebalancePartitions", "Sort ", "Limit", "InArrow", "Python", "InPandas", "LogicalRDD")
+    moving = ("Join", "Aggregate", "Window", "RepartitionBy", "RebalancePartitions", "Sort ", "Limit", "InArrow", "Python", "InPandas", "LogicalRDD")
     return not any(name in plan for name in moving)
 
 

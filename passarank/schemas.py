@@ -2,28 +2,43 @@
 
 from pyspark.sql import types as T
 
-_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
-
-
-def _struct(required="", optional=""):
-    """Fields written as ``name:type``, required ones first."""
-    schema = T.StructType()
-    for names, nullable in ((required, False), (optional, True)):
-        for item in names.split():
-            name, kind = item.split(":")
-            schema.add(name, _KINDS[kind], nullable)
-    return schema
-
-
-COURSE = _struct(
-    "id:long course_name:string course_no:string course_class:string department:string "
-    "credit:int course_type:string instructor:string",
-    "timeslot:string room:string course_intro:string prerequisite:string syllabus:string",
+# Names and kinds of the stored fields.
+COURSE = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("course_name", T.StringType(), False),
+        T.StructField("course_no", T.StringType(), False),
+        T.StructField("course_class", T.StringType(), False),
+        T.StructField("department", T.StringType(), False),
+        T.StructField("credit", T.IntegerType(), False),
+        T.StructField("course_type", T.StringType(), False),
+        T.StructField("instructor", T.StringType(), False),
+        T.StructField("timeslot", T.StringType()),
+        T.StructField("room", T.StringType()),
+        T.StructField("course_intro", T.StringType()),
+        T.StructField("prerequisite", T.StringType()),
+        T.StructField("syllabus", T.StringType()),
+    ]
 )
-REVIEW = _struct("id:long course_id:long text:string")
-REVIEW_STAT = _struct(
-    "id:long course_id:long satisfaction:double workload:double difficulty:double delivery:double "
-    "achievement:double grade:double attendance:double"
+REVIEW = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("course_id", T.LongType(), False),
+        T.StructField("text", T.StringType(), False),
+    ]
+)
+REVIEW_STAT = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("course_id", T.LongType(), False),
+        T.StructField("satisfaction", T.DoubleType(), False),
+        T.StructField("workload", T.DoubleType(), False),
+        T.StructField("difficulty", T.DoubleType(), False),
+        T.StructField("delivery", T.DoubleType(), False),
+        T.StructField("achievement", T.DoubleType(), False),
+        T.StructField("grade", T.DoubleType(), False),
+        T.StructField("attendance", T.DoubleType(), False),
+    ]
 )
 # One line of the nested export. ``part`` numbers the lines of a parent in the layout with several;
 # a line without it is the parent's only one, part 0.
@@ -37,5 +52,11 @@ NESTED_COURSE = T.StructType(
 )
 
 VECTOR = T.ArrayType(T.FloatType())
-PAGE = _struct("page_id:long url:string html:string")
+PAGE = T.StructType(
+    [
+        T.StructField("page_id", T.LongType(), False),
+        T.StructField("url", T.StringType(), False),
+        T.StructField("html", T.StringType(), False),
+    ]
+)
 STAT_FIELDS = ("satisfaction", "workload", "difficulty", "delivery", "achievement", "grade", "attendance")

@@ -9,7 +9,7 @@ from passarank.functions import prompts as P
 from passarank.operators import extract as E
 from passarank.operators import passages as G
 from passarank.operators import recommend as R
-from passarank.operators.embed import HashingEncoder, embed
+from passarank.operators.embed import HashingEncoder, embed, embed_once
 from passarank.operators.requests import parse_split, sub_queries
 from passarank.plans.prefix import numbered
 from passarank.plans.sizing import durable
@@ -43,10 +43,11 @@ def courses_from_pages(list_pages, detail_pages, template, patterns, positions=C
     return numbered(joined, ["page_id", "row_no"], "id", first=last_id + 1).select(*COURSE.names)
 
 
-def index_frames(nested, encoder=HashingEncoder):
+def index_frames(nested, encoder=HashingEncoder, vectors=None):
     """The four collections of a nested export, as frames with vectors.
 
-    Store ``nested`` first if it is costly to read, as ``build_index`` does: every frame reads it.
+    Store ``nested`` first if it is costly to read, as ``build_index`` does: every frame reads it. With a folder
+    ``vectors`` every different text is encoded once, and not at all if the folder has its vector (``embed_once``).
     """
     first_parts = nested.filter(F.coalesce(F.col("part"), F.lit(0)) == 0)
     info = G.entity_document(F.col("course_intro"), F.col("prerequisite"), F.col("syllabus"))
@@ -61,12 +62,18 @@ def index_frames(nested, encoder=HashingEncoder):
         FEEDBACK: feedback,
         FEEDBACK_PASSAGE: G.feedback_passages(feedback),
     }
-    return {name: embed(df.select(*COLLECTIONS[name].names[:-1]), "text", encoder) for name, df in frames.items()}
+    frames = {name: df.select(*COLLECTIONS[name].names[:-1]) for name, df in frames.items()}
+    if vectors is None:
+        return {name: embed(df, "text", encoder) for name, df in frames.items()}
+    return {name: embed_once(df, "text", encoder, store=vectors) for name, df in frames.items()}
 
 
-def build_index(nested, path, encoder=HashingEncoder):
-    """Rebuild the four collections under ``path``; the export is parsed once."""
-    for name, df in index_frames(durable(nested, "nested"), encoder).items():
+def build_index(nested, path, encoder=HashingEncoder, vectors=None):
+    """Rebuild the four collections under ``path``; the export is parsed once.
+
+    With a folder ``vectors`` a rebuild encodes only the texts that are new since the last one.
+    """
+    for name, df in index_frames(durable(nested, "nested"), encoder, vectors).items():
         collections.rebuild(df, f"{path}/{name}")
 
 

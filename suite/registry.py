@@ -6,7 +6,7 @@ NARROW = {
     "rank_fusion_topk": "place", "supporting_examples": "place", "two_stage_recommend": "place",
     "recommend_from_text": "place", "recommend_enriched": "place n_reviews", "recommend_display": "place",
     "answer_from_index": "place", "sentence_split": "pos", "line_split": "pos", "sentence_passages": "pos",
-    "passage_concat": "pos", "embed_passages": "n_nonzero n_values", "embed_queries": "n_nonzero n_values",
+    "passage_concat": "pos", "embed_passages": "n_nonzero n_values", "embed_queries": "n_nonzero n_values", "embed_once": "n_nonzero n_values",
     "page_rows": "row_no n_cells", "page_fields": "row_no", "page_paragraphs": "review_no",
     "append_entities": "n_chars", "split_parse": "query_idx n_queries",
 }

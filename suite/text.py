@@ -6,7 +6,9 @@ from passarank.fixed_values import TITLE_SUFFIX
 from passarank.functions import text as X
 from passarank.operators import passages as P
 from passarank.operators.embed import DIMENSIONS, embedder
+from passarank.operators.embed import embed_once as encode_once
 from passarank.plans.prefix import dense_ids
+from passarank.plans.sizing import scratch_path
 from passarank.sources.nested import LINE_CHILDREN, nest
 from suite import common as C
 from suite.registry import Registry
@@ -168,6 +170,16 @@ def embed_passages(spark, folder):
     return vectors.select("passage_id", *_profile(F.col("embedding")))
 
 
+@register(f"WITH s AS ({C.SENTENCE_ROWS}), v AS ({C.sql_vectors('s', 'passage_id')}) SELECT passage_id, {PROFILE} FROM v")
+def embed_once(spark, folder):
+    """Every different text encoded once, those of the benchmark and of French documents already in an earlier call."""
+    store, passages = scratch_path(spark, "vectors"), C.sentence_passages(spark, folder)
+    french = C.table(spark, folder, "documents").filter("lang = 'fr'").select(F.col("doc_id").cast("string").alias("feedback_id"))
+    encode_once(C.table(spark, folder, "benchmark"), store=store)
+    encode_once(passages.join(french, "feedback_id"), store=store)
+    return encode_once(passages, store=store).select("passage_id", *_profile(F.col("embedding")))
+
+
 @register(f"WITH s AS (SELECT item_id, text FROM benchmark), v AS ({C.sql_vectors('s', 'item_id')}) SELECT item_id, {PROFILE} FROM v")
 def embed_queries(spark, folder):
     """The same encoder as a column function."""

@@ -29,3 +29,44 @@ def test_default_encoder(spark):
 
 def test_no_rows(spark):
     assert embed(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_every_text_is_encoded_once(spark, tmp_path):
+    """A counting encoder: it leaves a file per call that names the texts."""
+    import json
+    import uuid
+
+    from passarank.operators.embed import HashingEncoder, embed, embed_once
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    folder = str(seen)
+
+    class Counting(HashingEncoder):
+        def __call__(self, texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                json.dump(list(texts), file)
+            return super().__call__(texts)
+
+    def encoded():
+        files = sorted(seen.iterdir())
+        texts = [t for f in files for t in json.loads(f.read_text())]
+        for f in files:
+            f.unlink()
+        return sorted(texts, key=repr)
+
+    rows = [(i, f"text {i % 7}", "x") for i in range(500)] + [(900, None, "y"), (901, "", "y"), (902, None, "y")]
+    df = spark.createDataFrame(rows, "n int, text string, _digest_ string").repartition(4)
+    whole = {r["n"]: r["embedding"] for r in embed(df).collect()}
+    found = embed_once(df, encoder=Counting)
+    assert found.columns == [*df.columns, "embedding"]
+    assert {r["n"]: r["embedding"] for r in found.collect()} == whole and found.count() == len(rows)
+    assert encoded() == sorted(["", None, *[f"text {i}" for i in range(7)]], key=repr)
+    store = str(tmp_path / "vectors")
+    embed_once(df.filter("n < 3"), encoder=Counting, store=store)
+    assert encoded() == ["text 0", "text 1", "text 2"]
+    again = embed_once(df, encoder=Counting, store=store)
+    assert {r["n"]: r["embedding"] for r in again.collect()} == whole
+    assert len(encoded()) == 6
+    assert {r["n"]: r["embedding"] for r in embed_once(df, encoder=Counting, store=store).collect()} == whole and encoded() == []
+    assert embed_once(df.limit(0), encoder=Counting, store=store).count() == 0

@@ -218,3 +218,14 @@ def test_cells_leave_out_what_cannot_hit_and_give_the_same_rows(spark):
     same(odd, 3)
     same(queries, 2000)
     assert nearest_in_cells(queries.limit(0), cells, 3).count() == 0
+
+
+def test_many_groups_scan_in_place(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    passages = durable(spark.createDataFrame([(f"p{i}", f"e{i % 3}", rng.normal(size=4).tolist()) for i in range(300)], PASSAGES))
+    queries = spark.createDataFrame([(f"r{i}", 0, 1, rng.normal(size=4).tolist()) for i in range(40)], QUERIES)
+    columns = ["request_id", "query_idx", "pos", "passage_id", "distance"]
+    whole = knn.nearest_passages(queries, passages, 5).select(*columns).collect()
+    monkeypatch.setattr(knn, "_blocked_form", lambda *_: pytest.fail("passages are moved"))
+    grouped = knn.nearest_passages(queries, passages, 5, broadcast_queries=2)
+    assert sorted(grouped.select(*columns).collect()) == sorted(whole)
