@@ -48,14 +48,15 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=None
 
 
 def _parts(children, key, child_id, text, per_line, line_bytes):
-    """The line that each child goes to: ``key, child_id, part``. Only ids and sizes are put in order, no texts."""
+    """The line that each child id goes to: ``key, child_id, part``. Only ids and sizes are put in order, no texts.
+    Children that repeat an id of their parent share its line."""
     if per_line is not None:
-        ids = children.select(key, child_id)
+        ids = children.select(key, child_id).distinct()
         return running_total(ids, F.lit(1), "_place", [child_id], [key]).select(
             key, child_id, F.floor((F.col("_place") - 1) / per_line).cast("int").alias("part")
         )
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    sizes = children.select(key, child_id, size.alias("_size"))
+    sizes = children.groupBy(key, child_id).agg(F.sum(size).alias("_size"))
     total = running_total(sizes, F.col("_size"), "_total", [child_id], [key])
     cut = durable(total.select(key, child_id, F.floor((F.col("_total") - F.col("_size")) / line_bytes).alias("_cut")), "cuts")
     # A text longer than a line skips numbers; the few numbers of a parent are made dense.

@@ -244,6 +244,14 @@ def test_lines_of_bounded_bytes_for_a_hot_parent(spark):
     assert hot > 1
 
 
+def test_repeated_child_ids_stay_together(spark):
+    children = spark.createDataFrame([(i % 5, 1, f"t{i}") for i in range(10)], REVIEW)
+    for layout in ({"per_line": 2}, {"line_bytes": 4}):
+        lines = nested.nest(courses(spark), children, stats(spark), **layout).filter("id = 1").orderBy("part").collect()
+        assert [r["part"] for r in lines] == list(range(len(lines)))
+        assert sorted(c["text"] for r in lines for c in r["reviews"]) == [f"t{i}" for i in range(10)]
+
+
 def read_rows(df):
     """Rows that the scans of an executed frame gave out."""
     leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
