@@ -27,30 +27,30 @@ def kept_hits(hits, threshold=DEFAULT_THRESHOLD, topk=ENTITIES_RETURNED):
     """The hits that count: all within the threshold, then fallbacks while entities are missing.
 
     Fallbacks are taken in the order (distance, entity, passage). One is taken as long as fewer than
-    ``topk`` entities have been seen before it, be its own entity new or not. In window form: hits
-    within the threshold contribute their distinct entities up front, and each fallback that is the
-    first of an unseen entity adds one for the rows after it. ``place`` numbers an entity's hits of
-    the same kind, ``seq`` all hits of a sub-query in the order in which they are looked at.
+    ``topk`` entities have been seen before it, be its own entity new or not. The at most k hits of a
+    sub-query are put in order once, those within the threshold first; what counts is then a beginning of
+    that list, up to the place where the ``topk``-th different entity first appears. ``place`` numbers an
+    entity's hits of the same kind, ``seq`` all hits of a sub-query in the order in which they are looked
+    at. Entity ids are not null.
     """
     if topk is None:
         raise ValueError("topk must be a number")
-    per_entity = Window.partitionBy(*QUERY, "entity_id")
-    in_order = Window.partitionBy(*QUERY, "entity_id", "over").orderBy("distance", "passage_id")
-    per_query = Window.partitionBy(*QUERY)
     queue_entity = F.when(F.col("over"), F.col("entity_id")).otherwise("")
-    looked_at = per_query.orderBy("over", "distance", queue_entity, "passage_id")
-    earlier = looked_at.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("place") == 1
-    marked = (
-        split_by_threshold(hits, threshold)
-        .withColumn("place", F.row_number().over(in_order))
-        .withColumn("_passed", F.max((~F.col("over")).cast("int")).over(per_entity) == 1)
-        .withColumn("_entities", F.sum((first & ~F.col("over")).cast("int")).over(per_query))
-        .withColumn("_before", F.sum((first & F.col("over") & ~F.col("_passed")).cast("int")).over(earlier))
-        .withColumn("seq", F.row_number().over(looked_at))
+    rest = [c for c in hits.columns if c not in {*QUERY, "distance", "passage_id"}]
+    hit = F.struct("over", "distance", queue_entity.alias("queue"), "passage_id", F.struct(*rest).alias("rest"))
+    in_order = split_by_threshold(hits, threshold).groupBy(*QUERY).agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
+    seen = F.transform("_hits", lambda h: h["rest"]["entity_id"])
+    within = F.size(F.filter("_hits", lambda h: ~h["over"]))
+    full = F.array_position("_seen", F.get(F.array_distinct("_seen"), topk - 1)) if topk > 0 else F.lit(0)
+    cut = F.greatest(within, F.coalesce(full.cast("int"), F.size("_hits")))
+    taken = in_order.withColumn("_seen", seen).select(*QUERY, F.slice("_hits", 1, cut).alias("_hits"))
+    per_entity = Window.partitionBy(*QUERY, "entity_id", "over").orderBy("seq")
+    values = {**{c: f"_hit.rest.{c}" for c in rest}, "distance": "_hit.distance", "passage_id": "_hit.passage_id", **{c: c for c in QUERY}}
+    return (
+        taken.select(*QUERY, F.posexplode("_hits").alias("_at", "_hit"))
+        .select(*(F.col(values[c]).alias(c) for c in hits.columns), "_hit.over", (F.col("_at") + 1).alias("seq"))
+        .withColumn("place", F.row_number().over(per_entity))
     )
-    room_left = F.col("_entities") + F.coalesce(F.col("_before"), F.lit(0)) < topk
-    return marked.filter(~F.col("over") | room_left).drop("_passed", "_entities", "_before")
 
 
 def entity_means(kept):
