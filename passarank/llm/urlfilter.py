@@ -2,7 +2,10 @@
 
 Concatenated names such as ``cheappills`` are split by Viterbi under a unigram model of words, whose counts
 come from the pages' own text. Naive Bayes over the words of host and path is learned from the addresses
-themselves: those that hold a word of a stated list are the block examples, the others the allow ones.
+themselves, in two rounds. In the first one the addresses that hold a word of a stated list are the block
+examples and the others the allow ones, and the listed words are no features: the words beside them have to
+tell. In the second round the examples are what the first model says, and all words are features, so a
+listed word weighs as much as the company it keeps.
 """
 
 import math
@@ -183,20 +186,41 @@ class Buckets:
         return found
 
 
-def _examples(words, block_words, bits):
-    """Arrow batches of (host, path) to counts (blocked, bucket, n); bucket −1 counts the addresses."""
-    seeds = frozenset(mark + word for mark in ("h:", "p:") for word in block_words)
+class Odds:
+    """Log odds of blocking of a list of tokens under a model."""
+
+    def __init__(self, model, bits):
+        self.prior, (known, values, rest) = model
+        self.weights, self.number = np.full(1 << bits, rest, np.float32), Buckets(bits)
+        self.weights[known] = values
+
+    def __call__(self, tokens):
+        return self.prior + float(sum(self.weights[self.number(t)] for t in tokens))
+
+
+def seed_tokens(block_words):
+    return frozenset(mark + word for mark in ("h:", "p:") for word in block_words)
+
+
+def _examples(words, block_words, bits, model=None):
+    """Arrow batches of (host, path) to counts (blocked, bucket, n); bucket −1 counts the addresses.
+
+    Without a model the listed words say what is blocked and are not counted themselves.
+    """
+    seeds = seed_tokens(block_words)
 
     def count(batches):
         segment, number = Segmenter(words), Buckets(bits)
+        odds = None if model is None else Odds(model, bits)
         held = np.zeros((2, (1 << bits) + 1), np.int64)
         for batch in batches:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = tokens(segment, host, path)
-                blocked = int(not seeds.isdisjoint(found))
+                blocked = int(odds(found) > 0 if odds else not seeds.isdisjoint(found))
                 held[blocked, -1] += 1
                 for token in found:
-                    held[blocked, number(token)] += 1
+                    if odds or token not in seeds:
+                        held[blocked, number(token)] += 1
         for blocked in (0, 1):
             at = np.flatnonzero(held[blocked])
             yield pa.RecordBatch.from_arrays(
@@ -207,37 +231,39 @@ def _examples(words, block_words, bits):
     return count
 
 
-def learn(addresses, words, block_words=BLOCK_WORDS, bits=TOKEN_BITS):
-    """Naive Bayes log odds of blocking: (prior, per token bucket), from all addresses.
-
-    Counts are kept in 2^``bits`` buckets, so what reaches the driver is bounded. Every token bucket that
-    occurs starts with ``START`` in both classes.
-    """
-    counts = addresses.select("host", "path").mapInArrow(_examples(words, block_words, bits), "blocked bigint, bucket bigint, n bigint")
+def _fitted(addresses, examples, bits):
+    """The model of counted examples: (prior, (buckets, their log odds, log odds of all others))."""
+    counts = addresses.select("host", "path").mapInArrow(examples, "blocked bigint, bucket bigint, n bigint")
     table = np.zeros((2, (1 << bits) + 1))
     for row in counts.groupBy("blocked", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         table[row["blocked"], row["bucket"]] = row["n"]
-    started = table[:, :-1] + START
-    chance = np.log(started) - np.log(table[:, :-1].sum(axis=1, keepdims=True) + START * max((table[:, :-1].sum(axis=0) > 0).sum(), 1))
+    seen = np.flatnonzero(table[:, :-1].any(axis=0))
+    whole = table[:, :-1].sum(axis=1, keepdims=True) + START * max(seen.size, 1)
+    chance = np.log(table[:, seen] + START) - np.log(whole)
+    unseen = np.log(START) - np.log(whole[:, 0])
     prior = math.log(table[1, -1] + 1.0) - math.log(table[0, -1] + 1.0)
-    return prior, (chance[1] - chance[0]).astype(np.float32)
+    return prior, (seen, (chance[1] - chance[0]).astype(np.float32), float(unseen[1] - unseen[0]))
 
 
-def _judge(words, model, bits):
-    prior, odds = model
-    known = np.flatnonzero(odds != np.median(odds))
-    values, rest = odds[known], float(np.median(odds))
+def learn(addresses, words, block_words=BLOCK_WORDS, bits=TOKEN_BITS):
+    """Naive Bayes log odds of blocking, from all addresses, in two rounds.
+
+    Counts are kept in 2^``bits`` buckets, so what reaches the driver is bounded. Every token bucket that
+    occurs starts with ``START`` in both classes. Without any address that holds a listed word nothing
+    is blocked.
+    """
+    first = _fitted(addresses, _examples(words, block_words, bits), bits)
+    return _fitted(addresses, _examples(words, block_words, bits, first), bits)
+
 
+def _judge(words, model, bits):
     def judge(batches):
-        weights = np.full(1 << bits, rest, np.float32)
-        weights[known] = values
-        segment, number = Segmenter(words), Buckets(bits)
+        segment, odds = Segmenter(words), Odds(model, bits)
         for batch in batches:
             host, path = (batch.column(i).to_pylist() for i in (1, 2))
             found = [tokens(segment, h, p) for h, p in zip(host, path)]
-            score = [prior + float(sum(weights[number(t)] for t in f)) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.list_(pa.string())), pa.array(score, pa.float64())],
+                [*batch.columns, pa.array(found, pa.list_(pa.string())), pa.array([odds(f) for f in found], pa.float64())],
                 [*batch.schema.names, "tokens", "score"],
             )
 

@@ -279,26 +279,60 @@ def test_segmentation_is_the_most_probable(spark):
     assert urlfilter.tokens(urlfilter.Segmenter(listed), "m.casinowin.net", "/Cheap/12") == ["h:m", "h:casino", "h:win", "h:net", "p:cheap", "p:0"]
 
 
+def plain_odds(listed, blocked, skipped=frozenset()):
+    """A function that scores tokens, from lists of tokens and what each is an example of."""
+    counts = [collections.Counter(), collections.Counter()]
+    for found, kind in zip(listed, blocked):
+        counts[kind].update(t for t in found if t not in skipped)
+    size = max(len(counts[0] | counts[1]), 1)
+    whole = [sum(c.values()) + urlfilter.START * size for c in counts]
+
+    def odds(found):
+        score = np.log((sum(blocked) + 1) / (len(blocked) - sum(blocked) + 1))
+        for t in found:
+            score += np.log((counts[1][t] + urlfilter.START) / whole[1]) - np.log((counts[0][t] + urlfilter.START) / whole[0])
+        return score
+
+    return odds
+
+
 def test_naive_bayes_equals_plain_counts(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
-    words = urlfilter.vocabulary(pages)
-    segment = urlfilter.Segmenter(words)
-    seeds = {m + w for m in ("h:", "p:") for w in urlfilter.BLOCK_WORDS}
+    segment = urlfilter.Segmenter(urlfilter.vocabulary(pages))
+    seeds = urlfilter.seed_tokens(urlfilter.BLOCK_WORDS)
     found = {r["id"]: r for r in urlfilter.verdicts(pages).collect()}
-    counts, number = [collections.Counter(), collections.Counter()], [0, 0]
-    for r in pages.collect():
-        listed = urlfilter.tokens(segment, *plain_address(r["url"])[:2])
-        assert found[r["page_id"]]["tokens"] == listed
-        blocked = not seeds.isdisjoint(listed)
-        number[blocked] += 1
-        counts[blocked].update(listed)
-    size = len(counts[0] | counts[1])
-    for r in found.values():
-        score = np.log((number[1] + 1) / (number[0] + 1))
-        for t in r["tokens"]:
-            score += np.log((counts[1][t] + urlfilter.START) / (sum(counts[1].values()) + urlfilter.START * size))
-            score -= np.log((counts[0][t] + urlfilter.START) / (sum(counts[0].values()) + urlfilter.START * size))
-        assert r["score"] == pytest.approx(score, abs=1e-3)
+    listed = {r["page_id"]: urlfilter.tokens(segment, *plain_address(r["url"])[:2]) for r in pages.collect()}
+    first = plain_odds(listed.values(), [not seeds.isdisjoint(t) for t in listed.values()], seeds)
+    second = plain_odds(listed.values(), [bool(first(t) > 0) for t in listed.values()])
+    for key, tokens in listed.items():
+        assert found[key]["tokens"] == tokens and found[key]["score"] == pytest.approx(second(tokens), abs=1e-3)
+
+
+def test_neighbours_of_listed_words_decide(spark):
+    """An address without a listed word is blocked, one with such a word is allowed."""
+    urls = [f"http://spam-farm.net/offers/{i}" for i in range(20)] + [f"http://garden.net/news/{i}" for i in range(200)]
+    urls += ["http://farm.net/offers/a", "http://garden.net/news/tracking", "http://spamgarden.net/news/1"]
+    text = "<p>" + "spam farm garden news offers tracking " * 9 + "</p>"
+    pages = spark.createDataFrame([(i, u, text) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    verdict = {r["id"]: r["verdict"] for r in urlfilter.verdicts(pages).collect()}
+    assert [verdict[i] for i in (0, 19, 20, 219)] == ["block", "block", "allow", "allow"]
+    assert [verdict[i] for i in (220, 221, 222)] == ["block", "allow", "allow"]
+
+
+def test_hosts_are_known_without_their_listed_word(spark):
+    """Held out: addresses that never taught, with the listed word taken out of them, are still told apart."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    addresses = urlfilter.host_path(pages, "url").select("page_id", "host", "path")
+    words = urlfilter.vocabulary(pages)
+    segment, seeds = urlfilter.Segmenter(words), urlfilter.seed_tokens(urlfilter.BLOCK_WORDS)
+    odds = urlfilter.Odds(urlfilter.learn(addresses.filter("page_id % 3 > 0"), words), urlfilter.TOKEN_BITS)
+    right, listed = [], 0
+    for r in addresses.filter("page_id % 3 = 0").collect():
+        found = urlfilter.tokens(segment, r["host"], r["path"])
+        held = not seeds.isdisjoint(found)
+        listed += held
+        right.append((odds([t for t in found if t not in seeds]) > 0) == held)
+    assert listed and np.mean(right) > 0.98
 
 
 # ---------------------------------------------------------------- neighbours
