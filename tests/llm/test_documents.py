@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 
 import numpy as np
@@ -455,3 +456,74 @@ def test_toxicity_without_a_model(spark):
     assert toxicity.learn(docs, labels) is None and toxicity.learn(docs, labels.limit(0)) is None
     assert [r["severity"] for r in toxicity.severities(docs, None).collect()] == [0.0, 0.0]
     assert toxicity.severities(docs.limit(0), None).count() == 0
+
+
+def toxic_table(spark, number, chance):
+    """Texts of very different lengths; the number of bad words of a toxic one grows with its length."""
+    rows = []
+    for i in range(number):
+        words = [f"word{chance.randrange(300)}" for _ in range(int(2 ** chance.uniform(3, 9)))]
+        for at in range(len(words)):
+            if i % 3 == 0 and (at == 0 or chance.random() < 0.03):
+                words[at] = chance.choice(["vile", "nasty", "grim", "foul"])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return rows, docs, spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+
+
+def test_severity_equals_plain_counts(spark):
+    """Features, their choice and the scores, one text and one word at a time."""
+    rows, docs, labels = toxic_table(spark, 240, random.Random(8))
+    model = toxicity.learn(docs, labels, max_features=40)
+    extract, held = toxicity.Features(), {}
+    counted = {}
+    for i, text, _ in rows:
+        counted[i] = collections.Counter()
+        for word in text.split():
+            if word not in held:
+                _, features, counts = extract([word])
+                held[word] = dict(zip(features.tolist(), counts.tolist()))
+            counted[i].update(held[word])
+    flagged = sum(k for *_, k in rows)
+    ratio = {}
+    for feature in set().union(*counted.values()):
+        of, hit = sum(feature in counted[i] for i, *_ in rows), sum(feature in counted[i] for i, _, k in rows if k)
+        if hit * len(rows) <= of * flagged:
+            continue
+        cells = [(hit, of * flagged), (of - hit, of * (len(rows) - flagged))]
+        cells += [(flagged - hit, (len(rows) - of) * flagged), (len(rows) - flagged - of + hit, (len(rows) - of) * (len(rows) - flagged))]
+        ratio[feature] = 2 * sum(n * math.log(n / (e / len(rows))) for n, e in cells if n and e)
+    best = sorted((f for f in ratio if ratio[f] >= toxicity.LEAST_RATIO), key=lambda f: (-round(ratio[f], 9), f))[:40]
+    assert model[0].tolist() == sorted(best)
+    weight = dict(zip(model[0].tolist(), model[1].weights.tolist()))
+    for r in toxicity.severities(docs, model).collect():
+        own = counted[r["id"]]
+        score = sum(weight[f] * (1 + math.log(n)) for f, n in own.items() if f in weight)
+        limits = model[1].thresholds[int(math.log2(sum(own.values())))]
+        chances = [1 / (1 + math.exp(t - score)) for t in limits]
+        assert r["severity"] == pytest.approx(sum(chances)) and r["toxic_score"] == pytest.approx(chances[0])
+
+
+def test_grades_do_not_follow_length(spark):
+    rows, docs, labels = toxic_table(spark, 900, random.Random(9))
+    found = {r["id"]: r for r in toxicity.severities(docs, toxicity.learn(docs, labels)).collect()}
+    assert np.mean([found[i]["toxic"] == bool(k) for i, _, k in rows]) > 0.99
+    toxic = [(len(text), found[i]["severity"]) for i, text, k in rows if k]
+    ranks = np.argsort(np.argsort(np.array(toxic), axis=0), axis=0)
+    assert abs(np.corrcoef(ranks.T)[0, 1]) < 0.35
+    assert {found[i]["grade"] for i, _, k in rows if k} >= {1, 2}
+
+
+def test_strong_is_above_the_median_of_its_length():
+    rows, features = np.array([0, 1, 2, 2, 3, 3, 4, 5, 6, 7]), np.array([0, 0, 0, 1, 0, 1, 0, 0, 2, 2])
+    toxic, band = [1, 1, 1, 1, 1, 1, 0, 0], np.array([3, 3, 3, 3, 5, 5, 3, 5])
+    grades = toxicity.severity_grades(rows, features, np.ones(10), band, toxic, 3)
+    assert grades.tolist()[2:4] == [2, 2] and grades.tolist()[:2] == [1, 1] and grades.tolist()[6:] == [0, 0]
+    assert toxicity.severity_grades(rows, features, np.ones(10), band, [0] * 8, 3).tolist() == [0] * 8
+
+
+def test_several_texts_of_an_id_teach_once(spark):
+    rows, docs, labels = toxic_table(spark, 200, random.Random(10))
+    other = docs.unionByName(docs)
+    once, twice = toxicity.learn(docs, labels), toxicity.learn(other, labels)
+    assert once[0].tolist() == twice[0].tolist() and np.allclose(once[1].weights, twice[1].weights)
