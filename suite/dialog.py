@@ -132,6 +132,12 @@ def history_fold(spark, folder):
     return D.history_fold(_turns(spark, folder), block=2).select("session_id", "turn", "history")
 
 
+@register(f"SELECT session_id, turn, history FROM ({HISTORY})")
+def history_tree(spark, folder):
+    """The same with all blocks put together by a tree, as for sessions of any length."""
+    return D.history_fold(_turns(spark, folder), block=1, blocks_per_window=1).select("session_id", "turn", "history")
+
+
 @register("""
     SELECT event_id, user_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_no FROM events
 """)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from passarank.operators.dialog import histories, history_fold, reset_sessions
@@ -64,3 +65,28 @@ def test_histories_after_resets(spark):
         told[user] = told.get(user, "") + f"\n\nHuman: q{i}\nAI: a{i}"
     found = histories(df, "user", ["ts", "id"], F.col("reset"), block=4).collect()
     assert {r["id"]: (r["session_no"], r["history"]) for r in found} == expected
+
+
+@pytest.mark.parametrize("first", [-37, 0, 10**12])
+def test_history_of_a_very_long_session(spark, first):
+    """Far more blocks than a window takes; sparse turn numbers, missing answers and sessions of one turn."""
+    rng = random.Random(first)
+    rows = [("long", first + n, f"q{n}", None if n % 7 == 0 else f"a{n}") for n in range(900) if rng.random() < 0.8]
+    rows += [("short", first + 5, "q", "a"), ("late", first + 10**5, "q", "a"), ("late", first + 10**5 + 9, "x", "y")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "session_id string, turn long, human string, ai string").repartition(5)
+    found = history_fold(df, block=4, blocks_per_window=4)
+    expected, texts = {}, {}
+    for session, turn, human, ai in sorted(rows):
+        expected[session, turn] = texts.get(session, "")
+        if ai is not None:
+            texts[session] = texts.get(session, "") + f"\n\nHuman: {human}\nAI: {ai}"
+    assert {(r["session_id"], r["turn"]): r["history"] for r in found.collect()} == expected
+
+
+def test_history_tree_holds_no_session_in_one_window(spark):
+    df = spark.range(400).selectExpr("'s' AS session_id", "id AS turn", "'q' AS human", "'a' AS ai")
+    for limit, held in ((4, False), (200, True)):
+        found = history_fold(df, block=4, blocks_per_window=limit)._jdf.queryExecution().analyzed().toString()
+        specs = [part.split(")")[0] for part in found.split("windowspecdefinition(")[1:]]
+        assert specs and any("_block" in s.split(",")[1] and "ASC" in s.split(",")[1] for s in specs) == held
