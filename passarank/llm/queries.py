@@ -20,7 +20,7 @@ def query(sql=None):
 
 @query()
 def op9_minhash_near_duplicates(spark, folder):
-    """Every document with its class of near duplicates and the size of the class."""
+    """Every document with its class of near duplicates."""
     classes = neardup.near_duplicates(table(spark, folder, "documents"))
     return classes.select(F.col("id").alias("doc_id"), "class_id")
 
