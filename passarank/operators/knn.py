@@ -1,11 +1,11 @@
 """Exact nearest passages for many sub-queries at once.
 
-Two physical forms give the same rows. Sub-queries are cut into groups that fit a broadcast; for
-each group every task scans its passages once, in place, keeping its best k per sub-query: passages
-are never shuffled. Only with candidate entities and very many groups both sides are cut into blocks of
-limited size and each pair of blocks of the same entity meets in one task.
+Two physical forms give the same rows. Few sub-queries fit a broadcast: every task scans its passages once, in place,
+keeping its best k per sub-query, so passages are not shuffled; more of them go in groups of that size. Many
+sub-queries are dealt out in blocks of bounded size instead, and every block's task sees the passages pass by
+in the order of their ids: its best k are final, and no hits of different tasks have to be merged.
 
-A search whose tasks would give out very many hits is preceded by a slice of a fixed number of tasks:
+A scan whose tasks would give out very many hits is preceded by a slice of a fixed number of tasks:
 the k-th distance found there is an upper bound of the final one, and tasks that know it give out
 only few of the pairs that they would otherwise all have to send as their best k.
 """
@@ -20,23 +20,34 @@ from pyspark.sql import types as T
 
 from passarank.fixed_values import DEFAULT_HITS, HITS_PER_QUERY
 from passarank.functions.scores import DISTANCE_DIGITS
+from passarank.plans.prefix import numbered
 from passarank.plans.sizing import BROADCAST_BYTES, durable, input_bytes, measured_bytes, small
 from passarank.sources.collections import within
 
 QUERY = ["request_id", "query_idx"]
 BROADCAST_QUERIES = 8192
-QUERY_BLOCK = 32_768
+# Sub-queries of a block, fewer if a task would hold more than so many hits, and the fewest that blocks are cut down to
+# for the sake of idle cores.
+QUERY_BLOCK = 8192
+HELD_HITS = 1 << 21
+LEAST_BLOCK = 64
+# Passages that a task knows before it forgets those that are in no hit.
 PASSAGE_BLOCK = 131_072
-# Distances held at once in a task: 16M doubles.
-CELLS = 1 << 24
+# Distances held at once in a task: 1M doubles.
+CELLS = 1 << 20
+# Distances from which on the work should keep all cores busy; and bytes that a hit takes while hits are merged.
+MANY_PAIRS = 1 << 26
+HIT_BYTES = 64
 # With candidates, scans of the passages that cost about as much as moving each of them to the blocks of its entity.
-# Without candidates every block of sub-queries would need all passages, and scanning in place is never dearer.
 SCANS = 16
 # Hits given out by all tasks from which on bounds come first, and hits are merged in steps.
 MANY_HITS = 50_000_000
 MERGE_FAN = 64
 # Tasks whose passages give the bounds.
 SLICE_TASKS = 64
+# Distances are whole numbers of rounding steps, from 0 to twice this.
+STEPS = 10**DISTANCE_DIGITS
+STEP_BITS = (2 * STEPS).bit_length()
 
 
 def unit_rows(vectors):
@@ -57,117 +68,152 @@ def unit_rows(vectors):
 
 
 class Nearest:
-    """The k nearest passages per sub-query among those a task has seen, ties by passage id.
+    """The k nearest passages per sub-query among those offered so far, ties by passage id.
 
-    Pairs above a sub-query's current bound are dropped at once; the rest wait in a buffer that
-    is cut back to k per sub-query whenever it has grown too large.
+    Passages are offered in the order of their ids. A pair is one number: sub-query, distance in rounding
+    steps and place of the passage among those held, so that sorting the numbers puts the pairs in order. Pairs behind a
+    sub-query's k-th are dropped at once; the rest wait in a buffer that is cut back to k per sub-query
+    whenever it has grown as large as what is kept.
     """
 
     def __init__(self, queries, k, bound=None):
-        self.k = k
-        self.bound = np.full(queries, np.inf) if bound is None else bound.copy()
-        self.full = np.zeros(queries, bool)  # whether k passages are known
-        self.last = np.full(queries, None, dtype=object)  # then the id of the k-th
-        self.query = np.empty(0, np.int64)
-        self.distance = np.empty(0)
-        self.row = np.empty(0, np.int64)
-        self.rows = []
-        self.n_rows = 0
-        self.waiting = []
-        self.n_waiting = 0
-
-    def add(self, table, at, numbers, similarity):
-        """Offer rows ``at`` of ``table`` to the sub-queries ``numbers`` (similarity: query x row)."""
-        distance = 1.0 - similarity
-        fresh = ~np.isfinite(self.bound[numbers])
-        if distance.shape[1] > self.k and fresh.any():
-            self.bound[numbers[fresh]] = np.partition(distance[fresh], self.k - 1, axis=1)[:, self.k - 1]
-        # Rounding may level distances this close, so pairs a rounding step above the bound stay in.
-        slack = 10.0**-DISTANCE_DIGITS
-        query, row = np.nonzero(distance <= self.bound[numbers][:, None] + slack)
-        if not len(query):
-            return
-        query, rounded = numbers[query], np.round(distance[query, row], DISTANCE_DIGITS) + 0.0
-        ahead = self.ahead(table, query, rounded, at[row])
-        query, rounded, row = query[ahead], rounded[ahead], row[ahead]
-        if not len(query):
+        self.k, self.queries = k, queries
+        self.row_bits = 64 - STEP_BITS - max(queries - 1, 1).bit_length()
+        self.pair_bits = STEP_BITS + self.row_bits
+        self.last = np.full(queries, (1 << self.pair_bits) - 1, np.uint64)  # the largest distance and place still of use
+        self.least = np.full(queries, -np.inf)  # and the similarity below which nothing is
+        if bound is not None:
+            known = np.flatnonzero(np.isfinite(bound))
+            step = np.rint(bound[known] * STEPS).astype(np.uint64)
+            self.limit(known, ((step + np.uint64(1)) << np.uint64(self.row_bits)) - np.uint64(1))
+        self.codes = np.empty(0, np.uint64)
+        self.waiting, self.n_waiting = [], 0
+        self.rows, self.n_rows, self.most_rows = [], 0, PASSAGE_BLOCK
+
+    def limit(self, query, last):
+        """From now on only pairs up to ``last`` count."""
+        self.last[query] = last
+        step = (last >> np.uint64(self.row_bits)).astype(np.float64)
+        self.least[query] = 1.0 - (step + 0.5) / STEPS - 1e-9
+
+    def hold(self, table):
+        """Keep the columns of some more passages; returns the place of the first."""
+        if self.n_rows > self.most_rows:
+            self.forget()
+        first = self.n_rows
+        if first + table.num_rows >= 1 << self.row_bits:
+            raise ValueError(f"{self.queries} sub-queries with {self.k} hits each are too many for one task")
+        self.rows.append(table)
+        self.n_rows += table.num_rows
+        return first
+
+    def add(self, at, numbers, similarity):
+        """Offer the passages at places ``at`` to the sub-queries ``numbers`` (similarity: query x passage)."""
+        found = np.flatnonzero(similarity >= self.least[numbers][:, None])
+        if not len(found):
             return
-        used, local = np.unique(at[row], return_inverse=True)
-        self.rows.append(table.take(pa.array(used)))
-        self.waiting.append((query, rounded, local + self.n_rows))
-        self.n_rows += len(used)
-        self.n_waiting += len(query)
-        if self.n_waiting > max(2 * self.k * len(self.bound), CELLS // 8):
+        query, row = np.divmod(found, similarity.shape[1])
+        query = numbers[query]
+        steps = np.rint((1.0 - similarity.ravel()[found]) * STEPS)
+        codes = (np.maximum(steps, 0.0).astype(np.uint64) << np.uint64(self.row_bits)) | at[row].astype(np.uint64)
+        ahead = codes <= self.last[query]
+        codes = codes[ahead] | (query[ahead].astype(np.uint64) << np.uint64(self.pair_bits))
+        self.waiting.append(codes)
+        self.n_waiting += len(codes)
+        if self.n_waiting > max(self.k * self.queries, CELLS // 8):
             self.cut()
 
-    def ahead(self, table, query, distance, row):
-        """Whether pairs come before their sub-query's k-th passage; copies of that one tie with it
-        in any number, and all but those of smaller id can go at once."""
-        known = self.full[query]
-        keep = ~known | (distance <= self.bound[query])
-        tied = np.flatnonzero(known & (distance == self.bound[query]))
-        if len(tied):
-            ids = table["passage_id"].take(pa.array(row[tied])).to_numpy(zero_copy_only=False)
-            keep[tied] = ids < self.last[query[tied]]
-        return keep
-
     def cut(self):
         """Keep the first k pairs of each sub-query in the order (distance, passage id)."""
-        if not self.waiting:
+        if self.waiting:
+            self.codes = np.concatenate([self.codes, *self.waiting])
+            self.waiting, self.n_waiting = [], 0
+            self.codes.sort()
+        place = self.places()
+        self.codes = self.codes[place < self.k]
+        full = self.codes[place[place < self.k] == self.k - 1]
+        # Of later pairs only those before the k-th count.
+        query = (full >> np.uint64(self.pair_bits)).astype(np.int64)
+        self.limit(query, (full & np.uint64((1 << self.pair_bits) - 1)) - np.uint64(1))
+
+    def places(self):
+        """The place of every kept pair among those of its sub-query, from 0."""
+        query = self.codes >> np.uint64(self.pair_bits)
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+        return np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+
+    def forget(self):
+        """Drop the passages that are in no pair; the others keep their order."""
+        self.cut()
+        row = self.codes & np.uint64((1 << self.row_bits) - 1)
+        used, now = np.unique(row, return_inverse=True)
+        self.codes = self.codes - row + now.astype(np.uint64)
+        self.rows = [pa.concat_tables(self.rows).take(pa.array(used.astype(np.int64)))] if len(used) else []
+        self.n_rows, self.most_rows = len(used), max(PASSAGE_BLOCK, 2 * len(used))
+        self.cut()
+
+    def hits(self, query_rows, size=65_536):
+        """Hits as tables of bounded size: sub-query columns, passage columns, distance and place from 1."""
+        self.cut()
+        if not len(self.codes):
             return
-        table = pa.concat_tables(self.rows).combine_chunks()
-        query = np.concatenate([self.query, *[w[0] for w in self.waiting]])
-        distance = np.concatenate([self.distance, *[w[1] for w in self.waiting]])
-        row = np.concatenate([self.row, *[w[2] for w in self.waiting]])
-        by_id = pc.rank(table["passage_id"], sort_keys="ascending", tiebreaker="first").to_numpy()
-        order = np.lexsort((by_id[row], distance, query))
-        query, distance, row = query[order], distance[order], row[order]
-        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-        full = place == self.k - 1
-        self.full[query[full]] = True
-        self.bound[query[full]] = distance[full]
-        self.last[query[full]] = table["passage_id"].take(pa.array(row[full])).to_numpy(zero_copy_only=False)
-        kept = place < self.k
-        used, self.row = np.unique(row[kept], return_inverse=True)
-        self.query, self.distance = query[kept], distance[kept]
-        self.rows, self.n_rows = [table.take(pa.array(used))], len(used)
-        self.waiting, self.n_waiting = [], 0
+        table, places = pa.concat_tables(self.rows).combine_chunks(), self.places()
+        for start in range(0, len(self.codes), size):
+            codes = self.codes[start : start + size]
+            step = (codes & np.uint64((1 << self.pair_bits) - 1)) >> np.uint64(self.row_bits)
+            left = query_rows.take(pa.array((codes >> np.uint64(self.pair_bits)).astype(np.int64)))
+            right = table.take(pa.array((codes & np.uint64((1 << self.row_bits) - 1)).astype(np.int64)))
+            columns = [*left.columns, *right.columns, pa.array(step.astype(np.float64) / STEPS), pa.array((places[start : start + size] + 1).astype(np.int32))]
+            yield pa.table(columns, names=[*left.column_names, *right.column_names, "distance", "pos"])
 
     def result(self, query_rows):
-        """Hits as one table: sub-query columns, passage columns, distance."""
-        self.cut()
-        if not self.rows:
-            return None
-        left = query_rows.take(pa.array(self.query))
-        right = self.rows[0].take(pa.array(self.row))
-        names = [*left.column_names, *right.column_names, "distance"]
-        return pa.table([*left.columns, *right.columns, pa.array(self.distance)], names=names)
+        """All hits as one table, None if there are none."""
+        tables = list(self.hits(query_rows))
+        return pa.concat_tables(tables) if tables else None
 
 
 def _offer(nearest, table, embedding, matrix, allowed):
     """Offer all rows of a table, in pieces that bound the distance matrix."""
-    if not len(matrix):
+    if not len(matrix) or not table.num_rows:
+        return
+    ids = table["passage_id"].combine_chunks()
+    if ids.null_count or not pc.all(pc.less_equal(ids[:-1], ids[1:]), min_count=0).as_py():
+        table = table.take(pc.sort_indices(ids, null_placement="at_start"))
+    held = table.drop_columns([embedding])
+    vectors = unit_rows(table[embedding])
+    at = nearest.hold(held) + np.arange(len(vectors))
+    if allowed is None:
+        _tiles(nearest, at, vectors, np.arange(len(matrix)), matrix)
         return
-    ids = table.drop_columns([embedding])
-    step = max(256, CELLS // max(len(matrix), 1))
-    everyone = np.arange(len(matrix))
-    for start in range(0, table.num_rows, step):
-        vectors = unit_rows(table[embedding].slice(start, step))
-        at = np.arange(start, start + len(vectors))
-        if allowed is None:
-            nearest.add(ids, at, everyone, matrix @ vectors.T)
-            continue
-        coded = pc.dictionary_encode(ids["entity_id"].slice(start, step).combine_chunks())
-        codes = coded.indices.to_numpy()
-        by_code = np.argsort(codes, kind="stable")
-        edges = np.searchsorted(codes[by_code], np.arange(len(coded.dictionary) + 1))
-        for code, entity in enumerate(coded.dictionary.to_pylist()):
-            requests = allowed[0].get(entity)
-            if requests is not None:
-                numbers = np.sort(np.concatenate([allowed[1][r] for r in requests]))
-                chosen = by_code[edges[code] : edges[code + 1]]
-                nearest.add(ids, at[chosen], numbers, matrix[numbers] @ vectors[chosen].T)
+    coded = pc.dictionary_encode(held["entity_id"].combine_chunks())
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    by_code = np.argsort(codes, kind="stable")
+    edges = np.searchsorted(codes[by_code], np.arange(len(coded.dictionary) + 1))
+    for code, entity in enumerate(coded.dictionary.to_pylist()):
+        requests = allowed[0].get(entity)
+        if requests is not None:
+            numbers = np.sort(np.concatenate([allowed[1][r] for r in requests]))
+            chosen = by_code[edges[code] : edges[code + 1]]
+            _tiles(nearest, at[chosen], vectors[chosen], numbers, matrix if len(numbers) == len(matrix) else matrix[numbers])
+
+
+def _tiles(nearest, at, vectors, numbers, matrix):
+    step = max(1, CELLS // len(numbers))
+    for start in range(0, len(vectors), step):
+        nearest.add(at[start : start + step], numbers, matrix @ vectors[start : start + step].T)
+
+
+def _allowed(requests, pairs):
+    """Candidate pairs for a block of sub-queries, given their requests: requests per entity and sub-queries per request,
+    as many numbers as there are pairs and sub-queries, not their product."""
+    numbers, of_entity = {}, {}
+    for number, request in enumerate(requests):
+        numbers.setdefault(request, []).append(number)
+    place = {request: at for at, request in enumerate(numbers)}
+    for request, entity in pairs:
+        if request in place:
+            of_entity.setdefault(entity, []).append(place[request])
+    return of_entity, [np.array(own) for own in numbers.values()]
 
 
 def _hit_schema(queries, passages, embedding):
@@ -184,16 +230,7 @@ def _broadcast_form(queries, block, candidates, passages, k, embedding, bounds):
     spark = passages.sparkSession
     allowed = None
     if candidates is not None:
-        # Requests per entity and sub-queries per request: as many numbers as there are pairs and
-        # sub-queries, not their product.
-        numbers, of_entity = {}, {}
-        for number, request in enumerate(block["request_id"].to_pylist()):
-            numbers.setdefault(request, []).append(number)
-        place = {request: at for at, request in enumerate(numbers)}
-        for pair in candidates.to_pylist():
-            if pair["request_id"] in place:
-                of_entity.setdefault(pair["entity_id"], []).append(place[pair["request_id"]])
-        allowed = of_entity, [np.array(own) for own in numbers.values()]
+        allowed = _allowed(block["request_id"].to_pylist(), zip(candidates["request_id"].to_pylist(), candidates["entity_id"].to_pylist()))
     bound = None
     if bounds is not None:
         known = {(row["request_id"], row["query_idx"]): row["_bound"] for row in bounds.collect()}  # one per sub-query
@@ -206,67 +243,83 @@ def _broadcast_form(queries, block, candidates, passages, k, embedding, bounds):
         for batch in batches:
             if batch.num_rows:
                 _offer(nearest, pa.table(batch), embedding, matrix, allowed)
-        hits = nearest.result(query_rows)
-        if hits is not None:
-            yield from hits.to_batches(max_chunksize=65_536)
+        for hits in nearest.hits(query_rows):
+            yield from hits.drop_columns(["pos"]).combine_chunks().to_batches()
 
-    return passages.mapInArrow(scan, _hit_schema(queries, passages, embedding)), shared
+    # In the order of their ids within a task, for ties; nothing moves for that.
+    in_order = passages.sortWithinPartitions("passage_id")
+    return in_order.mapInArrow(scan, _hit_schema(queries, passages, embedding)), shared
 
 
-def _blocked_form(queries, candidates, passages, k, embedding, bounds):
-    """Each pair of a block of sub-queries and a block of passages meets in one task."""
-    schema = _hit_schema(queries, passages, embedding)
-    if bounds is None:
-        queries = queries.withColumn("_bound", F.lit(None).cast("double"))
-    else:
-        queries = queries.join(bounds, QUERY, "left").select(*queries.columns, "_bound")
-    queries = durable(queries, "queries")
-    query_hash = F.xxhash64(*QUERY)
-    passage_hash = F.xxhash64("passage_id")
-
-    def blocks(count, size):
-        return F.ceil(F.col(count) / size).cast("int")
+def _blocked_form(queries, candidates, passages, k, embedding):
+    """The k nearest, with ``pos``, of sub-queries in blocks, each of which sees all its passages in one task.
 
+    Blocks are cut out of the sub-queries in the order of their keys, so a request lies in few of them, and passages
+    go only to the blocks that have a request for their entity. A task streams: it holds its sub-queries, their best k
+    so far and one batch of passages.
+    """
+    spark, restricted = passages.sparkSession, candidates is not None
+    count = queries.count()
+    size = max(1, min(QUERY_BLOCK, HELD_HITS // k))
+    blocks = max(-(-count // size), min(spark.sparkContext.defaultParallelism, -(-count // min(LEAST_BLOCK, size))), 1)
+    size = max(-(-count // blocks), 1)
+    again = queries.groupBy(*QUERY).count().filter("count > 1").limit(1).count()
+    block = F.floor(F.col("_number") / size).cast("int").alias("_block")
+    asked = numbered(queries, QUERY, "_number").select(block, F.lit(0).alias("_side"), F.struct(*queries.columns).alias("_query"))
+    row = F.struct(*passages.columns).alias("_passage")
     if candidates is None:
-        queries = queries.withColumn("_group", F.lit(""))
-        passages = passages.withColumn("_group", F.lit(""))
-        n_passages, n_queries = passages.count(), queries.count()
-        q_blocks, p_blocks = F.lit(-(-n_queries // QUERY_BLOCK)), F.lit(-(-n_passages // PASSAGE_BLOCK))
+        every = passages.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), row)
+        streams = asked
     else:
-        queries = durable(
-            queries.join(candidates.withColumnRenamed("entity_id", "_group"), "request_id"), "candidate-queries"
-        )
-        passages = passages.withColumn("_group", F.col("entity_id"))
-        sizes = (
-            queries.groupBy("_group").agg(F.count("*").alias("_nq"))
-            .join(passages.groupBy("_group").agg(F.count("*").alias("_np")), "_group")
-            .select("_group", blocks("_nq", QUERY_BLOCK).alias("_qs"), blocks("_np", PASSAGE_BLOCK).alias("_ps"))
-        )
-        sizes = small(durable(sizes, "block-counts"))
-        queries, passages = queries.join(sizes, "_group"), passages.join(sizes, "_group")
-        q_blocks, p_blocks = F.col("_qs"), F.col("_ps")
-
-    tile = ["_group", "_qb", "_pb"]
-
-    def tiled(df, own, own_hash, own_blocks, other, other_blocks):
-        every = F.explode(F.sequence(F.lit(0), other_blocks - 1))
-        return df.withColumn(own, F.pmod(own_hash, own_blocks).cast("int")).withColumn(other, every).drop("_qs", "_ps")
-
-    def meet(left, right):
-        query_rows, right = left.drop_columns([*tile, embedding, "_bound"]), right.drop_columns(tile)
-        bound = pc.fill_null(left["_bound"], np.inf).to_numpy().astype(np.float64)
-        nearest = Nearest(left.num_rows, k, bound)
-        if left.num_rows:
-            _offer(nearest, right, embedding, unit_rows(left[embedding]), None)
-        hits = nearest.result(query_rows)
-        if hits is None:
-            fields = [*query_rows.schema, *right.drop_columns([embedding]).schema, pa.field("distance", pa.float64())]
-            hits = pa.schema(fields).empty_table()
-        return hits
-
-    left = tiled(queries, "_qb", query_hash, q_blocks, "_pb", p_blocks).groupBy(*tile)
-    right = tiled(passages, "_pb", passage_hash, p_blocks, "_qb", q_blocks).groupBy(*tile)
-    return left.cogroup(right).applyInArrow(meet, schema)
+        requests = asked.select("_block", F.col("_query.request_id").alias("_request")).distinct()
+        pairs = requests.join(candidates, F.col("_request").eqNullSafe(F.col("request_id")))
+        pairs = durable(pairs.select("_block", "_request", F.col("entity_id").alias("_entity")), "block-candidates")
+        reached = small(pairs.select("_block", "_entity").distinct())
+        every = passages.join(reached, passages["entity_id"] == F.col("_entity")).select("_block", row)
+        streams = asked.unionByName(pairs.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    every = every.select("_block", F.lit(2).alias("_side"), F.col("_passage.passage_id").alias("_order"), "_passage")
+    streams = streams.unionByName(every, allowMissingColumns=True)
+    streams = streams.repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "_side", "_order")
+
+    def meet(batches):
+        own = nearest = None
+        for batch in batches:
+            number, side = batch.column("_block").to_numpy(), batch.column("_side").to_numpy()
+            edges = np.flatnonzero((number[1:] != number[:-1]) | (side[1:] != side[:-1])) + 1
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                if own != number[start]:
+                    if nearest is not None:
+                        yield from given(nearest, query_rows)
+                    own, nearest, asked, pairs = number[start], None, [], []
+                if side[start] == 0:
+                    asked.append(_fields(part.column("_query")))
+                elif side[start] == 1:
+                    pairs += zip(part.column("_request").to_pylist(), part.column("_entity").to_pylist())
+                else:
+                    if nearest is None:
+                        query_rows = pa.concat_tables(asked).combine_chunks()
+                        matrix = unit_rows(query_rows[embedding])
+                        allowed = _allowed(query_rows["request_id"].to_pylist(), pairs) if restricted else None
+                        query_rows, nearest = query_rows.drop_columns([embedding]), Nearest(len(matrix), k)
+                    _offer(nearest, _fields(part.column("_passage")), embedding, matrix, allowed)
+        if nearest is not None:
+            yield from given(nearest, query_rows)
+
+    def given(nearest, query_rows):
+        for hits in nearest.hits(query_rows):
+            yield from hits.combine_chunks().to_batches()
+
+    schema = _hit_schema(queries, passages, embedding)
+    hits = streams.mapInArrow(meet, T.StructType([*schema.fields, T.StructField("pos", T.IntegerType())]))
+    # Sub-queries that repeat a key share its k hits.
+    return keep_nearest(hits.drop("pos"), k) if again else hits
+
+
+def _fields(structs):
+    return pa.Table.from_batches([pa.RecordBatch.from_struct_array(structs)])
 
 
 def keep_nearest(hits, k, fan=None):
@@ -305,11 +358,10 @@ def _if_few(df, rows):
 
 
 def _groups(queries, limit, most=None):
-    """The sub-queries in groups, by hash, that each fit a broadcast: (frame, number of groups) or None.
+    """The stored sub-queries in groups, by hash, that each fit a broadcast: (frame, number of groups) or None.
 
     None means more groups than the ``most`` that are worth while.
     """
-    queries = durable(queries, "queries")
     n, size = queries.count(), measured_bytes(queries)
     groups = max(-(-n // limit), -(-size // BROADCAST_BYTES))
     if groups > 1:
@@ -354,24 +406,28 @@ def nearest_passages(
         passages = _of_candidates(passages, candidates, pairs)
     passages = passages.filter(F.col(embedding).isNotNull())
 
-    if candidates is None or pairs is not None:
-        if block is not None:
-            groups = 1
-        elif broadcast_queries:
-            queries, groups = _groups(queries, broadcast_queries, None if candidates is None else SCANS)
-            if groups and not _is_scan(passages):
-                passages = durable(passages, "passages")  # else computed again for every group
+    if block is None:
+        queries = durable(queries, "queries")
+        if not _is_scan(passages):
+            passages = durable(passages, "passages")  # else computed again for every group
     # The number of scanning tasks, from what the planner knows of the files.
     spark = passages.sparkSession
     tasks = 1 + input_bytes(passages) // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     rows = block.num_rows if block is not None else queries.count()
+    if broadcast_queries and (candidates is None or pairs is not None) and not _better_in_blocks(passages, rows, k, tasks):
+        if block is not None:
+            groups = 1
+        else:
+            queries, groups = _groups(queries, broadcast_queries, None if candidates is None else SCANS)
+    if not groups:
+        if pairs is not None:
+            candidates = durable(candidates, "candidates")
+        return _blocked_form(queries, candidates, passages, k, embedding)
     many = tasks * rows * k > MANY_HITS
     fan, every = (MERGE_FAN if many else None), slice_every or (max(1, tasks // SLICE_TASKS) if many else None)
 
     def search(passages, bounds):
-        if not groups:
-            hits = _blocked_form(queries, candidates, passages, k, embedding, bounds)
-        elif block is not None:
+        if block is not None:
             hits, _ = _broadcast_form(queries, block, pairs, passages, k, embedding, bounds)
         else:
             # One group after another, so that the driver holds one at a time.
@@ -392,6 +448,15 @@ def nearest_passages(
     return search(passages, bounds)
 
 
+def _better_in_blocks(passages, queries, k, tasks):
+    """Whether passages should move to blocks of sub-queries: where scanning tasks are too few for the cores, or
+    where their hits take more room than the passages in all blocks."""
+    if queries * passages.count() < MANY_PAIRS:
+        return False
+    blocks = -(-queries // max(1, min(QUERY_BLOCK, HELD_HITS // k)))
+    return tasks < passages.sparkSession.sparkContext.defaultParallelism or tasks * queries * k * HIT_BYTES > input_bytes(passages) * blocks
+
+
 def _is_scan(df):
     """Whether ``df`` only reads, selects and filters stored files."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -229,3 +229,42 @@ def test_many_groups_scan_in_place(spark, monkeypatch):
     monkeypatch.setattr(knn, "_blocked_form", lambda *_: pytest.fail("passages are moved"))
     grouped = knn.nearest_passages(queries, passages, 5, broadcast_queries=2)
     assert sorted(grouped.select(*columns).collect()) == sorted(whole)
+
+
+@pytest.mark.parametrize("restricted", [False, True])
+def test_many_sub_queries_meet_all_passages_in_one_task(spark, monkeypatch, restricted):
+    """Hits of a block are final: none are sent to be merged. Repeated keys share their k, null requests have theirs."""
+    monkeypatch.setattr(knn, "MANY_PAIRS", 1)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 8)
+    p, q = data(copies=0.35)
+    candidates = spark.createDataFrame([(f"r{r}", e) for r in range(6) for e in ("hot", "e1", "e2")], "request_id string, entity_id string")
+    candidates = candidates if restricted else None
+    allowed = {tuple(c) for c in candidates.collect()} if restricted else None
+    passages = durable(spark.createDataFrame(p, PASSAGES).repartition(5))
+    hits = knn.nearest_passages(spark.createDataFrame(q, QUERIES), passages, 12, candidates)
+    assert "Window" not in plan(hits)
+    assert found(hits) == brute(p, q, 12, allowed)
+    twice = spark.createDataFrame(q + q[:3], QUERIES)
+    few = [tuple(r) for r in knn.nearest_passages(twice, passages, 12, candidates).select("query_idx", "pos", "distance").collect()]
+    monkeypatch.setattr(knn, "MANY_PAIRS", 1 << 60)
+    assert sorted(few) == sorted(tuple(r) for r in knn.nearest_passages(twice, passages, 12, candidates).select("query_idx", "pos", "distance").collect())
+
+
+def test_buffer_is_bounded_where_entities_have_few_passages(monkeypatch):
+    """Pieces of an entity with fewer than k passages give no bound; the pairs that wait stay few nevertheless."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(knn, "CELLS", 1 << 10)
+    p, q = data(passages=4000, queries=20)
+    nearest, most = knn.Nearest(len(q), 16), []
+    add = nearest.add
+    monkeypatch.setattr(nearest, "add", lambda *a: (add(*a), most.append(nearest.n_waiting)))
+    matrix = knn.unit_rows(pa.array([r[3] for r in q], pa.list_(pa.float32())))
+    rows = sorted((passage, f"e{i}", vector) for i, (passage, _, vector) in enumerate(p))
+    allowed = knn._allowed([r[0] for r in q], [(f"r{r}", e) for r in range(6) for _, e, _ in rows])
+    table = pa.table({"passage_id": [r[0] for r in rows], "entity_id": [r[1] for r in rows], "embedding": pa.array([r[2] for r in rows], pa.list_(pa.float32()))})
+    for start in range(0, len(rows), 500):
+        knn._offer(nearest, table.slice(start, 500), "embedding", matrix, allowed)
+    result = nearest.result(pa.table({"n": list(range(len(q)))})).to_pylist()
+    assert {(r["n"], r["pos"], r["passage_id"], r["distance"]) for r in result} == {h[1:] for h in brute(p, q, 16)}
+    assert max(most) <= 20 * 16
