@@ -271,11 +271,11 @@ def _blocked_form(queries, candidates, passages, k, embedding):
         every = passages.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), row)
         streams = asked
     else:
-        requests = asked.select("_block", F.col("_query.request_id").alias("_request")).distinct()
-        pairs = requests.join(candidates, F.col("_request").eqNullSafe(F.col("request_id")))
-        pairs = durable(pairs.select("_block", "_request", F.col("entity_id").alias("_entity")), "block-candidates")
-        reached = small(pairs.select("_block", "_entity").distinct())
-        every = passages.join(reached, passages["entity_id"] == F.col("_entity")).select("_block", row)
+        requests = asked.select("_block", F.col("_query.request_id").alias("_asked_by")).distinct()
+        pairs = requests.join(candidates, F.col("_asked_by").eqNullSafe(F.col("request_id")))
+        pairs = durable(pairs.select("_block", "_asked_by", F.col("entity_id").alias("_wanted")), "block-candidates")
+        reached = small(pairs.select("_block", "_wanted").distinct())
+        every = passages.join(reached, passages["entity_id"] == F.col("_wanted")).select("_block", row)
         streams = asked.unionByName(pairs.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     every = every.select("_block", F.lit(2).alias("_side"), F.col("_passage.passage_id").alias("_order"), "_passage")
     streams = streams.unionByName(every, allowMissingColumns=True)
@@ -297,7 +297,7 @@ def _blocked_form(queries, candidates, passages, k, embedding):
                 if side[start] == 0:
                     asked.append(_fields(part.column("_query")))
                 elif side[start] == 1:
-                    pairs += zip(part.column("_request").to_pylist(), part.column("_entity").to_pylist())
+                    pairs += zip(part.column("_asked_by").to_pylist(), part.column("_wanted").to_pylist())
                 else:
                     if nearest is None:
                         query_rows = pa.concat_tables(asked).combine_chunks()

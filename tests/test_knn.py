@@ -268,3 +268,16 @@ def test_buffer_is_bounded_where_entities_have_few_passages(monkeypatch):
     result = nearest.result(pa.table({"n": list(range(len(q)))})).to_pylist()
     assert {(r["n"], r["pos"], r["passage_id"], r["distance"]) for r in result} == {h[1:] for h in brute(p, q, 16)}
     assert max(most) <= 20 * 16
+
+
+def test_cells_searched_in_blocks(spark, monkeypatch):
+    """Collections in cells carry columns of their own through the form with blocks."""
+    from passarank.operators.pruned import Cells, nearest_in_cells, store_cells
+
+    monkeypatch.setattr(knn, "MANY_PAIRS", 1)
+    p, q = data()
+    passages = spark.createDataFrame(p, PASSAGES)
+    path = sizing.scratch_path(spark, "cells")
+    store_cells(passages, path, cells=4)
+    hits = nearest_in_cells(spark.createDataFrame(q, QUERIES), Cells(spark, path, passages.schema), 6)
+    assert found(hits) == brute(p, q, 6)
