@@ -70,3 +70,39 @@ def test_every_text_is_encoded_once(spark, tmp_path):
     assert len(encoded()) == 6
     assert {r["n"]: r["embedding"] for r in embed_once(df, encoder=Counting, store=store).collect()} == whole and encoded() == []
     assert embed_once(df.limit(0), encoder=Counting, store=store).count() == 0
+
+
+def test_words_of_any_script_are_those_of_the_pattern():
+    """Texts without Hangul are cut as bytes, the others by the pattern: the same words."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from passarank.fixed_values import ALLOWED_CHARACTERS
+    from passarank.operators.embed import HashingEncoder
+
+    texts = [None, "", " ", "Ab İK é Straße A1-b2\u0085x\x00y", "ÀAé1ſK x", "ㆎa 힣B 힤c ㅤd", "가나 ABC 12", "😀ab\tC\x0bd"]
+    expected = np.zeros((len(texts), 64))
+    for row, text in enumerate(texts):
+        for word in re.findall(f"[{ALLOWED_CHARACTERS}]+", text or ""):
+            expected[row, int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % 64] += 1
+    length = np.sqrt((expected**2).sum(axis=1, keepdims=True))
+    assert np.array_equal(HashingEncoder()(texts), expected / np.where(length > 0, length, 1.0))
+    assert HashingEncoder().words("Ab é c1") == [b"ab", b"c1"]
+
+
+def test_new_texts_are_stored_once_on_their_way(spark, monkeypatch):
+    """Of a call's texts only the new ones are stored; vectors are read where they lie unless most belong to other calls."""
+    from passarank.operators import embed as E
+    from passarank.plans.sizing import scratch_path
+
+    names, durable = [], E.durable
+    monkeypatch.setattr(E, "durable", lambda df, name: names.append(name) or durable(df, name))
+    store, rows = scratch_path(spark, "vectors"), [(i, f"text {i % 40}") for i in range(100)]
+    df = spark.createDataFrame(rows, "n int, text string")
+    first = {r["n"]: r["embedding"] for r in E.embed_once(df, store=store).collect()}
+    assert names == ["fresh"]
+    few = {r["n"]: r["embedding"] for r in E.embed_once(df.filter("n < 3"), store=store).collect()}
+    assert names == ["fresh", "fresh", "asked", "vectors"]
+    assert len(first) == 100 and few == {n: first[n] for n in range(3)}
