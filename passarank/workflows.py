@@ -43,11 +43,10 @@ def courses_from_pages(list_pages, detail_pages, template, patterns, positions=C
     return numbered(joined, ["page_id", "row_no"], "id", first=last_id + 1).select(*COURSE.names)
 
 
-def index_frames(nested, encoder=HashingEncoder, vectors=None):
-    """The four collections of a nested export, as frames with vectors.
+def text_frames(nested):
+    """The four collections of a nested export, as frames without vectors.
 
-    Store ``nested`` first if it is costly to read, as ``build_index`` does: every frame reads it. With a folder
-    ``vectors`` every different text is encoded once, and not at all if the folder has its vector (``embed_once``).
+    Store ``nested`` first if it is costly to read, as ``build_index`` does: every frame reads it.
     """
     first_parts = nested.filter(F.coalesce(F.col("part"), F.lit(0)) == 0)
     info = G.entity_document(F.col("course_intro"), F.col("prerequisite"), F.col("syllabus"))
@@ -62,7 +61,13 @@ def index_frames(nested, encoder=HashingEncoder, vectors=None):
         FEEDBACK: feedback,
         FEEDBACK_PASSAGE: G.feedback_passages(feedback),
     }
-    frames = {name: df.select(*COLLECTIONS[name].names[:-1]) for name, df in frames.items()}
+    return {name: df.select(*COLLECTIONS[name].names[:-1]) for name, df in frames.items()}
+
+
+def index_frames(nested, encoder=HashingEncoder, vectors=None):
+    """``text_frames`` with vectors. With a folder ``vectors`` every different text is encoded once, and not at all if
+    the folder has its vector (``embed_once``)."""
+    frames = text_frames(nested)
     if vectors is None:
         return {name: embed(df, "text", encoder) for name, df in frames.items()}
     return {name: embed_once(df, "text", encoder, store=vectors) for name, df in frames.items()}
@@ -73,8 +78,14 @@ def build_index(nested, path, encoder=HashingEncoder, vectors=None):
 
     With a folder ``vectors`` a rebuild encodes only the texts that are new since the last one.
     """
-    for name, df in index_frames(durable(nested, "nested"), encoder, vectors).items():
-        collections.rebuild(df, f"{path}/{name}")
+    nested = durable(nested, "nested")
+    if vectors is not None:
+        for name, df in index_frames(nested, encoder, vectors).items():
+            collections.rebuild(df, f"{path}/{name}")
+        return
+    for name, df in text_frames(nested).items():
+        # Texts are dealt out before they are encoded, so that no vector is moved.
+        collections.rebuild(df, f"{path}/{name}", add=lambda dealt: embed(dealt, "text", encoder))
 
 
 def open_index(spark, path):

@@ -264,3 +264,17 @@ def read_rows(df):
         else:
             found.append(one)
     return sum(p.metrics().apply("numOutputRows").value() for p in found if p.metrics().contains("numOutputRows"))
+
+
+def test_columns_added_behind_the_deal_are_not_moved(spark):
+    """Rows are dealt out without the columns that ``add`` makes, and stored with them."""
+    from passarank.operators.embed import embed
+    from passarank.plans.sizing import scratch_path
+    from passarank.sources import collections
+
+    df, seen = spark.createDataFrame([(str(i), f"e{i % 5}", f"text {i}") for i in range(60)], "passage_id string, entity_id string, text string"), []
+    path = scratch_path(spark, "collection")
+    collections.rebuild(df, path, buckets=3, add=lambda dealt: seen.append(dealt.columns) or embed(dealt))
+    assert len(seen) == 1 and "embedding" not in seen[0]
+    whole = embed(df)
+    assert sorted(map(str, collections.read_collection(spark, path, whole.schema).collect())) == sorted(map(str, whole.collect()))
