@@ -21,12 +21,15 @@ _REFERENCE = r"^(#[xX][0-9a-fA-F]{1,8};?|#[0-9]{1,9};?|[A-Za-z][A-Za-z0-9]*;)"
 _OPEN_REFERENCE = rf"^({'|'.join(OPEN_REFERENCES)})"
 # Numbers 128 to 159 mean the Windows characters of these places.
 _WINDOWS = {str(code): bytes([code]).decode("cp1252", "replace") for code in range(0x80, 0xA0)}
-_TABLES = {"names": json.dumps(REFERENCES), "windows": json.dumps({k: v for k, v in _WINDOWS.items() if v != "\ufffd"})}
+# A lookup goes through its table from the beginning, so the references that pages are full of have a short one.
+_COMMON = {name: REFERENCES[name] for name in "amp lt gt quot apos nbsp middot".split()} | {f"#{code}": chr(code) for code in (34, 38, 39, 60, 62, 160)}
+_TABLES = {"common": json.dumps(_COMMON), "names": json.dumps(REFERENCES), "windows": json.dumps({k: v for k, v in _WINDOWS.items() if v != "\ufffd"})}
 
 # Tags without content, whose closing tag does not exist (fixed values of the HTML standard).
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_TAG = rf"</?[a-z](?:{_QUOTED}|[^>]*+>)"
+_REST_OF_TAG = rf"(?:{_QUOTED}|[^>]*+>)"
+_TAG = rf"</?[a-z]{_REST_OF_TAG}"
 _SKIPPED = rf"<!--.*?(?:-->|\z)|<(?:script|style)(?=[\s/>]){_QUOTED}.*?(?:</(?:script|style)\s*+>|\z)|<[!?][^>]*+>"
 _PIECES = rf"(?is){_SKIPPED}|{_TAG}|[^<]++|<"
 
@@ -45,6 +48,14 @@ def _split(html):
     return F.regexp_extract_all(html, F.lit(_PIECES), F.lit(0))
 
 
+def _split_at(html, tag):
+    """``_split`` with all that lies between two tags of one name, if anything, as one piece."""
+    if tag.lower() in ("script", "style"):  # whole pieces with what they hold
+        return _split(html)
+    own = rf"</?{tag}(?=[\s/>]){_REST_OF_TAG}"
+    return F.regexp_extract_all(html, F.lit(rf"(?is){own}|(?:(?!{own})(?:{_SKIPPED}|{_TAG}|[^<]++|<))++"), F.lit(0))
+
+
 _NAME = r"[a-z][^\s/>]*"
 _EMPTY = rf"(?i)^<(?:{'|'.join(VOID)})[\s/>]|/>$"
 
@@ -56,7 +67,8 @@ def _marks(pieces, name=_NAME):
     def marks(piece, at):
         once = lambda *steps: F.array(*[F.struct(at.alias("at"), F.lit(step).alias("step")) for step in steps])
         # The closing mark of an empty element belongs to the same piece.
-        return F.when(piece.rlike(opens), F.when(piece.rlike(_EMPTY), once(1, -1)).otherwise(once(1))).when(piece.rlike(closes), once(-1))
+        opened = F.when(piece.rlike(opens), F.when(piece.rlike(_EMPTY), once(1, -1)).otherwise(once(1)))
+        return F.when(F.startswith(piece, F.lit("</")), F.when(piece.rlike(closes), once(-1))).when(F.startswith(piece, F.lit("<")), opened)
 
     return F.flatten(F.filter(F.transform(pieces, marks), lambda m: m.isNotNull()))
 
@@ -78,7 +90,7 @@ def _by_depth(marks):
             lambda m, j: F.struct(depth(m["k"], j).alias("depth"), m["k"].alias("k"), m["at"].alias("at"), m["step"].alias("step")),
         )
 
-    return F.array_sort(F.concat(of(1, lambda k, j: j * 2 - k), of(-1, lambda k, j: k - j * 2 - 1)))
+    return F.sort_array(F.concat(of(1, lambda k, j: j * 2 - k), of(-1, lambda k, j: k - j * 2 - 1)))
 
 
 def _paired(marks):
@@ -86,13 +98,12 @@ def _paired(marks):
     is not closed is null. By depth, then place, an opening mark is followed by the closing one of its element.
     """
 
-    def pair(x):
-        closed = (x["b"]["depth"] == x["a"]["depth"]) & (x["b"]["step"] == -1)
-        last = F.when(closed, x["b"]["at"])
-        return F.struct(x["a"]["at"].alias("first"), last.alias("last"), x["a"]["depth"].alias("depth"), x["a"]["step"].alias("step"))
+    def pair(a, number):
+        closed = lambda b: F.when((b["depth"] == a["depth"]) & (b["step"] == -1), b["at"])
+        last = closed(F.get(marks, number + 1))
+        return F.when(a["step"] == 1, F.struct(a["at"].alias("first"), last.alias("last"), a["depth"].alias("depth")))
 
-    zipped = F.arrays_zip(marks.alias("a"), F.slice(marks, 2, F.size(marks)).alias("b"))
-    return F.array_sort(F.filter(F.transform(zipped, pair), lambda p: p["step"] == 1))
+    return F.sort_array(F.filter(F.transform(marks, pair), lambda p: p.isNotNull()))
 
 
 def _pairs(marks):
@@ -105,7 +116,7 @@ def element_stages(source, tag):
 
     As columns one after another they are far cheaper to plan than one nested expression.
     """
-    yield "_pieces", lambda c: _split(F.col(source))
+    yield "_pieces", lambda c: _split_at(F.col(source), tag)
     yield "_marks", lambda c: _numbered(_marks(c("_pieces"), tag))
     yield "_marks", lambda c: _by_depth(c("_marks"))
     yield "_marks", lambda c: _paired(c("_marks"))
@@ -123,7 +134,7 @@ def elements(html, tag):
     """
     if tag.lower() in ("script", "style"):  # nothing nests in them
         return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?=[\s/>]){_QUOTED}(.*?)</{tag}\s*>"), F.lit(1))
-    return _let(_split(html), lambda pieces: _sources(pieces, _pairs(_marks(pieces, tag))))
+    return _let(_split_at(html, tag), lambda pieces: _sources(pieces, _pairs(_marks(pieces, tag))))
 
 
 def tree(html):
@@ -178,7 +189,7 @@ def steps(path):
 def _step(tree, place, tag, id, cls, nth, child):
     opening = lambda e: F.element_at(tree["pieces"], e["first"] + 1)
     inside = lambda e: (e["first"] > place["first"]) & (e["last"] <= place["last"])
-    at_depth = inside if id else lambda e: inside(e) & (e["depth"] == place["depth"] + 1)
+    at_depth = inside if id else lambda e: (e["depth"] == place["depth"] + 1) & inside(e)
     found = F.filter(tree["elements"], at_depth)
     if child:
         found = F.slice(found, int(child), 1)
@@ -210,7 +221,8 @@ def _resolved(piece):
 
     def put(reference, character, otherwise):
         rest = F.substr(piece, F.length(reference) + 1)
-        return F.when((reference != "") & character.isNotNull(), F.concat(character, rest)).otherwise(otherwise)
+        found = F.when(reference != "", F.coalesce(_looked_up("common", F.rtrim(reference, F.lit(";"))), character))
+        return _let(found, lambda known: F.when(known.isNotNull(), F.concat(known, rest)).otherwise(otherwise))
 
     def by(reference):
         digits = F.rtrim(reference, F.lit(";"))
@@ -229,12 +241,11 @@ def _resolved(piece):
 def unescape(text):
     """Resolve character references, each once; unknown names stay as they are."""
 
-    def all_references(source):
-        pieces = F.split(source, "&")
+    def all_references(pieces):
         head, tail = F.try_element_at(pieces, F.lit(1)), F.slice(pieces, 2, F.size(pieces))
         return F.concat(head, F.array_join(F.transform(tail, _resolved), ""))
 
-    return F.when(F.contains(text, F.lit("&")), all_references(text)).otherwise(text)
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("&")), _let(F.split(t, "&"), all_references)).otherwise(t))
 
 
 def element_text(source):

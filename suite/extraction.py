@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from passarank.functions import html as H
 from passarank.functions import text as X
 from passarank.operators import extract as E
+from passarank.plans.sizing import spread
 from suite import common as C
 from suite.registry import Registry
 
@@ -248,7 +249,8 @@ LIST_PAGE = [
 
 def _list_pages(spark, folder):
     source = ", ".join(LIST_PAGE)
-    return C.table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), F.expr(f"concat({source})").alias("html"))
+    # Parts are small, a file split holds very many of the pages made of them.
+    return spread(C.table(spark, folder, "part")).select(F.col("p_partkey").alias("page_id"), F.expr(f"concat({source})").alias("html"))
 
 
 @register(r"""

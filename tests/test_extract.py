@@ -1,8 +1,12 @@
 """Extraction on pages written by hand."""
 
+import html as plain_html
+
 from pyspark.sql import functions as F
 
+from passarank.functions import html as H
 from passarank.operators import extract as E
+from suite import extraction
 
 
 def row(*cells):
@@ -88,3 +92,25 @@ def test_page_text_beyond_ascii(spark):
         X.strip(F.col("line")).alias("s"), X.title_prefix(F.col("line")).alias("p"), H.element_text(F.col("missing")).alias("none"),
     ).first()
     assert tuple(row) == ("a·©’A&lt;&none;\ufffd\ufffd & ", "월(2)\u00a0관", "월(2)", "관 401", "월(2)\u00a0관\u3000401", "월", None)
+
+
+def test_pages_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """Parts are small, the pages made of them are not."""
+    parts = spark.range(40).selectExpr("id AS p_partkey", "'part' AS p_name", "'b' AS p_brand", "'t' AS p_type", "7 AS p_size")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    rows = extraction.nested_page_rows(spark, str(tmp_path))
+    assert rows.select(F.spark_partition_id()).distinct().count() >= cores / 2 and rows.count() == 120
+
+
+def test_other_tags_do_not_cut_a_page(spark):
+    page = "<table>" + "<tr a='</tr>'>" + "<b>x</b><!-- <tr> -->" * 3000 + "</tr>" + "<i>y</i>" * 3000
+    pieces, scripts = spark.range(1).select(H._split_at(F.lit(page), "tr"), H._split_at(F.lit("<p>a<script><tr></script>"), "script")).first()
+    assert len(pieces) == 5 and "".join(pieces) == page
+    assert scripts == ["<p>", "a", "<script><tr></script>"]
+
+
+def test_common_references(spark):
+    texts = ["&#39;a&#39", "&#039;&#38;lt;", "&ampx&lt;&gt&", "& &#; &;&#160;|", "&#39x &quot;&apos;&nosuch;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", H.unescape(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in sorted(rows)] == [plain_html.unescape(t) for t in texts]
