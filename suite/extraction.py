@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from passarank.functions import html as H
 from passarank.functions import text as X
 from passarank.operators import extract as E
-from passarank.plans.sizing import spread
+from passarank.plans.sizing import input_bytes, spread
 from suite import common as C
 from suite.registry import Registry
 
@@ -290,8 +290,15 @@ REVIEW_PAGE = (
 )
 
 
+PAGES_INPUT = 8 * 1024 * 1024  # bytes of events per task, whose pages take some ten times as much
+
+
 def _review_pages(spark, folder):
     events = C.table(spark, folder, "events")
+    # Events are small before their pages are made, and merging partitions by bytes would leave few tasks to take the pages
+    # apart; some more than there are cores, so that none waits long for the last.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, input_bytes(events) // PAGES_INPUT)
+    events = events.select("event_id", "user_id", "event_type").repartition(tasks, "user_id")
     # One user's page holds all their events, as a landed page would.
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.expr(EVENT_BLOCK).alias("block")))), lambda b: b["block"])
     users = events.groupBy("user_id").agg(F.array_join(blocks, "").alias("blocks"), F.expr("min(event_id) % 5").alias("satisfaction"))

@@ -95,12 +95,17 @@ def test_page_text_beyond_ascii(spark):
 
 
 def test_pages_of_a_small_file_are_dealt_out(spark, tmp_path):
-    """Parts are small, the pages made of them are not."""
+    """Parts and events are small, the pages made of them are not."""
     parts = spark.range(40).selectExpr("id AS p_partkey", "'part' AS p_name", "'b' AS p_brand", "'t' AS p_type", "7 AS p_size")
     parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    events = spark.range(400).selectExpr("id AS event_id", "id % 90 AS user_id", "'click' AS event_type")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     cores = spark.sparkContext.defaultParallelism
     rows = extraction.nested_page_rows(spark, str(tmp_path))
     assert rows.select(F.spark_partition_id()).distinct().count() >= cores / 2 and rows.count() == 120
+    blocks = extraction.review_blocks(spark, str(tmp_path))
+    assert blocks.select(F.spark_partition_id()).distinct().count() > cores
+    assert blocks.count() == 400
 
 
 def test_other_tags_do_not_cut_a_page(spark):
