@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from passarank.plans.sizing import durable
+from passarank.plans.stored import open_folder  # noqa: F401
 
 
 def table(spark, folder, name):
@@ -37,13 +38,6 @@ def qualified(spark, path):
     return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def open_folder(address):
-    """``pyarrow``'s file system of a qualified address, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
-
-
 def blocked_prefix(rows, value, order, block, keys=()):
     """The sum of ``value`` over the earlier rows of a key, where ``block`` orders before ``order``.
 

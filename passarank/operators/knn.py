@@ -3,7 +3,8 @@
 Two physical forms give the same rows. Few sub-queries fit a broadcast: every task scans its passages once, in place,
 keeping its best k per sub-query, so passages are not shuffled; more of them go in groups of that size. Many
 sub-queries are dealt out in blocks of bounded size instead, and every block's task sees the passages pass by
-in the order of their ids: its best k are final, and no hits of different tasks have to be merged.
+in the order of their ids, read in place from where they are stored once: its best k are final, and no hits of
+different tasks have to be merged. What is moved and written grows with the input, only the pairs grow with its square.
 
 A scan whose tasks would give out very many hits is preceded by a slice of a fixed number of tasks:
 the k-th distance found there is an upper bound of the final one, and tasks that know it give out
@@ -22,6 +23,7 @@ from passarank.fixed_values import DEFAULT_HITS, HITS_PER_QUERY
 from passarank.functions.scores import DISTANCE_DIGITS
 from passarank.plans.prefix import numbered
 from passarank.plans.sizing import BROADCAST_BYTES, durable, input_bytes, measured_bytes, small
+from passarank.plans.stored import Ordered
 from passarank.sources.collections import within
 
 QUERY = ["request_id", "query_idx"]
@@ -254,9 +256,9 @@ def _broadcast_form(queries, block, candidates, passages, k, embedding, bounds):
 def _blocked_form(queries, candidates, passages, k, embedding):
     """The k nearest, with ``pos``, of sub-queries in blocks, each of which sees all its passages in one task.
 
-    Blocks are cut out of the sub-queries in the order of their keys, so a request lies in few of them, and passages
-    go only to the blocks that have a request for their entity. A task streams: it holds its sub-queries, their best k
-    so far and one batch of passages.
+    Blocks are cut out of the sub-queries in the order of their keys, so a request lies in few of them. Only sub-queries
+    are moved: passages are stored once in the order of their ids, and each block's task reads them there. It
+    holds its sub-queries, their best k so far and one batch of passages.
     """
     spark, restricted = passages.sparkSession, candidates is not None
     count = queries.count()
@@ -265,24 +267,17 @@ def _blocked_form(queries, candidates, passages, k, embedding):
     size = max(-(-count // blocks), 1)
     again = queries.groupBy(*QUERY).count().filter("count > 1").limit(1).count()
     block = F.floor(F.col("_number") / size).cast("int").alias("_block")
-    asked = numbered(queries, QUERY, "_number").select(block, F.lit(0).alias("_side"), F.struct(*queries.columns).alias("_query"))
-    row = F.struct(*passages.columns).alias("_passage")
-    if candidates is None:
-        every = passages.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), row)
-        streams = asked
-    else:
-        requests = asked.select("_block", F.col("_query.request_id").alias("_asked_by")).distinct()
+    streams = numbered(queries, QUERY, "_number").select(block, F.lit(0).alias("_side"), F.struct(*queries.columns).alias("_query"))
+    if restricted:
+        requests = streams.select("_block", F.col("_query.request_id").alias("_asked_by")).distinct()
         pairs = requests.join(candidates, F.col("_asked_by").eqNullSafe(F.col("request_id")))
         pairs = durable(pairs.select("_block", "_asked_by", F.col("entity_id").alias("_wanted")), "block-candidates")
-        reached = small(pairs.select("_block", "_wanted").distinct())
-        every = passages.join(reached, passages["entity_id"] == F.col("_wanted")).select("_block", row)
-        streams = asked.unionByName(pairs.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    every = every.select("_block", F.lit(2).alias("_side"), F.col("_passage.passage_id").alias("_order"), "_passage")
-    streams = streams.unionByName(every, allowMissingColumns=True)
-    streams = streams.repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "_side", "_order")
+        streams = streams.unionByName(pairs.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    streams = streams.repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "_side")
+    stored = Ordered(passages, "passage_id", "in-order")
 
     def meet(batches):
-        own = nearest = None
+        own, asked, pairs = None, [], []
         for batch in batches:
             number, side = batch.column("_block").to_numpy(), batch.column("_side").to_numpy()
             edges = np.flatnonzero((number[1:] != number[:-1]) | (side[1:] != side[:-1])) + 1
@@ -291,24 +286,26 @@ def _blocked_form(queries, candidates, passages, k, embedding):
                     continue
                 part = batch.slice(start, stop - start)
                 if own != number[start]:
-                    if nearest is not None:
-                        yield from given(nearest, query_rows)
-                    own, nearest, asked, pairs = number[start], None, [], []
+                    yield from searched(asked, pairs)
+                    own, asked, pairs = number[start], [], []
                 if side[start] == 0:
                     asked.append(_fields(part.column("_query")))
-                elif side[start] == 1:
-                    pairs += zip(part.column("_asked_by").to_pylist(), part.column("_wanted").to_pylist())
                 else:
-                    if nearest is None:
-                        query_rows = pa.concat_tables(asked).combine_chunks()
-                        matrix = unit_rows(query_rows[embedding])
-                        allowed = _allowed(query_rows["request_id"].to_pylist(), pairs) if restricted else None
-                        query_rows, nearest = query_rows.drop_columns([embedding]), Nearest(len(matrix), k)
-                    _offer(nearest, _fields(part.column("_passage")), embedding, matrix, allowed)
-        if nearest is not None:
-            yield from given(nearest, query_rows)
-
-    def given(nearest, query_rows):
+                    pairs += zip(part.column("_asked_by").to_pylist(), part.column("_wanted").to_pylist())
+        yield from searched(asked, pairs)
+
+    def searched(asked, pairs):
+        if not asked:
+            return
+        query_rows = pa.concat_tables(asked).combine_chunks()
+        matrix = unit_rows(query_rows[embedding])
+        allowed = _allowed(query_rows["request_id"].to_pylist(), pairs) if restricted else None
+        query_rows, nearest = query_rows.drop_columns([embedding]), Nearest(len(matrix), k)
+        for table in stored.tables():
+            if restricted:
+                wanted = pa.array(list(allowed[0]), table["entity_id"].type)
+                table = table.filter(pc.is_in(table["entity_id"], value_set=wanted, skip_nulls=True))
+            _offer(nearest, table, embedding, matrix, allowed)
         for hits in nearest.hits(query_rows):
             yield from hits.combine_chunks().to_batches()
 
@@ -449,8 +446,8 @@ def nearest_passages(
 
 
 def _better_in_blocks(passages, queries, k, tasks):
-    """Whether passages should move to blocks of sub-queries: where scanning tasks are too few for the cores, or
-    where their hits take more room than the passages in all blocks."""
+    """Whether blocks of sub-queries should each read all passages: where scanning tasks are too few for the cores, or
+    where their hits take more room than the passages read by all blocks."""
     if queries * passages.count() < MANY_PAIRS:
         return False
     blocks = -(-queries // max(1, min(QUERY_BLOCK, HELD_HITS // k)))

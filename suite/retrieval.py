@@ -76,7 +76,9 @@ def knn_candidate_filter(spark, folder):
 
 
 def _all_hits(spark, folder):
-    return nearest_passages(C.vector_queries(spark, folder), C.vector_passages(spark, folder))
+    """The hits with what fusion needs of them, which is what then moves to their sub-query."""
+    hits = nearest_passages(C.vector_queries(spark, folder), C.vector_passages(spark, folder))
+    return hits.select(*U.QUERY, "n_queries", "passage_id", "entity_id", "distance")
 
 
 KEPT = "threshold, request_id, query_idx, passage_id, entity_id, distance, over"
@@ -91,8 +93,8 @@ KEPT = "threshold, request_id, query_idx, passage_id, entity_id, distance, over"
     )
 )
 def threshold_fallback(spark, folder):
-    """Three thresholds: nearly all fallback, mixed, nearly none."""
-    hits = durable(_all_hits(spark, folder), "hits")
+    """Three thresholds: nearly all fallback, mixed, nearly none. All hits move once, to their sub-query, for all of them."""
+    hits = durable(_all_hits(spark, folder), "hits").repartition(*U.QUERY)
     parts = [
         U.kept_hits(hits, t).withColumns({"threshold": F.lit(t), "over": F.col("over").cast("int")}).select(*KEPT.split(", "))
         for t in THRESHOLDS
