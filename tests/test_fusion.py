@@ -105,3 +105,16 @@ def test_entity_of_one_query_only_is_divided_by_all(spark):
     rows = [("r", 0, 2, "a", "x", 0.1), ("r", 1, 2, "b", "y", 0.1), ("r", 1, 2, "c", "x", 0.2)]
     scores = {r["entity_id"]: r["score"] for r in U.rank_entities(U.kept_hits(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert scores == {"x": (1 + 1 / 2) / 2, "y": 1 / 2}
+
+
+def test_thresholds_share_one_move_of_the_hits(spark, tmp_path):
+    from tests.conftest import plan
+
+    from suite import retrieval
+
+    vectors = [(i, i % 3, [float(i % 5), float(i % 7) - 2.0, 1.0]) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"s{i % 4}") for i in range(30)], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = retrieval.threshold_fallback(spark, str(tmp_path))
+    kept.collect()
+    assert plan(kept).split("Initial Plan")[0].count("ReusedExchange") == 2

@@ -281,3 +281,31 @@ def test_cells_searched_in_blocks(spark, monkeypatch):
     store_cells(passages, path, cells=4)
     hits = nearest_in_cells(spark.createDataFrame(q, QUERIES), Cells(spark, path, passages.schema), 6)
     assert found(hits) == brute(p, q, 6)
+
+
+@pytest.mark.parametrize("restricted", [False, True])
+def test_blocks_read_passages_in_place(spark, monkeypatch, restricted):
+    """No exchange holds passages, so what is moved does not grow with blocks times passages; all carried types come back."""
+    monkeypatch.setattr(knn, "MANY_PAIRS", 1)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 8)
+    p, q = data(copies=0.35)
+    carried = [F.expr("timestamp'2020-01-02 03:04:05.678901'").alias("t"), F.struct(F.col("passage_id").alias("a"), F.array("entity_id").alias("b")).alias("s"), F.lit("1.50").cast("decimal(9,2)").alias("d")]
+    passages = durable(spark.createDataFrame(p, PASSAGES).repartition(5).select("*", *carried))
+    allowed = {(f"r{r}", e) for r in range(6) for e in ("hot", "e1", "e2")} if restricted else None
+    candidates = spark.createDataFrame(sorted(allowed), "request_id string, entity_id string") if restricted else None
+    hits = knn.nearest_passages(spark.createDataFrame(q, QUERIES), passages, 12, candidates)
+    assert "_passage#" not in plan(hits) and "explode" not in plan(hits)
+    assert found(hits) == brute(p, q, 12, allowed)
+    row = hits.select(F.expr("t = timestamp'2020-01-02 03:04:05.678901' and s.a = passage_id and s.b[0] = entity_id and d = 1.5").alias("ok")).distinct().collect()
+    assert [r["ok"] for r in row] == [True]
+
+
+def test_stored_rows_come_in_order(spark):
+    from passarank.plans.stored import Ordered
+
+    rows = spark.createDataFrame([(str(i * 7919 % 5000), float(i)) for i in range(5000)] + [(None, -1.0)], "passage_id string, x double").repartition(9)
+    stored = Ordered(rows, "passage_id", "a name with blanks")
+    tables = list(stored.tables(500))
+    ids = [i for t in tables for i in t["passage_id"].to_pylist()]
+    assert ids == [None, *sorted(str(i) for i in range(5000))] and max(t.num_rows for t in tables) <= 500
+    assert list(Ordered(rows.limit(0), "passage_id", "none").tables()) == []
