@@ -35,8 +35,12 @@ HELD_HITS = 1 << 21
 LEAST_BLOCK = 64
 # Passages that a task knows before it forgets those that are in no hit.
 PASSAGE_BLOCK = 131_072
-# Distances held at once in a task: 1M doubles.
+# Pairs that wait at least before they are cut back.
 CELLS = 1 << 20
+# Similarities worked out at once, sub-queries x passages: a tile of single precision that stays in a core's cache. Where
+# more than one in so many of a tile's pairs may count, its exact similarities are worked out as a whole.
+TILE_QUERIES, TILE_PASSAGES = 1024, 256
+DENSE = 32
 # Distances from which on the work should keep all cores busy; and bytes that a hit takes while hits are merged.
 MANY_PAIRS = 1 << 26
 HIT_BYTES = 64
@@ -109,15 +113,10 @@ class Nearest:
         self.n_rows += table.num_rows
         return first
 
-    def add(self, at, numbers, similarity):
-        """Offer the passages at places ``at`` to the sub-queries ``numbers`` (similarity: query x passage)."""
-        found = np.flatnonzero(similarity >= self.least[numbers][:, None])
-        if not len(found):
-            return
-        query, row = np.divmod(found, similarity.shape[1])
-        query = numbers[query]
-        steps = np.rint((1.0 - similarity.ravel()[found]) * STEPS)
-        codes = (np.maximum(steps, 0.0).astype(np.uint64) << np.uint64(self.row_bits)) | at[row].astype(np.uint64)
+    def add(self, at, query, similarity):
+        """Offer pairs: the places of passages, the numbers of sub-queries and their similarities."""
+        steps = np.rint((1.0 - similarity) * STEPS)
+        codes = (np.maximum(steps, 0.0).astype(np.uint64) << np.uint64(self.row_bits)) | at.astype(np.uint64)
         ahead = codes <= self.last[query]
         codes = codes[ahead] | (query[ahead].astype(np.uint64) << np.uint64(self.pair_bits))
         self.waiting.append(codes)
@@ -175,7 +174,7 @@ class Nearest:
 
 
 def _offer(nearest, table, embedding, matrix, allowed):
-    """Offer all rows of a table, in pieces that bound the distance matrix."""
+    """Offer all rows of a table."""
     if not len(matrix) or not table.num_rows:
         return
     ids = table["passage_id"].combine_chunks()
@@ -196,13 +195,33 @@ def _offer(nearest, table, embedding, matrix, allowed):
         if requests is not None:
             numbers = np.sort(np.concatenate([allowed[1][r] for r in requests]))
             chosen = by_code[edges[code] : edges[code + 1]]
-            _tiles(nearest, at[chosen], vectors[chosen], numbers, matrix if len(numbers) == len(matrix) else matrix[numbers])
+            _tiles(nearest, at[chosen], vectors[chosen], numbers, matrix)
 
 
 def _tiles(nearest, at, vectors, numbers, matrix):
-    step = max(1, CELLS // len(numbers))
-    for start in range(0, len(vectors), step):
-        nearest.add(at[start : start + step], numbers, matrix @ vectors[start : start + step].T)
+    """Offer passages to the sub-queries ``numbers``, which are rows of ``matrix``.
+
+    Similarities of single precision only tell which pairs surely do not count. Those of the others are worked out
+    in double precision.
+    """
+    rough_vectors = vectors.astype(np.float32)
+    slack = (vectors.shape[1] + 8) * 2.0**-23  # more than single precision is off, for vectors of length one
+    for first in range(0, len(numbers), TILE_QUERIES):
+        own = numbers[first : first + TILE_QUERIES]
+        asking = matrix[own]
+        rough_asking = asking.astype(np.float32)
+        for start in range(0, len(vectors), TILE_PASSAGES):
+            here, places = vectors[start : start + TILE_PASSAGES], at[start : start + TILE_PASSAGES]
+            rough = rough_asking @ rough_vectors[start : start + TILE_PASSAGES].T
+            found = np.flatnonzero(rough >= (nearest.least[own] - slack).astype(np.float32)[:, None])
+            if not len(found):
+                continue
+            query, row = found // rough.shape[1], found % rough.shape[1]
+            if len(found) * DENSE > rough.size:
+                similarity = (asking @ here.T).ravel()[found]
+            else:
+                similarity = np.einsum("ij,ij->i", asking[query], here[row])
+            nearest.add(places[row], own[query], similarity)
 
 
 def _allowed(requests, pairs):

@@ -1,6 +1,7 @@
 """Both physical forms of the search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import plan
@@ -309,3 +310,30 @@ def test_stored_rows_come_in_order(spark):
     ids = [i for t in tables for i in t["passage_id"].to_pylist()]
     assert ids == [None, *sorted(str(i) for i in range(5000))] and max(t.num_rows for t in tables) <= 500
     assert list(Ordered(rows.limit(0), "passage_id", "none").tables()) == []
+
+
+def test_only_pairs_that_may_count_are_exact(monkeypatch):
+    """Nearly equal vectors, which single precision cannot tell apart, in tiles that stay small."""
+    rng = np.random.default_rng(4)
+    vectors = (np.ones(64) + rng.normal(size=(4000, 64)) * np.repeat([3e-3, 1.0], 2000)[:, None]).astype(np.float32)[rng.permutation(4000)]
+    table = pa.table({"passage_id": [f"{i:04d}" for i in range(4000)], "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32()))})
+    matrix = knn.unit_rows(table["embedding"])
+    asked, exact = matrix[::3], 0
+    nearest, add = knn.Nearest(len(asked), 5), knn.Nearest.add
+
+    def counted(self, at, query, similarity):
+        nonlocal exact
+        assert len(similarity) <= knn.TILE_QUERIES * knn.TILE_PASSAGES
+        exact += len(similarity)
+        add(self, at, query, similarity)
+
+    monkeypatch.setattr(knn.Nearest, "add", counted)
+    monkeypatch.setattr(knn, "CELLS", 1 << 12)
+    for start in range(0, 4000, 500):
+        knn._offer(nearest, table.slice(start, 500), "embedding", asked, None)
+    hits = nearest.result(pa.table({"number": np.arange(len(asked))}))
+    steps = np.rint(np.maximum(1.0 - asked @ matrix.T, 0.0) * knn.STEPS).astype(np.int64)
+    places = np.argsort(steps, axis=1, kind="stable")[:, :5]
+    assert hits["passage_id"].to_pylist() == [f"{i:04d}" for i in places.ravel()]
+    assert hits["distance"].to_numpy().tolist() == (np.take_along_axis(steps, places, axis=1) / knn.STEPS).ravel().tolist()
+    assert exact < steps.size / 2
