@@ -106,3 +106,23 @@ def test_new_texts_are_stored_once_on_their_way(spark, monkeypatch):
     few = {r["n"]: r["embedding"] for r in E.embed_once(df.filter("n < 3"), store=store).collect()}
     assert names == ["fresh", "fresh", "asked", "vectors"]
     assert len(first) == 100 and few == {n: first[n] for n in range(3)}
+
+
+def test_long_texts_are_encoded_few_at_a_time(spark):
+    """However long the texts, an encoder gets about 2 MB of them at once; every row keeps its vector."""
+    import numpy as np
+
+    from passarank.operators.embed import embed
+
+    class Sizes:
+        def __call__(self, texts):
+            return np.array([[len(t or ""), len(texts), sum(len(t or "") for t in texts)] for t in texts], np.float32)
+
+    rows = [(i, None if i == 3 else "a" * (3 << 20) if i == 40 else "b" * (300_000 + i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "n int, text string").coalesce(1)
+    found = {r["n"]: r["embedding"] for r in embed(df, encoder=Sizes, batch=50).collect()}
+    assert {n: v[0] for n, v in found.items()} == {n: len(t or "") for n, t in rows}
+    assert found.pop(40)[1:] == [1, 3 << 20] and all(1 <= v[1] <= 50 and v[2] <= 2 << 20 for v in found.values())
+    short = embed(spark.createDataFrame([(i, "c") for i in range(60)], "n int, text string").coalesce(1), encoder=Sizes, batch=50).collect()
+    assert sorted({r["embedding"][1] for r in short}) == [10, 50]
+    assert embed(df.limit(0), encoder=Sizes).count() == 0
