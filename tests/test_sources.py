@@ -278,3 +278,33 @@ def test_columns_added_behind_the_deal_are_not_moved(spark):
     assert len(seen) == 1 and "embedding" not in seen[0]
     whole = embed(df)
     assert sorted(map(str, collections.read_collection(spark, path, whole.schema).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_both_writes_of_a_rebuilt_collection_hold_vectors(spark, tmp_path, monkeypatch):
+    """The rebuild that is replaced does the same work as the one that replaces it."""
+    from suite import common, storage
+
+    rows = [(i, f"One {i}. Two of {i}! ", "en", f"src{i % 3}", 15) for i in range(20)] + [(20, None, "en", None, 0), (20, "Again.", "en", "src1", 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    paths = []
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, name: paths.append(scratch_path(spark, name)) or paths[-1])
+    found = storage.collection_rebuild(spark, str(tmp_path))
+    whole = common.embedded(common.sentence_passages(spark, str(tmp_path)).select(*found.columns))
+    expected = sorted(map(str, whole.collect()))
+    assert len(expected) == 41
+    for version in (1, 2):
+        assert sorted(map(str, collections.read_collection(spark, paths[0], whole.schema, version=version).collect())) == expected
+
+
+def test_ids_added_behind_the_deal_have_bloom_filters(spark):
+    path = scratch_path(spark, "collection")
+    df = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("entity_id"))  # a column of few values gets none
+    collections.rebuild(df, path, buckets=1, add=lambda dealt: dealt.withColumn("other_id", F.md5("entity_id")))
+    file = collections.read_collection(spark, path, df.schema).inputFiles()[0]
+    make = spark._jvm.org.apache.hadoop.fs.Path(file)
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    footer = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(make, spark._jsparkSession.sessionState().newHadoopConf()))
+    columns = footer.getFooter().getBlocks().get(0).getColumns()
+    filtered = {columns.get(i).getPath().toDotString() for i in range(columns.size()) if columns.get(i).getBloomFilterOffset() > 0}
+    footer.close()
+    assert filtered == {"entity_id", "other_id"}
