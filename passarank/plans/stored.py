@@ -9,7 +9,7 @@ import re
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from passarank.plans.sizing import scratch_path
+from passarank.plans.sizing import scratch_path, storing
 
 # Row groups are small, as a task holds the raw columns of one.
 GROUP_BYTES = 8 << 20
@@ -28,7 +28,8 @@ class Ordered:
 
     def __init__(self, df, order, name):
         spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-        df.orderBy(order).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+        with storing(spark):
+            df.orderBy(order).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
         self.files = sorted(spark.read.schema(df.schema).parquet(path).inputFiles(), key=lambda f: (int(re.search(r"part-(\d+)[^/]*$", f)[1]), f))
         self.schema = df.limit(0).toArrow().schema  # as Spark's own batches have it
 

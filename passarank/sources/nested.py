@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passarank.plans.prefix import running_total
-from passarank.plans.sizing import durable
+from passarank.plans.sizing import BROADCAST_BYTES, durable, storing
 from passarank.schemas import NESTED_COURSE
 
 # Children a line for parents without a bound: at some 10 KB a text a line stays near 10 MB.
 LINE_CHILDREN = 1_000
+# Bytes that the first id of a line is taken for, when it is asked whether they fit a broadcast.
+START_BYTES = 64
 
 
 def _lists(children, by, child_id):
@@ -36,17 +38,41 @@ def nest(parents, children, stats, key="course_id", child_id="id", per_line=None
         lists = _lists(children, [key], child_id).withColumnRenamed(key, "id")
         lines, columns = described.join(lists, "id", "left"), [*parents.columns, "review_stat", "reviews"]
     else:
-        parts = _parts(children, key, child_id, text, per_line, line_bytes)
-        lists = _lists(children.join(parts, [key, child_id]).select(*children.columns, "part"), [key, "part"], child_id).withColumnRenamed(key, "id")
-        # The parents go to the lists: moving the lists by parent would gather a hot one's children again.
-        first = described.join(lists.filter("part = 0").select("id"), "id", "left_anti").withColumn("part", F.lit(0))
+        placed = _placed(children, key, child_id, text, per_line, line_bytes)
+        lists = _lists(placed, [key, "part"], child_id).withColumnRenamed(key, "id")
+        # A copy of the parent goes to each of its lines: moving the lists by parent would gather a hot one's children again,
+        # and they lie as the join wants them.
+        numbers = placed.select(F.col(key).alias("id"), "part").distinct()
+        first = described.join(numbers.filter("part = 0").select("id"), "id", "left_anti").withColumn("part", F.lit(0))
         first = first.withColumn("reviews", F.lit(None).cast(lists.schema["reviews"].dataType))
         columns = [*parents.columns, "part", "review_stat", "reviews"]
-        lines = lists.join(described, "id").select(*columns).unionByName(first.select(*columns))
+        lines = lists.join(described.join(numbers, "id"), ["id", "part"]).select(*columns).unionByName(first.select(*columns))
     none = F.array().cast(lists.schema["reviews"].dataType)
     return lines.withColumn("reviews", F.coalesce("reviews", none)).select(*columns)
 
 
+def _placed(children, key, child_id, text, per_line, line_bytes):
+    """The children with the ``part`` they go to; those without an id go to none.
+
+    A line is known by its first id. Where lines are so few that these ids fit a broadcast, texts are not moved to learn their line.
+    """
+    parts = _parts(children, key, child_id, text, per_line, line_bytes)
+    if per_line is None or children.count() // per_line * START_BYTES > BROADCAST_BYTES:
+        return children.join(parts, [key, child_id]).select(*children.columns, "part")
+    starts = parts.filter("part > 0").groupBy(key, "part").agg(F.min(child_id).alias("_start"))
+    starts = durable(starts.groupBy(key).agg(F.sort_array(F.collect_list("_start")).alias("_starts")), "starts")
+    most = starts.agg(F.coalesce(F.max(F.size("_starts")), F.lit(0)).alias("most")).first()["most"]
+    part = _not_above(F.col("_starts"), F.col(child_id), most).alias("part")
+    with_starts = children.filter(F.col(child_id).isNotNull()).join(F.broadcast(starts), key, "left")
+    return with_starts.select(*children.columns, part)
+
+
+def _not_above(items, value, most):
+    """How many of at most ``most`` sorted items of an array are not above a value; found by halving, none for a missing array."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(items, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def _parts(children, key, child_id, text, per_line, line_bytes):
     """The line that each child id goes to: ``key, child_id, part``. Only ids and sizes are put in order, no texts.
     Children that repeat an id of their parent share its line."""
@@ -75,9 +101,11 @@ def as_json(nested):
     return nested.withColumn("json", F.when(F.col("review_stat").isNull(), written("review_stat")).otherwise(written()))
 
 
-def write_export(nested, path):
-    """JSON Lines, so that the file can be split when it is read."""
-    as_json(nested).select("json").write.mode("overwrite").text(path)
+def write_export(nested, path, compression="gzip"):
+    """JSON Lines, a file per task. Compressed files are each read by one task; with ``none`` large files are split."""
+    writer = as_json(nested).select("json").write.mode("overwrite").option("compression", compression)
+    with storing(nested.sparkSession):
+        writer.option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 CORRUPT = "_corrupt_line"

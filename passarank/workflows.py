@@ -12,7 +12,7 @@ from passarank.operators import recommend as R
 from passarank.operators.embed import HashingEncoder, embed, embed_once
 from passarank.operators.requests import parse_split, sub_queries
 from passarank.plans.prefix import numbered
-from passarank.plans.sizing import durable
+from passarank.plans.sizing import durable, is_narrow
 from passarank.schemas import COURSE, VECTOR
 from passarank.sources import collections
 
@@ -43,21 +43,28 @@ def courses_from_pages(list_pages, detail_pages, template, patterns, positions=C
     return numbered(joined, ["page_id", "row_no"], "id", first=last_id + 1).select(*COURSE.names)
 
 
+def _courses(nested):
+    first_parts = nested.filter(F.coalesce(F.col("part"), F.lit(0)) == 0)
+    return first_parts.select(F.col("id").cast("string").alias("entity_id"), *[F.col(n).cast("string").alias(n) for n in COURSE_FIELDS])
+
+
+def _with_document(courses):
+    return courses.withColumn("text", G.entity_document(F.col("course_intro"), F.col("prerequisite"), F.col("syllabus")))
+
+
+def _course_passages(courses):
+    return G.explode_passages(courses, "entity_id", G.entity_passages(F.col("course_name"), F.col("course_intro"), F.col("syllabus")))
+
+
 def text_frames(nested):
     """The four collections of a nested export, as frames without vectors.
 
     Store ``nested`` first if it is costly to read, as ``build_index`` does: every frame reads it.
     """
-    first_parts = nested.filter(F.coalesce(F.col("part"), F.lit(0)) == 0)
-    info = G.entity_document(F.col("course_intro"), F.col("prerequisite"), F.col("syllabus"))
-    entities = first_parts.select(
-        F.col("id").cast("string").alias("entity_id"), info.alias("text"), *[F.col(n).cast("string").alias(n) for n in COURSE_FIELDS]
-    )
-    texts = G.entity_passages(F.col("course_name"), F.col("course_intro"), F.col("syllabus"))
-    feedback = G.feedback_table(nested)
+    courses, feedback = _courses(nested), G.feedback_table(nested)
     frames = {
-        ENTITY: entities,
-        PASSAGE: G.explode_passages(first_parts, "id", texts),
+        ENTITY: _with_document(courses),
+        PASSAGE: _course_passages(courses),
         FEEDBACK: feedback,
         FEEDBACK_PASSAGE: G.feedback_passages(feedback),
     }
@@ -73,19 +80,35 @@ def index_frames(nested, encoder=HashingEncoder, vectors=None):
     return {name: embed_once(df, "text", encoder, store=vectors) for name, df in frames.items()}
 
 
-def build_index(nested, path, encoder=HashingEncoder, vectors=None):
-    """Rebuild the four collections under ``path``; the export is parsed once.
+def build_index(nested, path, encoder=HashingEncoder, vectors=None, read=None):
+    """Rebuild the four collections under ``path``.
 
-    With a folder ``vectors`` a rebuild encodes only the texts that are new since the last one.
+    An export is parsed twice, for the courses and for the reviews; their sentences are made out of the stored collections.
+    What is more than a scan is stored first. With a folder ``vectors`` a rebuild encodes only the texts that are new since the last one.
+    ``read`` is called as soon as ``nested`` is not read any more, so that an export which is only a step on the way can go.
     """
-    nested = durable(nested, "nested")
     if vectors is not None:
-        for name, df in index_frames(nested, encoder, vectors).items():
+        for name, df in index_frames(durable(nested, "nested"), encoder, vectors).items():
             collections.rebuild(df, f"{path}/{name}")
+        if read:
+            read()
         return
-    for name, df in text_frames(nested).items():
-        # Texts are dealt out before they are encoded, so that no vector is moved.
-        collections.rebuild(df, f"{path}/{name}", add=lambda dealt: embed(dealt, "text", encoder))
+    # Lines are sound or not as a whole: a scan must parse all their columns, whichever are used.
+    nested = nested.filter(F.size(F.array(F.struct(*nested.columns))) == 1) if is_narrow(nested) else durable(nested, "nested")
+    buckets = collections.folder_count(nested)
+
+    def stored(name, df, add=lambda dealt: dealt, dealt=False):
+        # Texts are dealt out before they are encoded, so that no vector is moved; documents are put together afterwards, too.
+        encoded = lambda rows: embed(add(rows), "text", encoder)
+        number = collections.rebuild(df, f"{path}/{name}", buckets=buckets, add=encoded, dealt=dealt)
+        return collections.read_collection(nested.sparkSession, f"{path}/{name}", COLLECTIONS[name], version=number)
+
+    courses = stored(ENTITY, _courses(nested), _with_document)
+    feedback = stored(FEEDBACK, G.feedback_table(nested))
+    if read:
+        read()
+    stored(PASSAGE, _course_passages(courses).select(*COLLECTIONS[PASSAGE].names[:-1]), dealt=True)
+    stored(FEEDBACK_PASSAGE, G.feedback_passages(feedback).select(*COLLECTIONS[FEEDBACK_PASSAGE].names[:-1]), dealt=True)
 
 
 def open_index(spark, path):

@@ -6,7 +6,7 @@ from passarank import fixed_values as fixed
 from passarank import workflows as W
 from passarank.functions import text as X
 from passarank.operators import recommend as R
-from passarank.plans.sizing import scratch_path
+from passarank.plans.sizing import remove, scratch_path
 from passarank.schemas import COURSE
 from passarank.sources.nested import LINE_CHILDREN, nest, read_export, write_export
 from suite import common as C
@@ -43,10 +43,10 @@ def course_tables(spark, folder):
 
 
 def stored_index(spark, folder):
-    """Export, read again, build the four collections."""
+    """Export, read again, build the four collections. The export goes when both tables it holds are stored."""
     export, index = scratch_path(spark, "export"), scratch_path(spark, "index")
     write_export(nest(*course_tables(spark, folder), per_line=LINE_CHILDREN), export)
-    W.build_index(read_export(spark, export), index)
+    W.build_index(read_export(spark, export), index, read=lambda: remove(spark, export))
     return W.open_index(spark, index)
 
 

@@ -308,3 +308,62 @@ def test_ids_added_behind_the_deal_have_bloom_filters(spark):
     filtered = {columns.get(i).getPath().toDotString() for i in range(columns.size()) if columns.get(i).getBloomFilterOffset() > 0}
     footer.close()
     assert filtered == {"entity_id", "other_id"}
+
+
+def _many(spark):
+    """Parents with many, few and no children; ids that repeat or are missing, a key that is missing, a parent that comes twice."""
+    rows = [(i * 7 % 997, 1 if i % 9 else 2, f"text {i}") for i in range(997)] + [(5, 1, "again"), (None, 1, "no id"), (None, 4, "no id"), (3000, None, "no key")]
+    parents = courses(spark).unionByName(courses(spark).filter("id = 2")).unionByName(courses(spark).filter("id = 1").withColumn("id", F.lit(4).cast("long")))
+    return parents, spark.createDataFrame(rows, "id long, course_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("per_line", [1, 10, 64, 1000])
+def test_lines_known_by_their_first_ids_are_those_of_the_places(spark, monkeypatch, per_line):
+    parents, children = _many(spark)
+    lines = sorted(map(str, nested.nest(parents, children, stats(spark), per_line=per_line).collect()))
+    monkeypatch.setattr(nested, "BROADCAST_BYTES", -1)  # the places are joined to the children instead
+    assert sorted(map(str, nested.nest(parents, children, stats(spark), per_line=per_line).collect())) == lines
+
+
+def test_texts_of_an_export_move_once(spark):
+    """Children move to their line, and neither to learn it nor to meet their parent."""
+    _, children = _many(spark)
+    lines = nested.nest(durable(courses(spark)), durable(children.filter("id is not null")), durable(stats(spark)), per_line=100)
+    waiting, moved = [lines._jdf.queryExecution().executedPlan().executedPlan()], []
+    while waiting:
+        node = waiting.pop()
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            names = [node.output().apply(i).name() for i in range(node.output().size())]
+            moved += [name for name in names if name in ("text", "buf", "reviews", "_children")]
+    assert moved == ["buf"]
+
+
+def test_shuffle_files_go_with_the_job_that_stores_rows(spark):
+    import glob
+
+    from passarank.plans import sizing
+
+    def files():
+        folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(len(glob.glob(f"{d}/*/shuffle_*.data")) for d in list(folder))
+
+    key, before = sizing.CLEANUP, files()
+    stored = durable(spark.range(1000).repartition(7, "id"))
+    assert stored.count() == 1000 and spark.conf.get(key) == "false"
+    path = scratch_path(spark, "collection")
+    collections.rebuild(spark.range(1000).select(F.col("id").cast("string").alias("entity_id")), path, buckets=3)
+    assert files() <= before
+
+
+def test_sentences_stay_in_the_buckets_of_their_documents(spark):
+    """What is made of a stored collection is not moved, and has the folders it would have had."""
+    path, buckets = scratch_path(spark, "collection"), 5
+    df = spark.range(300).select(F.col("id").cast("string").alias("feedback_id"), F.concat(F.lit("e"), F.col("id") % 20).alias("entity_id"), F.concat(F.lit("One. Two! "), "id").alias("text"))
+    number = collections.rebuild(df, f"{path}/review", buckets=buckets)
+    stored = collections.read_collection(spark, f"{path}/review", df.schema, version=number)
+    sentences = P.feedback_passages(stored)
+    collections.rebuild(sentences, f"{path}/dealt", buckets=buckets, dealt=True)
+    collections.rebuild(P.feedback_passages(df), f"{path}/moved", buckets=buckets)
+    rows = [sorted(map(str, collections.read_collection(spark, f"{path}/{name}", sentences.schema, with_bucket=True).collect())) for name in ("dealt", "moved")]
+    assert rows[0] == rows[1] and len(rows[0]) == 900

@@ -1,6 +1,8 @@
 """From hand-written pages to an answer."""
 
 import json
+import os
+import shutil
 
 from pyspark.sql import functions as F
 from tests.test_extract import PATTERNS, row
@@ -77,3 +79,23 @@ def test_entity_of_first_stage_without_feedback_is_left_out(spark):
     ranking, support = recommend.recommend(queries, topics, feedback)
     assert [(r["entity_id"], r["score"], r["place"]) for r in ranking.collect()] == [("y", 0.5 * 0.65 + 1.0 * 0.35, 1)]
     assert [(r["entity_id"], r["passage_id"], r["feedback_id"]) for r in support.collect()] == [("y", "p2", "f")]
+
+
+def test_an_export_may_go_before_its_sentences_are_made(spark):
+    """The callback comes when courses and reviews are stored; lines that are damaged in a column that reviews do not need stay out."""
+    lines = spark.range(30).select(
+        F.to_json(F.struct("id", F.lit("AI (x)").alias("course_name"),
+                           F.lit("One. Two!").alias("course_intro"), F.array(F.struct(F.col("id"), F.col("id").alias("course_id"), F.lit("Good. Long!").alias("text"))).alias("reviews"))).alias("value"))
+    export, index, at = scratch_path(spark, "export"), scratch_path(spark, "index"), []
+    damaged = spark.createDataFrame([('{"id": 99, "credit": "no number", "reviews": [{"id": 99, "course_id": 99, "text": "Bad."}]}',)], "value string")
+    lines.unionByName(damaged).write.text(export)
+
+    def read():
+        at.append(sorted(os.listdir(index)))
+        shutil.rmtree(export)
+
+    W.build_index(nested.read_export(spark, export), index, read=read)
+    assert at == [["course", "review"]]
+    opened = W.open_index(spark, index)
+    assert {name: df.count() for name, df in opened.items()} == {"course": 30, "course_sentence": 90, "review": 30, "review_sentence": 60}
+    assert all(df.filter("embedding is null").count() == 0 for df in opened.values())
