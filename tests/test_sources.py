@@ -367,3 +367,26 @@ def test_sentences_stay_in_the_buckets_of_their_documents(spark):
     collections.rebuild(P.feedback_passages(df), f"{path}/moved", buckets=buckets)
     rows = [sorted(map(str, collections.read_collection(spark, f"{path}/{name}", sentences.schema, with_bucket=True).collect())) for name in ("dealt", "moved")]
     assert rows[0] == rows[1] and len(rows[0]) == 900
+
+
+@pytest.mark.parametrize("query", ["answer_outcomes"])
+def test_answers_keep_the_index_and_no_copies_of_its_texts(spark, tmp_path, query):
+    """What an answer leaves on disk: the four collections and small tables, but neither export nor parsed lines."""
+    import glob
+    import os
+
+    from suite import flows
+
+    rows = [(i, f"Graphs {i} are here. Maps of {i}!", "en", f"src{i % 3}", 30) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = [(i, f"map ring {i}", "Brand#1", "SMALL", i, 1.0) for i in range(6)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "Graphs 1 are here.\nMaps of 2!"), (1, "Maps of 1!")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/passarank/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    found = flows.register.queries[query](spark, str(tmp_path)).collect()
+    assert {r["request_id"] for r in found} <= {0, 1, "0", "1"} and found
+    left = {name.rsplit("-", 1)[0]: name for name in set(os.listdir(base)) - before}
+    assert "index" in left and not {"export", "nested"} & set(left)
+    assert sorted(os.listdir(f"{base}/{left['index']}")) == ["course", "course_sentence", "review", "review_sentence"]
+    assert all("zstd" in name for name in glob.glob(f"{base}/{left['index']}/**/*.parquet", recursive=True))
