@@ -369,7 +369,7 @@ def test_sentences_stay_in_the_buckets_of_their_documents(spark):
     assert rows[0] == rows[1] and len(rows[0]) == 900
 
 
-@pytest.mark.parametrize("query", ["answer_outcomes"])
+@pytest.mark.parametrize("query", ["answer_outcomes", "answer_from_index"])
 def test_answers_keep_the_index_and_no_copies_of_its_texts(spark, tmp_path, query):
     """What an answer leaves on disk: the four collections and small tables, but neither export nor parsed lines."""
     import glob
